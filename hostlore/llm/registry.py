@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hostlore.llm import line_dedup
+from hostlore.llm import decontaminate, line_dedup
 
-MODULES = {"op7_line_dedup": line_dedup}
+MODULES = {"op4_decontaminate": decontaminate, "op7_line_dedup": line_dedup}
 
 
 def queries() -> dict:
