@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, line_dedup
+from hostlore.llm import decontaminate, line_dedup, packing, token_counts
 
-MODULES = {"op4_decontaminate": decontaminate, "op7_line_dedup": line_dedup}
+MODULES = {
+    "op4_decontaminate": decontaminate,
+    "op5_token_counts": token_counts,
+    "op7_line_dedup": line_dedup,
+    "op9_harmonic_packing": packing,
+}
 
 
 def queries() -> dict:
