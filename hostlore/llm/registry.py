@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, fertility, line_dedup, packing, token_counts
+from hostlore.llm import decontaminate, fertility, line_dedup, packing, token_counts, warc
 
 MODULES = {
     "op1_fertility_rules": fertility,
+    "op2_seekable_warc": warc,
     "op4_decontaminate": decontaminate,
     "op5_token_counts": token_counts,
     "op7_line_dedup": line_dedup,
