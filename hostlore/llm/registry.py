@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, fertility, line_dedup, packing, token_counts, warc
+from hostlore.llm import decontaminate, fertility, line_dedup, minhash, packing, token_counts, warc
 
 MODULES = {
     "op1_fertility_rules": fertility,
@@ -11,6 +11,7 @@ MODULES = {
     "op5_token_counts": token_counts,
     "op7_line_dedup": line_dedup,
     "op9_harmonic_packing": packing,
+    "op10_near_duplicates": minhash,
 }
 
 
