@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= MIX_B
     x ^= x >> np.uint64(31)
     return x
+
+
+def text_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``size`` bytes of text, and their texts (empty for null)."""
+    for batch in batches:
+        texts = [t or b"" for t in byte_list(batch.column(column))]
+        lo = held = 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= size or i == len(texts) - 1:
+                yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
+                lo, held = i + 1, 0
+
+
+def corpus_sum(docs: DataFrame, cells: int, add: Callable[[np.ndarray, list[bytes]], None], blocks: int = 16) -> np.ndarray:
+    """A table of ``cells`` whole numbers summed over all texts of ``docs``, on the driver.
+
+    ``add`` adds a list of texts to a task's own table. The tables meet block by block, and are added up as they
+    stream by, so no task holds more than one table and the driver holds one, whatever the corpus.
+    """
+    width = -(-cells // blocks)
+
+    def packed(rows: list[np.ndarray], numbers: list[int]) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(3).compress
+        small = [r.astype(np.int32) if abs(r).max(initial=0) < 2**31 else r for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([pack(r.tobytes()) for r in small], pa.binary())], names=["block", "sums"])
+
+    def unpacked(data: bytes) -> np.ndarray:
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        return np.frombuffer(raw, np.int32 if len(raw) == 4 * width else np.int64).astype(np.int64)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for _, texts in text_groups(batches, 0):
+            total = np.zeros(width * blocks, np.int64) if total is None else total
+            add(total[:cells], texts)
+        if total is not None:
+            yield packed(list(total.reshape(blocks, width)), list(range(blocks)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = unpacked(data)
+                merged[block] = merged[block] + part if block in merged else part
+        if merged:
+            yield packed(list(merged.values()), list(merged))
+
+    schema = "block int, sums binary"
+    out = np.zeros((blocks, width), np.int64)
+    for block, data in docs.select("text").mapInArrow(fill, schema).repartition(blocks, "block").mapInArrow(merge, schema).collect():
+        out[block] = unpacked(data)
+    return out.ravel()[:cells]

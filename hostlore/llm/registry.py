@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, fertility, line_dedup, minhash, packing, token_counts, warc
+from hostlore.llm import decontaminate, fertility, line_dedup, lm_score, minhash, packing, quality_classifier, token_counts, warc
 
 MODULES = {
     "op1_fertility_rules": fertility,
     "op2_seekable_warc": warc,
+    "op3_quality_classifier": quality_classifier,
     "op4_decontaminate": decontaminate,
     "op5_token_counts": token_counts,
+    "op6_masked_lm_score": lm_score,
     "op7_line_dedup": line_dedup,
     "op9_harmonic_packing": packing,
     "op10_near_duplicates": minhash,
