@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, fertility, line_dedup, lm_score, minhash, packing, quality_classifier, token_counts, warc
+from hostlore.llm import decontaminate, fertility, line_dedup, lm_score, minhash, packing, quality_classifier, suffix_dedup, token_counts, warc
 
 MODULES = {
     "op1_fertility_rules": fertility,
@@ -12,6 +12,7 @@ MODULES = {
     "op5_token_counts": token_counts,
     "op6_masked_lm_score": lm_score,
     "op7_line_dedup": line_dedup,
+    "op8_suffix_dedup": suffix_dedup,
     "op9_harmonic_packing": packing,
     "op10_near_duplicates": minhash,
 }
