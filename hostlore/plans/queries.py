@@ -9,6 +9,7 @@ from hostlore.functions import scalars as s
 from hostlore.operators import audit, correlate, diagnose, ingest, lifecycle, reconcile, reports, stored, temporal
 from hostlore.sources.adapter import WINDOW_SECONDS, view
 from hostlore.sources.captures import capture
+from hostlore.sources.tables import stored_table
 
 WINDOW = WINDOW_SECONDS * 1_000_000
 MOST = 3
@@ -23,13 +24,16 @@ def j(name: str, alias: str | None = None) -> Column:
 
 
 class Tables:
-    """The derived tables of one folder, and what the operators make of them."""
+    """The derived tables of one folder, and what the operators make of them; each is stored once and then read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def stored(self, name: str, build) -> DataFrame:
+        return stored_table(self.spark, self.sf_dir, name, build)
+
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return self.stored(name, lambda: view(self.spark, self.sf_dir, name))
 
     def raw(self, name: str) -> DataFrame:
         return capture(self.spark, self.sf_dir, name)
@@ -38,21 +42,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def changes(self) -> DataFrame:
-        return lifecycle.service_lifecycle(self.service_observations, self.snapshots, self.collection_results)
+        return self.stored("service_changes", lambda: lifecycle.service_lifecycle(self.service_observations, self.snapshots, self.collection_results))
 
     def process_changes(self) -> DataFrame:
-        return lifecycle.process_lifecycle(self.process_observations, self.snapshots, self.collection_results, self.service_observations)
+        return self.stored("process_changes", lambda: lifecycle.process_lifecycle(self.process_observations, self.snapshots, self.collection_results, self.service_observations))
 
     def aware(self) -> DataFrame:
         return correlate.quality_aware(self.changes(), self.collection_results, "services")
 
     def evidence(self, most: int = MOST) -> DataFrame:
-        processes = correlate.quality_aware(self.process_changes(), self.collection_results, "processes")
-        return correlate.correlate(self.aware(), processes, self.journal_events, self.associations, WINDOW, most)
+        def build() -> DataFrame:
+            processes = correlate.quality_aware(self.process_changes(), self.collection_results, "processes")
+            return correlate.correlate(self.aware(), processes, self.journal_events, self.associations, WINDOW, most)
+
+        return self.stored(f"incident_evidence_{most}", build)
 
     def candidates(self) -> DataFrame:
         journal = self.collection_results.where("collector_name = 'journal'").select("host_id", F.col("collected_at").alias("at"), "status")
-        return correlate.candidates(self.evidence(), journal)
+        return self.stored("incident_candidates", lambda: correlate.candidates(self.evidence(), journal))
 
     def cut(self) -> DataFrame:
         """The time of each host's snapshot 15: stored incidents start up to there, incoming ones after."""
@@ -73,10 +80,10 @@ class Tables:
 
     def resolved(self) -> DataFrame:
         old, new = self.halves(self.candidates())
-        return reconcile.resolve(reconcile.upsert(old, new)[0], self.subjects(), new.limit(0))[0]
+        return self.stored("resolved_incidents", lambda: reconcile.resolve(reconcile.upsert(old, new)[0], self.subjects(), new.limit(0))[0])
 
     def diagnoses(self) -> DataFrame:
-        return diagnose.diagnose(self.candidates(), self.evidence())
+        return self.stored("diagnoses", lambda: diagnose.diagnose(self.candidates(), self.evidence()))
 
     def cycles(self) -> DataFrame:
         found = self.candidates().select("host_id", "incident_id", F.col("started_at").alias("at"))
