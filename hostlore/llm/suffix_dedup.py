@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, mix64, table, text_groups, written
+from hostlore.llm.common import byte_list, mix64, table, text_groups
 from hostlore.llm.line_dedup import SEGMENTS, merge_filters
 
 LENGTH = 50
@@ -34,7 +34,7 @@ HASHES = 2
 #: Suffixes are sorted by so many bytes, which is more than LENGTH.
 DEPTH = 64
 #: Text of a bucket, and of a group of documents in the last step.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 3 << 20
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def shared_anchors(docs: DataFrame) -> np.ndarray:
 
 
 ROUTED = "bucket int, body binary, meta binary"
-META = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("size", "<i4"), ("group", "<i4"), ("anchor", "<u4")])
+META = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("size", "<i4"), ("anchor", "<u4")])
 SPAN = np.dtype([("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 
 
@@ -110,11 +110,28 @@ def unpacked(x: bytes, kind: np.dtype | None = None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
-def span_rows(spans: np.ndarray, groups: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """Rows of spans for each group, with a negative bucket: -1 - group."""
-    order = np.argsort(groups, kind="stable")
-    cut = np.flatnonzero(np.diff(groups[order])) + 1
-    return [(-1 - int(groups[part[0]]), b"", packed(spans[part])) for part in np.split(order, cut) if part.size]
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Spans of a row that overlap or touch, as one."""
+    if spans.size < 2:
+        return spans
+    spans = spans[np.lexsort((spans["lo"], spans["row"]))]
+    first = np.concatenate([[True], spans["row"][1:] != spans["row"][:-1]])
+    # ends never fall within a row, once each row is lifted above the one before
+    lift = np.cumsum(first).astype(np.int64) << 32
+    reach = np.maximum.accumulate(spans["hi"] + lift)
+    new = np.flatnonzero(first | np.concatenate([[True], spans["lo"][1:] + lift[1:] > reach[:-1]]))
+    out = spans[new].copy()
+    out["hi"] = (reach - lift)[np.concatenate([new[1:], [spans.size]]) - 1]
+    return out
+
+
+def span_rows(spans: np.ndarray, groups: int) -> list[tuple[int, bytes, bytes]]:
+    """Rows of spans for each group of documents, with a negative bucket: -1 - group."""
+    spans = joined(spans)
+    group = spans["row"] % groups
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.diff(group[order])) + 1
+    return [(-1 - int(group[part[0]]), b"", packed(spans[part])) for part in np.split(order, cut) if part.size]
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,8 +155,8 @@ def send_fragments(shared, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[bytes], np.ndarray]] = []
         size = 0
-        for part, texts in text_groups(batches, 3):
-            for doc, row, group, text in zip(*(part.column(k).to_pylist() for k in range(3)), texts, strict=True):
+        for part, texts in text_groups(batches, 2):
+            for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                 if len(text) < LENGTH:
                     continue
                 h, first, last = anchors(np.frombuffer(text, np.uint8))
@@ -147,7 +164,7 @@ def send_fragments(shared, buckets: int):
                 if on.any():
                     h, first, stop = h[on], first[on], last[on] + LENGTH
                     meta = np.zeros(h.size, META)
-                    meta["doc"], meta["row"], meta["group"], meta["at"], meta["size"] = doc, row, group, first, stop - first
+                    meta["doc"], meta["row"], meta["at"], meta["size"] = doc, row, first, stop - first
                     meta["anchor"] = (h >> np.uint64(32)).astype(np.uint32)
                     held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta))
                     size += int(meta["size"].sum())
@@ -160,7 +177,7 @@ def send_fragments(shared, buckets: int):
     def route(held: list) -> pa.RecordBatch:
         bodies, meta = [b for x, _ in held for b in x], np.concatenate([m for _, m in held])
         covered, keeps = settle(bodies, meta)
-        out = span_rows(spans_of(meta[covered]), meta["group"][covered])
+        out = span_rows(spans_of(meta[covered]), buckets)
         left = np.flatnonzero(keeps)
         bucket = meta["anchor"][left] % np.uint32(buckets)
         order = left[np.argsort(bucket, kind="stable")]
@@ -261,35 +278,39 @@ def covered_strings(bodies: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [covered[e - s : max(e - s, e - LENGTH + 1)] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def settle_bucket(table_: pa.Table) -> pa.Table:
-    """The spans of a bucket's fragments, as rows for the groups of their documents."""
-    rows = table_.to_pylist()
-    meta = np.concatenate([unpacked(r["meta"], META) for r in rows])
-    bodies: list[bytes] = []
-    for r in rows:
-        body, at = unpacked(r["body"]), 0
-        for size in unpacked(r["meta"], META)["size"].tolist():
-            bodies.append(body[at : at + size])
-            at += size
-    covered, keeps = settle(bodies, meta)
-    found, groups = [spans_of(meta[covered])], [meta["group"][covered]]
-    # anchors with one fragment left have nothing to compare; equal ones of one document stand once
-    once: dict[bytes, list[int]] = {}
-    for i in np.flatnonzero(keeps).tolist():
-        once.setdefault(bodies[i], []).append(i)
-    firsts = np.array([v[0] for v in once.values()], np.int64)
-    _, which, count = np.unique(meta["anchor"][firsts], return_inverse=True, return_counts=True) if firsts.size else (None, firsts, firsts)
-    several = firsts[count[which] > 1] if firsts.size else firsts
-    if several.size:
-        for i, mask in zip(several.tolist(), covered_strings([bodies[i] for i in several], meta["doc"][several]), strict=True):
-            if mask.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                for j in once[bodies[i]]:
-                    part = np.zeros(edge.size // 2, SPAN)
-                    part["row"], part["lo"], part["hi"] = meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
-                    found.append(part)
-                    groups.append(np.full(part.size, meta["group"][j], np.int32))
-    return pa.Table.from_batches([as_batch(span_rows(np.concatenate(found), np.concatenate(groups)))])
+def settle_bucket(groups: int):
+    def settle_rows(table_: pa.Table) -> pa.Table:
+        """The spans of a bucket's fragments, as rows for the groups of their documents; such rows pass."""
+        rows = table_.to_pylist()
+        if rows[0]["bucket"] < 0:
+            return table_
+        meta = np.concatenate([unpacked(r["meta"], META) for r in rows])
+        bodies: list[bytes] = []
+        for r in rows:
+            body, at = unpacked(r["body"]), 0
+            for size in unpacked(r["meta"], META)["size"].tolist():
+                bodies.append(body[at : at + size])
+                at += size
+        covered, keeps = settle(bodies, meta)
+        found = [spans_of(meta[covered])]
+        # anchors with one fragment left have nothing to compare; equal ones of one document stand once
+        once: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(keeps).tolist():
+            once.setdefault(bodies[i], []).append(i)
+        firsts = np.array([v[0] for v in once.values()], np.int64)
+        _, which, count = np.unique(meta["anchor"][firsts], return_inverse=True, return_counts=True) if firsts.size else (None, firsts, firsts)
+        several = firsts[count[which] > 1] if firsts.size else firsts
+        if several.size:
+            for i, mask in zip(several.tolist(), covered_strings([bodies[i] for i in several], meta["doc"][several]), strict=True):
+                if mask.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
+                    for j in once[bodies[i]]:
+                        part = np.zeros(edge.size // 2, SPAN)
+                        part["row"], part["lo"], part["hi"] = meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
+                        found.append(part)
+        return pa.Table.from_batches([as_batch(span_rows(np.concatenate(found), groups))])
+
+    return settle_rows
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -331,10 +352,9 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     keyed = plain.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("group", F.pmod("row", F.lit(groups)).cast("int"))
     usable = keyed.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(shared_anchors(usable))
-    routed = usable.select("doc_id", "row", "group", "text").mapInArrow(send_fragments(shared, groups), ROUTED)
-    routed = written(routed, "fragments")
-    settled = routed.where("bucket >= 0").groupBy("bucket").applyInArrow(settle_bucket, ROUTED)
-    spans = routed.where("bucket < 0").unionByName(settled).select((-1 - F.col("bucket")).alias("group"), "meta")
+    routed = usable.select("doc_id", "row", "text").mapInArrow(send_fragments(shared, groups), ROUTED)
+    settled = routed.groupBy("bucket").applyInArrow(settle_bucket(groups), ROUTED)
+    spans = settled.select((-1 - F.col("bucket")).alias("group"), "meta")
     return keyed.groupBy("group").cogroup(spans.groupBy("group")).applyInArrow(cut_group, KEPT)
 
 
