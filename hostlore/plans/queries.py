@@ -112,34 +112,68 @@ def query(f):
 
 # sources
 @query
-def ingest_cpu(x): return ingest.parse_cpu(x.raw("raw_cpu"))
+def ingest_cpu(x):
+    return ingest.parse_cpu(x.raw("raw_cpu"))
+
+
 @query
-def ingest_memory(x): return ingest.parse_memory(x.raw("raw_memory"))
+def ingest_memory(x):
+    return ingest.parse_memory(x.raw("raw_memory"))
+
+
 @query
-def ingest_network(x): return ingest.parse_network(x.raw("raw_network"))
+def ingest_network(x):
+    return ingest.parse_network(x.raw("raw_network"))
+
+
 @query
-def ingest_processes(x): return ingest.parse_processes(x.raw("raw_processes"))
+def ingest_processes(x):
+    return ingest.parse_processes(x.raw("raw_processes"))
+
+
 @query
-def ingest_services(x): return ingest.parse_services(x.raw("raw_services"))
+def ingest_services(x):
+    return ingest.parse_services(x.raw("raw_services"))
+
+
 @query
-def ingest_system(x): return ingest.parse_uptime(x.raw("raw_uptime"))
+def ingest_system(x):
+    return ingest.parse_uptime(x.raw("raw_uptime"))
+
+
 @query
-def ingest_disk(x): return ingest.disk_usage(x.disk_observations)
+def ingest_disk(x):
+    return ingest.disk_usage(x.disk_observations)
+
+
 @query
-def ingest_journal(x): return ingest.parse_journal(x.raw("raw_journal").select("host_id", "page", "pos", "payload")).select("host_id", "page", "pos", "valid", "cursor", F.unix_micros("observed_at").alias("at_us"), "source", "priority", "unit", "pid", "comm", "message", "boot_id", j("warnings"))
+def ingest_journal(x):
+    return ingest.parse_journal(x.raw("raw_journal").select("host_id", "page", "pos", "payload")).select("host_id", "page", "pos", "valid", "cursor", F.unix_micros("observed_at").alias("at_us"), "source", "priority", "unit", "pid", "comm", "message", "boot_id", j("warnings"))
+
+
 @query
 def collection_status(x):
     denied = x.snapshots.where("snapshot_id % 7 = 3").select("host_id", "snapshot_id", F.when(F.col("snapshot_id") % 2 == 0, "permission_denied").otherwise("vanished").alias("source_status"))
     return ingest.collection_status(ingest.parse_cpu(x.raw("raw_cpu")), denied)
+
+
 @query
-def process_partial_status(x): return ingest.process_status(ingest.parse_processes(x.raw("raw_processes"))).select("host_id", "snapshot_id", "n_valid", j("warnings"), "status")
+def process_partial_status(x):
+    return ingest.process_status(ingest.parse_processes(x.raw("raw_processes"))).select("host_id", "snapshot_id", "n_valid", j("warnings"), "status")
+
+
 @query
-def process_topn_by_pid(x): return ingest.lowest_pids(x.process_observations, 3).select("host_id", "snapshot_id", "pid", "limited")
+def process_topn_by_pid(x):
+    return ingest.lowest_pids(x.process_observations, 3).select("host_id", "snapshot_id", "pid", "limited")
+
+
 @query
 def journal_page_accept(x):
     records = x.raw("raw_journal").select("host_id", "page", "pos", "cursor", (F.col("event_id") % 97 != 0).alias("valid"))
     saved = records.groupBy("host_id", "page").agg(F.min_by("cursor", "pos").alias("c")).where("page % 2 = 0").select("host_id", "page", F.when(F.col("page") % 4 == 0, F.col("c")).otherwise("c-gone").alias("saved"))
     return ingest.accept_pages(records, saved, 60)
+
+
 @query
 def assemble_snapshot(x):
     out = ingest.assemble_snapshots(x.snapshots, x.collection_results, services=x.service_observations, processes=x.process_observations, network=x.network_observations)
@@ -148,7 +182,10 @@ def assemble_snapshot(x):
 
 # stored state
 @query
-def events_append_new(x): return stored.new_events(x.journal_events.where("snapshot_id <= 15"), x.journal_events.where("snapshot_id >= 14").unionByName(x.journal_events.where("snapshot_id = 20"))).select("host_id", "cursor", t("observed_at"))
+def events_append_new(x):
+    return stored.new_events(x.journal_events.where("snapshot_id <= 15"), x.journal_events.where("snapshot_id >= 14").unionByName(x.journal_events.where("snapshot_id = 20"))).select("host_id", "cursor", t("observed_at"))
+
+
 @query
 def journal_batch_gate(x):
     e = x.journal_events
@@ -156,62 +193,127 @@ def journal_batch_gate(x):
     batches = e.groupBy("host_id", "snapshot_id").agg(F.count("*").alias("n_events"), F.max_by("cursor", "event_id").alias("last_cursor")).join(saved.withColumnRenamed("cursor", "s"), "host_id")
     batches = batches.select("host_id", "snapshot_id", F.when(F.col("snapshot_id") % 5 == 0, 0).otherwise(F.col("n_events")).alias("n_events"), "last_cursor", F.when(F.col("snapshot_id") % 3 == 0, "c-other").otherwise(F.col("last_cursor")).alias("next_cursor"), F.when(F.col("snapshot_id") % 4 == 0, "c-stale").otherwise(F.col("s")).alias("expected_cursor"))
     return stored.gate_batches(batches, saved).select("host_id", "snapshot_id", "accepted", "reason")
+
+
 @query
-def advance_checkpoint(x): return stored.checkpoints(x.journal_events.withColumn("seq", F.col("event_id"))).select("host_id", "source", "cursor", t("updated_at"))
+def advance_checkpoint(x):
+    return stored.checkpoints(x.journal_events.withColumn("seq", F.col("event_id"))).select("host_id", "source", "cursor", t("updated_at"))
+
+
 @query
-def latest_journal_quality(x): return stored.latest_quality(x.collection_results).select("host_id", "collector_name", "snapshot_id", "status", t("collected_at"))
+def latest_journal_quality(x):
+    return stored.latest_quality(x.collection_results).select("host_id", "collector_name", "snapshot_id", "status", t("collected_at"))
+
+
 def doubled(x):
     """Services where snapshot 3 has a repeated name."""
     return x.service_observations.unionByName(x.service_observations.where("snapshot_id = 3"))
+
+
 @query
 def snapshot_fanout(x):
     parts = stored.fan_out(x.snapshots, x.collection_results, {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])})
     return parts["services"].select("host_id", "snapshot_id", F.lit("services").alias("part"), F.col("name").alias("child")).unionByName(parts["processes"].select("host_id", "snapshot_id", F.lit("processes").alias("part"), F.col("pid").cast("string").alias("child"))).unionByName(parts["network"].select("host_id", "snapshot_id", F.lit("network").alias("part"), F.col("interface").alias("child")))
+
+
 @query
 def snapshot_rebuild(x):
     out = stored.rebuild(x.snapshots, x.collection_results, x.service_observations, x.process_observations)
     return out.select("host_id", "snapshot_id", F.array_join(F.transform("results", lambda r: F.concat_ws("=", r["collector_name"], r["status"])), "|").alias("results"), F.array_join(F.transform("services", lambda r: F.concat_ws("/", r["name"], r["active_state"])), "|").alias("services"), F.size("processes").alias("n_processes"))
+
+
 @query
-def events_recent(x): return stored.recent_events(x.journal_events, 50, before=F.lit("2024-01-20").cast("timestamp")).select("host_id", "cursor", t("observed_at"))
+def events_recent(x):
+    return stored.recent_events(x.journal_events, 50, before=F.lit("2024-01-20").cast("timestamp")).select("host_id", "cursor", t("observed_at"))
+
+
 @query
-def event_window(x): return stored.event_window(x.journal_events, "svc-5.service", "2024-01-03 00:00:00", "2024-01-25 00:00:00", 10).select("host_id", "cursor", t("observed_at"), "place", "truncated")
+def event_window(x):
+    return stored.event_window(x.journal_events, "svc-5.service", "2024-01-03 00:00:00", "2024-01-25 00:00:00", 10).select("host_id", "cursor", t("observed_at"), "place", "truncated")
+
+
 @query
 def events_for_anchors(x):
     found = correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW)
     return correlate.ranked_evidence(found, 2).select("host_id", "evidence_id", t("evidence_at")).distinct()
+
+
 @query
-def incidents_recent(x): return stored.recent_incidents(x.resolved(), 40, state="active").select("host_id", "incident_id", t("last_observed_at"))
+def incidents_recent(x):
+    return stored.recent_incidents(x.resolved(), 40, state="active").select("host_id", "incident_id", t("last_observed_at"))
+
+
 @query
-def incident_detail(x): return stored.incident_detail(x.candidates(), x.evidence()).select("host_id", "incident_id", "subject_id", F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), "|").alias("evidence_ids"), j("limitations"))
+def incident_detail(x):
+    return stored.incident_detail(x.candidates(), x.evidence()).select("host_id", "incident_id", "subject_id", F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), "|").alias("evidence_ids"), j("limitations"))
 
 
 # comparison of snapshots
 @query
-def counter_rate(x): return flat_counter(temporal.counter_rates(x.process_observations.where("lifetime_id is not null"), x.snapshots, ["lifetime_id"], ["cpu_time_ticks"]), "cpu_time_ticks")
+def counter_rate(x):
+    return flat_counter(temporal.counter_rates(x.process_observations.where("lifetime_id is not null"), x.snapshots, ["lifetime_id"], ["cpu_time_ticks"]), "cpu_time_ticks")
+
+
 @query
-def cpu_utilization(x): return temporal.cpu_utilisation(x.cpu_observations, x.snapshots)
+def cpu_utilization(x):
+    return temporal.cpu_utilisation(x.cpu_observations, x.snapshots)
+
+
 @query
-def network_rates(x): return flat_counter(temporal.counter_rates(x.network_observations, x.snapshots, ["interface"], ["receive_bytes", "transmit_bytes"]), "receive_bytes", "transmit_bytes")
+def network_rates(x):
+    return flat_counter(temporal.counter_rates(x.network_observations, x.snapshots, ["interface"], ["receive_bytes", "transmit_bytes"]), "receive_bytes", "transmit_bytes")
+
+
 @query
-def network_removed(x): return temporal.removed(x.network_observations.where("not (interface = 'if-view' and snapshot_id % 6 = 0)"), x.snapshots, "interface")
+def network_removed(x):
+    return temporal.removed(x.network_observations.where("not (interface = 'if-view' and snapshot_id % 6 = 0)"), x.snapshots, "interface")
+
+
 @query
-def process_cpu_rates(x): return temporal.process_cpu_rates(x.process_observations, x.snapshots)
+def process_cpu_rates(x):
+    return temporal.process_cpu_rates(x.process_observations, x.snapshots)
+
+
 @query
-def process_lifetimes_removed(x): return temporal.removed(x.process_observations, x.snapshots, "lifetime_id")
+def process_lifetimes_removed(x):
+    return temporal.removed(x.process_observations, x.snapshots, "lifetime_id")
+
+
 @query
-def snapshot_comparison(x): return temporal.snapshot_comparison(x.cpu_observations, x.network_observations, x.process_observations, x.snapshots)
+def snapshot_comparison(x):
+    return temporal.snapshot_comparison(x.cpu_observations, x.network_observations, x.process_observations, x.snapshots)
+
+
 @query
-def derived_identity(x): return x.cpu_observations.select("host_id", "snapshot_id", sum((F.col(c) for c in temporal.TICKS[1:]), F.col(temporal.TICKS[0])).alias("total_ticks")).join(x.process_observations.select("host_id", "snapshot_id", "pid", F.when(F.col("start_time_ticks").isNotNull(), F.concat_ws(":", "pid", "start_time_ticks")).alias("lifetime_id")), ["host_id", "snapshot_id"])
+def derived_identity(x):
+    return x.cpu_observations.select("host_id", "snapshot_id", sum((F.col(c) for c in temporal.TICKS[1:]), F.col(temporal.TICKS[0])).alias("total_ticks")).join(x.process_observations.select("host_id", "snapshot_id", "pid", F.when(F.col("start_time_ticks").isNotNull(), F.concat_ws(":", "pid", "start_time_ticks")).alias("lifetime_id")), ["host_id", "snapshot_id"])
+
+
 @query
-def process_memory_delta(x): return x.process_changes().where("lifecycle = 'continuing'").select("host_id", "snapshot_id", "pid", "rss_delta", "vm_delta")
+def process_memory_delta(x):
+    return x.process_changes().where("lifecycle = 'continuing'").select("host_id", "snapshot_id", "pid", "rss_delta", "vm_delta")
+
+
 @query
-def process_lifecycle(x): return x.process_changes().select("host_id", "snapshot_id", t("observed_at"), "pid", "lifetime_id", "lifecycle", F.col("cpu.state").alias("cpu_state"), F.col("cpu.delta").alias("cpu_delta"))
+def process_lifecycle(x):
+    return x.process_changes().select("host_id", "snapshot_id", t("observed_at"), "pid", "lifetime_id", "lifecycle", F.col("cpu.state").alias("cpu_state"), F.col("cpu.delta").alias("cpu_delta"))
+
+
 @query
-def service_lifecycle(x): return x.changes().select(*CHANGE, t("observed_at"), state_text("previous"), state_text("current"))
+def service_lifecycle(x):
+    return x.changes().select(*CHANGE, t("observed_at"), state_text("previous"), state_text("current"))
+
+
 @query
-def collection_completeness(x): return lifecycle.completeness(x.collection_results, x.service_observations.unionByName(x.service_observations.where("snapshot_id = 4").withColumn("active_state", F.lit("two words"))))
+def collection_completeness(x):
+    return lifecycle.completeness(x.collection_results, x.service_observations.unionByName(x.service_observations.where("snapshot_id = 4").withColumn("active_state", F.lit("two words"))))
+
+
 @query
-def duplicate_identities(x): return lifecycle.duplicate_identities(doubled(x), "name")
+def duplicate_identities(x):
+    return lifecycle.duplicate_identities(doubled(x), "name")
+
+
 @query
 def service_validity(x):
     odd = x.service_observations.withColumn("name", F.when(F.col("snapshot_id") % 5 == 0, F.lit(".service")).when(F.col("snapshot_id") % 5 == 1, F.concat("name", F.lit(" "))).otherwise(F.col("name"))).withColumn("sub_state", F.when(F.col("snapshot_id") % 3 == 0, "").otherwise(F.col("sub_state")))
@@ -220,31 +322,68 @@ def service_validity(x):
 
 # correlation
 @query
-def incident_anchors(x): return correlate.incident_anchors(x.changes()).select(*CHANGE, t("observed_at"))
+def incident_anchors(x):
+    return correlate.incident_anchors(x.changes()).select(*CHANGE, t("observed_at"))
+
+
 @query
-def dedup_service_changes(x): return correlate.dedup_service_changes(x.aware().drop("status").unionByName(x.changes().withColumn("limitations", correlate.no_limits()).where("snapshot_id % 2 = 0")))[0].select("host_id", "change_id", "name", t("observed_at"), j("limitations"))
+def dedup_service_changes(x):
+    return correlate.dedup_service_changes(x.aware().drop("status").unionByName(x.changes().withColumn("limitations", correlate.no_limits()).where("snapshot_id % 2 = 0")))[0].select("host_id", "change_id", "name", t("observed_at"), j("limitations"))
+
+
 @query
-def dedup_process_changes(x): return correlate.dedup_process_changes(x.process_changes().unionByName(x.process_changes().where("snapshot_id < 9")))[0].select("host_id", "lifetime_id", t("observed_at"), "lifecycle")
+def dedup_process_changes(x):
+    return correlate.dedup_process_changes(x.process_changes().unionByName(x.process_changes().where("snapshot_id < 9")))[0].select("host_id", "lifetime_id", t("observed_at"), "lifecycle")
+
+
 @query
-def dedup_events(x): return correlate.dedup_events(x.journal_events.unionByName(x.journal_events.where("event_id % 5 = 0").withColumn("priority", F.when(F.col("event_id") % 10 == 0, 7).otherwise(F.col("priority")))))[0].select("host_id", "cursor", t("observed_at"), "unit", "priority")
+def dedup_events(x):
+    return correlate.dedup_events(x.journal_events.unionByName(x.journal_events.where("event_id % 5 = 0").withColumn("priority", F.when(F.col("event_id") % 10 == 0, 7).otherwise(F.col("priority")))))[0].select("host_id", "cursor", t("observed_at"), "unit", "priority")
+
+
 @query
-def service_associations(x): return correlate.service_associations(x.associations.unionByName(x.associations).unionByName(x.associations.withColumn("lifetime_id", F.concat(F.lit("0"), "lifetime_id"))))
+def service_associations(x):
+    return correlate.service_associations(x.associations.unionByName(x.associations).unionByName(x.associations.withColumn("lifetime_id", F.concat(F.lit("0"), "lifetime_id"))))
+
+
 @query
-def event_evidence_join(x): return correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary")
+def event_evidence_join(x):
+    return correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary")
+
+
 @query
-def process_evidence_join(x): return correlate.process_evidence(correlate.anchored(x.changes()), x.process_changes(), x.associations, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary", "fact")
+def process_evidence_join(x):
+    return correlate.process_evidence(correlate.anchored(x.changes()), x.process_changes(), x.associations, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary", "fact")
+
+
 @query
-def evidence_topk(x): return correlate.ranked_evidence(correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW), MOST).select("host_id", "name", t("observed_at"), "evidence_id", "place")
+def evidence_topk(x):
+    return correlate.ranked_evidence(correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW), MOST).select("host_id", "name", t("observed_at"), "evidence_id", "place")
+
+
 @query
-def evidence_rows(x): return x.evidence().select("host_id", "incident_id", "kind", "evidence_id", t("evidence_at"), "reason", "summary", "fact", j("evidence_limitations"))
+def evidence_rows(x):
+    return x.evidence().select("host_id", "incident_id", "kind", "evidence_id", t("evidence_at"), "reason", "summary", "fact", j("evidence_limitations"))
+
+
 @query
-def incident_candidates(x): return x.candidates().select("host_id", "incident_id", "rule_id", "subject_id", "state", t("started_at"), t("last_observed_at"), j("limitations"), "n_evidence")
+def incident_candidates(x):
+    return x.candidates().select("host_id", "incident_id", "rule_id", "subject_id", "state", t("started_at"), t("last_observed_at"), j("limitations"), "n_evidence")
+
+
 @query
-def resolution_subjects(x): return correlate.resolution_subjects(x.changes())
+def resolution_subjects(x):
+    return correlate.resolution_subjects(x.changes())
+
+
 @query
-def quality_aware_changes(x): return x.aware().select(*CHANGE, j("limitations"))
+def quality_aware_changes(x):
+    return x.aware().select(*CHANGE, j("limitations"))
+
+
 @query
-def incident_formation(x): return x.resolved().select("host_id", "incident_id", "subject_id", "state", "change", t("last_observed_at"))
+def incident_formation(x):
+    return x.resolved().select("host_id", "incident_id", "subject_id", "state", "change", t("last_observed_at"))
 
 
 # reconciliation
@@ -253,123 +392,236 @@ def reconcile_unique(x):
     c = x.candidates()
     clean, bad = reconcile.unique_candidates(c.unionByName(c.where("subject_id like 'svc-1%'")).unionByName(c.where("subject_id like 'svc-2%'").withColumn("last_observed_at", F.expr("last_observed_at + interval 1 hour"))))
     return clean.select("host_id", "incident_id", F.lit("clean").alias("outcome")).unionByName(bad.select("host_id", "incident_id", F.col("problem").alias("outcome")))
+
+
 def stored_and_incoming(x):
     """Stored: the first half, some resolved early or under another rule. Incoming: the last days of it and the rest."""
     old, new = x.halves(x.candidates())
     old = old.withColumn("rule_id", F.when(F.col("subject_id").like("svc-3%"), "other-rule").otherwise(F.col("rule_id"))).withColumn("last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at")))
     early = F.col("subject_id").like("svc-4%")
     return old.withColumn("state", F.when(early, "resolved").otherwise(F.col("state"))).withColumn("resolved_at", F.when(early, F.col("started_at"))), new
+
+
 @query
 def reconcile_upsert(x):
     merged, bad = reconcile.upsert(*stored_and_incoming(x))
     return merged.select("host_id", "incident_id", "change", "state", t("last_observed_at")).unionByName(bad.select("host_id", "incident_id", F.col("problem").alias("change"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("last_observed_at")))
+
+
 @query
 def reconcile_evidence(x):
     e = x.evidence()
     old = e.withColumn("fact", F.when(F.col("kind") == "journal_event", "unknown").otherwise(F.col("fact"))).withColumn("summary", F.when(F.col("evidence_id").like("%7"), "changed").otherwise(F.col("summary")))
     clean, bad = reconcile.merge_evidence(old, e)
     return clean.select("host_id", "incident_id", "kind", "evidence_id", F.col("fact").alias("outcome"), j("evidence_limitations")).unionByName(bad.select("host_id", "incident_id", "kind", "evidence_id", F.col("problem").alias("outcome"), F.lit(None).cast("string").alias("evidence_limitations")))
+
+
 @query
-def evidence_cap(x): return reconcile.cap_evidence(x.evidence(6), 3).select("host_id", "incident_id", "evidence_id", "truncated")
+def evidence_cap(x):
+    return reconcile.cap_evidence(x.evidence(6), 3).select("host_id", "incident_id", "evidence_id", "truncated")
+
+
 @query
 def merge_limitations(x):
     rows = x.ev.groupBy("host_id", "user_id").agg(F.collect_set(F.concat(F.lit("a"), F.col("event_id") % 60)).alias("a"), F.collect_set(F.concat(F.lit("b"), F.col("event_id") % 7)).alias("b"))
     return rows.select("host_id", "user_id", F.array_join(reconcile.merge_limitations("a", "b"), "|").alias("limitations"))
+
+
 @query
-def reconcile_resolve(x): return x.resolved().select("host_id", "incident_id", "state", t("last_observed_at"), "now_resolved")
+def reconcile_resolve(x):
+    return x.resolved().select("host_id", "incident_id", "state", t("last_observed_at"), "now_resolved")
+
+
 @query
-def reconcile_result(x): return reconcile.result(x.halves(x.candidates())[1], x.resolved()).select("host_id", F.sha2(F.array_join("candidate_ids", "|"), 256).alias("candidates_sha256"), F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"), F.sha2(F.array_join("resolved_ids", "|"), 256).alias("resolved_sha256"))
+def reconcile_result(x):
+    return reconcile.result(x.halves(x.candidates())[1], x.resolved()).select("host_id", F.sha2(F.array_join("candidate_ids", "|"), 256).alias("candidates_sha256"), F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"), F.sha2(F.array_join("resolved_ids", "|"), 256).alias("resolved_sha256"))
 
 
 # diagnosis
 D = ["host_id", "incident_id"]
+
+
 @query
-def diagnose_(x): return x.diagnoses().select(*D, "state", "rule", j("facts"))
+def diagnose_(x):
+    return x.diagnoses().select(*D, "state", "rule", j("facts"))
+
+
 Q["diagnose"] = Q.pop("diagnose_")
+
+
 @query
-def incident_history(x): return diagnose.history(x.candidates(), most=4).select(*D, j("history"))
+def incident_history(x):
+    return diagnose.history(x.candidates(), most=4).select(*D, j("history"))
+
+
 @query
-def diagnosis_explanation(x): return x.diagnoses().select(*D, "explanation")
+def diagnosis_explanation(x):
+    return x.diagnoses().select(*D, "explanation")
+
+
 @query
-def diagnosis_limitations(x): return x.diagnoses().select(*D, j("limitations"))
+def diagnosis_limitations(x):
+    return x.diagnoses().select(*D, j("limitations"))
+
+
 @query
-def diagnosis_provenance(x): return x.diagnoses().select(*D, j("evidence_ids"))
+def diagnosis_provenance(x):
+    return x.diagnoses().select(*D, j("evidence_ids"))
+
+
 @query
-def inspection_facts(x): return diagnose.fact_groups(x.evidence().withColumn("fact", F.when(F.col("evidence_id").like("%3"), "unknown").otherwise(F.col("fact")))).select(*D, j("established"), j("unknown_ids"), j("not_established"))
+def inspection_facts(x):
+    return diagnose.fact_groups(x.evidence().withColumn("fact", F.when(F.col("evidence_id").like("%3"), "unknown").otherwise(F.col("fact")))).select(*D, j("established"), j("unknown_ids"), j("not_established"))
+
+
 @query
-def inspect_all(x): return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses())
+def inspect_all(x):
+    return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses())
+
+
 @query
-def report_status(x): return reports.status_documents(stored.rebuild(x.snapshots, x.collection_results, x.service_observations, x.process_observations))
+def report_status(x):
+    return reports.status_documents(stored.rebuild(x.snapshots, x.collection_results, x.service_observations, x.process_observations))
+
+
 @query
 def report_incidents(x):
     doc = reports.incident_list(stored.recent_incidents(x.resolved(), 25), 25)
     kind = "struct<incidents:array<struct<incident_id:string,state:string>>,count:int,query:struct<limit:int,limit_reached:boolean>>"
     return doc.select(F.from_json("document", kind).alias("d")).select(F.posexplode("d.incidents").alias("pos", "i"), "d.count", "d.query").select("pos", "i.incident_id", "i.state", "count", "query.limit_reached")
+
+
 @query
-def report_inspection(x): return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses()).where("incident_id < '8'")
+def report_inspection(x):
+    return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses()).where("incident_id < '8'")
+
+
 @query
-def report_diagnosis(x): return reports.diagnosis_documents(x.diagnoses())
+def report_diagnosis(x):
+    return reports.diagnosis_documents(x.diagnoses())
+
+
 @query
-def report_cycle(x): return reports.cycle_documents(x.cycles())
+def report_cycle(x):
+    return reports.cycle_documents(x.cycles())
+
+
 @query
-def cycle_summary(x): return x.cycles().select("host_id", "snapshot_id", t("observed_at"), j("limitations"), "n_services", "n_processes", "n_network", "events_processed", F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"))
+def cycle_summary(x):
+    return x.cycles().select("host_id", "snapshot_id", t("observed_at"), j("limitations"), "n_services", "n_processes", "n_network", "events_processed", F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"))
 
 
 # retention
 @query
-def retain_events_cutoff(x): return stored.keep_events_from(x.journal_events, "2024-01-15 12:00:00").select("host_id", "cursor")
+def retain_events_cutoff(x):
+    return stored.keep_events_from(x.journal_events, "2024-01-15 12:00:00").select("host_id", "cursor")
+
+
 @query
-def retain_events_newest(x): return stored.newest_events(x.journal_events, 100).select("host_id", "cursor")
+def retain_events_newest(x):
+    return stored.newest_events(x.journal_events, 100).select("host_id", "cursor")
+
+
 @query
-def retain_snapshots_newest(x): return stored.children_of(x.service_observations, stored.newest_snapshots(x.snapshots, 9)).select("host_id", "snapshot_id", "name")
+def retain_snapshots_newest(x):
+    return stored.children_of(x.service_observations, stored.newest_snapshots(x.snapshots, 9)).select("host_id", "snapshot_id", "name")
+
+
 @query
-def retain_snapshots_cutoff(x): return stored.children_of(x.process_observations, stored.keep_events_from(x.snapshots, "2024-01-12 00:00:00")).select("host_id", "snapshot_id", "pid")
+def retain_snapshots_cutoff(x):
+    return stored.children_of(x.process_observations, stored.keep_events_from(x.snapshots, "2024-01-12 00:00:00")).select("host_id", "snapshot_id", "pid")
+
+
 @query
-def retain_incidents(x): return stored.keep_incidents(x.resolved(), "2024-01-22 00:00:00").select("host_id", "incident_id", "state")
+def retain_incidents(x):
+    return stored.keep_incidents(x.resolved(), "2024-01-22 00:00:00").select("host_id", "incident_id", "state")
 
 
 # scalars over whole tables
 @query
-def redact_text(x): return x.read("documents").select("doc_id", s.redact_to(F.concat(F.lit("--token "), F.col("doc_id").cast("string"), F.lit(" url?api_key="), F.col("doc_id").cast("string"), F.lit("&x -p y "), F.coalesce("text", F.lit(""))), 200).alias("redacted"))
+def redact_text(x):
+    return x.read("documents").select("doc_id", s.redact_to(F.concat(F.lit("--token "), F.col("doc_id").cast("string"), F.lit(" url?api_key="), F.col("doc_id").cast("string"), F.lit("&x -p y "), F.coalesce("text", F.lit(""))), 200).alias("redacted"))
+
+
 @query
-def truncate_utf8(x): return x.read("documents").select("doc_id", s.cut_utf8(F.coalesce("text", F.lit("")), 301).alias("cut"))
+def truncate_utf8(x):
+    return x.read("documents").select("doc_id", s.cut_utf8(F.coalesce("text", F.lit("")), 301).alias("cut"))
+
+
 @query
 def normalize_fields(x):
     value, warnings = s.normalised("message", F.concat(F.lit("secret="), F.col("role"), F.lit(" "), F.coalesce("text", F.lit(""))), 120)
     return x.read("conversations").select("conv_id", "turn", value.alias("value"), F.array_join(warnings, "|").alias("warnings"))
+
+
 @query
-def evidence_digest(x): return x.ev.select("event_id", s.digest("event-v1", F.col("unit"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")), F.col("cursor")).alias("digest"))
+def evidence_digest(x):
+    return x.ev.select("event_id", s.digest("event-v1", F.col("unit"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")), F.col("cursor")).alias("digest"))
+
+
 @query
-def incident_ids(x): return correlate.anchored(x.changes()).select("host_id", "change_id", correlate.incident_id().alias("incident_id"))
+def incident_ids(x):
+    return correlate.anchored(x.changes()).select("host_id", "change_id", correlate.incident_id().alias("incident_id"))
+
+
 @query
-def iso_timestamp(x): return x.ev.select("event_id", s.iso(F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(0))).alias("iso"), s.iso_fixed(F.col("ts")).alias("fixed"))
+def iso_timestamp(x):
+    return x.ev.select("event_id", s.iso(F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(0))).alias("iso"), s.iso_fixed(F.col("ts")).alias("fixed"))
+
+
 @query
-def epoch_micros(x): return x.ev.select("event_id", F.unix_micros(s.from_epoch_micros(F.concat(F.when(F.col("event_id") % 7 == 0, "x").otherwise(""), (F.col("event_id") + 1_700_000_000_000_000).cast("string")))).alias("us"))
+def epoch_micros(x):
+    return x.ev.select("event_id", F.unix_micros(s.from_epoch_micros(F.concat(F.when(F.col("event_id") % 7 == 0, "x").otherwise(""), (F.col("event_id") + 1_700_000_000_000_000).cast("string")))).alias("us"))
+
+
 @query
 def optional_int(x):
     value, ok = s.optional_int(F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, F.col("event_type")).otherwise(F.col("event_id").cast("string")), 5000)
     return x.ev.select("event_id", value.alias("value"), ok.alias("ok"))
+
+
 @query
 def decode_bytes_field(x):
     text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(F.col("event_id") % 4 == 1, "[104,195,169]").when(F.col("event_id") % 4 == 2, "[300]").otherwise("null")
     return x.ev.withColumn("v", F.try_parse_json(text)).select("event_id", s.decode_bytes(F.col("v")).alias("decoded"))
+
+
 @query
-def bounded_list(x): return x.ev.groupBy("host_id", "user_id").agg(F.collect_list(F.concat(F.lit("w"), F.col("event_id") % 90)).alias("w")).select("host_id", "user_id", F.array_join(s.bounded(F.col("w"), "quality_limitations_truncated"), "|").alias("bounded"))
+def bounded_list(x):
+    return x.ev.groupBy("host_id", "user_id").agg(F.collect_list(F.concat(F.lit("w"), F.col("event_id") % 90)).alias("w")).select("host_id", "user_id", F.array_join(s.bounded(F.col("w"), "quality_limitations_truncated"), "|").alias("bounded"))
+
+
 @query
-def valid_service_name(x): return x.ev.select("event_id", s.valid_service_name(F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), "unit", F.when(F.col("event_id") % 5 == 0, "x").otherwise(""))).alias("ok"))
+def valid_service_name(x):
+    return x.ev.select("event_id", s.valid_service_name(F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), "unit", F.when(F.col("event_id") % 5 == 0, "x").otherwise(""))).alias("ok"))
+
+
 @query
-def parse_utc(x): return x.ev.select("event_id", F.unix_micros(s.parse_utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "+02:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+00:00")))).alias("us"))
+def parse_utc(x):
+    return x.ev.select("event_id", F.unix_micros(s.parse_utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "+02:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+00:00")))).alias("us"))
 
 
 # audits
 @query
-def audit_constraints(x): return audit.audit_constraints(x.snapshots, x.collection_results, doubled(x), x.process_observations, x.network_observations, x.journal_events)
+def audit_constraints(x):
+    return audit.audit_constraints(x.snapshots, x.collection_results, doubled(x), x.process_observations, x.network_observations, x.journal_events)
+
+
 @query
-def audit_incidents(x): return audit.audit_incidents(x.candidates().withColumn("last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at"))), x.evidence())
+def audit_incidents(x):
+    return audit.audit_incidents(x.candidates().withColumn("last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at"))), x.evidence())
+
+
 @query
-def audit_collections(x): return audit.audit_collections(x.collection_results.withColumn("duration_seconds", F.when(F.col("snapshot_id") % 4 == 0, float("nan")).otherwise((F.col("snapshot_id") - 3).cast("double"))))
+def audit_collections(x):
+    return audit.audit_collections(x.collection_results.withColumn("duration_seconds", F.when(F.col("snapshot_id") % 4 == 0, float("nan")).otherwise((F.col("snapshot_id") - 3).cast("double"))))
+
+
 @query
-def audit_reports(x): return audit.audit_reports(x.diagnoses(), x.cycles())
+def audit_reports(x):
+    return audit.audit_reports(x.diagnoses(), x.cycles())
+
+
 @query
 def upgrade_history(x):
     old = x.ev.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""), F.lit("+00:00")).alias("observed_text"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit("w"))).alias("warnings"))
