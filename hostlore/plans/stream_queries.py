@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlore.plans.oracle import sql
+from hostlore.plans.queries import Tables
 from hostlore.sources.adapter import WINDOW_SECONDS
 from hostlore.sources.tables import shared_folder
 from hostlore.streaming import streams
@@ -36,13 +37,28 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_cycles(streams.event_stream(spark, sf_dir), path_for(spark, "stream-cycle")).select("host_id", "cursor", "event_type")
 
 
+def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State changes of services as the snapshots of each host arrive."""
+    services = Tables(spark, sf_dir).service_observations
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.concat_ws("/", "load_state", "active_state", "sub_state").alias("state")))))
+    path = path_for(spark, "service-snapshots")
+    services.groupBy("host_id", "snapshot_id").agg(F.to_json(pairs).alias("services")).write.parquet(path)
+    stream = spark.readStream.schema("host_id string, snapshot_id long, services string").parquet(path)
+    return streams.run_once(streams.service_states(stream), path_for(spark, "stream-services"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle)}
+    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_service_lifecycle)}
 
 
 def oracles() -> dict[str, str]:
     return {
         "stream_journal": sql("SELECT host_id, unit, cursor FROM ev"),
         "stream_interval_join": sql(f"SELECT a.host_id, a.unit, a.cursor AS anchor_id, e.cursor FROM ev a JOIN ev e ON a.host_id = e.host_id AND a.unit = e.unit AND a.event_type = 'error' AND e.event_type = 'purchase' AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"),
+        "stream_service_lifecycle": sql(
+            """SELECT host_id, snapshot_id, name, CASE WHEN p.name IS NULL THEN 'new' WHEN c.name IS NULL THEN 'removed' WHEN p.load_state = c.load_state AND p.active_state = c.active_state AND p.sub_state = c.sub_state THEN 'continuing' ELSE 'state_changed' END AS lifecycle
+            FROM service_observations c FULL JOIN (SELECT * REPLACE (snapshot_id + 1 AS snapshot_id) FROM service_observations) p USING (host_id, snapshot_id, name)
+            WHERE (host_id, snapshot_id) IN (SELECT (host_id, snapshot_id) FROM service_observations) AND (host_id, snapshot_id - 1) IN (SELECT (host_id, snapshot_id) FROM service_observations)"""
+        ),
         "stream_cycle": sql("SELECT host_id, cursor, event_type FROM ev"),
     }
