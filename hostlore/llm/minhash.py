@@ -9,9 +9,9 @@
    for a chance of 5e-8.
 4. *Verification in rounds.* A bucket never lists its pairs. In round one its smallest document is compared with
    each other one. Documents that are then in one component need no further comparison, so only buckets that still hold
-   several components go on: a few documents that are not in the bucket's first component and haven't led yet are
-   compared with all documents of other components, until none is left. Sizes and sketches drop hopeless pairs
-   first; whole texts decide.
+   several components go on. There, each document outside the bucket's first component proposes its best partners in other
+   components by sketch, each pair in the first bucket they share; more of them each round until none is left out, so a document that one good partner
+   links costs one comparison. Sizes and sketches drop hopeless pairs; whole texts decide.
 5. *Components* come from minimum labels with pointer jumping, as joins.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlore.llm.common import byte_list, join_weighted, mix64, table, written
@@ -31,10 +31,13 @@ SHINGLE = 2
 PERCENT = 80
 COORDINATES = 128
 ROWS = 4
-#: Leaders that a bucket sends out in a later round.
-LEADERS = 16
-#: Pairs whose sketches agree less are dropped: five standard deviations under the threshold.
-MARGIN = 5
+#: Partners that a document proposes in a bucket, and how many times more in each later round.
+PARTNERS = 8
+GROWTH = 16
+#: Large buckets are compared in blocks of about so many documents.
+BLOCK = 1000
+#: Pairs whose sketches agree less are dropped: four standard deviations under the threshold.
+MARGIN = 4
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 TOP = np.uint64(56)
 
@@ -120,6 +123,57 @@ def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return fit.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
+def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) -> DataFrame:
+    """The best ``partners`` of each asking document in each block of its buckets: (a, b, more).
+
+    ``live``: (band, nth, doc_id, label, asks, n): the bucket, the number of its band, and the bucket's size. ``more`` tells that a document had further ones.
+    """
+    least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
+
+    def group(nth: int, asks: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> list[tuple]:
+        out, there = [], np.flatnonzero(~asks)
+        for lo in range(0, len(me := np.flatnonzero(asks)), 128):
+            own = me[lo : lo + 128]
+            same = rows[own, None] == rows[None, there]
+            share = same.mean(axis=2)
+            share[same[:, :, : nth * ROWS].reshape(*share.shape, nth, ROWS).all(axis=3).any(axis=2)] = 0  # met in an earlier band
+            fit = 100 * np.minimum(sizes[own, None], sizes[there]) >= percent * np.maximum(sizes[own, None], sizes[there])
+            share[~fit | (labels[own, None] == labels[there]) | (share < least)] = 0
+            for i in np.flatnonzero(share.any(axis=1)):
+                best = np.argsort(-share[i], kind="stable")[: partners + 1]
+                best = best[share[i, best] > 0]
+                out += [(max(u, v), min(u, v), best.size > partners) for u in (int(ids[own[i]]),) for v in ids[there[best[:partners]]].tolist()]
+        return out
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(part: pa.Table) -> pa.RecordBatch:
+            band, block, nth, asks, ids, labels, sizes = (part.column(k).to_numpy() for k in range(7))
+            rows = np.frombuffer(b"".join(byte_list(part.column(7))), np.uint8).reshape(-1, COORDINATES)
+            cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0)) + 1
+            out = [x for lo, hi in zip([0, *cut], [*cut, len(band)], strict=True) if asks[lo:hi].any() for x in group(int(nth[lo]), asks[lo:hi], ids[lo:hi], labels[lo:hi], sizes[lo:hi], rows[lo:hi])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
+
+        for batch in batches:  # a group may go on in the next batch
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            band, block = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            last = np.flatnonzero((band != band[-1]) | (block != block[-1])) if len(band) else band
+            if last.size:
+                yield flush(rows.slice(0, int(last[-1]) + 1))
+                held = rows.slice(int(last[-1]) + 1).to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    targets = live.withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "asks": F.lit(False)})
+    asking = live.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = known.select("doc_id", "n_shingles", "sketch")
+    rows = targets.unionByName(asking).join(own, "doc_id").select("band", "block", "nth", "asks", "doc_id", "label", "n_shingles", "sketch")
+    return rows.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(propose, "a long, b long, more boolean")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have the similarity."""
 
@@ -158,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
             labels = written(labels.join(jumped, "id", "left").select("id", "n", F.coalesce("up", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, leaders: int = LEADERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, partners: int = PARTNERS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     A document's set is its distinct shingles of ``size`` words (A-Z in lower case, split at ASCII blanks), the whole
@@ -172,35 +226,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     copies = written(join_weighted(known.select("doc_id", "print"), groups, "print", "n").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copy-links")
     first = known.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
 
-    rows = first.select("doc_id", F.explode("bands").alias("band")).distinct()
+    rows = first.dropDuplicates(["doc_id", "print"]).select("doc_id", F.posexplode("bands").alias("nth", "band"))
     buckets = written(rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(join_weighted(rows, buckets, "band", "n").select("band", "doc_id", "leader"), "members")
+    members = written(join_weighted(rows, buckets, "band", "n").select("band", "nth", "doc_id", "leader"), "members")
     met = members.select("doc_id").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met, "doc_id", "left_semi"), "texts")
     known = written(first.select("doc_id", "n_shingles", "sketch").join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "known")
 
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    tested = members.select("band", F.col("leader").alias("doc_id")).distinct()
-    links, seen = copies, None
+    links, fresh, seen = copies, written(agreeing(pairs, known, percent), "pairs"), None
     while True:
-        fresh = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        found = written(verified(agreeing(fresh, known, percent), texts, percent, size), "links")
-        links = links.unionByName(found)
+        links = links.unionByName(written(verified(fresh, texts, percent, size), "links"))
         labels = components(links)
         seen = fresh if seen is None else seen.unionByName(fresh)
-        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "nth", "doc_id", F.coalesce("label", "doc_id").alias("label"))
         mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        mixed = written(mixed.select("band", "low", "n"), "mixed")
-        live = written(join_weighted(of, mixed, "band", "n"), "live")
-        waiting = live.where("label <> low").join(tested, ["band", "doc_id"], "left_anti")
-        turn = Window.partitionBy("band").orderBy("doc_id")
-        leading = written(waiting.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= leaders).select("band", F.col("doc_id").alias("leader"), F.col("label").alias("own")), "leading")
-        if not leading.limit(1).count():
+        mixed = written(mixed.select("band", "low", "n", F.col("n").alias("size")), "mixed")
+        live = join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), F.col("size").alias("n"))
+        found = written(proposals(live, known, percent, partners), "proposals")
+        fresh = written(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.limit(1).count() and not found.where("more").limit(1).count():
             break
-        tested = written(tested.unionByName(leading.select("band", F.col("leader").alias("doc_id"))), "tested")
-        by_band = written(leading.groupBy("band").agg(F.collect_list(F.struct("leader", "own")).alias("led")).join(mixed.select("band", "n"), "band"), "led")
-        pairs = written(join_weighted(live, by_band, "band", "n").select("doc_id", "label", F.explode("led").alias("l")).where("l.own <> label").select(F.greatest("doc_id", "l.leader").alias("a"), F.least("doc_id", "l.leader").alias("b")).distinct(), "pairs")
-        seen = written(seen, "seen")
+        partners *= GROWTH
     out = sketched.select("doc_id", "n_shingles").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
