@@ -130,15 +130,16 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
     """
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
-    def group(nth: int, asks: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> list[tuple]:
+    def group(nth: int, asks: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> list[tuple]:
         out, there = [], np.flatnonzero(~asks)
         for lo in range(0, len(me := np.flatnonzero(asks)), 128):
             own = me[lo : lo + 128]
-            same = rows[own, None] == rows[None, there]
-            share = same.mean(axis=2)
-            share[same[:, :, : nth * ROWS].reshape(*share.shape, nth, ROWS).all(axis=3).any(axis=2)] = 0  # met in an earlier band
+            share = (rows[own, None] == rows[None, there]).mean(axis=2)
             fit = 100 * np.minimum(sizes[own, None], sizes[there]) >= percent * np.maximum(sizes[own, None], sizes[there])
             share[~fit | (labels[own, None] == labels[there]) | (share < least)] = 0
+            u, v = np.nonzero(share)
+            met = (keys[own[u], :nth] == keys[there[v], :nth]).any(axis=1)  # in the bucket of an earlier band
+            share[u[met], v[met]] = 0
             for i in np.flatnonzero(share.any(axis=1)):
                 best = np.argsort(-share[i], kind="stable")[: partners + 1]
                 best = best[share[i, best] > 0]
@@ -151,8 +152,9 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
         def flush(part: pa.Table) -> pa.RecordBatch:
             band, block, nth, asks, ids, labels, sizes = (part.column(k).to_numpy() for k in range(7))
             rows = np.frombuffer(b"".join(byte_list(part.column(7))), np.uint8).reshape(-1, COORDINATES)
+            keys = part.column(8).combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
             cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0)) + 1
-            out = [x for lo, hi in zip([0, *cut], [*cut, len(band)], strict=True) if asks[lo:hi].any() for x in group(int(nth[lo]), asks[lo:hi], ids[lo:hi], labels[lo:hi], sizes[lo:hi], rows[lo:hi])]
+            out = [x for lo, hi in zip([0, *cut], [*cut, len(band)], strict=True) if asks[lo:hi].any() for x in group(int(nth[lo]), asks[lo:hi], ids[lo:hi], labels[lo:hi], sizes[lo:hi], rows[lo:hi], keys[lo:hi])]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
 
         for batch in batches:  # a group may go on in the next batch
@@ -169,8 +171,8 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     targets = live.withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "asks": F.lit(False)})
     asking = live.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    own = known.select("doc_id", "n_shingles", "sketch")
-    rows = targets.unionByName(asking).join(own, "doc_id").select("band", "block", "nth", "asks", "doc_id", "label", "n_shingles", "sketch")
+    own = known.select("doc_id", "n_shingles", "sketch", "bands")
+    rows = targets.unionByName(asking).join(own, "doc_id").select("band", "block", "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
     return rows.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(propose, "a long, b long, more boolean")
 
 
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     members = written(join_weighted(rows, buckets, "band", "n").select("band", "nth", "doc_id", "leader"), "members")
     met = members.select("doc_id").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met, "doc_id", "left_semi"), "texts")
-    known = written(first.select("doc_id", "n_shingles", "sketch").join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "known")
+    known = written(first.select("doc_id", "n_shingles", "sketch", "bands").join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "known")
 
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     links, fresh, seen = copies, written(agreeing(pairs, known, percent), "pairs"), None

@@ -78,3 +78,19 @@ def test_repeated_ids(spark):
     rows = [(1, "a b c d e f"), (1, "k l m n o p"), (2, "a b c d e f"), (3, "k l m n o p")]
     out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 4 and {r.component_id for r in out} == {1}
+
+
+def test_low_bytes_do_not_hide_a_pair(spark):
+    """In band 0 only the low bytes of 2 and 3 agree; they really meet in band 1, where 1 is an unrelated smaller leader."""
+    rng = np.random.default_rng(3)
+    full = rng.integers(0, 2**63, (3, minhash.COORDINATES)).astype(np.uint64)
+    full[2] = full[1]
+    full[2, 0] ^= np.uint64(1 << 40)
+    full[0, 4:] = full[1, 4:]
+    full[0, 8:] = rng.integers(0, 2**63, minhash.COORDINATES - 8).astype(np.uint64)
+    bands, low = minhash.band_keys(full), (full & np.uint64(255)).astype(np.uint8)
+    assert bands[1, 0] != bands[2, 0] and (low[1] == low[2]).all() and len(set(bands[:, 1])) == 1
+    known = spark.createDataFrame([(i + 1, 100, bytearray(low[i].tobytes()), bands[i].tolist()) for i in range(3)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
+    live = [(int(b), nth, i + 1, i + 1, i > 0, 3) for i in range(3) for nth, b in enumerate(bands[i].tolist()) if nth == 1]
+    live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, n long")
+    assert {(r.a, r.b) for r in minhash.proposals(live, known, 80, 8).collect()} == {(3, 2)}
