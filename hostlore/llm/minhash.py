@@ -126,6 +126,7 @@ def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) -> DataFrame:
     """The best ``partners`` of each asking document in each block of its buckets: (a, b, more).
 
+    A group is a tile: one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket.
     ``live``: (band, nth, doc_id, label, asks, n): the bucket, the number of its band, and the bucket's size. ``more`` tells that a document had further ones.
     """
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
@@ -150,18 +151,18 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
         held: list[pa.RecordBatch] = []
 
         def flush(part: pa.Table) -> pa.RecordBatch:
-            band, block, nth, asks, ids, labels, sizes = (part.column(k).to_numpy() for k in range(7))
-            rows = np.frombuffer(b"".join(byte_list(part.column(7))), np.uint8).reshape(-1, COORDINATES)
-            keys = part.column(8).combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-            cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0)) + 1
+            band, block, ask_block, nth, asks, ids, labels, sizes = (part.column(k).to_numpy() for k in range(8))
+            rows = np.frombuffer(b"".join(byte_list(part.column(8))), np.uint8).reshape(-1, COORDINATES)
+            keys = part.column(9).combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+            cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0) | (np.diff(ask_block) != 0)) + 1
             out = [x for lo, hi in zip([0, *cut], [*cut, len(band)], strict=True) if asks[lo:hi].any() for x in group(int(nth[lo]), asks[lo:hi], ids[lo:hi], labels[lo:hi], sizes[lo:hi], rows[lo:hi], keys[lo:hi])]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
 
         for batch in batches:  # a group may go on in the next batch
             held.append(batch)
             rows = pa.Table.from_batches(held)
-            band, block = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-            last = np.flatnonzero((band != band[-1]) | (block != block[-1])) if len(band) else band
+            tile = [rows.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero(np.any([x != x[-1] for x in tile], axis=0)) if rows.num_rows else tile[0]
             if last.size:
                 yield flush(rows.slice(0, int(last[-1]) + 1))
                 held = rows.slice(int(last[-1]) + 1).to_batches()
@@ -169,11 +170,13 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
             yield flush(pa.Table.from_batches(held))
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    targets = live.withColumns({"block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), "asks": F.lit(False)})
-    asking = live.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    targets = live.withColumns({"block": placed, "asks": F.lit(False)}).withColumn("ask_block", every)
+    asking = live.where("asks").withColumn("ask_block", placed).withColumn("block", every)
     own = known.select("doc_id", "n_shingles", "sketch", "bands")
-    rows = targets.unionByName(asking).join(own, "doc_id").select("band", "block", "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
-    return rows.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(propose, "a long, b long, more boolean")
+    tile = ["band", "block", "ask_block"]
+    rows = targets.unionByName(asking).join(own, "doc_id").select(*tile, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(propose, "a long, b long, more boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:

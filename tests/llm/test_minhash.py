@@ -94,3 +94,24 @@ def test_low_bytes_do_not_hide_a_pair(spark):
     live = [(int(b), nth, i + 1, i + 1, i > 0, 3) for i in range(3) for nth, b in enumerate(bands[i].tolist()) if nth == 1]
     live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, n long")
     assert {(r.a, r.b) for r in minhash.proposals(live, known, 80, 8).collect()} == {(3, 2)}
+
+
+def test_proposal_groups_are_bounded(spark, monkeypatch):
+    """All of a bucket ask; no group has many more rows than two blocks, and every pair is proposed all the same."""
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    n = 100
+    full = np.random.default_rng(5).integers(0, 2**63, (1, minhash.COORDINATES)).astype(np.uint64)
+    bands, low = minhash.band_keys(full)[0].tolist(), bytearray((full & np.uint64(255)).astype(np.uint8).tobytes())
+    known = spark.createDataFrame([(i, 100, low, bands) for i in range(n)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
+    live = spark.createDataFrame([(bands[0], 0, i, i, True, n) for i in range(n)], "band long, nth int, doc_id long, label long, asks boolean, n long")
+    sizes, plain = [], type(known).mapInArrow
+
+    def watched(df, *args, **kwargs):
+        keys = [c for c in ("band", "block", "ask_block") if c in df.columns]
+        sizes.extend(r["count"] for r in df.groupBy(*keys).count().collect())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(known), "mapInArrow", watched)
+    found = {(r.a, r.b) for r in minhash.proposals(live, known, 80, n).collect()}
+    assert found == {(a, b) for a in range(n) for b in range(a)}
+    assert max(sizes) < 60
