@@ -6,7 +6,8 @@ have equal anchors, so strings that may repeat can be brought together without s
 1. Bloom filters of once-seen and twice-seen anchors (fixed size) find the anchors that two documents share.
 2. The strings with such an anchor lie in a *fragment* around it. A task settles fragments that repeat within it and
    sends one copy of the others to the bucket of the anchor. A passage in a third of all documents is one
-   fragment a task, however many documents hold it.
+   fragment a task, however many documents hold it. Fragments at its two edges differ, so those of a *hot* anchor (in
+   ``HOT`` documents or more) are broken into their 50-byte strings, and each string goes to the bucket of its own hash.
 3. A bucket settles equal fragments and indexes the rest: suffix order, Burrows-Wheeler transform in runs, and the suffix
    positions at the ends of the runs. Matching statistics are streamed along the text: only where a run begins is the match
    with the suffix before compared byte by byte, elsewhere it is that of the position before less one. Neighbours
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,11 @@ HASHES = 2
 DEPTH = 64
 #: Text of a bucket, and of a group of documents in the last step.
 GROUP_BYTES = 3 << 20
+#: An anchor is hot from so many documents on; those with fewer than LEAST of them in 8 MB of text are not counted there.
+HOT = 1 << 14
+LEAST = 4
+#: Strings of hot anchors are settled so many at once.
+PIECES = 1 << 18
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +78,46 @@ def put(bitmap: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
+OFTEN = np.dtype([("anchor", "<u8"), ("n", "<i8")])
+
+
+def counted(anchor: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.empty(anchor.size, OFTEN)
+    out["anchor"], out["n"] = anchor, n
+    return out
+
+
+def summed(parts: list[np.ndarray]) -> np.ndarray:
+    """One row for each anchor, with the sum of its counts."""
+    rows = np.concatenate(parts)
+    anchor, which = np.unique(rows["anchor"], return_inverse=True)
+    n = np.zeros(anchor.size, np.int64)
+    np.add.at(n, which, rows["n"])
+    return counted(anchor, n)
+
+
+def merge_counted(hot: int):
+    """Merges the filters of each segment, and keeps its anchors of ``hot`` documents or more."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often: dict[int, np.ndarray] = {}
+
+        def filters() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for segment, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    often[segment] = summed([often.get(segment, np.empty(0, OFTEN)), unpacked(x, OFTEN)])
+                yield batch.select(["segment", "once", "twice"])
+
+        for batch in merge_filters(filters()):
+            anchors_ = [often[k]["anchor"][often[k]["n"] >= hot] for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([packed(x) for x in anchors_], pa.binary())], names=["segment", "twice", "hot"])
+
+    return merge
+
+
 def fill_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once, twice = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8)
-    any_row = False
+    any_row, often = False, [np.empty(0, OFTEN)]
     for _, texts in text_groups(batches, 0):
         own = [np.unique(anchors(np.frombuffer(t, np.uint8))[0]) for t in texts if len(t) >= LENGTH]
         if own:
@@ -82,18 +126,22 @@ def fill_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = spots(each)
             put(twice, at[:, (count > 1) | has_all(once, at)])
             put(once, at)
+            often.append(counted(each[count >= LEAST], count[count >= LEAST]))
     if any_row:
+        sums = summed(often)
         pack = zstandard.ZstdCompressor(1).compress
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.array([pack(x.tobytes()) for x in np.split(f, SEGMENTS)], pa.binary()) for f in (once, twice))], names=["segment", "once", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.array([pack(x.tobytes()) for x in np.split(f, SEGMENTS)], pa.binary()) for f in (once, twice)), pa.array([pack(sums[sums["anchor"] % SEGMENTS == k].tobytes()) for k in range(SEGMENTS)], pa.binary())], names=["segment", "once", "twice", "often"])
 
 
-def shared_anchors(docs: DataFrame) -> np.ndarray:
-    """The filter of anchors that two documents may share: FILTER_BITS / 8 bytes on the driver."""
-    rows = docs.select("text").mapInArrow(fill_filters, "segment int, once binary, twice binary").repartition(SEGMENTS, "segment").mapInArrow(merge_filters, "segment int, twice binary")
-    bitmap = np.zeros((SEGMENTS, FILTER_BITS // 8 // SEGMENTS), np.uint8)
-    for segment, twice in rows.collect():
+def shared_anchors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of anchors that two documents may share (FILTER_BITS / 8 bytes on the driver), and the hot anchors."""
+    filled = docs.select("text").mapInArrow(fill_filters, "segment int, once binary, twice binary, often binary")
+    rows = filled.repartition(SEGMENTS, "segment").mapInArrow(merge_counted(HOT), "segment int, twice binary, hot binary")
+    bitmap, hot = np.zeros((SEGMENTS, FILTER_BITS // 8 // SEGMENTS), np.uint8), [np.empty(0, np.uint64)]
+    for segment, twice, anchors_ in rows.collect():
         bitmap[segment] = np.frombuffer(zstandard.ZstdDecompressor().decompress(twice), np.uint8)
-    return bitmap.ravel()
+        hot.append(unpacked(anchors_, np.dtype("<u8")))
+    return bitmap.ravel(), np.sort(np.concatenate(hot))
 
 
 ROUTED = "bucket int, body binary, meta binary"
@@ -149,34 +197,57 @@ def settle(bodies: list[bytes], meta: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return meta["doc"] > first, meta["doc"] == first
 
 
+def pieces(bodies: list[bytes], meta: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The 50-byte strings of fragments as fragments of their own; the hash of a string takes the place of its anchor."""
+    n = meta["size"].astype(np.int64) - LENGTH + 1
+    ends = np.cumsum(n)
+    for lo in range(0, int(ends[-1]) if ends.size else 0, PIECES):
+        place = np.arange(lo, min(lo + PIECES, int(ends[-1])))
+        which = np.searchsorted(ends, place, "right")
+        skip = place - (ends - n)[which]
+        strings = [bodies[i][k : k + LENGTH] for i, k in zip(which.tolist(), skip.tolist(), strict=True)]
+        part = meta[which]
+        part["at"] += skip.astype(np.int32)
+        part["size"] = LENGTH
+        part["anchor"] = np.fromiter((xxhash.xxh3_64_intdigest(x) >> 32 for x in strings), np.uint32, len(strings))
+        yield strings, part
+
+
 def send_fragments(shared, buckets: int):
     """Fragments with a shared anchor to their buckets, and spans settled at once to their groups."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[bytes], np.ndarray]] = []
+        held: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
+        bitmap, often = shared.value
         size = 0
         for part, texts in text_groups(batches, 2):
             for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                 if len(text) < LENGTH:
                     continue
                 h, first, last = anchors(np.frombuffer(text, np.uint8))
-                on = has_all(shared.value, spots(h))
+                on = has_all(bitmap, spots(h))
                 if on.any():
                     h, first, stop = h[on], first[on], last[on] + LENGTH
                     meta = np.zeros(h.size, META)
                     meta["doc"], meta["row"], meta["at"], meta["size"] = doc, row, first, stop - first
                     meta["anchor"] = (h >> np.uint64(32)).astype(np.uint32)
-                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta))
+                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta, np.isin(h, often)))
                     size += int(meta["size"].sum())
             if size > 8 * GROUP_BYTES:
-                yield route(held)
+                yield from route(held)
                 held, size = [], 0
         if held:
-            yield route(held)
+            yield from route(held)
 
-    def route(held: list) -> pa.RecordBatch:
-        bodies, meta = [b for x, _ in held for b in x], np.concatenate([m for _, m in held])
+    def route(held: list) -> Iterator[pa.RecordBatch]:
+        bodies, meta, hot = [b for x, _, _ in held for b in x], np.concatenate([m for _, m, _ in held]), np.concatenate([x for _, _, x in held])
         covered, keeps = settle(bodies, meta)
+        yield parcels(bodies, meta, covered, keeps & ~hot)
+        broken = np.flatnonzero(keeps & hot)
+        for strings, part in pieces([bodies[i] for i in broken], meta[broken]):
+            yield parcels(strings, part, *settle(strings, part))
+
+    def parcels(bodies: list[bytes], meta: np.ndarray, covered: np.ndarray, keeps: np.ndarray) -> pa.RecordBatch:
         out = span_rows(spans_of(meta[covered]), buckets)
         left = np.flatnonzero(keeps)
         bucket = meta["anchor"][left] % np.uint32(buckets)

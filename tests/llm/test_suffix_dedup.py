@@ -72,3 +72,29 @@ def test_matching_statistics():
         while n < min(room[b], sd.DEPTH) and raw[a + n : a + n + 1] == raw[b + n : b + n + 1]:
             n += 1
         assert min(got[b], sd.LENGTH) == min(n, sd.LENGTH)
+
+
+def test_edges_of_a_hot_passage_are_split(spark, monkeypatch):
+    """A passage in all documents, between texts of their own: no bucket gets the edges of all of them."""
+    monkeypatch.setattr(sd, "GROUP_BYTES", 300)
+    monkeypatch.setattr(sd, "HOT", 20, raising=False)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(i, "".join(rng.choices("ijklmnop ", k=60)) + passage + "".join(rng.choices("qrstuvwx ", k=60))) for i in range(300)]
+    plain = sd.settle_bucket
+
+    def bounded(groups):
+        settle = plain(groups)
+
+        def settle_rows(part):
+            if part.column("bucket")[0].as_py() >= 0:
+                held = sum(int(sd.unpacked(x, sd.META)["size"].sum()) for x in part.column("meta").to_pylist())
+                assert held < 10_000, f"bucket of {held} bytes"
+            return settle(part)
+
+        return settle_rows
+
+    monkeypatch.setattr(sd, "settle_bucket", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
+    assert out == brute(rows)
