@@ -7,11 +7,12 @@
 2. *Classes.* Documents with equal shingle sets meet by a fingerprint; only the smallest doc_id of a class goes on.
 3. *Banding.* Coordinates in bands of ``ROWS`` give bucket keys. A similarity of 0.8 meets in one of the 32 buckets but
    for a chance of 5e-8.
-4. *Verification in rounds.* A bucket never lists its pairs. In round one its smallest document is compared with
-   each other one. Documents that are then in one component need no further comparison, so only buckets that still hold
-   several components go on. There, each document outside the bucket's first component proposes its best partners in other
-   components by sketch, each pair in the first bucket they share; more of them each round until none is left out, so a document that one good partner
-   links costs one comparison. Sizes and sketches drop hopeless pairs; whole texts decide.
+4. *Verification.* A bucket never lists its pairs. First its smallest document is compared with each other one.
+   Documents that are then in one component need no further comparison, so only buckets that still hold several
+   components go on. There, each document outside the bucket's first component proposes its ``PARTNERS`` best partners in
+   other components by sketch, each pair in the first bucket they share. Sizes and sketches drop hopeless pairs; whole
+   texts decide. A document that had more partners than it could propose, and is still outside, is then compared with
+   everything of the bucket on whole sets, in bounded tiles that give back only the links that join components.
 5. *Components* come from minimum labels with pointer jumping, as joins.
 """
 
@@ -31,11 +32,13 @@ SHINGLE = 2
 PERCENT = 80
 COORDINATES = 128
 ROWS = 4
-#: Partners that a document proposes in a bucket, and how many times more in each later round.
-PARTNERS = 8
-GROWTH = 16
-#: Large buckets are compared in blocks of about so many documents.
+#: Partners that a document proposes in a block of a bucket; where it has more, whole sets of all are compared.
+PARTNERS = 4
+#: Buckets are compared in blocks of about so many documents, and so many shingles.
 BLOCK = 1000
+BLOCK_SHINGLES = 1 << 20
+#: Columns of the incidence matrices that a tile multiplies at once.
+COLUMNS = 2048
 #: Pairs whose sketches agree less are dropped: four standard deviations under the threshold.
 MARGIN = 4
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -123,19 +126,41 @@ def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return fit.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
+TILE = ["band", "block", "ask_block"]
+
+
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole tiles out of batches that are sorted by tile; a tile may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        tile = np.stack([rows.column(k).to_numpy() for k in TILE])
+        cut = [0, *(np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1).tolist()]
+        yield from (rows.slice(lo, hi - lo) for lo, hi in zip(cut[:-1], cut[1:], strict=True))
+        held = rows.slice(cut[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) -> DataFrame:
-    """The best ``partners`` of each asking document in each block of its buckets: (a, b, more).
+    """The best ``partners`` of each asking document in each block of its buckets: (band, block, ask_block, ask, other, more).
 
-    A group is a tile: one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket.
-    ``live``: (band, nth, doc_id, label, asks, n): the bucket, the number of its band, and the bucket's size. ``more`` tells that a document had further ones.
+    A tile is one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket.
+    ``live``: (band, nth, doc_id, label, asks, blocks): the bucket, the number of its band, and into how many blocks it
+    falls. ``more`` tells that a document had further ones.
     """
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
-    def group(nth: int, asks: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> list[tuple]:
-        out, there = [], np.flatnonzero(~asks)
+    def tile(rows: pa.Table) -> pa.RecordBatch:
+        asks, ids, labels, sizes = (rows.column(k).to_numpy() for k in ("asks", "doc_id", "label", "n_shingles"))
+        nth = rows.column("nth")[0].as_py()
+        sketch = np.frombuffer(b"".join(byte_list(rows.column("sketch"))), np.uint8).reshape(-1, COORDINATES)
+        keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sketch), -1)
+        ask, other, more, there = [], [], [], np.flatnonzero(~asks)
         for lo in range(0, len(me := np.flatnonzero(asks)), 128):
             own = me[lo : lo + 128]
-            share = (rows[own, None] == rows[None, there]).mean(axis=2)
+            share = (sketch[own, None] == sketch[None, there]).mean(axis=2)
             fit = 100 * np.minimum(sizes[own, None], sizes[there]) >= percent * np.maximum(sizes[own, None], sizes[there])
             share[~fit | (labels[own, None] == labels[there]) | (share < least)] = 0
             u, v = np.nonzero(share)
@@ -144,39 +169,105 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
             for i in np.flatnonzero(share.any(axis=1)):
                 best = np.argsort(-share[i], kind="stable")[: partners + 1]
                 best = best[share[i, best] > 0]
-                out += [(max(u, v), min(u, v), best.size > partners) for u in (int(ids[own[i]]),) for v in ids[there[best[:partners]]].tolist()]
-        return out
+                found = ids[there[best[:partners]]].tolist()
+                ask += [int(ids[own[i]])] * len(found)
+                other += found
+                more += [best.size > partners] * len(found)
+        place = [pa.array([rows.column(k)[0].as_py()] * len(ask), rows.schema.field(k).type) for k in TILE]
+        return pa.RecordBatch.from_arrays([*place, pa.array(ask, pa.int64()), pa.array(other, pa.int64()), pa.array(more, pa.bool_())], names=[*TILE, "ask", "other", "more"])
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(part: pa.Table) -> pa.RecordBatch:
-            band, block, ask_block, nth, asks, ids, labels, sizes = (part.column(k).to_numpy() for k in range(8))
-            rows = np.frombuffer(b"".join(byte_list(part.column(8))), np.uint8).reshape(-1, COORDINATES)
-            keys = part.column(9).combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-            cut = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0) | (np.diff(ask_block) != 0)) + 1
-            out = [x for lo, hi in zip([0, *cut], [*cut, len(band)], strict=True) if asks[lo:hi].any() for x in group(int(nth[lo]), asks[lo:hi], ids[lo:hi], labels[lo:hi], sizes[lo:hi], rows[lo:hi], keys[lo:hi])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
-
-        for batch in batches:  # a group may go on in the next batch
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            tile = [rows.column(k).to_numpy() for k in range(3)]
-            last = np.flatnonzero(np.any([x != x[-1] for x in tile], axis=0)) if rows.num_rows else tile[0]
-            if last.size:
-                yield flush(rows.slice(0, int(last[-1]) + 1))
-                held = rows.slice(int(last[-1]) + 1).to_batches()
-        if held:
-            yield flush(pa.Table.from_batches(held))
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+        return map(tile, by_tile(batches))
+
+    placed, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     targets = live.withColumns({"block": placed, "asks": F.lit(False)}).withColumn("ask_block", every)
     asking = live.where("asks").withColumn("ask_block", placed).withColumn("block", every)
     own = known.select("doc_id", "n_shingles", "sketch", "bands")
-    tile = ["band", "block", "ask_block"]
-    rows = targets.unionByName(asking).join(own, "doc_id").select(*tile, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
-    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(propose, "a long, b long, more boolean")
+    rows = targets.unionByName(asking).join(own, "doc_id").select(*TILE, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(propose, "band long, block int, ask_block int, ask long, other long, more boolean")
+
+
+def set_links(mine: list[np.ndarray], theirs: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one set of each list with the similarity: intersections as products of incidence matrices."""
+    size_m, size_t = (np.array([x.size for x in side], np.int64) for side in (mine, theirs))
+    flat_m, flat_t = np.concatenate(mine), np.concatenate(theirs)
+    shared = np.intersect1d(flat_m, flat_t)
+    common = np.zeros((len(mine), len(theirs)), np.float32)
+
+    def cells(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, flat), max(0, shared.size - 1))
+        on = shared[at] == flat if shared.size else np.zeros(flat.size, bool)
+        order = np.argsort(at[on], kind="stable")
+        return np.repeat(np.arange(sizes.size), sizes)[on][order], at[on][order]
+
+    (row_m, at_m), (row_t, at_t) = cells(flat_m, size_m), cells(flat_t, size_t)
+    for lo in range(0, shared.size, COLUMNS):
+        sides = []
+        for row, at, n in ((row_m, at_m, len(mine)), (row_t, at_t, len(theirs))):
+            a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[row[a:b], at[a:b] - lo] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    common = common.astype(np.int64)
+    return np.nonzero(100 * common >= percent * (size_m[:, None] + size_t - common))
+
+
+def joining(labels: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of links between components, some that join all that they join: positions of a spanning forest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out, (_, first) = [], np.unique(np.stack([labels, others]), axis=1, return_index=True)
+    for i in first.tolist():
+        a, b = find(int(labels[i])), find(int(others[i]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def tile_links(asking: DataFrame, live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from comparing whole sets of ``asking`` documents with a block of their bucket.
+
+    ``asking``: (band, block, ask_block, doc_id), ``live``: (band, blocks, doc_id, label), ``sets``: (doc_id, items).
+    A tile has about two blocks of documents and gives at most one link less than it has components.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_tile(batches):
+            asks, ids, labels = (rows.column(k).to_numpy() for k in ("asks", "doc_id", "label"))
+            items = [np.frombuffer(x, np.uint64) for x in byte_list(rows.column("items"))]
+            me, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if me.size and there.size:
+                u, v = set_links([items[i] for i in me], [items[i] for i in there], percent)
+                u, v = me[u], there[v]
+                apart = labels[u] != labels[v]
+                u, v = u[apart], v[apart]
+                keep = joining(labels[u], labels[v]) if u.size else u
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[u[keep]], ids[v[keep]])), pa.array(np.minimum(ids[u[keep]], ids[v[keep]]))], names=["a", "b"])
+
+    place = live.select("band", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    targets = place.join(asking.select(*TILE).distinct(), ["band", "block"]).withColumn("asks", F.lit(False))
+    mine = asking.join(place.select("band", "doc_id", "label"), ["band", "doc_id"]).withColumn("asks", F.lit(True))
+    columns = [*TILE, "asks", "doc_id", "label"]
+    rows = targets.select(columns).unionByName(mine.select(columns)).join(sets, "doc_id").select(*columns, "items")
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(compare, "a long, b long")
+
+
+def whole_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, items): the shingle hashes of each row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in byte_list(batch.column(1))], pa.binary())], names=["doc_id", "items"])
+
+    return texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, items binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -231,28 +322,38 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     copies = written(join_weighted(known.select("doc_id", "print"), groups, "print", "n").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copy-links")
     first = known.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
 
-    rows = first.dropDuplicates(["doc_id", "print"]).select("doc_id", F.posexplode("bands").alias("nth", "band"))
+    rows = first.dropDuplicates(["doc_id", "print"]).select("doc_id", "n_shingles", F.posexplode("bands").alias("nth", "band"))
     buckets = written(rows.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = written(join_weighted(rows, buckets, "band", "n").select("band", "nth", "doc_id", "leader"), "members")
+    members = written(join_weighted(rows, buckets, "band", "n").select("band", "nth", "doc_id", "n_shingles", "leader"), "members")
     met = members.select("doc_id").distinct()
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met, "doc_id", "left_semi"), "texts")
-    known = written(first.select("doc_id", "n_shingles", "sketch", "bands").join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "known")
+    known = written(first.dropDuplicates(["doc_id", "print"]).select("doc_id", "n_shingles", "sketch", "bands").join(met, "doc_id", "left_semi"), "known")
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components: (band, nth, doc_id, label, asks, blocks)."""
+        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "nth", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), blocks.alias("blocks")).where("low < high")
+        mixed = written(mixed.select("band", "low", "n", "blocks"), "mixed")
+        return written(join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), "blocks"), "live")
 
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    links, fresh, seen = copies, written(agreeing(pairs, known, percent), "pairs"), None
-    while True:
-        links = links.unionByName(written(verified(fresh, texts, percent, size), "links"))
-        labels = components(links)
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "nth", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        mixed = written(mixed.select("band", "low", "n", F.col("n").alias("size")), "mixed")
-        live = join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), F.col("size").alias("n"))
-        found = written(proposals(live, known, percent, partners), "proposals")
-        fresh = written(found.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count() and not found.where("more").limit(1).count():
-            break
-        partners *= GROWTH
+    pairs = written(agreeing(pairs, known, percent), "pairs")
+    links = copies.unionByName(written(verified(pairs, texts, percent, size), "links"))
+    live = labelled(components(links))
+    found = written(proposals(live, known, percent, partners), "proposals")
+    fresh = found.select(F.greatest("ask", "other").alias("a"), F.least("ask", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    links = links.unionByName(written(verified(fresh, texts, percent, size), "links"))
+    labels = components(links)
+    # who could not propose all partners and is still outside the first component of the bucket
+    cut_off = found.where("more").select(*TILE, F.col("ask").alias("doc_id")).distinct()
+    if cut_off.limit(1).count():
+        now = labelled(labels)
+        outside = written(cut_off.join(now.where("asks").select("band", "doc_id"), ["band", "doc_id"]), "outside")
+        place = now.select("doc_id", "band", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+        wanted = place.join(outside.select("band", "block").distinct(), ["band", "block"]).select("doc_id").unionByName(outside.select("doc_id")).distinct()
+        sets = written(whole_sets(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
+        labels = components(links.unionByName(written(tile_links(outside, now, sets, percent), "links")))
     out = sketched.select("doc_id", "n_shingles").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -91,19 +91,34 @@ def test_low_bytes_do_not_hide_a_pair(spark):
     bands, low = minhash.band_keys(full), (full & np.uint64(255)).astype(np.uint8)
     assert bands[1, 0] != bands[2, 0] and (low[1] == low[2]).all() and len(set(bands[:, 1])) == 1
     known = spark.createDataFrame([(i + 1, 100, bytearray(low[i].tobytes()), bands[i].tolist()) for i in range(3)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
-    live = [(int(b), nth, i + 1, i + 1, i > 0, 3) for i in range(3) for nth, b in enumerate(bands[i].tolist()) if nth == 1]
-    live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, n long")
-    assert {(r.a, r.b) for r in minhash.proposals(live, known, 80, 8).collect()} == {(3, 2)}
+    live = [(int(b), nth, i + 1, i + 1, i > 0, 1) for i in range(3) for nth, b in enumerate(bands[i].tolist()) if nth == 1]
+    live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, blocks int")
+    assert {(max(r.ask, r.other), min(r.ask, r.other)) for r in minhash.proposals(live, known, 80, 8).collect()} == {(3, 2)}
+
+
+def test_set_links_are_exact(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    rng = random.Random(8)
+    sides = [[np.unique(np.array(rng.sample(range(60), rng.randint(1, 55)), np.uint64)) for _ in range(30)] for _ in range(2)]
+    sides[1] += [s[: max(1, s.size - 3)] for s in sides[0]]
+    want = {(i, k) for i, a in enumerate(sides[0]) for k, b in enumerate(sides[1]) if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))}
+    assert want and set(zip(*(x.tolist() for x in minhash.set_links(*sides, 80)), strict=True)) == want
+    assert minhash.set_links([np.array([1], np.uint64)], [np.array([2], np.uint64)], 80)[0].size == 0
+
+
+def test_joining_is_a_spanning_forest():
+    a, b = np.array([1, 2, 3, 3, 9]), np.array([2, 3, 1, 2, 8])
+    keep = minhash.joining(a, b)
+    assert len(keep) == 3 and {9} <= set(a[keep])
 
 
 def test_proposal_groups_are_bounded(spark, monkeypatch):
     """All of a bucket ask; no group has many more rows than two blocks, and every pair is proposed all the same."""
-    monkeypatch.setattr(minhash, "BLOCK", 10)
     n = 100
     full = np.random.default_rng(5).integers(0, 2**63, (1, minhash.COORDINATES)).astype(np.uint64)
     bands, low = minhash.band_keys(full)[0].tolist(), bytearray((full & np.uint64(255)).astype(np.uint8).tobytes())
     known = spark.createDataFrame([(i, 100, low, bands) for i in range(n)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
-    live = spark.createDataFrame([(bands[0], 0, i, i, True, n) for i in range(n)], "band long, nth int, doc_id long, label long, asks boolean, n long")
+    live = spark.createDataFrame([(bands[0], 0, i, i, True, 10) for i in range(n)], "band long, nth int, doc_id long, label long, asks boolean, blocks int")
     sizes, plain = [], type(known).mapInArrow
 
     def watched(df, *args, **kwargs):
@@ -112,6 +127,6 @@ def test_proposal_groups_are_bounded(spark, monkeypatch):
         return plain(df, *args, **kwargs)
 
     monkeypatch.setattr(type(known), "mapInArrow", watched)
-    found = {(r.a, r.b) for r in minhash.proposals(live, known, 80, n).collect()}
+    found = {(max(r.ask, r.other), min(r.ask, r.other)) for r in minhash.proposals(live, known, 80, n).collect()}
     assert found == {(a, b) for a in range(n) for b in range(a)}
     assert max(sizes) < 60
