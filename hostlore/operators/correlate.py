@@ -123,6 +123,17 @@ def event_evidence(anchors: DataFrame, events: DataFrame, window_us: int) -> Dat
     )
 
 
+def events_for_anchors(found: DataFrame, limit: int = 1000) -> DataFrame:
+    """(host_id, observed_at, evidence_id, evidence_at, truncated): the events in the windows of a snapshot's anchors, once.
+
+    ``found``: rows of ``event_evidence``. Of each host and snapshot the earliest ``limit``; ``truncated`` tells that some went.
+    """
+    each = found.select("host_id", "observed_at", "evidence_id", "evidence_at").distinct()
+    w = Window.partitionBy("host_id", "observed_at")
+    placed = each.withColumns({"place": F.row_number().over(w.orderBy("evidence_at", "evidence_id")), "truncated": F.count("*").over(w) > limit})
+    return placed.where(F.col("place") <= limit).drop("place")
+
+
 def process_evidence(anchors: DataFrame, changes: DataFrame, associations: DataFrame, window_us: int) -> DataFrame:
     """New, exited and changed lifetimes that are explicitly associated with the anchor's service."""
     if "limitations" not in changes.columns:

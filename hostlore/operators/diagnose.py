@@ -10,7 +10,7 @@ from hostlore.functions.scalars import bounded
 RECENT, HISTORY, MAX_LENGTH = 1000, 20, 256
 INCOMPLETE = "partial|unavailable|denied|failure|unsupported|invalid|unknown"
 NOT_ESTABLISHED = ["causal_direction", "current_system_state", "exact_root_cause"]
-#: Fixed texts of the explanations.
+#: The texts of the explanations.
 TEXTS = {
     "unsupported_service_condition": " has an incident candidate, but its opening condition is not established as a service failure by the available structured evidence.",
     "service_failure_journal_process_exit": " entered a failed state. An exact-unit journal event and an explicitly associated process lifetime termination occurred within the incident evidence interval.",
@@ -25,15 +25,20 @@ CONTEXT = " Evidence context is incomplete, so unobserved facts may change inter
 def history(incidents: DataFrame, recent: int = RECENT, most: int = HISTORY) -> DataFrame:
     """(host_id, incident_id, history): up to ``most`` latest earlier incidents of the subject, oldest first.
 
-    Only the ``recent`` last observed incidents of a subject count, which bounds the pairs of each subject.
+    Only the ``recent`` last observed incidents of a subject count. They are numbered by time, an incident knows how many
+    of them are earlier, and asks for the last ``most`` numbers: so many pairs for each incident, whatever the subject.
     """
-    own = Window.partitionBy("host_id", "subject_type", "subject_id").orderBy(F.desc("last_observed_at"), "incident_id")
     key = ["host_id", "subject_type", "subject_id"]
-    pool = incidents.withColumn("place", F.row_number().over(own)).where(F.col("place") <= recent).select(*key, F.col("incident_id").alias("past_id"), F.col("started_at").alias("past_at"))
-    w = Window.partitionBy("host_id", "incident_id").orderBy(F.desc("past_at"), F.desc("past_id"))
-    pairs = incidents.select(*key, "incident_id", "started_at").join(pool, key).where("past_at < started_at and past_id <> incident_id")
-    kept = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-    return kept.groupBy("host_id", "incident_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("past_at", "past_id"))), lambda x: x["past_id"]).alias("history"))
+    own = Window.partitionBy(*key).orderBy(F.desc("last_observed_at"), "incident_id")
+    rows = incidents.select(*key, "incident_id", "started_at", (F.row_number().over(own) <= recent).alias("counts"))
+    until = F.sum(F.col("counts").cast("int")).over(Window.partitionBy(*key).orderBy("started_at").rangeBetween(Window.unboundedPreceding, 0))
+    at_once = F.sum(F.col("counts").cast("int")).over(Window.partitionBy(*key, "started_at"))
+    asks = rows.withColumn("earlier", (until - at_once).cast("int")).where("earlier > 0")
+    asks = asks.select(*key, "incident_id", F.explode(F.sequence(F.greatest(F.lit(1), F.col("earlier") - (most - 1)), F.col("earlier"))).alias("number"))
+    by_time = Window.partitionBy(*key).orderBy("started_at", "incident_id")
+    pool = rows.where("counts").select(*key, F.row_number().over(by_time).alias("number"), F.col("incident_id").alias("past_id"))
+    found = asks.join(pool, [*key, "number"]).groupBy("host_id", "incident_id").agg(F.array_sort(F.collect_list(F.struct("number", "past_id"))).alias("past"))
+    return found.select("host_id", "incident_id", F.col("past.past_id").alias("history"))
 
 
 def diagnose(incidents: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -32,7 +32,10 @@ def duplicate_identities(rows: DataFrame, identity: str) -> DataFrame:
 
 
 def with_history(rows: DataFrame, snapshots: DataFrame, complete: DataFrame, collector: str) -> DataFrame:
-    """Adds the snapshot's time and the completeness of it, of the one before and of the one after."""
+    """Adds the snapshot's time and the completeness of it, of the one before and of the one after.
+
+    Rows of a failed, unsupported or missing collection go: they make no claims, now or as the rows before.
+    """
     own = complete.where(F.col("collector_name") == collector).select("host_id", "snapshot_id", "usable", "complete")
     w = Window.partitionBy("host_id").orderBy("snapshot_id")
     line = snapshots.join(own, ["host_id", "snapshot_id"], "left").select(
@@ -41,7 +44,7 @@ def with_history(rows: DataFrame, snapshots: DataFrame, complete: DataFrame, col
         (F.col("monotonic_s") - F.lag("monotonic_s").over(w)).alias("elapsed"), F.lead("snapshot_id").over(w).alias("next_id"),
         F.coalesce(F.lead("complete").over(w), F.lit(False)).alias("next_complete"), F.lead("observed_at").over(w).alias("next_at"),
     )
-    return rows.join(line, ["host_id", "snapshot_id"])
+    return rows.join(line.where("usable"), ["host_id", "snapshot_id"])
 
 
 def adjacent(value: Column, window, back: bool = True) -> Column:

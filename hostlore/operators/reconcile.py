@@ -67,6 +67,36 @@ def cap_evidence(evidence: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
     return evidence.withColumns({"place": F.row_number().over(w), "truncated": size > most}).where(~other | (F.col("place") <= most - 1) | ~F.col("truncated")).drop("place")
 
 
+def settled(incidents: DataFrame, times: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Active incidents with a ``resolved_time`` in ``times`` become resolved; those with later evidence are conflicts."""
+    rows = incidents.join(times, key, "left")
+    hit = (F.col("state") == "active") & F.col("resolved_time").isNotNull()
+    early = hit & (F.col("resolved_time") < F.col("last_observed_at"))
+    out = rows.withColumns({"hit": hit & ~early, "early": early})
+    keep = [F.col(c) for c in incidents.columns if c not in ("state", "last_observed_at", "resolved_at")]
+    then = lambda new, name: F.when(F.col("hit"), new).otherwise(F.col(name)).alias(name)
+    done = out.select(*keep, then(F.lit("resolved"), "state"), then(F.col("resolved_time"), "last_observed_at"), then(F.col("resolved_time"), "resolved_at"), F.coalesce("hit", F.lit(False)).alias("now_resolved"))
+    return done, out.where("early").select("host_id", "incident_id", F.lit("resolution_before_evidence").alias("problem"))
+
+
+def resolve_over_time(incidents: DataFrame, recoveries: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``resolve`` does cycle by cycle, for all cycles at once.
+
+    ``recoveries``: (host_id, subject_id, resolved_time), the time of a cycle's authoritative collection in which the
+    subject is well again. One counts unless a candidate of the subject started in that cycle. An incident is
+    resolved by the first that counts at or after its start.
+    """
+    key = ["host_id", "subject_id"]
+    same = candidates.select(*key, F.col("started_at").alias("resolved_time")).distinct()
+    counted = recoveries.join(same, [*key, "resolved_time"], "left_anti")
+    line = incidents.select(*key, "incident_id", F.col("started_at").alias("at"), F.lit(1).alias("kind"))
+    line = line.unionByName(counted.select(*key, F.lit(None).cast("string").alias("incident_id"), F.col("resolved_time").alias("at"), F.lit(0).alias("kind")))
+    later = Window.partitionBy(*key).orderBy(F.desc("at"), "kind")
+    first = F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0))
+    times = line.withColumn("resolved_time", first).where("kind = 1").select("host_id", "incident_id", "resolved_time")
+    return settled(incidents, times, ["host_id", "incident_id"])
+
+
 def resolve(incidents: DataFrame, subjects: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Active incidents of ``subjects`` (host_id, subject_id, resolved_time) become resolved, unless the batch has a candidate.
 
@@ -74,13 +104,7 @@ def resolve(incidents: DataFrame, subjects: DataFrame, candidates: DataFrame) ->
     collections only.
     """
     times = subjects.join(candidates.select("host_id", "subject_id").distinct(), ["host_id", "subject_id"], "left_anti").groupBy("host_id", "subject_id").agg(F.max("resolved_time").alias("resolved_time"))
-    rows = incidents.join(times, ["host_id", "subject_id"], "left")
-    hit = (F.col("state") == "active") & F.col("resolved_time").isNotNull()
-    early = hit & (F.col("resolved_time") < F.col("last_observed_at"))
-    out = rows.withColumns({"hit": hit & ~early, "early": early})
-    keep = [c for c in incidents.columns if c not in ("state", "last_observed_at", "resolved_at")]
-    done = out.select(*keep, F.when(F.col("hit"), "resolved").otherwise(F.col("state")).alias("state"), F.when(F.col("hit"), F.col("resolved_time")).otherwise(F.col("last_observed_at")).alias("last_observed_at"), F.when(F.col("hit"), F.col("resolved_time")).otherwise(F.col("resolved_at")).alias("resolved_at"), F.coalesce("hit", F.lit(False)).alias("now_resolved"))
-    return done, out.where("early").select("host_id", "incident_id", F.lit("resolution_before_evidence").alias("problem"))
+    return settled(incidents, times, ["host_id", "subject_id"])
 
 
 def result(candidates: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -51,19 +51,56 @@ def inspection_documents(details: DataFrame, facts: DataFrame, diagnoses: DataFr
     return rows.select("host_id", "incident_id", document(incident=incident_payload(), evidence=evidence, facts=groups, historical_related_incident_ids=F.col("d.history"), diagnosis=diagnosis_payload(), limitations=limits).alias("document"))
 
 
-def status_documents(rebuilt: DataFrame) -> DataFrame:
-    """Status of each snapshot with its observations."""
-    snapshot = F.struct("snapshot_id", iso(F.col("observed_at")).alias("observed_at"), "services", "processes")
-    return rebuilt.select("host_id", "snapshot_id", document(snapshot=snapshot, collectors=F.map_from_entries(F.transform("results", lambda r: F.struct(r["collector_name"], r["status"])))).alias("document"))
+RESULT = ("status", "collected_at", "duration_seconds", "error_code", "error_message", "warnings")
 
 
-def cycle_summary(snapshots: DataFrame, results: DataFrame, counts: dict[str, DataFrame], events: DataFrame, candidates: DataFrame, resolved: DataFrame) -> DataFrame:
-    """One row per snapshot: observation counts, events, candidate and resolved ids, limitations."""
+def optional(rows: DataFrame, name: str, kind: str = "string") -> Column:
+    return (F.col(name) if name in rows.columns else F.lit(None).cast(kind)).alias(name)
+
+
+def status_documents(snapshots: DataFrame, results: DataFrame, single: dict[str, DataFrame], many: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """The status of each snapshot: its observations, the statuses of its collectors, and how each collection went.
+
+    ``single``: groups with one row a snapshot (system, memory, cpu); ``many``: groups with several, and the column by which
+    they are ordered. A group's fields are its columns; one that a snapshot lacks is null, or an empty list.
+    """
+    key = ["host_id", "snapshot_id"]
+    fields = lambda df: [c for c in df.columns if c not in key]
+    out = snapshots.select(*key, "observed_at", optional(snapshots, "warnings", "array<string>"))
+    for name, df in single.items():
+        out = out.join(df.select(*key, F.struct(*fields(df)).alias(name)), key, "left")
+    for name, (df, order) in many.items():
+        rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_by"), F.struct(*fields(df)).alias("row")))).alias(name))
+        out = out.join(rows.withColumn(name, F.col(f"{name}.row")), key, "left")
+    result = results.select(*key, "collector_name", *(optional(results, c, "array<string>" if c == "warnings" else "string") for c in RESULT))
+    result = result.withColumn("collected_at", iso(F.col("collected_at").cast("timestamp")))
+    went = result.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("collector_name", F.struct(*RESULT).alias("r")))).alias("_went"))
+    out = out.join(went, key, "left")
+    statuses = F.transform("_went", lambda x: F.struct(x["collector_name"].alias("name"), x["r"]["status"].alias("status")))
+    nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    groups = [*(F.col(n) for n in single), *(nothing(F.col(n), out.schema[n].dataType) for n in many)]
+    snapshot = F.struct(iso(F.col("observed_at")).alias("timestamp"), *(c.alias(n) for c, n in zip(groups, [*single, *many], strict=True)), statuses.alias("collector_statuses"), nothing(F.col("warnings"), "array<string>").alias("warnings"))
+    collectors = F.map_from_entries(F.transform("_went", lambda x: F.struct(x["collector_name"], x["r"])))
+    return out.select(*key, document(snapshot=snapshot, collectors=collectors).alias("document"))
+
+
+def cycle_summary(snapshots: DataFrame, results: DataFrame, counts: dict[str, DataFrame], events: DataFrame, candidates: DataFrame, resolved: DataFrame, correlated: DataFrame | None = None) -> DataFrame:
+    """One row per snapshot: quality, observation counts, events, candidate and resolved ids, limitations.
+
+    ``correlated``: (host_id, observed_at) once for each event that was looked at for the anchors of a snapshot.
+    """
     key = ["host_id", "snapshot_id"]
     word = F.when(F.col("status") != "success", F.concat(F.when(F.col("collector_name") == "journal", "journal_collection_").otherwise(F.concat(F.lit("collector_"), "collector_name", F.lit("_"))), "status"))
-    out = snapshots.select(*key, "observed_at").join(results.groupBy(*key).agg(bounded(F.collect_set(word), "runtime_limitations_truncated").alias("limitations")), key, "left")
+    timing = [optional(snapshots, c, "double") for c in ("started_monotonic", "completed_monotonic")]
+    quality = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("collector_name") != "journal", F.struct("collector_name", "status"))))).alias("collection_quality")
+    journal = F.max(F.when(F.col("collector_name") == "journal", F.col("status"))).alias("journal_status")
+    out = snapshots.select(*key, "observed_at", *timing).join(results.groupBy(*key).agg(quality, journal), key, "left").join(results.groupBy(*key).agg(bounded(F.collect_set(word), "runtime_limitations_truncated").alias("limitations")), key, "left")
     for name, df in {**{f"n_{n}": d for n, d in counts.items()}, "events_processed": events}.items():
         out = out.join(df.groupBy(*key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    if correlated is None:
+        out = out.withColumn("events_correlated", F.lit(0).cast("long"))
+    else:
+        out = out.join(correlated.groupBy("host_id", "observed_at").agg(F.count("*").alias("events_correlated")), ["host_id", "observed_at"], "left").withColumn("events_correlated", F.coalesce("events_correlated", F.lit(0)))
     for name, df in (("candidate_ids", candidates), ("resolved_ids", resolved)):
         ids = df.groupBy("host_id", F.col("at").alias("observed_at")).agg(F.array_sort(F.collect_set("incident_id")).alias(name))
         out = out.join(ids, ["host_id", "observed_at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
@@ -71,6 +108,11 @@ def cycle_summary(snapshots: DataFrame, results: DataFrame, counts: dict[str, Da
 
 
 def cycle_documents(cycles: DataFrame) -> DataFrame:
-    counts = F.struct(F.col("n_network").alias("network"), F.col("n_processes").alias("processes"), F.col("n_services").alias("services"))
-    cycle = F.struct("snapshot_id", iso(F.col("observed_at")).alias("observed_at"), counts.alias("observation_counts"), "events_processed", F.col("candidate_ids").alias("incident_candidate_ids"), F.col("resolved_ids").alias("resolved_incident_ids"), "limitations")
+    """A cycle's number is that of its snapshot on the host; times are null where the snapshots have none."""
+    counts = F.struct(*(F.col(c).alias(c[2:]) for c in sorted(cycles.columns) if c.startswith("n_")))
+    cycle = F.struct(
+        F.col("snapshot_id").alias("number"), iso(F.col("observed_at")).alias("observed_at"), "started_monotonic", "completed_monotonic", (F.col("completed_monotonic") - F.col("started_monotonic")).alias("duration_seconds"),
+        "snapshot_id", "collection_quality", counts.alias("observation_counts"), "journal_status", "events_processed", "events_correlated", F.col("candidate_ids").alias("incident_candidate_ids"),
+        F.col("candidate_ids").alias("reconciled_candidate_ids"), F.col("resolved_ids").alias("resolved_incident_ids"), "limitations",
+    )
     return cycles.select("host_id", "snapshot_id", document(cycle=cycle).alias("document"))

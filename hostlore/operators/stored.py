@@ -71,8 +71,9 @@ def recent_events(events: DataFrame, limit: int = 200, unit: str | None = None,
 def event_window(events: DataFrame, unit: str, start, end, limit: int) -> DataFrame:
     """Events of a unit from start to end, both included, oldest first; ``truncated`` tells that the limit cut some."""
     rows = events.where((F.col("unit") == unit) & F.col("observed_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    first = rows.orderBy("observed_at", "cursor").limit(limit + 1)  # a bounded number of rows from here on
     w = Window.partitionBy("unit")
-    return rows.withColumns({"place": F.row_number().over(w.orderBy("observed_at", "cursor")), "truncated": F.count("*").over(w) > limit}).where(F.col("place") <= limit)
+    return first.withColumns({"place": F.row_number().over(w.orderBy("observed_at", "cursor")), "truncated": F.count("*").over(w) > limit}).where(F.col("place") <= limit)
 
 
 def recent_incidents(incidents: DataFrame, limit: int = 100, state: str | None = None, subject_id: str | None = None) -> DataFrame:

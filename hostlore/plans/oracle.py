@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from hostlore.operators.diagnose import CLOSING, CONTEXT, TEXTS
 from hostlore.sources.adapter import VIEWS, WINDOW_SECONDS
 from hostlore.sources.captures import CAPTURES
 
-MOST = 3
+MOST = 32
 
 
 def fixed(c: str, name: str) -> str:
@@ -108,15 +107,27 @@ merged AS (
     CASE WHEN o.subject_id IS NULL THEN 'inserted' WHEN n.subject_id IS NULL THEN 'stored' ELSE 'kept' END AS change
   FROM old_half o FULL JOIN new_half n USING (host_id, incident_id)),
 back AS (SELECT DISTINCT host_id, snapshot_id, name AS subject_id FROM svc WHERE lifecycle = 'state_changed' AND c_active = 'active'),
+recovery AS (
+  SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
+  JOIN cuts c ON c.host_id = b.host_id
+  WHERE r.collected_at > cut_at AND NOT EXISTS (SELECT 1 FROM new_half n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id AND n.started_at = r.collected_at)),
 times AS (
-  SELECT b.host_id, b.subject_id, max(r.collected_at) AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
-  JOIN cuts c ON c.host_id = b.host_id WHERE r.collected_at > cut_at GROUP BY b.host_id, b.subject_id),
+  SELECT m.host_id, m.incident_id, min(back_at) AS back_at FROM merged m JOIN recovery r ON r.host_id = m.host_id AND r.subject_id = m.subject_id AND r.back_at >= m.started_at GROUP BY m.host_id, m.incident_id),
 resolved AS (
-  SELECT m.host_id, incident_id, m.subject_id, change, coalesce(back_at >= last_observed_at, false) AS now_resolved, CASE WHEN back_at >= last_observed_at THEN 'resolved' ELSE 'active' END AS state,
-    CASE WHEN back_at >= last_observed_at THEN back_at ELSE last_observed_at END AS last_observed_at, CASE WHEN back_at >= last_observed_at THEN back_at END AS resolved_at
-  FROM merged m LEFT JOIN times t ON t.host_id = m.host_id AND t.subject_id = m.subject_id)"""
-
-TEXT_CASE = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{x}'" for r, x in TEXTS.items()) + " END"
+  SELECT m.host_id, m.incident_id, m.subject_id, m.started_at, change, coalesce(back_at >= last_observed_at, false) AS now_resolved, CASE WHEN back_at >= last_observed_at THEN 'resolved' ELSE 'active' END AS state,
+    CASE WHEN back_at >= last_observed_at THEN back_at ELSE last_observed_at END AS last_observed_at, CASE WHEN back_at >= last_observed_at THEN back_at END AS resolved_at,
+    CASE WHEN back_at < last_observed_at THEN 'resolution_before_evidence' END AS problem
+  FROM merged m LEFT JOIN times t ON t.host_id = m.host_id AND t.incident_id = m.incident_id)"""
+
+#: The texts of the explanations, written out here on their own so that the check sees a change of them.
+TEXT_CASE = """CASE rule
+  WHEN 'unsupported_service_condition' THEN ' has an incident candidate, but its opening condition is not established as a service failure by the available structured evidence.'
+  WHEN 'service_failure_journal_process_exit' THEN ' entered a failed state. An exact-unit journal event and an explicitly associated process lifetime termination occurred within the incident evidence interval.'
+  WHEN 'service_failure_journal' THEN ' entered a failed state and an exact-unit journal event occurred within the incident evidence interval.'
+  WHEN 'service_failure_process_exit' THEN ' entered a failed state and an explicitly associated process lifetime ended within the incident evidence interval.'
+  WHEN 'service_failure_insufficient' THEN ' entered a failed state, but the incident contains no exact-unit journal event or explicitly associated process termination.' END"""
+CLOSING = " These facts satisfy deterministic relationship rules. The exact root cause and causal direction are not established."
+CONTEXT = " Evidence context is incomplete, so unobserved facts may change interpretation."
 
 
 def past(most: int) -> str:
@@ -169,8 +180,30 @@ cpu AS (SELECT c.*, l.elapsed, l.has_prev, p.snapshot_id IS NULL AS none, (c.use
   FROM cpu_observations c JOIN line l USING (host_id, snapshot_id) LEFT JOIN cpu_observations p ON p.host_id = c.host_id AND p.snapshot_id = c.snapshot_id - 1),
 cpus AS (SELECT *, CASE WHEN none THEN 'no_previous' WHEN NOT (elapsed > 0) THEN 'invalid_interval' WHEN total <= 0 THEN 'invalid_data' ELSE 'valid' END AS state FROM cpu)"""
 
+PROCESS_RATES = (
+    "SELECT host_id, snapshot_id, pid, lifetime_id, state, CASE WHEN state = 'valid' THEN c_cpu - p_cpu END AS delta, CASE WHEN state = 'valid' THEN (c_cpu - p_cpu) / elapsed END AS rate "
+    "FROM (SELECT *, CASE WHEN NOT has_prev THEN 'no_previous' WHEN lifetime_id IS NULL THEN 'identity_mismatch' WHEN same THEN "
+    + ct("p_cpu", "c_cpu", "elapsed", "'no_previous'")
+    + " WHEN pid_seen THEN 'identity_mismatch' ELSE 'new_resource' END AS state FROM prc_now)"
+)
 SVC2 = "svc2 AS (SELECT * FROM service_observations UNION ALL SELECT * FROM service_observations WHERE snapshot_id = 3)"
 LIMS = "array_to_string(limitations, '|') AS limitations"
+D_STATE = "CASE WHEN rule = 'unsupported_service_condition' THEN 'unknown' WHEN rule = 'service_failure_insufficient' THEN 'insufficient_evidence' ELSE 'supported' END AS state"
+D_FACTS = """concat_ws('|', CASE WHEN rule = 'unsupported_service_condition' THEN anchor ELSE 'service_failed' END, CASE WHEN rule LIKE 'service_failure_journal%' THEN 'exact_unit_journal_event' END,
+  CASE WHEN rule LIKE '%process_exit' THEN 'associated_process_lifetime_exited' END, CASE WHEN n > 0 THEN 'prior_incident_candidates:' || n END) AS facts"""
+D_TEXT = f"""subject_id || {TEXT_CASE} || CASE WHEN n > 0 THEN ' ' || n || ' earlier incident candidate' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' for the same service are recorded; this does not establish a recurring cause.' ELSE '' END || '{CLOSING}'
+  || CASE WHEN len(list_filter(lim, lambda v: regexp_matches(v, 'partial|unavailable|denied|failure|unsupported|invalid|unknown'))) > 0 THEN '{CONTEXT}' ELSE '' END AS explanation"""
+CYCLE_LIMITS = """(SELECT coalesce(string_agg(w, '|' ORDER BY w), '') FROM (SELECT CASE WHEN collector_name = 'journal' THEN 'journal_collection_' ELSE 'collector_' || collector_name || '_' END || status AS w
+  FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id AND status <> 'success')) AS limitations"""
+
+
+def listed(table: str, text: str, order: str, name: str) -> str:
+    """The rows of a snapshot as one text."""
+    return f"(SELECT coalesce(string_agg({text}, '|' ORDER BY {order}), '') FROM {table} o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id) AS {name}"
+
+
+def number_of(table: str) -> str:
+    return f"(SELECT count(*) FROM {table} o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id)"
 
 
 def oracles() -> dict[str, str]:
@@ -208,14 +241,17 @@ def oracles() -> dict[str, str]:
           (SELECT CAST(nullif(count(*), 0) AS INT) FROM process_observations r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id) AS n_processes FROM snapshots s"""),
         "events_recent": sql(f"SELECT host_id, cursor, {fixed('t', 'observed_at')} FROM (SELECT host_id, cursor, observed_at AS t FROM journal_events WHERE observed_at < TIMESTAMP '2024-01-20' ORDER BY observed_at DESC, cursor DESC LIMIT 50)"),
         "event_window": sql(f"SELECT host_id, cursor, {fixed('t', 'observed_at')}, CAST(k AS INT) AS place, n > 10 AS truncated FROM (SELECT host_id, cursor, observed_at AS t, row_number() OVER (ORDER BY observed_at, cursor) AS k, count(*) OVER () AS n FROM journal_events WHERE unit = 'svc-5.service' AND observed_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25') WHERE k <= 10"),
-        "events_for_anchors": sql(f"SELECT DISTINCT host_id, evidence_id, {fixed('evidence_at', 'evidence_at')} FROM (SELECT *, row_number() OVER (PARTITION BY host_id, change_id ORDER BY abs(epoch_us(evidence_at) - epoch_us(observed_at)), evidence_at, evidence_id) AS k FROM near_events) WHERE k = 1", CORR),
+        "events_for_anchors": sql(
+            f"""SELECT host_id, {fixed('observed_at', 'observed_at')}, evidence_id, {fixed('evidence_at', 'evidence_at')}, n > 1000 AS truncated FROM (
+          SELECT *, count(*) OVER (PARTITION BY host_id, observed_at) AS n, row_number() OVER (PARTITION BY host_id, observed_at ORDER BY evidence_at, evidence_id) AS k
+          FROM (SELECT DISTINCT host_id, observed_at, evidence_id, evidence_at FROM near_events)) WHERE k <= 1000""", CORR),
         "incidents_recent": sql(f"SELECT host_id, incident_id, {fixed('l', 'last_observed_at')} FROM (SELECT host_id, incident_id, last_observed_at AS l FROM resolved WHERE state = 'active' ORDER BY last_observed_at DESC, incident_id LIMIT 40)", CORR),
         "incident_detail": sql(f"SELECT c.host_id, c.incident_id, subject_id, (SELECT string_agg(evidence_id, '|' ORDER BY evidence_at, kind, evidence_id) FROM evidence e WHERE e.host_id = c.host_id AND e.incident_id = c.incident_id) AS evidence_ids, {LIMS} FROM candidates c", CORR),
         "counter_rate": sql(rates("process_observations", "lifetime_id", "cpu_time_ticks", where="WHERE c.lifetime_id IS NOT NULL"), LIFE),
         "cpu_utilization": sql("SELECT host_id, snapshot_id, state, " + ", ".join(f"CASE WHEN state = 'valid' THEN {v} END AS {c}" for v, c in (("total", "total"), ("busy", "busy"), ("busy / total", "utilisation"), ("busy / elapsed", "busy_rate"))) + " FROM cpus", LIFE, CPU),
         "network_rates": sql(rates("network_observations", "interface", "receive_bytes", "transmit_bytes"), LIFE),
         "network_removed": sql(gone("net2", "interface"), "net2 AS (SELECT * FROM network_observations WHERE NOT (interface = 'if-view' AND snapshot_id % 6 = 0))"),
-        "process_cpu_rates": sql("SELECT host_id, snapshot_id, pid, lifetime_id, state, CASE WHEN state = 'valid' THEN c_cpu - p_cpu END AS delta, CASE WHEN state = 'valid' THEN (c_cpu - p_cpu) / elapsed END AS rate FROM (SELECT *, CASE WHEN NOT has_prev THEN 'no_previous' WHEN lifetime_id IS NULL THEN 'identity_mismatch' WHEN same THEN " + ct("p_cpu", "c_cpu", "elapsed", "'no_previous'") + " WHEN pid_seen THEN 'identity_mismatch' ELSE 'new_resource' END AS state FROM prc_now)", LIFE),
+        "process_cpu_rates": sql(PROCESS_RATES, LIFE),
         "process_lifetimes_removed": sql(gone("process_observations", "lifetime_id")),
         "derived_identity": sql("SELECT c.host_id, c.snapshot_id, user_ticks + nice_ticks + system_ticks + idle_ticks + iowait_ticks AS total_ticks, pid, lifetime_id FROM cpu_observations c JOIN process_observations p USING (host_id, snapshot_id)"),
         "process_memory_delta": sql("SELECT host_id, snapshot_id, pid, rss_delta, vm_delta FROM prc_now WHERE lifecycle = 'continuing'", LIFE),
@@ -247,19 +283,48 @@ def oracles() -> dict[str, str]:
         "reconcile_evidence": sql("SELECT host_id, incident_id, kind, evidence_id, CASE WHEN evidence_id LIKE '%7' THEN 'content_differs' ELSE fact END AS outcome, CASE WHEN evidence_id NOT LIKE '%7' THEN coalesce(e_limit, '') END AS evidence_limitations FROM evidence", CORR),
         "evidence_cap": sql("SELECT host_id, incident_id, evidence_id, n > 3 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY host_id, incident_id) AS n, row_number() OVER (PARTITION BY host_id, incident_id, reason <> 'service_change_anchor' ORDER BY evidence_at DESC, kind DESC, evidence_id DESC) AS k FROM evidence) WHERE reason = 'service_change_anchor' OR k <= 2 OR n <= 3", CORR, most=6),
         "merge_limitations": sql("SELECT host_id, user_id, array_to_string(CASE WHEN len(u) <= 32 THEN u ELSE list_sort(list_append(u[1:31], 'quality_limitations_storage_limit_reached')) END, '|') AS limitations FROM (SELECT host_id, user_id, list_sort(list_distinct(list_concat(list('a' || event_id % 60), list('b' || event_id % 7)))) AS u FROM ev GROUP BY host_id, user_id)"),
-        "reconcile_resolve": sql(f"SELECT host_id, incident_id, state, {fixed('last_observed_at', 'last_observed_at')}, now_resolved FROM resolved", CORR),
+        "reconcile_resolve": sql(f"SELECT host_id, incident_id, state, {fixed('last_observed_at', 'last_observed_at')}, now_resolved, problem FROM resolved", CORR),
         "reconcile_result": sql("""SELECT h.host_id, sha256(coalesce(c, '')) AS candidates_sha256, CAST(coalesce(nc, 0) AS INT) AS n_candidates, CAST(coalesce(nr, 0) AS INT) AS n_resolved, sha256(coalesce(r, '')) AS resolved_sha256 FROM (SELECT DISTINCT host_id FROM snapshots) h
           LEFT JOIN (SELECT host_id, string_agg(incident_id, '|' ORDER BY incident_id) AS c, count(*) AS nc FROM new_half GROUP BY host_id) USING (host_id) LEFT JOIN (SELECT host_id, string_agg(incident_id, '|' ORDER BY incident_id) AS r, count(*) AS nr FROM resolved WHERE now_resolved GROUP BY host_id) USING (host_id) WHERE nc > 0 OR nr > 0""", CORR),
-        "diagnose": sql("SELECT host_id, incident_id, CASE WHEN rule = 'unsupported_service_condition' THEN 'unknown' WHEN rule = 'service_failure_insufficient' THEN 'insufficient_evidence' ELSE 'supported' END AS state, rule, concat_ws('|', CASE WHEN rule = 'unsupported_service_condition' THEN anchor ELSE 'service_failed' END, CASE WHEN rule LIKE 'service_failure_journal%' THEN 'exact_unit_journal_event' END, CASE WHEN rule LIKE '%process_exit' THEN 'associated_process_lifetime_exited' END, CASE WHEN n > 0 THEN 'prior_incident_candidates:' || n END) AS facts FROM diag", CORR, DIAG),
-        "incident_history": sql("SELECT host_id, incident_id, array_to_string(history, '|') AS history FROM hist", CORR, past(4)),
-        "diagnosis_explanation": sql(f"SELECT host_id, incident_id, subject_id || {TEXT_CASE} || CASE WHEN n > 0 THEN ' ' || n || ' earlier incident candidate' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' for the same service are recorded; this does not establish a recurring cause.' ELSE '' END || '{CLOSING}' || CASE WHEN len(list_filter(lim, lambda v: regexp_matches(v, 'partial|unavailable|denied|failure|unsupported|invalid|unknown'))) > 0 THEN '{CONTEXT}' ELSE '' END AS explanation FROM diag", CORR, DIAG),
+        "diagnose": sql(f"SELECT host_id, incident_id, {D_STATE}, rule, {D_FACTS} FROM diag", CORR, DIAG),
+        "incident_history": sql("SELECT host_id, incident_id, array_to_string(history, '|') AS history FROM hist", CORR, past(20)),
+        "diagnosis_explanation": sql(f"SELECT host_id, incident_id, {D_TEXT} FROM diag", CORR, DIAG),
         "diagnosis_limitations": sql("SELECT host_id, incident_id, array_to_string(lim, '|') AS limitations FROM diag", CORR, DIAG),
         "diagnosis_provenance": sql("SELECT host_id, incident_id, array_to_string(ids, '|') AS evidence_ids FROM diag", CORR, DIAG),
         "inspection_facts": sql(f"SELECT host_id, incident_id, coalesce(string_agg(DISTINCT fact, '|' ORDER BY fact) FILTER (WHERE evidence_id NOT LIKE '%3'), '') AS established, coalesce(string_agg(evidence_id, '|' ORDER BY evidence_id) FILTER (WHERE evidence_id LIKE '%3'), '') AS unknown_ids, 'causal_direction|current_system_state|exact_root_cause' AS not_established FROM evidence GROUP BY host_id, incident_id", CORR),
         "report_incidents": sql("SELECT CAST(row_number() OVER (ORDER BY last_observed_at DESC, incident_id) - 1 AS INT) AS pos, incident_id, state, CAST(count(*) OVER () AS INT) AS count, count(*) OVER () = 25 AS limit_reached FROM (SELECT * FROM resolved ORDER BY last_observed_at DESC, incident_id LIMIT 25)", CORR),
-        "cycle_summary": sql(f"""SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, (SELECT coalesce(string_agg(w, '|' ORDER BY w), '') FROM (SELECT CASE WHEN collector_name = 'journal' THEN 'journal_collection_' ELSE 'collector_' || collector_name || '_' END || status AS w FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id AND status <> 'success')) AS limitations,
+        "cycle_summary": sql(f"""SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, {CYCLE_LIMITS},
           """ + ", ".join(f"(SELECT count(*) FROM {n} o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id) AS {p}" for n, p in (("service_observations", "n_services"), ("process_observations", "n_processes"), ("network_observations", "n_network"), ("journal_events", "events_processed"))) + """,
           (SELECT CAST(count(*) AS INT) FROM candidates c WHERE c.host_id = s.host_id AND c.started_at = s.observed_at) AS n_candidates, (SELECT CAST(count(*) AS INT) FROM resolved c WHERE now_resolved AND c.host_id = s.host_id AND c.resolved_at = s.observed_at) AS n_resolved FROM snapshots s""", CORR),
+        "snapshot_comparison": sql(
+            "SELECT s.host_id, s.snapshot_id, c.state AS cpu_state, CASE WHEN c.state = 'valid' THEN c.total END AS total, "
+            + ", ".join((listed("net", "interface || '/' || receive_bytes_state || '/' || transmit_bytes_state", "interface", "network"), listed("net_gone", "interface", "interface", "removed_interfaces"), listed("prc_rate", "pid || '/' || coalesce(lifetime_id, '-') || '/' || state", "pid, lifetime_id NULLS FIRST", "processes"), listed("prc_left", "lifetime_id", "lifetime_id", "removed_lifetimes")))
+            + " FROM snapshots s LEFT JOIN cpus c USING (host_id, snapshot_id)",
+            LIFE, CPU, f"net AS ({rates('network_observations', 'interface', 'receive_bytes', 'transmit_bytes')})", f"net_gone AS ({gone('network_observations', 'interface')})", f"prc_left AS ({gone('process_observations', 'lifetime_id')})",
+            f"prc_rate AS ({PROCESS_RATES})",
+        ),
+        "inspect_all": sql(
+            f"""SELECT c.host_id, c.incident_id, {iso('c.started_at')} AS opened_at, 'active' AS state, d.rule, CAST(c.n_evidence AS INT) AS n_evidence,
+          (SELECT string_agg(DISTINCT fact, '|' ORDER BY fact) FROM evidence e WHERE e.host_id = c.host_id AND e.incident_id = c.incident_id) AS established, CAST(0 AS INT) AS n_unknown FROM candidates c JOIN diag d USING (host_id, incident_id)""", CORR, DIAG),
+        "report_inspection": sql(
+            f"""SELECT c.host_id, c.incident_id, CAST(NULL AS VARCHAR) AS resolved_at,
+          (SELECT string_agg(evidence_id || ' ' || reason || ' ' || {iso('evidence_at')}, '|' ORDER BY evidence_at, kind, evidence_id) FROM evidence e WHERE e.host_id = c.host_id AND e.incident_id = c.incident_id) AS evidence,
+          coalesce(array_to_string(history, '|'), '') AS history FROM candidates c LEFT JOIN hist h USING (host_id, incident_id)""", CORR, DIAG),
+        "report_diagnosis": sql(f"""SELECT d.host_id, d.incident_id, d.subject_id, {D_STATE}, rule, {D_TEXT}, {D_FACTS}, array_to_string(ids, '|') AS evidence_ids, coalesce(array_to_string(history, '|'), '') AS history, array_to_string(lim, '|') AS limitations,
+          'causal_direction|exact_root_cause' AS not_established FROM diag d LEFT JOIN hist h USING (host_id, incident_id)""", CORR, DIAG),
+        "report_status": sql(
+            f"""SELECT s.host_id, s.snapshot_id, {iso('s.observed_at')} AS timestamp, CASE WHEN {ok17} THEN snapshot_id + 0.25::DOUBLE END AS uptime_seconds, CASE WHEN {ok17} THEN CAST(64000000 AS BIGINT) * 1024 END AS total_bytes,
+          (SELECT user_ticks FROM cpu_observations o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id) AS user_ticks, """
+            + ", ".join((listed("process_observations", "concat_ws('/', pid, lifetime_id)", "pid", "processes"), listed("disk_observations", "path || '/' || available_blocks * 4096", "path", "disk"), listed("network_observations", "interface || '/' || receive_bytes", "interface", "network"), listed("service_observations", "name || '/' || active_state", "name", "services"), listed("collection_results", "collector_name || '/' || status", "collector_name", "collector_statuses")))
+            + f", {iso('s.observed_at')} AS collected_at, CAST(0 AS INT) AS n_warnings FROM snapshots s"),
+        "report_cycle": sql(
+            f"""SELECT s.host_id, s.snapshot_id AS number, {iso('s.observed_at')} AS observed_at, CAST(NULL AS DOUBLE) AS duration_seconds, s.snapshot_id,
+          (SELECT string_agg(collector_name || '=' || status, '|' ORDER BY collector_name) FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id AND collector_name <> 'journal') AS collection_quality,
+          'network=' || {number_of('network_observations')} || '|processes=' || {number_of('process_observations')} || '|services=' || {number_of('service_observations')} AS observation_counts,
+          (SELECT status FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id AND collector_name = 'journal') AS journal_status, {number_of('journal_events')} AS events_processed,
+          (SELECT count(DISTINCT evidence_id) FROM near_events e WHERE e.host_id = s.host_id AND e.observed_at = s.observed_at) AS events_correlated, ids AS incident_candidate_ids, ids AS reconciled_candidate_ids,
+          (SELECT coalesce(string_agg(incident_id, '|' ORDER BY incident_id), '') FROM resolved c WHERE now_resolved AND c.host_id = s.host_id AND c.resolved_at = s.observed_at) AS resolved_incident_ids, {CYCLE_LIMITS}
+          FROM (SELECT *, (SELECT coalesce(string_agg(incident_id, '|' ORDER BY incident_id), '') FROM candidates c WHERE c.host_id = z.host_id AND c.started_at = z.observed_at) AS ids FROM snapshots z) s""", CORR),
         "retain_events_cutoff": sql("SELECT host_id, cursor FROM journal_events WHERE observed_at >= TIMESTAMP '2024-01-15 12:00:00'"),
         "retain_events_newest": sql("SELECT host_id, cursor FROM (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY observed_at DESC, cursor DESC) AS k FROM journal_events) WHERE k <= 100"),
         "retain_snapshots_newest": sql("SELECT host_id, snapshot_id, name FROM service_observations o WHERE snapshot_id > (SELECT max(snapshot_id) - 9 FROM snapshots s WHERE s.host_id = o.host_id)"),

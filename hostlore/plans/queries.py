@@ -12,7 +12,8 @@ from hostlore.sources.captures import capture
 from hostlore.sources.tables import stored_table
 
 WINDOW = WINDOW_SECONDS * 1_000_000
-MOST = 3
+#: Evidence of an incident, as ``correlate`` takes by default; a cycle's events of its anchors.
+MOST, ANCHOR_EVENTS = 32, 1000
 
 
 def t(name: str) -> Column:
@@ -42,10 +43,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def changes(self) -> DataFrame:
-        return self.stored("service_changes", lambda: lifecycle.service_lifecycle(self.service_observations, self.snapshots, self.collection_results))
+        return self.stored("service_changes", lambda: lifecycle.service_lifecycle(self.service_captured, self.snapshots, self.collection_results))
 
     def process_changes(self) -> DataFrame:
-        return self.stored("process_changes", lambda: lifecycle.process_lifecycle(self.process_observations, self.snapshots, self.collection_results, self.service_observations))
+        return self.stored("process_changes", lambda: lifecycle.process_lifecycle(self.process_captured, self.snapshots, self.collection_results, self.service_captured))
 
     def aware(self) -> DataFrame:
         return correlate.quality_aware(self.changes(), self.collection_results, "services")
@@ -66,21 +67,25 @@ class Tables:
         return self.snapshots.where("snapshot_id = 15").select("host_id", F.col("observed_at").alias("cut_at"))
 
     def halves(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        marked = rows.join(F.broadcast(self.cut()), "host_id")
+        marked = rows.join(self.cut(), "host_id")
         return marked.where("started_at <= cut_at").drop("cut_at"), marked.where("started_at > cut_at - interval 5 days").drop("cut_at")
 
     def subjects(self) -> DataFrame:
         ok = self.collection_results.where("collector_name = 'services' and status = 'success'").select("host_id", "snapshot_id", F.col("collected_at").alias("resolved_time"))
-        late = ok.join(F.broadcast(self.cut()), "host_id").where("resolved_time > cut_at").drop("cut_at")
+        late = ok.join(self.cut(), "host_id").where("resolved_time > cut_at").drop("cut_at")
         return correlate.resolution_subjects(self.changes()).join(late, ["host_id", "snapshot_id"])
 
     def merged(self) -> DataFrame:
         old, new = self.halves(self.candidates())
         return reconcile.upsert(old, new)[0]
 
-    def resolved(self) -> DataFrame:
+    def resolution(self) -> tuple[DataFrame, DataFrame]:
+        """The incoming cycles, one after another: each with its own candidates and recoveries."""
         old, new = self.halves(self.candidates())
-        return self.stored("resolved_incidents", lambda: reconcile.resolve(reconcile.upsert(old, new)[0], self.subjects(), new.limit(0))[0])
+        return reconcile.resolve_over_time(reconcile.upsert(old, new)[0], self.subjects(), new)
+
+    def resolved(self) -> DataFrame:
+        return self.stored("resolved_incidents", lambda: self.resolution()[0])
 
     def diagnoses(self) -> DataFrame:
         return self.stored("diagnoses", lambda: diagnose.diagnose(self.candidates(), self.evidence()))
@@ -89,7 +94,8 @@ class Tables:
         found = self.candidates().select("host_id", "incident_id", F.col("started_at").alias("at"))
         done = self.resolved().where("now_resolved").select("host_id", "incident_id", F.col("resolved_at").alias("at"))
         counts = {"services": self.service_observations, "processes": self.process_observations, "network": self.network_observations}
-        return reports.cycle_summary(self.snapshots, self.collection_results, counts, self.journal_events, found, done)
+        looked_at = correlate.events_for_anchors(correlate.event_evidence(correlate.anchored(self.changes()), self.journal_events, WINDOW), ANCHOR_EVENTS)
+        return reports.cycle_summary(self.snapshots, self.collection_results, counts, self.journal_events, found, done, looked_at)
 
 
 def flat_counter(df: DataFrame, *names: str) -> DataFrame:
@@ -235,7 +241,7 @@ def event_window(x):
 @query
 def events_for_anchors(x):
     found = correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW)
-    return correlate.ranked_evidence(found, 2).select("host_id", "evidence_id", t("evidence_at")).distinct()
+    return correlate.events_for_anchors(found, ANCHOR_EVENTS).select("host_id", t("observed_at"), "evidence_id", t("evidence_at"), "truncated")
 
 
 @query
@@ -281,7 +287,13 @@ def process_lifetimes_removed(x):
 
 @query
 def snapshot_comparison(x):
-    return temporal.snapshot_comparison(x.cpu_observations, x.network_observations, x.process_observations, x.snapshots)
+    rows = temporal.snapshot_comparison(x.cpu_observations, x.network_observations, x.process_observations, x.snapshots)
+    network = F.transform("network", lambda r: F.concat_ws("/", r["interface"], r["receive_bytes"]["state"], r["transmit_bytes"]["state"]))
+    processes = F.transform("processes", lambda r: F.concat_ws("/", r["pid"].cast("string"), F.coalesce(r["lifetime_id"], F.lit("-")), r["state"]))
+    text = lambda c, name: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(name)
+    return rows.select(
+        "host_id", "snapshot_id", "cpu_state", "total", text(network, "network"), text(F.col("removed_interfaces.interface"), "removed_interfaces"), text(processes, "processes"), text(F.array_sort("removed_lifetimes.lifetime_id"), "removed_lifetimes")
+    )
 
 
 @query
@@ -429,7 +441,9 @@ def merge_limitations(x):
 
 @query
 def reconcile_resolve(x):
-    return x.resolved().select("host_id", "incident_id", "state", t("last_observed_at"), "now_resolved")
+    done, conflicts = x.resolution()
+    rows = done.join(conflicts, ["host_id", "incident_id"], "left")
+    return rows.select("host_id", "incident_id", "state", t("last_observed_at"), "now_resolved", "problem")
 
 
 @query
@@ -451,7 +465,7 @@ Q["diagnose"] = Q.pop("diagnose_")
 
 @query
 def incident_history(x):
-    return diagnose.history(x.candidates(), most=4).select(*D, j("history"))
+    return diagnose.history(x.candidates()).select(*D, j("history"))
 
 
 @query
@@ -474,14 +488,41 @@ def inspection_facts(x):
     return diagnose.fact_groups(x.evidence().withColumn("fact", F.when(F.col("evidence_id").like("%3"), "unknown").otherwise(F.col("fact")))).select(*D, j("established"), j("unknown_ids"), j("not_established"))
 
 
+def opened(documents: DataFrame, kind: str) -> DataFrame:
+    """Documents read back: (host_id, d) and their own keys."""
+    return documents.withColumn("d", F.from_json("document", kind)).drop("document")
+
+
+def inspections(x) -> DataFrame:
+    documents = reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses())
+    item = "array<struct<evidence_id:string,relation:string,observed_at:string>>"
+    kind = f"struct<incident:struct<opened_at:string,state:string,resolved_at:string>,evidence:{item},facts:struct<established:array<string>,unknown_evidence_ids:array<string>>,historical_related_incident_ids:array<string>,diagnosis:struct<rule:string>>"
+    return opened(documents, kind)
+
+
 @query
 def inspect_all(x):
-    return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses())
+    """What every incident's inspection says of it."""
+    return inspections(x).select(*D, "d.incident.opened_at", "d.incident.state", "d.diagnosis.rule", F.size("d.evidence").alias("n_evidence"), j("d.facts.established", "established"), F.size("d.facts.unknown_evidence_ids").alias("n_unknown"))
 
 
 @query
 def report_status(x):
-    return reports.status_documents(stored.rebuild(x.snapshots, x.collection_results, x.service_observations, x.process_observations))
+    seen = x.network_observations.select("host_id", "snapshot_id", "interface", "receive_bytes", "transmit_bytes")
+    processes = x.process_observations.drop("user_id")
+    documents = reports.status_documents(
+        x.snapshots, x.collection_results, {"system": ingest.parse_uptime(x.raw("raw_uptime")).drop("valid"), "memory": ingest.parse_memory(x.raw("raw_memory")).drop("valid"), "cpu": x.cpu_observations},
+        {"processes": (processes, "pid"), "disk": (ingest.disk_usage(x.disk_observations), "path"), "network": (seen, "interface"), "services": (x.service_observations, "name")},
+    )
+    rows = {"processes": "pid:int,lifetime_id:string", "disk": "path:string,free_bytes:long", "network": "interface:string,receive_bytes:long", "services": "name:string,active_state:string"}
+    one = {"system": "uptime_seconds:double", "memory": "total_bytes:long", "cpu": "user_ticks:long"}
+    snapshot = ",".join(["timestamp:string", *(f"{n}:struct<{f}>" for n, f in one.items()), *(f"{n}:array<struct<{f}>>" for n, f in rows.items()), "collector_statuses:array<struct<name:string,status:string>>", "warnings:array<string>"])
+    d = opened(documents, f"struct<schema_version:string,snapshot:struct<{snapshot}>,collectors:map<string,struct<status:string,collected_at:string>>>")
+    text = lambda name, *fields: F.array_join(F.transform(f"d.snapshot.{name}", lambda r: F.concat_ws("/", *(r[f].cast("string") for f in fields))), "|").alias(name)
+    return d.select(
+        "host_id", "snapshot_id", "d.snapshot.timestamp", "d.snapshot.system.uptime_seconds", "d.snapshot.memory.total_bytes", "d.snapshot.cpu.user_ticks", text("processes", "pid", "lifetime_id"), text("disk", "path", "free_bytes"),
+        text("network", "interface", "receive_bytes"), text("services", "name", "active_state"), text("collector_statuses", "name", "status"), F.col("d.collectors")["services"]["collected_at"].alias("collected_at"), F.size("d.snapshot.warnings").alias("n_warnings"),
+    )
 
 
 @query
@@ -493,17 +534,26 @@ def report_incidents(x):
 
 @query
 def report_inspection(x):
-    return reports.inspection_documents(stored.incident_detail(x.candidates(), x.evidence()), diagnose.fact_groups(x.evidence()), x.diagnoses()).where("incident_id < '8'")
+    """The evidence and history of every incident's inspection."""
+    item = F.transform("d.evidence", lambda e: F.concat_ws(" ", e["evidence_id"], e["relation"], e["observed_at"]))
+    return inspections(x).select(*D, "d.incident.resolved_at", F.array_join(item, "|").alias("evidence"), j("d.historical_related_incident_ids", "history"))
 
 
 @query
 def report_diagnosis(x):
-    return reports.diagnosis_documents(x.diagnoses())
+    lists = {"supported_facts": "facts", "provenance_ids": "evidence_ids", "historical_incident_ids": "history", "limitations": "limitations", "not_established": "not_established"}
+    kind = "struct<diagnosis:struct<subject_id:string,state:string,rule:string,explanation:string," + ",".join(f"{n}:array<string>" for n in lists) + ">>"
+    d = opened(reports.diagnosis_documents(x.diagnoses()), kind)
+    return d.select(*D, *(f"d.diagnosis.{c}" for c in ("subject_id", "state", "rule", "explanation")), *(j(f"d.diagnosis.{n}", alias) for n, alias in lists.items()))
 
 
 @query
 def report_cycle(x):
-    return reports.cycle_documents(x.cycles())
+    kind = "number:long,observed_at:string,duration_seconds:double,snapshot_id:long,collection_quality:map<string,string>,observation_counts:map<string,long>,journal_status:string,events_processed:long,events_correlated:long,"
+    kind += ",".join(f"{n}:array<string>" for n in ("incident_candidate_ids", "reconciled_candidate_ids", "resolved_incident_ids", "limitations"))
+    d = opened(reports.cycle_documents(x.cycles()), f"struct<cycle:struct<{kind}>>").select("host_id", "d.cycle.*")
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias(c)
+    return d.select("host_id", "number", "observed_at", "duration_seconds", "snapshot_id", pairs("collection_quality"), pairs("observation_counts"), "journal_status", "events_processed", "events_correlated", j("incident_candidate_ids"), j("reconciled_candidate_ids"), j("resolved_incident_ids"), j("limitations"))
 
 
 @query

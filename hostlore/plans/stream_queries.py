@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.plans.oracle import sql
+from hostlore.functions.scalars import iso_fixed
+from hostlore.operators.lifecycle import service_validity
+from hostlore.plans.oracle import CORR, LIFE, fixed, sql
 from hostlore.plans.queries import Tables
 from hostlore.sources.adapter import WINDOW_SECONDS
 from hostlore.sources.tables import shared_folder
@@ -32,18 +34,50 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_once(streams.interval_join(errors, other, WINDOW_SECONDS), path_for(spark, "stream-join")).select("host_id", "unit", "anchor_id", "cursor")
 
 
+def captures(x: Tables) -> DataFrame:
+    """One row per host and snapshot with all that was captured, failed collections included."""
+    key = ["host_id", "snapshot_id"]
+    out = x.snapshots.select(*key, "observed_at", "monotonic_s")
+    tables = {
+        "results": x.collection_results.select(*key, F.struct("collector_name", "status", "collected_at").alias("s")),
+        "services": x.service_captured.select(*key, F.struct("name", "load_state", "active_state", "sub_state").alias("s")),
+        "processes": x.process_captured.select(*key, F.struct("pid", "lifetime_id", "cpu_time_ticks", "rss_bytes", "virtual_memory_bytes").alias("s")),
+        "events": x.journal_events.select(*key, F.struct("cursor", "observed_at", "unit", "priority").alias("s")),
+    }
+    for name, rows in tables.items():
+        out = out.join(rows.groupBy(*key).agg(F.collect_list("s").alias(name)), key, "left").withColumn(name, F.col(name).cast(streams.PARTS[name]))
+    return out
+
+
+def arriving(rows: DataFrame, path: str, cuts: list[int]) -> None:
+    """Captures as files that arrive one after another: snapshots up to each cut, then the rest."""
+    for low, high in zip([0, *cuts], [*cuts, None], strict=True):
+        part = rows.where(F.col("snapshot_id") > low)
+        (part if high is None else part.where(F.col("snapshot_id") <= high)).coalesce(1).write.mode("append").parquet(path)
+
+
 def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles that append only events not yet stored."""
-    return streams.run_cycles(streams.event_stream(spark, sf_dir), path_for(spark, "stream-cycle")).select("host_id", "cursor", "event_type")
+    """The incidents after whole cycles over two arrivals of captures, with a stop between them."""
+    x, path = Tables(spark, sf_dir), path_for(spark, "stream-cycle")
+    arriving(captures(x), f"{path}/captures", [15])
+    stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(f"{path}/captures")
+    fleet = streams.FleetCycles(spark, path, x.associations, WINDOW_SECONDS)
+    fleet.go(stream, batches=1)
+    fleet.go(stream)
+    rows = fleet.incidents().join(fleet.evidence().groupBy("host_id", "incident_id").agg(F.count("*").alias("n_evidence")), ["host_id", "incident_id"])
+    return rows.select("host_id", "incident_id", "subject_id", "state", *(iso_fixed(F.col(c)).alias(c) for c in ("started_at", "last_observed_at", "resolved_at")), "n_evidence")
 
 
 def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State changes of services as the snapshots of each host arrive."""
-    services = Tables(spark, sf_dir).service_observations
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.concat_ws("/", "load_state", "active_state", "sub_state").alias("state")))))
-    path = path_for(spark, "service-snapshots")
-    services.groupBy("host_id", "snapshot_id").agg(F.to_json(pairs).alias("services")).write.parquet(path)
-    stream = spark.readStream.schema("host_id string, snapshot_id long, services string").parquet(path)
+    """Lifecycles of services as the snapshots of each host arrive."""
+    x, path = Tables(spark, sf_dir), path_for(spark, "service-snapshots")
+    key = ["host_id", "snapshot_id"]
+    state = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("load_state", "active_state", "sub_state")), F.col("valid").cast("string")), F.lit("]"))
+    pairs = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("name"), F.lit('":'), state))), ","), F.lit("}"))
+    services = service_validity(x.service_captured).groupBy(*key).agg(pairs.alias("services"))
+    status = x.collection_results.where("collector_name = 'services'").select(*key, "status")
+    arriving(status.join(services, key, "left"), path, [10, 20])
+    stream = spark.readStream.schema("host_id string, snapshot_id long, status string, services string").option("maxFilesPerTrigger", 1).parquet(path)
     return streams.run_once(streams.service_states(stream), path_for(spark, "stream-services"))
 
 
@@ -55,10 +89,17 @@ def oracles() -> dict[str, str]:
     return {
         "stream_journal": sql("SELECT host_id, unit, cursor FROM ev"),
         "stream_interval_join": sql(f"SELECT a.host_id, a.unit, a.cursor AS anchor_id, e.cursor FROM ev a JOIN ev e ON a.host_id = e.host_id AND a.unit = e.unit AND a.event_type = 'error' AND e.event_type = 'purchase' AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"),
-        "stream_service_lifecycle": sql(
-            """SELECT host_id, snapshot_id, name, CASE WHEN p.name IS NULL THEN 'new' WHEN c.name IS NULL THEN 'removed' WHEN p.load_state = c.load_state AND p.active_state = c.active_state AND p.sub_state = c.sub_state THEN 'continuing' ELSE 'state_changed' END AS lifecycle
-            FROM service_observations c FULL JOIN (SELECT * REPLACE (snapshot_id + 1 AS snapshot_id) FROM service_observations) p USING (host_id, snapshot_id, name)
-            WHERE (host_id, snapshot_id) IN (SELECT (host_id, snapshot_id) FROM service_observations) AND (host_id, snapshot_id - 1) IN (SELECT (host_id, snapshot_id) FROM service_observations)"""
+        "stream_service_lifecycle": sql("SELECT host_id, snapshot_id, name, lifecycle FROM svc", LIFE),
+        "stream_cycle": sql(
+            f"""SELECT c.host_id, c.incident_id, c.subject_id, CASE WHEN back_at IS NULL THEN 'active' ELSE 'resolved' END AS state, {fixed('c.started_at', 'started_at')},
+          {fixed('coalesce(back_at, last_observed_at)', 'last_observed_at')}, {fixed('back_at', 'resolved_at')}, n_evidence
+          FROM candidates c LEFT JOIN ended e ON e.host_id = c.host_id AND e.incident_id = c.incident_id""",
+            CORR,
+            """
+back_all AS (
+  SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
+  WHERE NOT EXISTS (SELECT 1 FROM candidates n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id AND n.started_at = r.collected_at)),
+ended AS (
+  SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN back_all b ON b.host_id = c.host_id AND b.subject_id = c.subject_id AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)""",
         ),
-        "stream_cycle": sql("SELECT host_id, cursor, event_type FROM ev"),
     }

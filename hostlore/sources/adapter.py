@@ -1,7 +1,8 @@
 """Telemetry tables derived from the ``events`` table, in SQL that Spark and DuckDB both read.
 
 The fleet tables of this library are normally read from storage (``hostlore.sources.tables``). For checks at scale they are
-derived from ``events``: each user is a service and a process, four hosts share the users, a day is a snapshot.
+derived from ``events``: each user is a service and a process, four hosts share the users, a day is a snapshot. What was
+captured includes rows of failed collections; observations are those of usable ones.
 """
 
 from __future__ import annotations
@@ -36,20 +37,24 @@ cells AS (
          CAST(sum(c.cents) OVER (PARTITION BY c.host_id, c.user_id ORDER BY c.d) AS BIGINT) AS running_cents,
          CAST(sum(c.signups) OVER (PARTITION BY c.host_id, c.user_id ORDER BY c.d) AS BIGINT) AS running_signups
   FROM cell c JOIN snapshots s ON c.host_id = s.host_id AND c.d = s.d),
-service_observations AS (
-  SELECT c.host_id, c.snapshot_id, c.unit AS name, 'loaded' AS load_state,
+service_captured AS (
+  SELECT host_id, snapshot_id, unit AS name, 'loaded' AS load_state,
          CASE last_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'activating' WHEN 'view' THEN 'inactive' ELSE 'active' END AS active_state,
          last_type AS sub_state
-  FROM cells c JOIN collection_results r ON c.host_id = r.host_id AND c.snapshot_id = r.snapshot_id AND r.collector_name = 'services'
+  FROM cells),
+service_observations AS (
+  SELECT c.* FROM service_captured c JOIN collection_results r ON c.host_id = r.host_id AND c.snapshot_id = r.snapshot_id AND r.collector_name = 'services'
   WHERE r.status IN ('success', 'partial')),
 processes_raw AS (
-  SELECT c.host_id, c.snapshot_id, CAST(1000 + user_id AS INT) AS pid, 1 AS ppid, last_type AS name, 'S' AS state, last_cents AS rss_bytes,
+  SELECT host_id, snapshot_id, CAST(1000 + user_id AS INT) AS pid, 1 AS ppid, last_type AS name, 'S' AS state, last_cents AS rss_bytes,
          CASE WHEN last_type = 'view' THEN NULL ELSE 4 * last_cents END AS virtual_memory_bytes, 1 AS threads,
          CASE WHEN user_id % 5 = 3 THEN running_cents % 20000 ELSE running_cents END AS cpu_time_ticks,
-         CASE WHEN user_id % 50 = 7 THEN NULL ELSE 100 * running_signups END AS start_time_ticks, c.user_id
-  FROM cells c JOIN collection_results r ON c.host_id = r.host_id AND c.snapshot_id = r.snapshot_id AND r.collector_name = 'processes'
+         CASE WHEN user_id % 50 = 7 THEN NULL ELSE 100 * running_signups END AS start_time_ticks, user_id
+  FROM cells),
+process_captured AS (SELECT *, CAST(pid AS STRING) || ':' || CAST(start_time_ticks AS STRING) AS lifetime_id FROM processes_raw),
+process_observations AS (
+  SELECT c.* FROM process_captured c JOIN collection_results r ON c.host_id = r.host_id AND c.snapshot_id = r.snapshot_id AND r.collector_name = 'processes'
   WHERE r.status IN ('success', 'partial')),
-process_observations AS (SELECT *, CAST(pid AS STRING) || ':' || CAST(start_time_ticks AS STRING) AS lifetime_id FROM processes_raw),
 per_type AS (
   SELECT host_id, d, event_type, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM ev GROUP BY host_id, d, event_type),
 network_observations AS (
@@ -90,9 +95,3 @@ WINDOW_SECONDS = 6 * 3600
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived tables."""
     return spark.sql(f"WITH events AS (SELECT * FROM parquet.`{sf_dir}/events.parquet`), {VIEWS} SELECT * FROM {name}")
-
-
-def duck(body: str) -> str:
-    """DuckDB SQL over the same derived tables; ``body`` may begin with further ``name AS (...)``, parts, then SELECT."""
-    extra, _, last = body.rpartition("--\n")
-    return f"WITH RECURSIVE {VIEWS}{',' + extra if extra.strip() else ''}\n{last}"

@@ -7,14 +7,18 @@ lateness of the source.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hostlore.operators.stored import new_events
+from hostlore.operators import correlate, lifecycle, reconcile, reports
+from hostlore.operators.lifecycle import USABLE
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -46,30 +50,41 @@ def interval_join(anchors: DataFrame, events: DataFrame, window_seconds: int, de
     return left.join(right, near, "inner").select("a.host_id", "a.unit", "a.anchor_id", "anchor_at", "e.cursor", "observed_at")
 
 
-def service_states(observations: DataFrame) -> DataFrame:
-    """State changes of services as snapshots arrive, with the previous snapshot of each host as state.
+LIFECYCLE = "host_id string, snapshot_id long, name string, lifecycle string"
 
-    Input: one row per host and snapshot with its services as a map name -> state. Only names and states are kept
-    between snapshots.
+
+def service_states(captures: DataFrame) -> DataFrame:
+    """The lifecycle of services as captures arrive, by the rules of ``lifecycle.service_lifecycle``.
+
+    Input: one row per host and snapshot with the ``status`` of its services collection and its ``services`` as JSON, name
+    to [load, active, sub, valid]. State of a host: the snapshot before, its services if that collection was usable, and
+    whether it was complete.
     """
 
     def compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = json.loads(state.get[0]) if state.exists else None
         rows = pd.concat(list(frames)).sort_values("snapshot_id")
         out = []
-        for snapshot_id, text in zip(rows["snapshot_id"], rows["services"], strict=True):
-            now = json.loads(text)
-            if before is not None:
-                for name in sorted({*before["services"], *now}):
-                    a, b = before["services"].get(name), now.get(name)
-                    word = "new" if a is None else "removed" if b is None else "continuing" if a == b else "state_changed"
-                    if before["snapshot_id"] == snapshot_id - 1:
-                        out.append((key[0], int(snapshot_id), name, word))
-            before = {"snapshot_id": int(snapshot_id), "services": now}
+        for snapshot_id, status, text in zip(rows["snapshot_id"], rows["status"], rows["services"], strict=True):
+            now = json.loads(text) if status in USABLE and text else {}
+            complete = status == "success" and all(x[3] for x in now.values())
+            known = before is not None and before["snapshot_id"] == snapshot_id - 1
+            old, both = (before["services"], before["complete"] and complete) if known else ({}, False)
+            for name in sorted(now):
+                a, b = old.get(name), now[name]
+                if not b[3] or a is not None and not a[3]:
+                    word = "invalid"
+                elif a is None:
+                    word = "new" if both else "insufficient_history"
+                else:
+                    word = "continuing" if a == b else "state_changed"
+                out.append((key[0], int(snapshot_id), name, word))
+            out += [(key[0], int(snapshot_id), name, "removed") for name in sorted(old) if both and name not in now]
+            before = {"snapshot_id": int(snapshot_id), "services": now, "complete": complete}
         state.update((json.dumps(before),))
         yield pd.DataFrame(out, columns=["host_id", "snapshot_id", "name", "lifecycle"])
 
-    return observations.groupBy("host_id").applyInPandasWithState(compare, "host_id string, snapshot_id long, name string, lifecycle string", "previous string", "append", GroupStateTimeout.NoTimeout)
+    return captures.groupBy("host_id").applyInPandasWithState(compare, LIFECYCLE, "previous string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, path: str) -> DataFrame:
@@ -78,19 +93,138 @@ def run_once(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_cycles(stream: DataFrame, path: str, cycle: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Each micro-batch is a cycle: new events are appended under its number, so a replay writes the same place.
+PARTS = {
+    "results": "array<struct<collector_name:string,status:string,collected_at:timestamp>>",
+    "services": "array<struct<name:string,load_state:string,active_state:string,sub_state:string>>",
+    "processes": "array<struct<pid:int,lifetime_id:string,cpu_time_ticks:bigint,rss_bytes:bigint,virtual_memory_bytes:bigint>>",
+    "events": "array<struct<cursor:string,observed_at:timestamp,unit:string,priority:int>>",
+}
+#: One row per host and snapshot, with all that was captured.
+CAPTURE = "host_id string, snapshot_id long, observed_at timestamp, monotonic_s double, " + ", ".join(f"{k} {v}" for k, v in PARTS.items())
 
-    ``cycle`` turns the new events of a batch into what is stored; by default they are stored as they are.
-    """
-    spark = stream.sparkSession
 
-    def once(batch: DataFrame, number: int) -> None:
-        done = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{path}/rows")
-        earlier = done.where(~F.input_file_name().contains(f"/batch={number}/"))
-        rows = new_events(earlier, batch)
-        (cycle(rows, number) if cycle else rows).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+INCIDENTS = (
+    "host_id string, incident_id string, rule_id string, subject_type string, subject_id string, state string, "
+    "started_at timestamp, last_observed_at timestamp, resolved_at timestamp, limitations array<string>"
+)
+
+
+class FleetCycles:
+    """The whole cycle for each micro-batch of captures: append events, compare, correlate, reconcile, report.
+
+    Everything a batch stores lies under its number, and is made of the batch and of what the batch before stored, so a
+    replayed batch writes the same again. Of history a batch reads: the last snapshot of each host (``baseline``), the
+    events and anchors of the days around its own (``days``), and the incidents (``incidents``: those active or resolved
+    within ``kept_days``; older ones go to ``archive``). An event that comes late, after its anchor, is evidence all the
+    same: anchors near the new events are correlated again, and their candidates merge under the same ids.
+    """
 
-    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/rows/batch=start")
-    stream.writeStream.foreachBatch(once).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{path}/rows")
+    def __init__(self, spark: SparkSession, path: str, associations: DataFrame, window_seconds: int, most: int = 32, kept_days: int = 30):
+        self.spark, self.path, self.associations = spark, path, associations
+        self.window, self.most, self.kept_days = window_seconds, most, kept_days
+
+    def store(self, rows: DataFrame, name: str, number: int, by_day: str | None = None) -> DataFrame:
+        path = f"{self.path}/{name}/batch={number}"
+        writer = (rows.withColumn("day", F.to_date(by_day)).write.partitionBy("day") if by_day else rows.write).mode("overwrite")
+        writer.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).select(rows.columns)
+
+    def stored(self, name: str, number: int, like: DataFrame) -> DataFrame:
+        """What the batch before left, if there was one."""
+        if number == 0:
+            return like.limit(0)
+        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}/batch={number - 1}")
+
+    def around(self, name: str, number: int, like: DataFrame, low, high) -> DataFrame:
+        """Stored rows of earlier batches and of this one from day to day, both included."""
+        schema = StructType([*like.schema.fields, StructField("day", DateType()), StructField("batch", IntegerType())])
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        return rows.where((F.col("batch") <= number) & F.col("day").between(low, high)).select(like.columns)
+
+    def run(self, batch: DataFrame, number: int) -> None:
+        key = ["host_id", "snapshot_id"]
+        base = self.stored("baseline", number, batch)
+        last = Window.partitionBy("host_id").orderBy(F.desc("snapshot_id"))
+        both = batch.unionByName(base)
+        self.store(both.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place").withColumn("events", F.lit(None).cast(PARTS["events"])), "baseline", number)
+        part = lambda rows, name: rows.select(*key, F.inline(name))
+        snapshots, results = both.select(*key, "observed_at", "monotonic_s"), part(both, "results")
+        services, processes = part(both, "services"), part(both, "processes")
+        mine = batch.select(*key)
+
+        incoming = part(batch, "events").dropDuplicates(["host_id", "cursor"])
+        times = batch.select("observed_at").unionByName(incoming.select("observed_at")).agg(F.min("observed_at"), F.max("observed_at")).first()
+        if times[0] is None:
+            return
+        margin = timedelta(days=1 + self.window // 86_400)
+        low, high = times[0].date() - margin, times[1].date() + margin
+        if number > 0:
+            incoming = incoming.join(self.around("events", number - 1, incoming, low, high).select("host_id", "cursor"), ["host_id", "cursor"], "left_anti")
+        fresh = self.store(incoming, "events", number, "observed_at")
+
+        changes = lifecycle.service_lifecycle(services, snapshots, results).join(mine, key, "left_semi")
+        changes = correlate.quality_aware(changes, results, "services")
+        process_changes = lifecycle.process_lifecycle(processes, snapshots, results, services).join(mine, key, "left_semi")
+        process_changes = self.store(correlate.quality_aware(process_changes.select(*key, "observed_at", "pid", "lifetime_id", "lifecycle"), results, "processes"), "process_changes", number, "observed_at")
+        anchors = self.store(correlate.incident_anchors(changes), "anchors", number, "observed_at")
+        journal = results.join(mine, key, "left_semi").where("collector_name = 'journal'").select("host_id", F.col("collected_at").alias("at"), "status")
+        journal = self.store(journal, "journal", number, "at")
+
+        near_events, near_anchors = self.around("events", number, fresh, low, high), self.around("anchors", number, anchors, low, high)
+        touched = fresh.select("host_id", F.col("unit").alias("name"), F.unix_micros("observed_at").alias("t"))
+        late = correlate.near(near_anchors.select("host_id", "name", "observed_at", F.unix_micros("observed_at").alias("t")), touched, ["host_id", "name"], self.window * 1_000_000)
+        again = late.select("host_id", "name", "observed_at").unionByName(anchors.select("host_id", "name", "observed_at")).distinct()
+        asked = near_anchors.join(again, ["host_id", "name", "observed_at"], "left_semi")
+        evidence = correlate.correlate(asked, self.around("process_changes", number, process_changes, low, high), near_events, self.associations, self.window * 1_000_000, self.most)
+        evidence = self.store(evidence, "evidence", number)
+        candidates = self.store(correlate.candidates(evidence, self.around("journal", number, journal, low, high)), "candidates", number)
+
+        ok = results.where("collector_name = 'services' and status = 'success'").select(*key, F.col("collected_at").alias("resolved_time"))
+        recoveries = correlate.resolution_subjects(changes).join(ok, key)
+        own = candidates.join(mine.join(snapshots, key).select("host_id", F.col("observed_at").alias("started_at")), ["host_id", "started_at"], "left_semi")
+        old = self.stored("incidents", number, self.spark.createDataFrame([], INCIDENTS))
+        merged, conflicts = reconcile.upsert(old, candidates)
+        done, early = reconcile.resolve_over_time(merged, recoveries, own)
+        done = self.store(done, "reconciled", number)
+        self.store(conflicts.unionByName(early), "conflicts", number)
+        gone = F.coalesce(F.col("resolved_at") < F.lit(times[1] - timedelta(days=self.kept_days)), F.lit(False))
+        columns = [f.name for f in self.spark.createDataFrame([], INCIDENTS).schema]
+        self.store(done.where(~gone).select(columns), "incidents", number)
+        self.store(done.where(gone).select(columns), "archive", number)
+
+        counts = {"services": part(batch, "services"), "processes": part(batch, "processes")}
+        found = own.select("host_id", "incident_id", F.col("started_at").alias("at"))
+        resolved = done.where("now_resolved").select("host_id", "incident_id", F.col("resolved_at").alias("at"))
+        self.store(reports.cycle_summary(snapshots.join(mine, key, "left_semi"), results, counts, part(batch, "events"), found, resolved), "cycles", number)
+
+    def go(self, captures: DataFrame, batches: int | None = None) -> None:
+        """All that is there now, or no more than ``batches`` micro-batches. A later call goes on where this one ended."""
+        done: list[int] = []
+
+        def once(batch: DataFrame, number: int) -> None:
+            if batches is not None and len(done) >= batches:
+                raise RuntimeError("enough batches")  # this one is not committed, so it comes again
+            self.run(batch, number)
+            done.append(number)
+
+        query = captures.writeStream.foreachBatch(once).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if batches is None or len(done) < batches:
+                raise
+
+    def incidents(self) -> DataFrame:
+        """Incidents after the last batch, those of the archive included."""
+        number = self.spark.read.parquet(f"{self.path}/cycles").agg(F.max("batch")).first()[0]
+        now = self.spark.read.schema(INCIDENTS).parquet(f"{self.path}/incidents/batch={number}")
+        return now.unionByName(self.spark.read.schema(INCIDENTS).parquet(f"{self.path}/archive").select(now.columns))
+
+    def evidence(self) -> DataFrame:
+        """The evidence of each candidate as it was last correlated."""
+        rows = self.spark.read.parquet(f"{self.path}/evidence")
+        last = rows.groupBy("host_id", "incident_id").agg(F.max("batch").alias("batch"))
+        return rows.join(last, ["host_id", "incident_id", "batch"], "left_semi")
+
+    def cycles(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/cycles").drop("batch")

@@ -77,6 +77,24 @@ def test_process_lifecycle(spark):
     assert (got[1].cpu.rate, got[1].rss_delta) == (1.0, 3)
 
 
+def test_failed_collections_make_no_claims(spark):
+    """Rows of a failed or unsupported collection are neither classified nor the rows before."""
+    for status in ("transient_failure", "unsupported", "permission_denied", "invalid_data"):
+        snapshots, results = history(spark, ["success", status, "success"])
+        rows = frame(spark, [("h", n, "a.service", "loaded", "failed" if n == 2 else "active", "x") for n in (1, 2, 3)], SERVICES)
+        got = {(r.snapshot_id, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect()}
+        assert got == {(1, "insufficient_history"), (3, "insufficient_history")}
+        assert correlate.incident_anchors(lifecycle.service_lifecycle(rows, snapshots, results)).count() == 0
+        snapshots, results = history(spark, ["success", status, "success"], "processes")
+        schema = "host_id string, snapshot_id long, pid int, lifetime_id string, cpu_time_ticks long, rss_bytes long, virtual_memory_bytes long"
+        rows = frame(spark, [("h", n, 1, "1:5", n, 1, 1) for n in (1, 2, 3)] + [("h", 1, 2, "2:5", 1, 1, 1)], schema)
+        got = {(r.snapshot_id, r.pid, r.lifecycle) for r in lifecycle.process_lifecycle(rows, snapshots, results, frame(spark, [], SERVICES)).collect()}
+        assert got == {(1, 1, "insufficient_history"), (1, 2, "insufficient_history"), (3, 1, "insufficient_history")}
+    snapshots, results = history(spark, ["success", "partial"])
+    rows = frame(spark, [("h", 1, "a.service", "loaded", "active", "x"), ("h", 2, "a.service", "loaded", "failed", "x"), ("h", 1, "b.service", "loaded", "active", "x")], SERVICES)
+    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect() if r.snapshot_id == 2} == {("a.service", "state_changed")}
+
+
 def test_cpu(spark):
     snapshots, _ = history(spark, ["success"] * 2)
     rows = frame(spark, [("h", 1, 10, 2, 3, 80, 1, 1, 1, 0), ("h", 2, 15, 2, 8, 90, 1, 1, 1, 0)], "host_id string, snapshot_id long, " + ", ".join(f"{t} long" for t in temporal.TICKS))
@@ -130,6 +148,45 @@ def test_reconcile(spark):
     assert {r.incident_id: r.state for r in done.collect()} == {"a": "resolved", "b": "active", "e": "active"} and [r.incident_id for r in early.collect()] == ["b"]
 
 
+def test_resolution_over_time(spark):
+    """The first recovery at or after the start counts, but none of a cycle in which the subject failed again."""
+    at = lambda h: T0 + timedelta(hours=h)
+
+    def row(i, subject, start, last, state="active"):
+        return ("h", i, "r", "service", subject, state, at(start), at(last), at(last) if state == "resolved" else None, [])
+
+    old = [row("a", "s", 1, 1), row("b", "s", 5, 5), row("c", "t", 1, 9), row("d", "u", 1, 1), row("e", "s", 1, 2, "resolved"), row("f", "s", 8, 8)]
+    incidents = frame(spark, old, HEAD)
+    recoveries = frame(spark, [("h", "s", at(3)), ("h", "s", at(5)), ("h", "s", at(7)), ("h", "t", at(4)), ("g", "u", at(4))], "host_id string, subject_id string, resolved_time timestamp")
+    done, early = reconcile.resolve_over_time(incidents, recoveries, incidents.where("incident_id = 'b'"))
+    got = {r.incident_id: (r.state, r.resolved_at, r.now_resolved) for r in done.collect()}
+    assert got == {"a": ("resolved", at(3), True), "b": ("resolved", at(7), True), "c": ("active", None, False), "d": ("active", None, False), "e": ("resolved", at(2), False), "f": ("active", None, False)}
+    assert [(r.incident_id, r.problem) for r in early.collect()] == [("c", "resolution_before_evidence")]
+
+
+def test_history_is_the_last_of_the_recent(spark):
+    """Against all pairs, with ties in time and more incidents than count."""
+    rows = [("h", f"{i:02}", "r", "service", f"s{i % 2}", "active", T0 + timedelta(hours=i // 4), T0 + timedelta(hours=(i * 7) % 23), None, []) for i in range(40)]
+    got = {r.incident_id: r.history for r in diagnose.history(frame(spark, rows, HEAD), recent=12, most=3).collect()}
+    for r in rows:
+        same = sorted((x for x in rows if x[4] == r[4]), key=lambda x: (-x[7].timestamp(), x[1]))[:12]
+        past = sorted(((x[6], x[1]) for x in same if x[6] < r[6]))[-3:]
+        assert got.get(r[1], []) == [i for _, i in past]
+
+
+def test_event_window_is_cut(spark):
+    rows = frame(spark, [("h", f"c{i:02}", "a", T0 + timedelta(minutes=i)) for i in range(10)], "host_id string, cursor string, unit string, observed_at timestamp")
+    for limit, cut in ((4, True), (10, False), (20, False)):
+        got = stored.event_window(rows, "a", str(T0), str(T0 + timedelta(days=1)), limit).collect()
+        assert [r.cursor for r in got] == [f"c{i:02}" for i in range(min(limit, 10))] and {r.truncated for r in got} == {cut}
+
+
+def test_events_for_anchors_cut(spark):
+    rows = frame(spark, [("h", T0, f"e{i}", T0 + timedelta(seconds=i)) for i in range(5)] * 2 + [("h", T0 + timedelta(days=1), "e0", T0)], "host_id string, observed_at timestamp, evidence_id string, evidence_at timestamp")
+    got = {(r.observed_at == T0, r.evidence_id, r.truncated) for r in correlate.events_for_anchors(rows, 3).collect()}
+    assert got == {(True, "e0", True), (True, "e1", True), (True, "e2", True), (False, "e0", False)}
+
+
 def test_diagnosis_rules(spark):
     cases = {"a": ["service_failed", "journal_unit_event", "process_exited"], "b": ["service_failed", "journal_unit_event"], "c": ["service_failed", "process_exited"], "d": ["service_failed", "process_started"], "e": ["service_inactive", "journal_unit_event"]}
     kind = {"j": ("journal_event", "service_unit_match"), "p": ("process_change", "explicit_process_association"), "s": ("service_change", "service_change_anchor")}

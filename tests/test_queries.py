@@ -26,13 +26,56 @@ def test_equals_sql(spark, name):
 
 
 def test_service_states_stream(spark, tmp_path):
+    """As the batch rules say: failed and partial collections, malformed names, and a gap between snapshots."""
     from hostlore.streaming import streams
 
-    rows = [("h", 1, '{"a": "up", "b": "up"}'), ("h", 2, '{"a": "down", "c": "up"}'), ("g", 5, '{"a": "up"}')]
-    spark.createDataFrame(rows, "host_id string, snapshot_id long, services string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("host_id string, snapshot_id long, services string").parquet(str(tmp_path / "in"))
-    got = {(r.name, r.lifecycle) for r in streams.run_once(streams.service_states(stream), str(tmp_path / "out")).collect()}
-    assert got == {("a", "state_changed"), ("b", "removed"), ("c", "new")}
+    up, down, bad = '["loaded","active","x",true]', '["loaded","failed","x",true]', '["loaded","two words","x",false]'
+    rows = [
+        ("h", 1, "success", f'{{"a":{up},"b":{up}}}'), ("h", 2, "success", f'{{"a":{down},"c":{up}}}'), ("h", 3, "transient_failure", f'{{"a":{up}}}'), ("h", 4, "success", f'{{"a":{up}}}'),
+        ("h", 5, "partial", f'{{"a":{down},"d":{up}}}'), ("h", 6, "success", f'{{"a":{bad}}}'), ("g", 5, "success", f'{{"a":{up}}}'), ("g", 7, "success", f'{{"a":{up}}}'),
+    ]
+    schema = "host_id string, snapshot_id long, status string, services string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = {(r.host_id, r.snapshot_id, r.name): r.lifecycle for r in streams.run_once(streams.service_states(stream), str(tmp_path / "out")).collect()}
+    first = "insufficient_history"
+    assert got == {
+        ("h", 1, "a"): first, ("h", 1, "b"): first, ("h", 2, "a"): "state_changed", ("h", 2, "b"): "removed", ("h", 2, "c"): "new", ("h", 4, "a"): first,
+        ("h", 5, "a"): "state_changed", ("h", 5, "d"): first, ("h", 6, "a"): "invalid", ("g", 5, "a"): first, ("g", 7, "a"): first,
+    }
+
+
+def test_fleet_cycles(spark, tmp_path):
+    """Three arrivals: an incident opens, late evidence merges under its id, it is resolved; stopped and gone on with."""
+    from datetime import datetime, timedelta
+
+    from hostlore.streaming import streams
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda n: t0 + timedelta(days=n)
+    ok = lambda n, status="success": [("services", status, at(n)), ("processes", "success", at(n)), ("journal", "success", at(n))]
+    svc = lambda state: [("a.service", "loaded", state, "x")]
+    near, late = ("c1", at(2) - timedelta(hours=1), "a.service", 3), ("c2", at(2) + timedelta(hours=2), "a.service", None)
+    rows = [
+        ("h", 1, at(1), 0.0, ok(1), svc("active"), [], []), ("h", 2, at(2), 60.0, ok(2), svc("failed"), [], [near, near]),
+        ("h", 3, at(3), 120.0, ok(3), svc("failed"), [], [late, near]), ("h", 4, at(4), 180.0, ok(4), svc("active"), [], []),
+    ]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    links = spark.createDataFrame([], "host_id string, service_name string, lifetime_id string")
+    fleet = streams.FleetCycles(spark, path, links, 6 * 3600)
+    seen = []
+    for part in (rows[:2], rows[2:3], rows[3:]):
+        spark.createDataFrame(part, streams.CAPTURE).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(source)
+        streams.FleetCycles(spark, path, links, 6 * 3600).go(stream, batches=1)
+        (one,) = fleet.incidents().collect()
+        seen.append((one.incident_id, one.state, one.last_observed_at, one.resolved_at, sorted(r.evidence_id for r in fleet.evidence().collect() if r.kind == "journal_event")))
+    assert len({s[0] for s in seen}) == 1
+    assert [s[1:] for s in seen] == [("active", at(2), None, ["journal:c1"]), ("active", late[1], None, ["journal:c1", "journal:c2"]), ("resolved", at(4), at(4), ["journal:c1", "journal:c2"])]
+    again = spark.read.schema(streams.CAPTURE).parquet(source).where("snapshot_id = 4")
+    fleet.run(again, 2)  # a replayed batch writes the same
+    assert [r.resolved_at for r in fleet.incidents().collect()] == [at(4)]
+    assert sorted((r.snapshot_id, r.events_processed, len(r.candidate_ids), len(r.resolved_ids)) for r in fleet.cycles().collect()) == [(1, 0, 0, 0), (2, 2, 1, 0), (3, 2, 0, 0), (4, 0, 0, 1)]
 
 
 def test_every_query_has_a_unique_name():
