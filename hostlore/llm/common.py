@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,12 @@ HOT_SHARE = 0.001
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, as in tests, a local folder is set for it first.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``, which must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"  # one machine
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -39,6 +41,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def release() -> None:
+    """At a task's end: gives memory that the worker process no longer needs back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def byte_list(column: pa.Array) -> list:
     """A string or binary Arrow column as bytes objects, None for null."""
     return column.cast(pa.binary()).to_pylist()
@@ -89,31 +107,31 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 <<
                 lo, held = i + 1, 0
 
 
-def corpus_sum(docs: DataFrame, cells: int, add: Callable[[np.ndarray, list[bytes]], None], blocks: int = 16) -> np.ndarray:
-    """A table of ``cells`` whole numbers summed over all texts of ``docs``, on the driver.
+BLOCKS = 16
+
+
+def to_blocks(total: np.ndarray) -> pa.RecordBatch:
+    """A table of whole numbers as rows (block, sums), packed."""
+    width = -(-total.size // BLOCKS)
+    padded = np.zeros(width * BLOCKS, np.int64)
+    padded[: total.size] = total
+    return packed_blocks(list(padded.reshape(BLOCKS, width)), list(range(BLOCKS)))
 
-    ``add`` adds a list of texts to a task's own table. The tables meet block by block, and are added up as they
-    stream by, so no task holds more than one table and the driver holds one, whatever the corpus.
-    """
-    width = -(-cells // blocks)
 
-    def packed(rows: list[np.ndarray], numbers: list[int]) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(3).compress
-        small = [r.astype(np.int32) if abs(r).max(initial=0) < 2**31 else r for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([pack(r.tobytes()) for r in small], pa.binary())], names=["block", "sums"])
+def packed_blocks(rows: list[np.ndarray], numbers: list[int]) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(3).compress
+    small = [r.astype(np.int32) if abs(r).max(initial=0) < 2**31 else r for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([pack(r.tobytes()) for r in small], pa.binary())], names=["block", "sums"])
+
+
+def block_sums(rows: DataFrame, cells: int) -> np.ndarray:
+    """The sum of all tables that ``to_blocks`` made, on the driver: blocks are added up as they stream by."""
+    width = -(-cells // BLOCKS)
 
     def unpacked(data: bytes) -> np.ndarray:
         raw = zstandard.ZstdDecompressor().decompress(data)
         return np.frombuffer(raw, np.int32 if len(raw) == 4 * width else np.int64).astype(np.int64)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for _, texts in text_groups(batches, 0):
-            total = np.zeros(width * blocks, np.int64) if total is None else total
-            add(total[:cells], texts)
-        if total is not None:
-            yield packed(list(total.reshape(blocks, width)), list(range(blocks)))
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -121,10 +139,28 @@ def corpus_sum(docs: DataFrame, cells: int, add: Callable[[np.ndarray, list[byte
                 part = unpacked(data)
                 merged[block] = merged[block] + part if block in merged else part
         if merged:
-            yield packed(list(merged.values()), list(merged))
+            yield packed_blocks(list(merged.values()), list(merged))
 
-    schema = "block int, sums binary"
-    out = np.zeros((blocks, width), np.int64)
-    for block, data in docs.select("text").mapInArrow(fill, schema).repartition(blocks, "block").mapInArrow(merge, schema).collect():
+    out = np.zeros((BLOCKS, width), np.int64)
+    for block, data in rows.repartition(BLOCKS, "block").mapInArrow(merge, "block int, sums binary").collect():
         out[block] = unpacked(data)
     return out.ravel()[:cells]
+
+
+def corpus_sum(rows: DataFrame, cells: int, add: Callable[..., None], columns: Iterable[str] = ("text",)) -> np.ndarray:
+    """A table of ``cells`` whole numbers summed over all texts of ``rows``, on the driver.
+
+    ``add`` adds a list of texts (the first of ``columns``) to a task's own table, with the other columns. The tables meet
+    block by block, so no task holds more than one table and the driver holds one, whatever the corpus.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part, texts in text_groups(batches, 0):
+            total = np.zeros(cells, np.int64) if total is None else total
+            add(total, texts, *part.columns[1:])
+        if total is not None:
+            yield to_blocks(total)
+        release()
+
+    return block_sums(rows.select(*columns).mapInArrow(fill, "block int, sums binary"), cells)
