@@ -5,10 +5,12 @@
    both *once* filters hold it. A merged filter can only err by holding too much.
 2. Lines whose key is in the merged *twice* filter are the suspects. Only they are shuffled, with their full key:
    the exact number of documents per key and the document that keeps its lines come from there.
-3. Documents that lose lines are rebuilt.
+3. Documents that lose lines are rebuilt. The keys in enough documents and who keeps them are few, as a rule; where they
+   take at most ``BROADCAST_BYTES``, they are broadcast and no text is shuffled. Beyond that, each document's lost keys
+   are gathered and joined to it.
 
-The filter has ``filter_bits`` bits whatever the corpus, so the broadcast is bounded. A fuller filter lets more
-unique lines through to the exact step and never changes a result; give larger corpora a larger filter.
+The filter has two bits for each ``min_chars`` bytes of text, between ``FILTER_BITS`` and ``MAX_FILTER_BITS``, so the
+broadcast is bounded. A fuller filter lets more unique lines through to the exact step and never changes a result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, join_weighted, table, utf8, written
+from pyspark.sql.types import StructType
+
+from hostlore.llm.common import byte_list, free_name, join_weighted, release, table, utf8, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 HASHES = 4
@@ -30,6 +34,9 @@ SEGMENTS = 64
 MIN_CHARS = 40
 MIN_DOCS = 5
 FILTER_BITS = 1 << 26
+MAX_FILTER_BITS = 1 << 30
+#: Repeated keys are broadcast up to this size.
+BROADCAST_BYTES = 16 << 20
 
 
 def line_keys(text: bytes | None, min_chars: int) -> set[bytes]:
@@ -128,46 +135,88 @@ def suspect_lines(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
                     found += (own := [k for k, h in zip(keys, hit, strict=True) if h])
                     ids += [doc_id] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["doc_id", "key"])
+        release()
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, key string")
 
 
-def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, keys): the line keys that each document loses; documents that lose none have no row."""
-    suspects = written(suspect_lines(docs, filter_bits, min_chars), "line-suspects")
+def filter_bits(docs: DataFrame, min_chars: int) -> int:
+    """A power of two for the size of the corpus."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (2 * size // max(1, min_chars)).bit_length()))
+
+
+def repeated_lines(suspects: DataFrame, min_docs: int) -> DataFrame:
+    """(key, keeper, n): keys in enough documents, the largest doc_id, and the number of rows. A written table."""
     counted = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"), F.count("*").alias("n"))
-    repeated = written(counted.where(F.col("n_docs") >= min_docs).select("key", "keeper", "n"), "line-repeats")
+    return written(counted.where(F.col("n_docs") >= min_docs).select("key", "keeper", "n"), "line-repeats")
+
+
+def lost_lines(suspects: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, keys): the line keys that each document loses; documents that lose none have no row."""
     return join_weighted(suspects, repeated, "key", "n").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
+LINES = "kept_text: string, n_lines: long, n_dropped: long"
+
+
+def cut_lines(docs: DataFrame, into: str, keepers: dict[bytes, int], min_chars: int) -> DataFrame:
+    """``docs`` and a struct ``into``, by a broadcast of the repeated keys and who keeps them."""
+    shared = docs.sparkSession.sparkContext.broadcast(keepers)
+    own, names, text = free_name(docs, "own_id"), [*docs.columns, into], docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeper = shared.value.get
+        for batch in batches:
+            kept, n_lines, n_dropped = [], [], []
+            for doc_id, body in zip(batch.column(batch.num_columns - 1).to_pylist(), byte_list(batch.column(text)), strict=True):
+                lines = (body or b"").split(b"\n")
+                left = lines
+                if doc_id is not None and len(body or b"") >= min_chars:
+                    left = [x for x in lines if len(x) < min_chars or keeper(x.strip(b" \t\n\x0b\x0c\r").lower(), doc_id) == doc_id]
+                kept.append(b"\n".join(left))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(left))
+            struct = pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], names=names)
+
+    return docs.withColumn(own, F.col("doc_id").cast("long")).mapInArrow(cut, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{into}` struct<{LINES}>").fields]))
+
+
 def line_key(line: Column) -> Column:
     """The key of a line as a column expression."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.trim(line, F.lit(BLANKS)), upper, upper.lower())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Adds ``kept_text``, ``n_lines`` and ``n_dropped`` to ``docs`` (doc_id, text, and any others).
+def without_repeated_lines(docs: DataFrame, into: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with all its columns and a struct ``into`` of kept_text, n_lines and n_dropped (see ``dedup_lines``)."""
+    suspects = written(suspect_lines(docs, filter_bits(docs, min_chars), min_chars), "line-suspects")
+    repeated = repeated_lines(suspects, min_docs)
+    if (repeated.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        return cut_lines(docs, into, {r.key.encode(): r.keeper for r in repeated.select("key", "keeper").collect()}, min_chars)
+    ids, keys = free_name(docs, "lost_id"), free_name(docs, "lost_keys")
+    lost = lost_lines(suspects, repeated).select(F.col("doc_id").alias(ids), F.col("keys").alias(keys))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    kept = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), line_key(x))))
+    struct = F.struct(F.array_join(kept, "\n").alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(ids), "left").select(*docs.columns, struct.alias(into))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_text) for each row of ``docs`` (doc_id, text).
 
     A line's key is the line without blanks at its ends and with A-Z in lower case. Keys of at least ``min_chars``
     code points that are in at least ``min_docs`` documents lose all their lines except those of the largest doc_id.
     Null or empty text is one empty line. Rows with a null doc_id neither count as documents nor lose lines; rows
-    that repeat a doc_id count as one document and are treated alike. A column of the input that has one of the
-    added names is replaced.
+    that repeat a doc_id count as one document and are treated alike. Other columns are not read.
     """
-    lost = lost_lines(docs, min_chars, min_docs, filter_bits).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    joined = docs.drop("kept_text", "n_lines", "n_dropped").join(lost, F.col("doc_id").cast("long") == F.col("_lost_id"), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.col("_lost_keys").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col("_lost_keys"), line_key(x))))
-    return (
-        joined.withColumns({"_kept": kept, "n_lines": F.size(lines).cast("long")})
-        .withColumns({"kept_text": F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.coalesce("text", F.lit(""))), "n_dropped": F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long")})
-        .drop("_kept", "_lost_id", "_lost_keys")
-    )
+    rows = without_repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lines", min_chars, min_docs)
+    return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", "lines.kept_text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = dedup_lines(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(utf8("kept_text"), 256).alias("kept_sha256"))
 
 
