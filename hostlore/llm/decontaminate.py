@@ -1,19 +1,19 @@
 """Benchmark decontamination by an FM-index over each shard of the training documents.
 
-A task gathers documents up to ``shard_bytes`` of text into a shard and indexes its word sequence: suffix array,
+A task takes documents of about ``shard_bytes`` of text as a shard and indexes its word sequence: suffix array,
 Burrows-Wheeler transform, a wavelet matrix for ranks, and suffix positions sampled every ``SAMPLE`` words. All test
 phrases are then searched backwards at once, their occurrences located by walking to the next sample, and the
 occurrences of a document merged into spans of words. Words outside the benchmark's vocabulary are in no phrase, so
 runs of words too short for the shortest phrase are left out of the index; nothing else is.
 
-The benchmark is the stated query set. It is taken in blocks of at most ``block_bytes`` of text, one pass of
-the shards each, so what is broadcast at once is bounded; documents are never shuffled.
+The benchmark is the stated query set. It is taken in blocks of about ``block_bytes`` of text (a longer item is a block of
+its own), one pass of the shards each within one job, so what is broadcast at once is bounded: about ten bytes a byte of
+text. Documents are never shuffled, and rows keep their columns.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, table
+from pyspark.sql.types import StructType
+
+from hostlore.llm.common import free_name, release, table, text_groups
 
 WINDOW = 13
 SAMPLE = 8
-SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: A-Z to lower case, other ASCII but letters and digits to a space; bytes of longer characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -124,7 +126,7 @@ class FmIndex:
         lo = np.zeros(len(phrases), np.int64)
         hi = np.full(len(phrases), self.first[-1])
         for step in range(phrases.shape[1]):
-            symbol = phrases[:, phrases.shape[1] - 1 - step]
+            symbol = phrases[:, phrases.shape[1] - 1 - step].astype(np.int64)
             on = np.flatnonzero((step < lengths) & (lo < hi))
             if not on.size:
                 break
@@ -152,21 +154,30 @@ class FmIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items."""
+    """The distinct windows of a block of benchmark items: rows of word ids padded on the left, and who has each."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocab: dict[bytes, int] = {}
-        ids: dict[tuple[int, ...], int] = {}
-        holders: dict[int, set[str]] = defaultdict(set)
-        for item, text in items:
-            words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in fold_words(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                holders[ids.setdefault(tuple(words[i : i + window]), len(ids))].add(item)
-        self.items = [sorted(holders[i]) for i in range(len(ids))]
-        self.lengths = np.array([len(p) for p in ids], np.int64)
-        self.rows = np.zeros((len(ids), window), np.int64)
-        for i, p in enumerate(ids):
-            self.rows[i, window - len(p) :] = p
+        self.names = [name for name, _ in items]
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
+        for k, (_, text) in enumerate(items):
+            words = fold_words(text)
+            if words:
+                ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in words), np.int32, len(words))
+                own = np.concatenate([np.zeros(max(0, window - ids.size), np.int32), ids])
+                rows.append(np.unique(np.lib.stride_tricks.sliding_window_view(own, window), axis=0))
+                owners.append(np.full(len(rows[-1]), k, np.int32))
+        rows, owners = np.concatenate(rows), np.concatenate(owners)
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.rows > 0).sum(axis=1)
+        order = np.argsort(which.ravel(), kind="stable")
+        self.owners, self.first = owners[order], np.searchsorted(which.ravel()[order], np.arange(len(self.rows) + 1))
+
+    def owned(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each phrase of a list: its place in the list, and each item that has it."""
+        size = self.first[phrases + 1] - self.first[phrases]
+        at = np.repeat(self.first[phrases] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(np.arange(phrases.size), size), self.owners[at]
 
 
 def shard_hits(words: np.ndarray, ends: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,49 +209,43 @@ def shard_hits(words: np.ndarray, ends: np.ndarray, phrases: Phrases) -> tuple[n
     return doc, word - np.concatenate([[0], ends])[doc], phrase
 
 
-def searcher(shared, first: bool, last: bool, shard_bytes: int):
-    """A pass over the documents for one block of phrases; the first makes, the last sums up the spans and items."""
+MET = "spans: array<int>, items: array<string>"
+VERDICT = f"n_words: long, n_hit: long, n_items: long, items_sha256: string, contaminated: boolean, {MET}"
 
-    def flush(rows: list, phrases: Phrases) -> pa.RecordBatch:
-        lists = [fold_words(r[1]) for r in rows]
-        ends = np.cumsum([len(x) for x in lists]).astype(np.int64)
-        get = phrases.vocab.get
-        words = np.fromiter((i for x in lists for i in map(get, x, repeat(0))), np.int64, int(ends[-1]))
-        doc, start, phrase = shard_hits(words, ends, phrases)
-        spans: list[list[int]] = [r[2] or [] for r in rows]
-        found: list[set[str]] = [set(r[3] or []) for r in rows]
-        order = np.lexsort((start, doc))
-        for d, s, p in zip(doc[order].tolist(), start[order].tolist(), phrase[order].tolist(), strict=True):
-            stop, own = s + int(phrases.lengths[p]), spans[d]
-            if own and own[-2] <= s <= own[-1]:
-                own[-1] = max(own[-1], stop)
-            else:
-                own += [s, stop]
-            found[d].update(phrases.items[p])
-        if not last:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["doc_id", "body", "spans", "items"])
-        spans = [merged(x) for x in spans]
-        hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-        size = [len(x) for x in lists]
-        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digest), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, size, strict=True)]), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
-        )
+
+def searcher(shared, into: str, keep: int, first: bool, last: bool, shard_bytes: int):
+    """A pass over the documents for one block of phrases; the first makes, the last sums up the spans and items.
+
+    Batches have ``keep`` columns that pass, then the text, then (but for the first) what was met so far.
+    """
+
+    def verdict(lists: list[list[bytes]], spans: list[list[int]], found: list[list[str]]) -> list[pa.Array]:
+        hit, size = [sum(x[1::2]) - sum(x[::2]) for x in spans], [len(x) for x in lists]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+        return [pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digest), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, size, strict=True)])]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, rows, held = shared.value, [], 0
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), byte_list(batch.column(1))
-            spans, items = ([None] * len(ids),) * 2 if first else (c.to_pylist() for c in batch.columns[2:])
-            for row in zip(ids, texts, spans, items, strict=True):
-                rows.append(row)
-                held += len(row[1] or b"")
-                if held >= shard_bytes or len(rows) >= 100_000:
-                    yield flush(rows, phrases)
-                    rows, held = [], 0
-        if rows:
-            yield flush(rows, phrases)
+        phrases = shared.value
+        get = phrases.vocab.get
+        for part, texts in text_groups(batches, keep, shard_bytes):
+            lists = [fold_words(t) for t in texts]
+            ends = np.cumsum([len(x) for x in lists]).astype(np.int64)
+            words = np.fromiter((i for x in lists for i in map(get, x, repeat(0))), np.int64, int(ends[-1]))
+            doc, start, phrase = shard_hits(words, ends, phrases)
+            met = [{"spans": [], "items": []}] * len(texts) if first else part.column(keep + 1).to_pylist()
+            spans, found = [list(x["spans"]) for x in met], [set(x["items"]) for x in met]
+            for d, s, e in zip(doc.tolist(), start.tolist(), (start + phrases.lengths[phrase]).tolist(), strict=True):
+                spans[d] += [s, e]
+            place, owner = phrases.owned(phrase)
+            for d, k in np.unique(np.stack([doc[place], owner]), axis=1).T.tolist():
+                found[d].add(phrases.names[k])
+            spans, found = [merged(x) for x in spans], [sorted(x) for x in found]
+            columns = [*([] if not last else verdict(lists, spans, found)), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
+            names = [x.split(":")[0] for x in (VERDICT if last else MET).split(", ")]
+            struct = pa.StructArray.from_arrays(columns, names=names)
+            passing = list(range(keep if last else keep + 1))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in passing), struct], names=[*(part.schema.names[k] for k in passing), into])
+        release()
 
     return search
 
@@ -256,29 +261,46 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): its contaminated spans of words, the items met, and the verdict.
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    return int((benchmark.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0) // block_bytes) + 1
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A phrase is ``window``
-    consecutive words of an item (item_id, text), or all words of a shorter one. ``contaminated`` when the hit words
-    are a twentieth of the document's words or more. Null and empty texts have no words; items with a null id
-    are left out; rows that repeat an item_id are one item; repeated documents each get their row. Other columns
-    are not read.
-    """
+
+def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], into: str, window: int, shard_bytes: int, block_bytes: int) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a struct ``into`` with the words, hits, items and verdict of each row."""
     spark = docs.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("body"))
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    final = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>"
+    usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = usable.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("body"))
+    blocks, text = item_blocks(usable, block_bytes), free_name(docs, "body")
+    now = docs.select(*keep, F.col("text").alias(text))
     for i in range(blocks):
+        first, last = i == 0, i == blocks - 1
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()
         phrases = Phrases([(r["item"], bytes(r["body"])) for r in block], window)
-        search = searcher(spark.sparkContext.broadcast(phrases), i == 0, i == blocks - 1, shard_bytes)
-        now = now.mapInArrow(search, final if i == blocks - 1 else "doc_id long, body binary, spans array<int>, items array<string>")
+        search = searcher(spark.sparkContext.broadcast(phrases), into, len(keep), first, last, shard_bytes)
+        passing = now.schema.fields[: len(keep) if last else len(keep) + 1]
+        now = now.mapInArrow(search, StructType([*passing, *StructType.fromDDL(f"`{into}` struct<{VERDICT if last else MET}>").fields]))
     return now
 
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): its contaminated spans of words, the items met, and the verdict.
+
+    Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A phrase is ``window``
+    consecutive words of an item (item_id, text), or all words of a shorter one. ``contaminated`` when the hit words
+    are a twentieth of the document's words or more. Null and empty texts have no words; items with a null id or text
+    are left out; rows that repeat an item_id are one item; repeated documents each get their row, and a null doc_id
+    stays null. Other columns are not read.
+    """
+    rows = searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"], "found", window, shard_bytes, block_bytes)
+    return rows.select("doc_id", "found.*")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns. Each row is judged on its own text."""
+    into = free_name(docs, "found")
+    return searched(docs, benchmark, docs.columns, into, window, SHARD_BYTES, BLOCK_BYTES).where(f"not `{into}`.contaminated").select(docs.columns)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
