@@ -1,7 +1,9 @@
 """A training-corpus pipeline: five stages from raw documents to packed sequences.
 
-Each stage takes ``(spark, docs, sf_dir)`` and works on everything the stage before kept. Rows with a null doc_id pass
-the filters on their own merits; rows that repeat a doc_id share the decisions made for it.
+Each stage takes ``(spark, docs, sf_dir)`` and works on everything the stage before kept. The rules and the
+decontamination judge each row on its own text, and no row is shuffled for that. Line and near-duplicate stages decide by
+doc_id: rows that repeat one share the decisions made for it, and a row with a null doc_id is left as it is. Any other
+columns of the input pass through all stages but the last, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -9,43 +11,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import table, written
-from hostlore.llm.decontaminate import find_contamination
-from hostlore.llm.fertility import apply_rules
-from hostlore.llm.line_dedup import dedup_lines
+from hostlore.llm.common import free_name, table, written
+from hostlore.llm.decontaminate import clean_documents
+from hostlore.llm.fertility import keep_good
+from hostlore.llm.line_dedup import without_repeated_lines
 from hostlore.llm.minhash import near_duplicates
 from hostlore.llm.packing import pack_documents
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id ``dropped`` has."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule or a fertility band rejects go."""
-    return without(docs, written(apply_rules(docs).where("not kept").select("doc_id"), "rejected"))
+    """Rows whose text a rule or a fertility band rejects go, null and empty texts among them."""
+    return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; texts and their lengths change, documents stay. A text that loses no line is as it was."""
-    lines = dedup_lines(docs)
-    changed = F.col("n_dropped") > 0
-    lines = lines.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    """Repeated lines go; texts and their lengths change, rows stay. A text that loses no line is as it was, null too."""
+    into = free_name(docs, "lines")
+    lines = without_repeated_lines(docs, into)
+    changed = F.col(f"{into}.n_dropped") > 0
+    new = {"text": F.when(changed, F.col(f"{into}.kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        lines = lines.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return lines.select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length(f"{into}.kept_text").cast(kind)).otherwise(F.col("n_chars"))
+    return lines.withColumns(new).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    return without(docs, written(near_duplicates(docs).where("not kept").select("doc_id"), "duplicates"))
+    """One document of each group of near duplicates stays, that with the smallest doc_id; null and empty texts stay."""
+    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of the benchmark go."""
-    return without(docs, written(find_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "contaminated"))
+    """Rows whose text holds passages of the benchmark go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import table
+from hostlore.llm.common import release, table
 from hostlore.llm.transducer import compiled
 
 VOCABULARY = "word_bpe_49k.json"
@@ -123,6 +123,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
         packer.finish()
         if packer.rows:
             yield flush()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, ", ".join(f"`{x}` long" for x in FIELDS))
 

@@ -8,31 +8,42 @@ Two deterministic machines follow one another.
 * The *merger* reads the bytes of a piece. Each transition carries the change in the number of tokens of the piece
   so far, and each state knows the last token. What comes after a prefix depends only on its *live starts*: the
   places from which a token may still be open, with the token before each. These are the states, made when first
-  met and kept in one transition table per process.
+  met. Pieces longer than ``CHUNK`` are read in chunks: a chunk's map takes the states it may be entered in to the
+  state it is left in and the tokens counted between, and the maps compose by the same prefix scan. As the states are not
+  all known beforehand, a map begins with the start state and gets the states that the chunk before turns out to leave
+  behind, until the scan finds every entry; a chunk that forgets how it was entered needs two.
 
 That is exact for byte-pair encoding: leaving off the last token of an encoding leaves the encoding of the rest, and
 a row of tokens is an encoding if each adjacent pair is (no merge crosses a boundary before both sides are done).
 
-Texts with characters from U+0250 on, or with strings of special tokens, go to the ``tokenizers`` library itself.
+The classes of characters from U+0250 on are asked of the vocabulary's own pattern, a block of 256 when first met, and where
+the vocabulary has a normaliser, texts with such characters pass it first. Only texts with strings of special tokens go
+to the ``tokenizers`` library as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 LIMIT = 0x250
-RESET, PAD = LIMIT, LIMIT + 1
+#: Surrogates, which no text has: one follows each text and resets the splitter.
+RESET, PAD = 0xD800, 0xD801
+TOP = 0x110000
+UNKNOWN = 255
 KINDS = ("L", "N", "S", "W", "O", "Q", "s", "r", "v", "l", "e", "R", "P")
 BLANK = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
 LANES = 2048
-MAX_STATES = 400_000
+CHUNK = 256
+#: At about 0.6 KB a state with a hundred classes of bytes.
+MAX_STATES = 200_000
 #: Texts are read in batches of so many characters, longer ones in parts of about this size.
-BATCH_CHARS = 3 << 20
+BATCH_CHARS = 1 << 20
 CUT = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -74,7 +85,13 @@ def kind_of(cp: int) -> str:
     return cat if cat in "LN" else "O"
 
 
-KIND = np.array([KINDS.index(kind_of(cp)) for cp in range(LIMIT)] + [KINDS.index("R"), KINDS.index("P")], np.uint8)
+def known_kinds() -> np.ndarray:
+    """A table over all code points, filled up to LIMIT and for RESET and PAD."""
+    out = np.full(TOP, UNKNOWN, np.uint8)
+    out[:LIMIT] = [KINDS.index(kind_of(cp)) for cp in range(LIMIT)]
+    out[[RESET, PAD]] = KINDS.index("R"), KINDS.index("P")
+    return out
+
 
 #: States of the splitter: nothing open, letters, digits, others, one blank, several blanks (last a space or not), an
 #: apostrophe that opened a piece, the same with r, v or l after it, a finished contraction.
@@ -159,6 +176,10 @@ def run_splitter(kinds: np.ndarray, nxt: np.ndarray, lanes: int = LANES) -> np.n
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
+#: A live start: node of the trie, token before it, tokens up to there less those of the whole prefix.
+LIVE = struct.Struct("<iii")
+
+
 class Merger:
     """The byte machine of a byte-pair vocabulary. Symbols are bytes, or 256 + byte for the last of a word."""
 
@@ -182,7 +203,6 @@ class Merger:
         #: The trie of tokens that are the encoding of their own spelling.
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
-        self.pairs: dict[int, bool] = {}
         self.length = np.zeros(max(spelled) + 1, np.int64)
         for token, spelling in spelled.items():
             self.length[token] = len(spelling)
@@ -201,9 +221,11 @@ class Merger:
         self.clear()
 
     def clear(self) -> None:
-        start = ((0, -1, 0),)
-        self.states: dict[tuple, int] = {start: 0}
-        self.keys: list[tuple] = [start]
+        """Forgets all states and what was found out about pairs of tokens."""
+        start = LIVE.pack(0, -1, 0)
+        self.pairs: dict[int, bool] = {}
+        self.states: dict[bytes, int] = {start: 0}
+        self.keys: list[bytes] = [start]
         self.last = np.full(1024, -1, np.int64)
         self.table = np.full((1024, max(32, self.n_classes)), -1, np.int32)
 
@@ -239,10 +261,10 @@ class Merger:
             known = self.pairs[key] = self.crosses(a, b) < 0
         return known
 
-    def step(self, state: int, symbol: int) -> tuple[tuple, int, int]:
+    def step(self, state: int, symbol: int) -> tuple[bytes, int, int]:
         """The next state's key, the change of the count, the last token."""
         live, found = [], None
-        for node, before, count in self.keys[state]:
+        for node, before, count in LIVE.iter_unpack(self.keys[state]):
             if (to := self.child[node].get(symbol)) is None:
                 continue
             token = self.token[to]
@@ -253,7 +275,7 @@ class Merger:
         if found is None:
             raise ValueError(f"no token for byte {symbol}")
         token, change = found
-        return (*((n, b, c - change) for n, b, c in live), (0, token, 0)), change, token
+        return b"".join([*(LIVE.pack(n, b, c - change) for n, b, c in live), LIVE.pack(0, token, 0)]), change, token
 
     def grow(self, states: np.ndarray, symbols: np.ndarray) -> None:
         """Makes the transitions of distinct (state, symbol) pairs."""
@@ -269,20 +291,18 @@ class Merger:
             if to == len(self.keys):
                 self.keys.append(key)
                 if to == len(self.table):
-                    self.table = np.vstack([self.table, np.full_like(self.table, -1)])
-                    self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
+                    more_rows = min(len(self.table), 1 << 15)
+                    self.table = np.vstack([self.table, np.full((more_rows, self.table.shape[1]), -1, np.int32)])
+                    self.last = np.concatenate([self.last, np.full(more_rows, -1, np.int64)])
                 self.last[to] = token
             self.table[state, self.classes[symbol]] = to << 8 | (change + 128)
 
-    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Tokens of each piece, all pieces in step; with ``keep`` the last token after every symbol."""
-        if len(self.keys) > MAX_STATES:
-            self.clear()
+    def lockstep(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entered: np.ndarray, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The state in which each chunk is left and the tokens counted in it; ``tokens`` gets the last one at every symbol."""
         order = np.argsort(-lengths, kind="stable")
         start, size = starts[order], lengths[order]
         active = np.searchsorted(-size, -np.arange(1, (size[0] if size.size else 0) + 1), "right")
-        state, count = np.zeros(size.size, np.int64), np.zeros(size.size, np.int64)
-        tokens = np.empty(symbols.size, np.int32) if keep else None
+        state, count = entered[order].astype(np.int64), np.zeros(size.size, np.int64)
         for j, n in enumerate(active.tolist()):
             at = start[:n] + j
             now, s = state[:n], symbols[at]
@@ -293,10 +313,57 @@ class Merger:
                 go[miss] = self.table[now[miss], self.classes[s[miss]]]
             state[:n] = go >> 8
             count[:n] += (go & 255) - 128
-            if keep:
+            if tokens is not None:
                 tokens[at] = self.last[state[:n]]
-        out = np.empty_like(count)
-        out[order] = count
+        out, left = np.empty_like(count), np.empty_like(state)
+        out[order], left[order] = count, state
+        return left, out
+
+    def composed(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state each chunk is entered in and its tokens. ``first``: whether a chunk begins a piece.
+
+        Row r of ``enter``, ``leave`` and ``count`` is one entry of every chunk's map.
+        """
+        n = starts.size
+        enter = np.zeros((1, n), np.int64)
+        leave, count = (x[None] for x in self.lockstep(symbols, starts, lengths, enter[0]))
+        while True:
+            rows = len(enter)
+            # from the entry of a chunk to the entry of the next one; the last column stands for one not in its map yet
+            maps = np.full((n, rows + 1), rows, np.int64)
+            same = enter[None, :, 1:] == leave[:, None, :-1]
+            maps[:-1, :rows] = np.where(same.any(axis=1), same.argmax(axis=1), rows).T
+            maps[:-1][first[1:]] = 0
+            entry = np.concatenate([[0], scan(maps)[:-1, 0]])
+            if (entry < rows).all():
+                return enter[entry, np.arange(n)], count[entry, np.arange(n)]
+            guess = np.where(entry < rows, entry, rows - 1)
+            fresh = np.where(first, 0, np.roll(leave[guess, np.arange(n)], 1))
+            to, more = leave[0].copy(), count[0].copy()
+            todo = np.flatnonzero((enter != fresh).all(axis=0))
+            to[todo], more[todo] = self.lockstep(symbols, starts[todo], lengths[todo], fresh[todo])
+            fresh = np.where((enter != fresh).all(axis=0), fresh, 0)
+            enter, leave, count = np.vstack([enter, fresh]), np.vstack([leave, to]), np.vstack([count, more])
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens of each piece; with ``keep`` the last token after every symbol."""
+        if len(self.keys) > MAX_STATES:
+            self.clear()
+        tokens = np.empty(symbols.size, np.int32) if keep else None
+        long = np.flatnonzero(lengths > CHUNK)
+        out = np.zeros(lengths.size, np.int64)
+        short = np.flatnonzero(lengths <= CHUNK)
+        out[short] = self.lockstep(symbols, starts[short], lengths[short], np.zeros(short.size, np.int64), tokens)[1]
+        if long.size:
+            chunks = -(-lengths[long] // CHUNK)
+            piece = np.repeat(np.arange(long.size), chunks)
+            number = np.arange(piece.size) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            start = starts[long][piece] + number * CHUNK
+            size = np.minimum(CHUNK, lengths[long][piece] - number * CHUNK)
+            enter, count = self.composed(symbols, start, size, number == 0)
+            out[long] = np.bincount(piece, count, long.size).astype(np.int64)
+            if keep:
+                self.lockstep(symbols, start, size, enter, tokens)
         return out, tokens
 
 
@@ -323,40 +390,70 @@ class Compiled:
         self.words = bool(end)
         self.nxt, self.mark = splitter(self.words)
         self.merger = Merger(spec["model"]["vocab"], spec["model"]["merges"], end)
-        cp = np.arange(LIMIT + 2)
+        self.kind = known_kinds()
+        self.asked = np.arange(TOP >> 8) < LIMIT >> 8
+        self.lower = np.arange(TOP, dtype=np.int32)
         if self.words:
             lower = [chr(c).lower() for c in range(LIMIT)]
-            self.lower = np.array([ord(x) if len(x) == 1 and ord(x) < LIMIT else -1 for x in lower] + [RESET, PAD])
-        else:
-            self.lower = cp
+            self.lower[:LIMIT] = [ord(x) if len(x) == 1 and ord(x) < LIMIT else -1 for x in lower]
         self.odd = {chr(c) for c in range(LIMIT) if self.lower[c] < 0}
 
-    def plain(self, text: str) -> bool:
-        """Whether the machines take the text."""
-        return (text.isascii() or max(text) < chr(LIMIT) and not (self.odd and self.odd.intersection(text))) and not ("<|" in text and any(s in text for s in self.special))
+    def special_in(self, text: str) -> bool:
+        return "<|" in text and any(s in text for s in self.special)
+
+    def normal(self, text: str) -> str:
+        """What the splitter reads: the vocabulary's normaliser is asked where lower case alone would not do."""
+        if not self.words or text.isascii() or max(text) < chr(LIMIT) and not self.odd.intersection(text):
+            return text
+        return self.library.normalizer.normalize_str(text)
+
+    def ask(self, block: int) -> None:
+        """The kinds of 256 characters, from where the vocabulary's pattern cuts each in a row of two."""
+        for cp in range(block << 8, block + 1 << 8):
+            if self.kind[cp] == UNKNOWN and not 0xD800 <= cp < 0xE000:
+                cuts = [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(f"a{chr(cp)}{chr(cp)}1")]
+                if cuts[0] == (0, 3):
+                    kind = "L"
+                elif cuts[1] == (1, 3):
+                    kind = "O"
+                elif self.words:
+                    kind = "W" if len(cuts) == 2 else "N"
+                else:
+                    kind = "N" if cuts[1] == (1, 4) else "W"
+                self.kind[cp] = KINDS.index(kind)
+        self.asked[block] = True
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, then start, length and text number of each piece."""
-        # the first character past the limit follows each text and resets the splitter
-        joined = np.frombuffer(chr(LIMIT).join([*texts, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        joined = np.frombuffer(chr(RESET).join([*map(self.normal, texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         joined = self.lower[joined]
-        kinds = KIND[joined]
+        kinds = self.kind[joined]
+        if (unknown := kinds == UNKNOWN).any():
+            for block in np.unique(joined[unknown] >> 8).tolist():
+                self.ask(block)
+            kinds = self.kind[joined]
         mark = self.mark[run_splitter(kinds, self.nxt), kinds]
         begins = (mark & NOW) > 0
         begins[:-1] |= (mark[1:] & LATE) > 0
-        width = np.where(joined < 128, 1, np.where(joined < RESET, 2, 0))
+        reset = joined == RESET
+        width = np.where(joined < 0x80, 1, np.where(joined < 0x800, 2, np.where(joined < 0x10000, 3, 4)))
+        width[reset] = 0
         at = np.cumsum(width) - width
         symbols = np.empty(int(width.sum()), np.int64)
-        one, two = width == 1, width == 2
-        symbols[at[one]] = joined[one]
-        symbols[at[two]], symbols[at[two] + 1] = 0xC0 | joined[two] >> 6, 0x80 | joined[two] & 63
+        for n, lead in ((1, 0), (2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            own = np.flatnonzero(width == n)
+            if own.size:
+                cp, to = joined[own], at[own]
+                symbols[to] = lead | cp >> 6 * (n - 1)
+                for k in range(1, n):
+                    symbols[to + k] = 0x80 | cp >> 6 * (n - 1 - k) & 63
         first = np.flatnonzero(begins)
-        drop = joined[first] == RESET
+        drop = reset[first]
         if self.words:
             drop |= np.isin(kinds[first], (KINDS.index("S"), KINDS.index("W")))
         start = at[first]
         length = np.diff(np.concatenate([start, [symbols.size]]))
-        doc = np.cumsum(joined == RESET)[first]
+        doc = np.cumsum(reset)[first]
         start, length, doc = start[~drop], length[~drop], doc[~drop]
         if self.words and start.size:
             symbols[start + length - 1] += 256
@@ -379,7 +476,7 @@ class Compiled:
 
     def batch_counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        plain = [i for i, t in enumerate(texts) if t and self.plain(t)]
+        plain = [i for i, t in enumerate(texts) if t and not self.special_in(t)]
         if plain:
             symbols, start, length, doc = self.pieces([texts[i] for i in plain])
             count, _ = self.merger.run(symbols, start, length, False)
@@ -391,7 +488,7 @@ class Compiled:
 
     def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t and self.plain(t)]
+        plain = [i for i, t in enumerate(texts) if t and not self.special_in(t)]
         if plain:
             symbols, start, length, doc = self.pieces([texts[i] for i in plain])
             count, last = self.merger.run(symbols, start, length, True)

@@ -41,9 +41,27 @@ def test_stages_take_effect(spark):
         assert all(zlib.crc32(tokens[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in own)
 
 
-def test_nulls_pass_through(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
-    odd = docs.limit(1).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "lang", "source", "n_chars")
-    for _, stage in cp.STAGES:
-        assert stage(spark, docs.limit(0), SF).count() == 0
-    assert cp.line_dedup(spark, docs.unionByName(odd), SF).count() == 6
+def test_odd_rows_and_names(spark):
+    """Null ids and texts, repeated ids and rows, columns named like those made inside: what each stage does with them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = cp.quality_rules(spark, docs, SF).first().text
+    rows = [(None, good), (None, "two words"), (None, None), (10**9, good), (10**9, "short"), (10**9 + 1, good), (10**9 + 1, good)]
+    names = ["rules", "bands", "lines", "found", "body", "kept_text", "n_lines", "n_dropped", "kept", "component_id"]
+    odd = spark.createDataFrame([(i, t, "en", "x", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, k int")
+    both = docs.selectExpr("*", "-1 k").unionByName(odd)
+    both = both.selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    left = [set(range(7)), {0, 3, 5, 6}, {0, 3, 5, 6}, {0}, {0}]
+    for (_, stage), want in zip(cp.STAGES[:-1], left[1:], strict=True):
+        both = cp.written(stage(spark, both, SF), "odd")
+        assert both.columns == [*docs.columns, "k", *names]
+        got = both.where("k >= 0").collect()
+        assert {r.k for r in got} <= want if stage is cp.near_dedup else {r.k for r in got} == want
+        assert all(r[n] == n for r in got for n in names)
+    packed = cp.packing(spark, both, SF)
+    assert packed.where("doc_id is null").count() >= 1
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

@@ -51,6 +51,49 @@ def test_table_starts_anew(monkeypatch):
     assert [int(machine.counts([t])[0]) for t in texts] == want
 
 
+def all_unicode(n: int) -> list[str]:
+    """Texts over all planes, in runs of one script, with what joins and cuts pieces between."""
+    rng = random.Random(9)
+    ranges = [(0x400, 0x530), (0x370, 0x400), (0x590, 0x700), (0x900, 0xA00), (0xE00, 0xE80), (0x300, 0x370), (0x2000, 0x2070), (0x2010, 0x2030), (0x3000, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0xFF00, 0xFFEF), (0x1F300, 0x1F700), (0x1D400, 0x1D800), (0x10400, 0x10450), (0x20000, 0x20100), (0x660, 0x66A), (0xE000, 0xE010), (0x250, 0xD800), (0xE000, 0x110000)]
+    out = []
+    for _ in range(n):
+        text = ""
+        for _ in range(rng.randint(1, 12)):
+            lo, hi = rng.choice(ranges)
+            text += "".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(1, 6))) + rng.choice(["", " ", "  ", "'s", "\n", "a", "1", "!", "\u2019s", "\u3000"])
+        out.append(text)
+    return [*out, "Привет, мир — это «текст»", "日本語のテキスト。", "naïve café — “quotes” … 👩‍👩‍👧", "İstanbul ΑΣ", "e\u0301 A\u030a"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_all_of_unicode_without_the_library(name):
+    machine = transducer.Compiled(public_tokenizers.path(name))
+    texts = all_unicode(600)
+    want = [e.ids for e in machine.library.encode_batch(texts, add_special_tokens=False)]
+
+    class Only:
+        """The vocabulary's pattern and normaliser, and nothing that encodes."""
+
+        pre_tokenizer, normalizer = machine.library.pre_tokenizer, machine.library.normalizer
+
+    machine.library = Only
+    assert [x.tolist() for x in machine.ids(texts)] == want
+    assert machine.counts(texts).tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("chunk", [1, 3, 8, 256])
+def test_counting_maps_compose(monkeypatch, name, chunk):
+    """Long pieces in chunks, some of which remember for long how they were entered."""
+    monkeypatch.setattr(transducer, "CHUNK", chunk)
+    machine = transducer.Compiled(public_tokenizers.path(name))
+    rng = random.Random(1)
+    texts = ["a" * 700, "ab" * 300, "x" * 1001 + " y", "".join(rng.choices("abcdefgh", k=900)), "internationalization" * 40, "=" * 333, "-=" * 200, "日" * 200, "é" * 333, "", "short words here"]
+    want = [e.ids for e in machine.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in machine.ids(texts)] == want
+    assert machine.counts(texts).tolist() == [len(x) for x in want]
+
+
 def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(transducer, "BATCH_CHARS", 100)
     machine = transducer.Compiled(public_tokenizers.path("word_bpe_49k.json"))
