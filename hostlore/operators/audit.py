@@ -7,34 +7,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Statuses, and the facts and reasons of each kind of evidence.
 STATUSES = ("success", "partial", "permission_denied", "unsupported", "transient_failure", "invalid_data")
 FACTS = {"service_change": ["service_failed", "service_inactive", "service_deactivating", "service_removed", "unknown"], "journal_event": ["journal_unit_event", "unknown"], "process_change": ["process_exited", "process_started", "process_identity_changed", "unknown"]}
 REASONS = {"service_change": "service_change_anchor", "journal_event": "service_unit_match", "process_change": "explicit_process_association"}
 
 
-def tally(rules: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in rules.items()])
-
-
 def count_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """All rules of one table in one pass."""
     counts = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in rules.items()))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in rules))).alias("x")).select("x.*")
 
 
-def repeated(df: DataFrame, *key: str) -> DataFrame:
-    return df.groupBy(*key).count().where("count > 1")
+def table_rules(df: DataFrame, name: str, key: list[str], domains: dict[str, Column], parents: DataFrame | None = None) -> DataFrame:
+    """Repeated keys, rows out of domain and, with ``parents``, rows without one: one pass of a table."""
+    orphan = F.lit(False)
+    if parents is not None:
+        df = df.join(parents.select("host_id", "snapshot_id", F.lit(True).alias("_known")), ["host_id", "snapshot_id"], "left")
+        orphan = F.col("_known").isNull()
+    broken = {**domains, f"{name}_orphans": orphan} if parents is not None else domains
+    per = df.groupBy(*key).agg(F.count("*").alias("_n"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in broken.items()))
+    counts = per.agg(F.count_if(F.col("_n") > 1).alias(f"{name}_key"), *(F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in broken))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in counts.columns))).alias("x")).select("x.*")
 
 
 def audit_constraints(snapshots: DataFrame, results: DataFrame, services: DataFrame, processes: DataFrame, network: DataFrame, events: DataFrame) -> DataFrame:
     """Keys, references and domains of the stored tables."""
-    key = ["host_id", "snapshot_id"]
-    orphan = lambda df: df.join(snapshots.select(*key), key, "left_anti")
-    return tally({
-        "snapshot_key": repeated(snapshots, *key), "result_key": repeated(results, *key, "collector_name"), "service_key": repeated(services, *key, "name"), "process_key": repeated(processes, *key, "pid"), "interface_key": repeated(network, *key, "interface"), "event_key": repeated(events, "host_id", "cursor"),
-        "service_orphans": orphan(services), "process_orphans": orphan(processes), "network_orphans": orphan(network), "result_orphans": orphan(results),
-        "status_domain": results.where(~F.col("status").isin(*STATUSES)), "priority_domain": events.where("priority < 0 or priority > 7"), "counter_domain": network.where("receive_bytes < 0 or transmit_bytes < 0"), "process_domain": processes.where("pid <= 0 or threads < 1"),
-    })
+    key, parents = ["host_id", "snapshot_id"], snapshots.select("host_id", "snapshot_id").distinct()
+    tables = [
+        table_rules(snapshots, "snapshot", key, {}),
+        table_rules(results, "result", [*key, "collector_name"], {"status_domain": ~F.col("status").isin(*STATUSES)}, parents),
+        table_rules(services, "service", [*key, "name"], {}, parents),
+        table_rules(processes, "process", [*key, "pid"], {"process_domain": (F.col("pid") <= 0) | (F.col("threads") < 1)}, parents),
+        table_rules(network, "network", [*key, "interface"], {"counter_domain": (F.col("receive_bytes") < 0) | (F.col("transmit_bytes") < 0)}, parents),
+        table_rules(events, "event", ["host_id", "cursor"], {"priority_domain": (F.col("priority") < 0) | (F.col("priority") > 7)}),
+    ]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def audit_incidents(incidents: DataFrame, evidence: DataFrame, most: int = 128) -> DataFrame:

@@ -15,7 +15,7 @@ from hostlore.operators.temporal import TICKS
 
 KEY = ["host_id", "snapshot_id"]
 MEMORY = {"MemTotal": "total_bytes", "MemAvailable": "available_bytes", "MemFree": "free_bytes", "Buffers": "buffers_bytes", "Cached": "cached_bytes", "SwapTotal": "swap_total_bytes", "SwapFree": "swap_free_bytes"}
-#: Columns of /proc/net/dev by field number.
+#: Columns of /proc/net/dev by field number.
 NETWORK = {0: "receive_bytes", 8: "transmit_bytes", 1: "receive_packets", 9: "transmit_packets", 2: "receive_errors", 10: "transmit_errors", 3: "receive_drops", 11: "transmit_drops"}
 COMMAND_CHARS = 1024
 MAX_CURSOR_BYTES = 1024
@@ -137,24 +137,43 @@ def parse_journal(records: DataFrame) -> DataFrame:
         "boot_id": some("boot_id"), "warnings": F.concat(*(clean[n][1] for n in names))}))
 
 
-def collection_status(parsed: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Status per snapshot of a parsed capture: success when every row is valid, else invalid_data.
+def collection_status(captures: DataFrame, parsed: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """Status per snapshot of a parsed capture: success when every row is valid, also of a capture without rows; else invalid_data.
 
-    ``failures`` (host_id, snapshot_id, source_status) names captures that couldn't be read: permission_denied stays, anything
-    else is transient_failure.
+    ``captures`` (host_id, snapshot_id): all that were made. ``failures`` (host_id, snapshot_id, source_status) names those that
+    couldn't be read: permission_denied stays, anything else is transient_failure.
     """
-    rows = parsed.groupBy(*KEY).agg(F.every("valid").alias("ok")).select(*KEY, F.when(F.col("ok"), "success").otherwise("invalid_data").alias("status"))
+    rows = captures.select(*KEY).distinct().join(parsed.groupBy(*KEY).agg(F.every("valid").alias("ok")), KEY, "left")
+    rows = rows.select(*KEY, F.when(F.coalesce("ok", F.lit(True)), "success").otherwise("invalid_data").alias("status"))
     if failures is None:
         return rows
     bad = failures.select(*KEY, F.when(F.col("source_status") == "permission_denied", "permission_denied").otherwise("transient_failure").alias("failed"))
     return rows.join(bad, KEY, "full_outer").select(*KEY, F.coalesce("failed", "status").alias("status"))
 
 
-def process_status(parsed: DataFrame) -> DataFrame:
-    """Processes are tolerant: a bad one is skipped with a warning and makes the collection partial."""
-    warning = F.when(~F.col("valid"), F.concat(F.lit("process "), F.col("pid").cast("string"), F.lit(" returned malformed data")))
-    rows = parsed.groupBy(*KEY).agg(F.count_if("valid").alias("n_valid"), F.array_sort(F.collect_list(warning)).alias("warnings"))
-    return rows.withColumn("status", F.when(F.size("warnings") > 0, "partial").otherwise("success"))
+#: Why a process could not be read, and what the warning says; fixed values.
+UNREADABLE = {"malformed": "returned malformed data", "vanished": "disappeared during collection", "inaccessible": "was inaccessible"}
+
+
+def process_status(parsed: DataFrame, unreadable: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Processes are tolerant: a bad one is skipped with a warning and makes the collection partial.
+
+    ``unreadable`` (host_id, snapshot_id, pid, problem): processes that vanished or were inaccessible. With ``limit``, only so
+    many of the lowest pids are looked at, and one more makes the collection partial as well.
+    """
+    rows = parsed.select(*KEY, "pid", F.when(~F.col("valid"), "malformed").alias("problem"))
+    if unreadable is not None:
+        rows = rows.unionByName(unreadable.select(*KEY, "pid", "problem"))
+    if limit is not None:
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("pid")))
+    place = F.col("place") if limit is not None else F.lit(0)
+    seen = F.lit(True) if limit is None else place <= limit
+    text = F.element_at(F.create_map(*(F.lit(x) for pair in UNREADABLE.items() for x in pair)), F.col("problem"))
+    warning = F.when(seen & F.col("problem").isNotNull(), F.concat(F.lit("process "), F.col("pid").cast("string"), F.lit(" "), text))
+    if limit is not None:
+        warning = F.when(place == limit + 1, F.lit(f"process observation limit reached ({limit})")).otherwise(warning)
+    out = rows.groupBy(*KEY).agg(F.count_if(seen & F.col("problem").isNull()).alias("n_valid"), F.array_sort(F.collect_list(warning)).alias("warnings"))
+    return out.withColumn("status", F.when(F.size("warnings") > 0, "partial").otherwise("success"))
 
 
 def lowest_pids(processes: DataFrame, most: int) -> DataFrame:
@@ -163,24 +182,35 @@ def lowest_pids(processes: DataFrame, most: int) -> DataFrame:
     return processes.withColumns({"place": F.row_number().over(w.orderBy("pid")), "limited": F.count("*").over(w) > most}).where(F.col("place") <= most).drop("place")
 
 
-def accept_pages(records: DataFrame, saved: DataFrame, limit: int) -> DataFrame:
+def accept_pages(records: DataFrame, saved: DataFrame, limit: int, pages: DataFrame | None = None) -> DataFrame:
     """Per page (host_id, page): outcome, accepted records and next cursor. Records: (host_id, page, pos, cursor, valid).
 
     Where a cursor is saved (host_id, page, saved), the page must begin with it. A malformed record or a repeated cursor
-    refuses the page; more than ``limit`` records make it partial.
+    refuses the page; more than ``limit`` records, or one with ``warned`` (if there is such a column), make it partial.
+    ``pages`` (host_id, page) names all that were read: one without records is a success, but not under a saved cursor.
     """
-    w = Window.partitionBy("host_id", "page")
-    rows = records.join(saved, ["host_id", "page"], "left").withColumn("rank", F.row_number().over(w.orderBy("pos")))
-    agg = rows.groupBy("host_id", "page").agg(
-        F.max("saved").alias("saved"), F.max(F.when(F.col("rank") == 1, F.col("cursor"))).alias("first"), F.every("valid").alias("ok"), F.count("*").alias("n"), F.countDistinct("cursor").alias("distinct"),
-        F.max(F.when(F.col("rank") == limit, F.col("cursor"))).alias("at_limit"), F.max(F.when(F.col("rank") == limit + 1, F.col("cursor"))).alias("at_limit_1"), F.max_by("cursor", "rank").alias("last"),
+    key = ["host_id", "page"]
+    w = Window.partitionBy(*key)
+    if "warned" not in records.columns:
+        records = records.withColumn("warned", F.lit(False))
+    rows = records.join(saved, key, "left").withColumn("rank", F.row_number().over(w.orderBy("pos")))
+    skipped = F.when(F.col("saved").isNotNull(), 1).otherwise(0)
+    taken = (F.col("rank") > skipped) & (F.col("rank") <= skipped + limit)
+    agg = rows.groupBy(*key).agg(
+        F.max(F.when(F.col("rank") == 1, F.col("cursor"))).alias("first"), F.every("valid").alias("ok"), F.count("*").alias("n"), F.countDistinct("cursor").alias("distinct"), F.max(taken & F.col("warned")).alias("warned"),
+        F.max(F.when(F.col("rank") == skipped + limit, F.col("cursor"))).alias("at_limit"), F.max_by("cursor", "rank").alias("last"),
+    )
+    every = (agg if pages is None else pages).select(*key).distinct()
+    out = every.join(agg, key, "left").join(saved, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "distinct": F.coalesce("distinct", F.lit(0)), "ok": F.coalesce("ok", F.lit(True))})
+    more = F.col("n") - skipped > limit
+    outcome = (
+        F.when(~F.col("ok"), "journal_invalid").when(F.col("saved").isNotNull() & ~F.col("first").eqNullSafe(F.col("saved")), "journal_cursor_invalidated").when(F.col("distinct") < F.col("n"), "journal_duplicate_cursor")
+        .when(more | F.coalesce("warned", F.lit(False)), "partial").otherwise("success")
     )
-    skip = F.when(F.col("saved").isNotNull(), 1).otherwise(0)
-    outcome = F.when(~F.col("ok"), "journal_invalid").when(F.col("saved").isNotNull() & ~F.col("first").eqNullSafe(F.col("saved")), "journal_cursor_invalidated").when(F.col("distinct") < F.col("n"), "journal_duplicate_cursor").when(F.col("n") - skip > limit, "partial").otherwise("success")
-    out = agg.withColumn("outcome", outcome)
+    out = out.withColumn("outcome", outcome)
     fine = F.col("outcome").isin("partial", "success")
-    end = F.when(F.col("outcome") == "partial", F.when(F.col("saved").isNotNull(), F.col("at_limit_1")).otherwise(F.col("at_limit"))).otherwise(F.col("last"))
-    return out.select("host_id", "page", "outcome", F.when(fine, F.least(F.col("n") - skip, F.lit(limit))).otherwise(0).alias("accepted"), F.when(fine, end).otherwise(F.col("saved")).alias("next_cursor"))
+    end = F.coalesce(F.when(more, F.col("at_limit")).otherwise(F.col("last")), F.col("saved"))
+    return out.select(*key, "outcome", F.when(fine, F.least(F.col("n") - skipped, F.lit(limit))).otherwise(0).alias("accepted"), F.when(fine, end).otherwise(F.col("saved")).alias("next_cursor"))
 
 
 def assemble_snapshots(snapshots: DataFrame, statuses: DataFrame, **tables: DataFrame) -> DataFrame:

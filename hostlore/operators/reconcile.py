@@ -108,8 +108,6 @@ def resolve(incidents: DataFrame, subjects: DataFrame, candidates: DataFrame) ->
 
 
 def result(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Sorted candidate ids and resolved ids of each host."""
-    a = candidates.groupBy("host_id").agg(F.array_sort(F.collect_set("incident_id")).alias("candidate_ids"))
-    b = resolved.where("now_resolved").groupBy("host_id").agg(F.array_sort(F.collect_set("incident_id")).alias("resolved_ids"))
-    none = F.array().cast("array<string>")
-    return a.join(b, "host_id", "full_outer").select("host_id", F.coalesce("candidate_ids", none).alias("candidate_ids"), F.coalesce("resolved_ids", none).alias("resolved_ids"))
+    """(host_id, incident_id, outcome): the candidates that were reconciled and the incidents that were resolved, once each."""
+    a = candidates.select("host_id", "incident_id").distinct().withColumn("outcome", F.lit("reconciled"))
+    return a.unionByName(resolved.where("now_resolved").select("host_id", "incident_id").distinct().withColumn("outcome", F.lit("resolved")))

@@ -219,15 +219,19 @@ def oracles() -> dict[str, str]:
         "ingest_system": sql(f"SELECT host_id, snapshot_id, {ok17} AS valid, CASE WHEN {ok17} THEN snapshot_id + 0.25::DOUBLE END AS uptime_seconds FROM raw_uptime"),
         "ingest_disk": sql("SELECT host_id, snapshot_id, path, blocks * 4096 AS total_bytes, (blocks - available_blocks) * 4096 AS used_bytes, available_blocks * 4096 AS free_bytes FROM disk_observations"),
         "ingest_journal": sql("SELECT host_id, page, pos, ok AS valid, " + ", ".join(pick(v, "ok", c) for v, c in (("cursor", "cursor"), ("1700000000000000 + event_id", "at_us"), ("'journal'", "source"), ("priority", "priority"), ("unit", "unit"), ("pid", "pid"), ("CASE WHEN comm = 'view' THEN 'vi' ELSE 'ab' END", "comm"), ("comm || ' token=[REDACTED] end'", "message"), ("CAST(NULL AS VARCHAR)", "boot_id"), ("'message_redacted'", "warnings"))) + " FROM (SELECT *, event_id % 17 <> 0 AS ok FROM raw_journal)"),
-        "collection_status": sql("SELECT host_id, snapshot_id, CASE WHEN snapshot_id % 7 = 3 THEN CASE WHEN snapshot_id % 2 = 0 THEN 'permission_denied' ELSE 'transient_failure' END WHEN snapshot_id % 17 = 0 THEN 'invalid_data' ELSE 'success' END AS status FROM snapshots"),
-        "process_partial_status": sql("SELECT host_id, snapshot_id, count(*) FILTER (WHERE pid % 17 <> 1) AS n_valid, coalesce(string_agg('process ' || pid || ' returned malformed data', '|' ORDER BY 'process ' || pid || ' returned malformed data') FILTER (WHERE pid % 17 = 1), '') AS warnings, CASE WHEN bool_or(pid % 17 = 1) THEN 'partial' ELSE 'success' END AS status FROM process_observations GROUP BY host_id, snapshot_id"),
+        "collection_status": sql("SELECT host_id, snapshot_id, CASE WHEN snapshot_id % 7 = 3 THEN CASE WHEN snapshot_id % 2 = 0 THEN 'permission_denied' ELSE 'transient_failure' END WHEN snapshot_id % 17 = 0 AND snapshot_id % 9 <> 5 THEN 'invalid_data' ELSE 'success' END AS status FROM snapshots"),
+        "process_partial_status": sql("""SELECT host_id, snapshot_id, count(*) FILTER (WHERE k <= 20 AND problem IS NULL) AS n_valid,
+          coalesce(string_agg(w, '|' ORDER BY w), '') AS warnings, CASE WHEN count(w) > 0 THEN 'partial' ELSE 'success' END AS status
+          FROM (SELECT *, CASE WHEN k = 21 THEN 'process observation limit reached (20)' WHEN k <= 20 THEN 'process ' || pid || ' ' || problem END AS w
+            FROM (SELECT *, row_number() OVER (PARTITION BY host_id, snapshot_id ORDER BY pid) AS k, CASE WHEN pid % 13 = 5 THEN CASE WHEN pid % 2 = 0 THEN 'disappeared during collection' ELSE 'was inaccessible' END
+              WHEN pid % 17 = 1 THEN 'returned malformed data' END AS problem FROM process_observations)) GROUP BY host_id, snapshot_id"""),
         "process_topn_by_pid": sql("SELECT host_id, snapshot_id, pid, n > 3 AS limited FROM (SELECT *, count(*) OVER (PARTITION BY host_id, snapshot_id) AS n, row_number() OVER (PARTITION BY host_id, snapshot_id ORDER BY pid) AS k FROM process_observations) WHERE k <= 3"),
         "journal_page_accept": sql("""SELECT host_id, page, outcome, CAST(CASE WHEN outcome IN ('success', 'partial') THEN least(n - skip, 60) ELSE 0 END AS BIGINT) AS accepted,
-          CASE outcome WHEN 'partial' THEN CASE WHEN skip = 1 THEN all_c[61] ELSE all_c[60] END WHEN 'success' THEN all_c[n] ELSE saved END AS next_cursor
-          FROM (SELECT *, CASE WHEN bad THEN 'journal_invalid' WHEN page % 4 = 2 THEN 'journal_cursor_invalidated' WHEN n - skip > 60 THEN 'partial' ELSE 'success' END AS outcome
-            FROM (SELECT host_id, page, count(*) AS n, bool_or(event_id % 97 = 0) AS bad, CASE WHEN page % 2 = 0 THEN 1 ELSE 0 END AS skip, CASE WHEN page % 4 = 0 THEN min_by(cursor, pos) WHEN page % 4 = 2 THEN 'c-gone' END AS saved, list(cursor ORDER BY pos) AS all_c
+          CASE outcome WHEN 'partial' THEN CASE WHEN skip = 1 THEN all_c[61] ELSE all_c[60] END WHEN 'success' THEN CASE WHEN n > 0 THEN all_c[n] ELSE saved END ELSE saved END AS next_cursor
+          FROM (SELECT *, CASE WHEN bad AND n > 0 THEN 'journal_invalid' WHEN page % 4 = 2 OR skip = 1 AND n = 0 THEN 'journal_cursor_invalidated' WHEN n - skip > 60 THEN 'partial' ELSE 'success' END AS outcome
+            FROM (SELECT host_id, page, CASE WHEN page % 7 = 3 THEN 0 ELSE count(*) END AS n, bool_or(event_id % 97 = 0) AS bad, CASE WHEN page % 2 = 0 THEN 1 ELSE 0 END AS skip, CASE WHEN page % 4 = 0 THEN min_by(cursor, pos) WHEN page % 4 = 2 THEN 'c-gone' END AS saved, list(cursor ORDER BY pos) AS all_c
               FROM raw_journal GROUP BY host_id, page))"""),
-        "assemble_snapshot": sql(f"SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, (SELECT string_agg(collector_name || '=' || status, '|' ORDER BY collector_name) FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id) AS statuses, " + ", ".join(f"(SELECT count(*) FROM {n}_observations o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id) AS n_{p}" for n, p in (("service", "services"), ("process", "processes"), ("network", "network"))) + " FROM snapshots s"),
+        "assemble_snapshot": sql(f"SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, (SELECT string_agg(collector_name || '=' || status, '|' ORDER BY collector_name) FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id) AS statuses, " + ", ".join(f"(SELECT count(*) FROM {n}_observations o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id) AS n_{p}" for n, p in (("service", "services"), ("process", "processes"), ("network", "network"), ("cpu", "cpu"), ("memory", "memory"), ("disk", "disk"))) + " FROM snapshots s"),
         "events_append_new": sql(f"SELECT host_id, cursor, {fixed('observed_at', 'observed_at')} FROM journal_events WHERE snapshot_id > 15"),
         "journal_batch_gate": sql("""SELECT host_id, snapshot_id, reason IS NULL AS accepted, reason FROM (
           SELECT host_id, snapshot_id, CASE WHEN snapshot_id % 4 = 0 THEN 'checkpoint_changed' WHEN snapshot_id % 5 <> 0 AND snapshot_id % 3 = 0 THEN 'checkpoint_not_last_event'
@@ -284,8 +288,7 @@ def oracles() -> dict[str, str]:
         "evidence_cap": sql("SELECT host_id, incident_id, evidence_id, n > 3 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY host_id, incident_id) AS n, row_number() OVER (PARTITION BY host_id, incident_id, reason <> 'service_change_anchor' ORDER BY evidence_at DESC, kind DESC, evidence_id DESC) AS k FROM evidence) WHERE reason = 'service_change_anchor' OR k <= 2 OR n <= 3", CORR, most=6),
         "merge_limitations": sql("SELECT host_id, user_id, array_to_string(CASE WHEN len(u) <= 32 THEN u ELSE list_sort(list_append(u[1:31], 'quality_limitations_storage_limit_reached')) END, '|') AS limitations FROM (SELECT host_id, user_id, list_sort(list_distinct(list_concat(list('a' || event_id % 60), list('b' || event_id % 7)))) AS u FROM ev GROUP BY host_id, user_id)"),
         "reconcile_resolve": sql(f"SELECT host_id, incident_id, state, {fixed('last_observed_at', 'last_observed_at')}, now_resolved, problem FROM resolved", CORR),
-        "reconcile_result": sql("""SELECT h.host_id, sha256(coalesce(c, '')) AS candidates_sha256, CAST(coalesce(nc, 0) AS INT) AS n_candidates, CAST(coalesce(nr, 0) AS INT) AS n_resolved, sha256(coalesce(r, '')) AS resolved_sha256 FROM (SELECT DISTINCT host_id FROM snapshots) h
-          LEFT JOIN (SELECT host_id, string_agg(incident_id, '|' ORDER BY incident_id) AS c, count(*) AS nc FROM new_half GROUP BY host_id) USING (host_id) LEFT JOIN (SELECT host_id, string_agg(incident_id, '|' ORDER BY incident_id) AS r, count(*) AS nr FROM resolved WHERE now_resolved GROUP BY host_id) USING (host_id) WHERE nc > 0 OR nr > 0""", CORR),
+        "reconcile_result": sql("SELECT host_id, incident_id, 'reconciled' AS outcome FROM new_half UNION ALL SELECT host_id, incident_id, 'resolved' FROM resolved WHERE now_resolved", CORR),
         "diagnose": sql(f"SELECT host_id, incident_id, {D_STATE}, rule, {D_FACTS} FROM diag", CORR, DIAG),
         "incident_history": sql("SELECT host_id, incident_id, array_to_string(history, '|') AS history FROM hist", CORR, past(20)),
         "diagnosis_explanation": sql(f"SELECT host_id, incident_id, {D_TEXT} FROM diag", CORR, DIAG),
@@ -342,7 +345,7 @@ def oracles() -> dict[str, str]:
         "bounded_list": sql("SELECT host_id, user_id, array_to_string(CASE WHEN len(u) <= 32 THEN u ELSE list_sort(list_append(u[1:31], 'quality_limitations_truncated')) END, '|') AS bounded FROM (SELECT host_id, user_id, list_sort(list_distinct(list('w' || event_id % 90))) AS u FROM ev GROUP BY host_id, user_id)"),
         "valid_service_name": sql("SELECT event_id, event_id % 3 <> 0 AND event_id % 5 <> 0 AS ok FROM ev"),
         "parse_utc": sql("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN epoch_us(date_trunc('second', ts)) END AS us FROM ev"),
-        "audit_constraints": sql("SELECT rule, CAST(v AS BIGINT) AS violations FROM (VALUES " + ", ".join(f"('{r}', 0)" for r in ("snapshot_key", "result_key", "process_key", "interface_key", "event_key", "service_orphans", "process_orphans", "network_orphans", "result_orphans", "status_domain", "priority_domain", "process_domain")) + ") t(rule, v) UNION ALL SELECT 'counter_domain', count(*) FROM network_observations WHERE receive_bytes < 0 UNION ALL SELECT 'service_key', count(*) FROM service_observations WHERE snapshot_id = 3"),
+        "audit_constraints": sql("SELECT rule, CAST(v AS BIGINT) AS violations FROM (VALUES " + ", ".join(f"('{r}', 0)" for r in ("snapshot_key", "result_key", "process_key", "network_key", "event_key", "service_orphans", "process_orphans", "network_orphans", "result_orphans", "status_domain", "priority_domain", "process_domain")) + ") t(rule, v) UNION ALL SELECT 'counter_domain', count(*) FROM network_observations WHERE receive_bytes < 0 UNION ALL SELECT 'service_key', count(*) FROM service_observations WHERE snapshot_id = 3"),
         "audit_incidents": sql("SELECT rule, CAST(v AS BIGINT) AS violations FROM (VALUES " + ", ".join(f"('{r}', 0)" for r in ("one_anchor", "starts_at_anchor", "two_kinds", "evidence_bound", "unique_evidence", "resolved_in_order", "resolved_state", "id_shape", "limitations_sorted", "limitations_bound", "kind_reason_fact", "summary_bound")) + ") t(rule, v) UNION ALL SELECT 'no_later_evidence', count(*) FROM candidates WHERE subject_id LIKE 'svc-1%' AND last_observed_at > started_at", CORR),
         "audit_collections": sql("SELECT 'status_known' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'has_time', 0 UNION ALL SELECT 'duration_positive', count(*) FROM collection_results WHERE snapshot_id % 4 = 0 OR snapshot_id < 3"),
         "audit_reports": "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('history_bound'), ('history_unique'), ('provenance'), ('facts'), ('explanation'), ('limits_bound'), ('counts_positive'), ('cycle_limits_sorted')) t(rule)",

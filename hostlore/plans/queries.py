@@ -160,12 +160,16 @@ def ingest_journal(x):
 @query
 def collection_status(x):
     denied = x.snapshots.where("snapshot_id % 7 = 3").select("host_id", "snapshot_id", F.when(F.col("snapshot_id") % 2 == 0, "permission_denied").otherwise("vanished").alias("source_status"))
-    return ingest.collection_status(ingest.parse_cpu(x.raw("raw_cpu")), denied)
+    captures = x.raw("raw_cpu")
+    return ingest.collection_status(captures, ingest.parse_cpu(captures.where("snapshot_id % 9 <> 5")), denied)
 
 
 @query
 def process_partial_status(x):
-    return ingest.process_status(ingest.parse_processes(x.raw("raw_processes"))).select("host_id", "snapshot_id", "n_valid", j("warnings"), "status")
+    read, gone = F.col("pid") % 13 != 5, F.when(F.col("pid") % 2 == 0, "vanished").otherwise("inaccessible").alias("problem")
+    raw = x.raw("raw_processes")
+    out = ingest.process_status(ingest.parse_processes(raw.where(read)), raw.where(~read).select("host_id", "snapshot_id", "pid", gone), limit=20)
+    return out.select("host_id", "snapshot_id", "n_valid", j("warnings"), "status")
 
 
 @query
@@ -177,13 +181,14 @@ def process_topn_by_pid(x):
 def journal_page_accept(x):
     records = x.raw("raw_journal").select("host_id", "page", "pos", "cursor", (F.col("event_id") % 97 != 0).alias("valid"))
     saved = records.groupBy("host_id", "page").agg(F.min_by("cursor", "pos").alias("c")).where("page % 2 = 0").select("host_id", "page", F.when(F.col("page") % 4 == 0, F.col("c")).otherwise("c-gone").alias("saved"))
-    return ingest.accept_pages(records, saved, 60)
+    empty = F.col("page") % 7 == 3  # read, but without records
+    return ingest.accept_pages(records.where(~empty), saved, 60, records.select("host_id", "page"))
 
 
 @query
 def assemble_snapshot(x):
-    out = ingest.assemble_snapshots(x.snapshots, x.collection_results, services=x.service_observations, processes=x.process_observations, network=x.network_observations)
-    return out.select("host_id", "snapshot_id", t("observed_at"), F.array_join(F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("statuses"), "n_services", "n_processes", "n_network")
+    out = ingest.assemble_snapshots(x.snapshots, x.collection_results, services=x.service_observations, processes=x.process_observations, network=x.network_observations, cpu=x.cpu_observations, memory=x.memory_observations, disk=x.disk_observations)
+    return out.select("host_id", "snapshot_id", t("observed_at"), F.array_join(F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("statuses"), "n_services", "n_processes", "n_network", "n_cpu", "n_memory", "n_disk")
 
 
 # stored state
@@ -448,7 +453,7 @@ def reconcile_resolve(x):
 
 @query
 def reconcile_result(x):
-    return reconcile.result(x.halves(x.candidates())[1], x.resolved()).select("host_id", F.sha2(F.array_join("candidate_ids", "|"), 256).alias("candidates_sha256"), F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"), F.sha2(F.array_join("resolved_ids", "|"), 256).alias("resolved_sha256"))
+    return reconcile.result(x.halves(x.candidates())[1], x.resolved())
 
 
 # diagnosis
