@@ -15,8 +15,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds this share of the rows or more, so at most 1 / HOT_SHARE keys are hot.
+#: A key is hot when it holds this share of the rows or more, or so many rows; MOST_HOT bounds the number of hot keys.
 HOT_SHARE = 0.001
+HOT_ROWS = 1 << 20
+MOST_HOT = 1 << 18
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -70,12 +72,13 @@ def utf8(column: Column | str) -> Column:
 def join_weighted(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per ``key`` and in ``weight`` its number of left rows.
 
-    Keys that hold at least HOT_SHARE of all matching rows are at most 1 / HOT_SHARE in number, so their
-    rows of ``right`` are broadcast; the rest meets by an ordinary shuffle, in which no key is large.
-    ``right`` should be a written table, as it is read three times.
+    Keys with HOT_SHARE of all matching rows or HOT_ROWS rows, at most MOST_HOT in number, are hot: their rows of
+    ``right`` are broadcast. The rest meets by an ordinary shuffle, in which a key has fewer rows than that (or, where
+    there are over MOST_HOT * HOT_ROWS rows in all, than one in MOST_HOT). ``right`` should be a written table, as it is
+    read three times.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
-    bound = max(2, int(total * HOT_SHARE))
+    bound = max(2, int(min(total * HOT_SHARE, max(HOT_ROWS, total / MOST_HOT))))
     hot = right.where(F.col(weight) >= bound).drop(weight)
     cold = right.where(F.col(weight) < bound).drop(weight)
     return left.join(F.broadcast(hot), key).unionByName(left.join(cold, key))

@@ -3,15 +3,17 @@
 Every 50-byte string has one *anchor*: the smallest hashed 16-byte string in it (the first, if several). Equal strings
 have equal anchors, so strings that may repeat can be brought together without shipping all text:
 
-1. Bloom filters of once-seen and twice-seen anchors (fixed size) find the anchors that two documents share.
+1. Bloom filters of once-seen and twice-seen anchors find the anchors that two documents share. They have a bit for each
+   four bytes of text, between ``FILTER_BITS`` and ``MAX_FILTER_BITS``; a fuller filter sends more fragments and changes nothing.
 2. The strings with such an anchor lie in a *fragment* around it. A task settles fragments that repeat within it and
    sends one copy of the others to the bucket of the anchor. A passage in a third of all documents is one
    fragment a task, however many documents hold it. Fragments at its two edges differ, so those of a *hot* anchor (in
    ``HOT`` documents or more) are broken into their 50-byte strings, and each string goes to the bucket of its own hash.
-3. A bucket settles equal fragments and indexes the rest: suffix order, Burrows-Wheeler transform in runs, and the suffix
-   positions at the ends of the runs. Matching statistics are streamed along the text: only where a run begins is the match
-   with the suffix before compared byte by byte, elsewhere it is that of the position before less one. Neighbours
-   that match over 50 bytes have the same string, and the smallest document of each such row of neighbours keeps it.
+3. A bucket settles equal fragments and indexes the rest: the Burrows-Wheeler transform in runs, and where a run begins
+   the position in the text, its neighbour (the suffix before it in order) and how far both match. Text and suffix order
+   are then let go. Matching statistics are streamed along the text from these samples alone: one place on, the neighbour is
+   one place on as well and the match one byte shorter. Neighbours that match over 50 bytes have the same string; the
+   links to neighbours lead to the first of all that have it, and the smallest document among these keeps it.
 4. Covered spans go back to their documents, in groups by document.
 """
 
@@ -26,12 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, mix64, table, text_groups
+from hostlore.llm.common import byte_list, mix64, release, table, text_groups
 from hostlore.llm.line_dedup import SEGMENTS, merge_filters
 
 LENGTH = 50
 ANCHOR = 16
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 26
+MAX_FILTER_BITS = 1 << 29
 HASHES = 2
 #: Suffixes are sorted by so many bytes, which is more than LENGTH.
 DEPTH = 64
@@ -64,9 +67,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[at], at, np.concatenate([at[1:], [n]]) - 1
 
 
-def spots(hashes: np.ndarray) -> np.ndarray:
+def spots(hashes: np.ndarray, bits: int) -> np.ndarray:
     step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(FILTER_BITS - 1) for i in range(HASHES)]).astype(np.int64)
+    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
 
 
 def has_all(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,29 +118,35 @@ def merge_counted(hot: int):
     return merge
 
 
-def fill_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once, twice = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8)
-    any_row, often = False, [np.empty(0, OFTEN)]
-    for _, texts in text_groups(batches, 0):
-        own = [np.unique(anchors(np.frombuffer(t, np.uint8))[0]) for t in texts if len(t) >= LENGTH]
-        if own:
-            any_row = True
-            each, count = np.unique(np.concatenate(own), return_counts=True)
-            at = spots(each)
-            put(twice, at[:, (count > 1) | has_all(once, at)])
-            put(once, at)
-            often.append(counted(each[count >= LEAST], count[count >= LEAST]))
-    if any_row:
-        sums = summed(often)
-        pack = zstandard.ZstdCompressor(1).compress
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.array([pack(x.tobytes()) for x in np.split(f, SEGMENTS)], pa.binary()) for f in (once, twice)), pa.array([pack(sums[sums["anchor"] % SEGMENTS == k].tobytes()) for k in range(SEGMENTS)], pa.binary())], names=["segment", "once", "twice", "often"])
-
-
-def shared_anchors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of anchors that two documents may share (FILTER_BITS / 8 bytes on the driver), and the hot anchors."""
-    filled = docs.select("text").mapInArrow(fill_filters, "segment int, once binary, twice binary, often binary")
+def fill_filters(bits: int):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        any_row, often = False, [np.empty(0, OFTEN)]
+        for _, texts in text_groups(batches, 0):
+            own = [np.unique(anchors(np.frombuffer(t, np.uint8))[0]) for t in texts if len(t) >= LENGTH]
+            if own:
+                any_row = True
+                each, count = np.unique(np.concatenate(own), return_counts=True)
+                at = spots(each, bits)
+                put(twice, at[:, (count > 1) | has_all(once, at)])
+                put(once, at)
+                often.append(counted(each[count >= LEAST], count[count >= LEAST]))
+        if any_row:
+            sums = summed(often)
+            pack = zstandard.ZstdCompressor(1).compress
+            filters = [pa.array([pack(x.tobytes()) for x in np.split(f, SEGMENTS)], pa.binary()) for f in (once, twice)]
+            counts = pa.array([pack(sums[sums["anchor"] % SEGMENTS == k].tobytes()) for k in range(SEGMENTS)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *filters, counts], names=["segment", "once", "twice", "often"])
+        release()
+
+    return fill
+
+
+def shared_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of anchors that two documents may share (``bits`` / 8 bytes on the driver), and the hot anchors."""
+    filled = docs.select("text").mapInArrow(fill_filters(bits), "segment int, once binary, twice binary, often binary")
     rows = filled.repartition(SEGMENTS, "segment").mapInArrow(merge_counted(HOT), "segment int, twice binary, hot binary")
-    bitmap, hot = np.zeros((SEGMENTS, FILTER_BITS // 8 // SEGMENTS), np.uint8), [np.empty(0, np.uint64)]
+    bitmap, hot = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8), [np.empty(0, np.uint64)]
     for segment, twice, anchors_ in rows.collect():
         bitmap[segment] = np.frombuffer(zstandard.ZstdDecompressor().decompress(twice), np.uint8)
         hot.append(unpacked(anchors_, np.dtype("<u8")))
@@ -146,7 +155,8 @@ def shared_anchors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 ROUTED = "bucket int, body binary, meta binary"
 META = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i4"), ("size", "<i4"), ("anchor", "<u4")])
-SPAN = np.dtype([("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+#: A row is known by its doc_id and a hash of it and its text.
+SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 
 
 def packed(x: np.ndarray | bytes) -> bytes:
@@ -162,8 +172,8 @@ def joined(spans: np.ndarray) -> np.ndarray:
     """Spans of a row that overlap or touch, as one."""
     if spans.size < 2:
         return spans
-    spans = spans[np.lexsort((spans["lo"], spans["row"]))]
-    first = np.concatenate([[True], spans["row"][1:] != spans["row"][:-1]])
+    spans = spans[np.lexsort((spans["lo"], spans["row"], spans["doc"]))]
+    first = np.concatenate([[True], (spans["row"][1:] != spans["row"][:-1]) | (spans["doc"][1:] != spans["doc"][:-1])])
     # ends never fall within a row, once each row is lifted above the one before
     lift = np.cumsum(first).astype(np.int64) << 32
     reach = np.maximum.accumulate(spans["hi"] + lift)
@@ -225,7 +235,7 @@ def send_fragments(shared, buckets: int):
                 if len(text) < LENGTH:
                     continue
                 h, first, last = anchors(np.frombuffer(text, np.uint8))
-                on = has_all(bitmap, spots(h))
+                on = has_all(bitmap, spots(h, bitmap.size * 8))
                 if on.any():
                     h, first, stop = h[on], first[on], last[on] + LENGTH
                     meta = np.zeros(h.size, META)
@@ -238,6 +248,7 @@ def send_fragments(shared, buckets: int):
                 held, size = [], 0
         if held:
             yield from route(held)
+        release()
 
     def route(held: list) -> Iterator[pa.RecordBatch]:
         bodies, meta, hot = [b for x, _, _ in held for b in x], np.concatenate([m for _, m, _ in held]), np.concatenate([x for _, _, x in held])
@@ -263,89 +274,96 @@ def send_fragments(shared, buckets: int):
 
 def spans_of(meta: np.ndarray) -> np.ndarray:
     out = np.zeros(meta.size, SPAN)
-    out["row"], out["lo"], out["hi"] = meta["row"], meta["at"], meta["at"] + meta["size"]
+    out["doc"], out["row"], out["lo"], out["hi"] = meta["doc"], meta["row"], meta["at"], meta["at"] + meta["size"]
+    return out
+
+
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first DEPTH bytes, then of place; and the rank of each, ties alike."""
+    n = text.size
+    wide = np.concatenate([text, np.zeros(DEPTH, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | wide[k : k + n]
+    width = 8
+    while True:
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+        if width >= DEPTH or rank[order[-1]] == n - 1:
+            return order, rank
+        second = np.zeros(n, np.int64)
+        second[: n - width] = rank[width:] + 1
+        key, width = rank * (n + 1) + second, width * 2
+
+
+def common_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Bytes in common from positions a and b, at most DEPTH and ``room``."""
+    out, left, text = np.zeros(a.size, np.int64), np.arange(a.size), np.concatenate([text, np.zeros(DEPTH + 1, np.uint8)])
+    for k in range(DEPTH):
+        left = left[(text[a[left] + k] == text[b[left] + k]) & (room[left] > k)]
+        if not left.size:
+            break
+        out[left] = k + 1
     return out
 
 
 class RunLengthIndex:
-    """Suffix order of fragments joined by 0xFF, which UTF-8 never has, and its transform in runs.
+    """The transform of fragments joined by 0xFF (which UTF-8 never has) in runs, with samples; neither text nor suffix order.
 
-    ``heads`` are the ranks where a run of the transform begins; ``begin`` and ``before`` are the sampled positions there
-    and at the end of the run before.
+    ``symbols`` and ``lengths`` are the runs. A sample is a place ``at`` in the text, its neighbour ``near`` (the suffix
+    before it in order) and their ``match``: at the beginning of each run and of each fragment, and where two
+    suffixes can't be told apart by DEPTH bytes, as their order does not carry over to the places before.
     """
 
-    def __init__(self, text: np.ndarray):
-        n = text.size
-        wide = np.concatenate([text, np.zeros(DEPTH, np.uint8)]).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
-        for k in range(8):
-            key = key << np.uint64(8) | wide[k : k + n]
-        width = 8
-        while True:
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            if width >= DEPTH or rank[order[-1]] == n - 1:
-                break
-            second = np.zeros(n, np.int64)
-            second[: n - width] = rank[width:] + 1
-            key, width = rank * (n + 1) + second, width * 2
-        self.text, self.order, self.rank = text, order, rank
+    def __init__(self, text: np.ndarray, room: np.ndarray):
+        n = self.size = text.size
+        order, rank = suffix_order(text)
         last = text[order - 1]
-        self.heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
-        self.begin, self.before = order[self.heads], order[self.heads - 1]
-
-    def compare(self, a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """Bytes in common from positions a and b, at most DEPTH and ``room``."""
-        out, left, text = np.zeros(a.size, np.int64), np.arange(a.size), np.concatenate([self.text, np.zeros(DEPTH + 1, np.uint8)])
-        for k in range(DEPTH):
-            left = left[(text[a[left] + k] == text[b[left] + k]) & (room[left] > k)]
-            if not left.size:
-                break
-            out[left] = k + 1
-        return out
-
-    def matching_statistics(self, room: np.ndarray) -> np.ndarray:
-        """Match of each position with the suffix before it in order, at most ``room`` (the bytes left of its fragment)."""
-        n, order, rank = self.text.size, self.order, self.rank
+        heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        self.symbols, self.lengths = last[heads], np.diff(np.append(heads, n))
         previous = np.empty(n, np.int64)  # the suffix before, along the text
         previous[order[1:]] = order[:-1]
         previous[order[0]] = -1
         place = np.arange(n)
         tied = (previous >= 0) & (rank == rank[previous])
-        direct = np.zeros(n, bool)
-        direct[self.begin] = True
-        direct[0] = True
-        direct[np.flatnonzero(self.text == 0xFF)[:-1] + 1] = True
-        # where the two suffixes one byte earlier can't be told apart by DEPTH bytes, their order is by place
-        direct |= ~tied & (previous > 0) & (place > 0) & (rank[place - 1] == rank[previous - 1])
-        direct[1:] |= tied[:-1]
-        direct |= tied
-        match = np.zeros(n, np.int64)
-        at = np.flatnonzero(direct & ~tied & (previous >= 0))
-        match[at] = self.compare(at, previous[at], room[at])
-        match[tied] = np.minimum(DEPTH, room[tied])
-        source = np.maximum.accumulate(np.where(direct, place, 0))
-        return np.maximum(match[source] - (place - source), 0)
+        sampled = tied.copy()
+        sampled[order[heads]] = sampled[0] = True
+        sampled[np.flatnonzero(text == 0xFF)[:-1] + 1] = True
+        sampled |= (previous > 0) & (place > 0) & (rank[place - 1] == rank[previous - 1])
+        sampled[1:] |= tied[:-1]
+        self.at = np.flatnonzero(sampled)
+        self.near, alike = previous[self.at], tied[self.at]
+        self.match = np.zeros(self.at.size, np.int64)
+        one = np.flatnonzero(~alike & (self.near >= 0))
+        self.match[one] = common_bytes(text, self.at[one], self.near[one], room[self.at[one]])
+        self.match[alike] = np.minimum(DEPTH, room[self.at[alike]])
+
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place of the text: its neighbour, and the bytes they have in common."""
+        gaps = np.diff(np.append(self.at, self.size))
+        skip = np.arange(self.size) - np.repeat(self.at, gaps)
+        return np.repeat(self.near, gaps) + skip, np.maximum(np.repeat(self.match, gaps) - skip, 0)
 
 
 def covered_strings(bodies: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each fragment, which of its 50-byte strings another fragment of a smaller document has."""
-    text = np.frombuffer(b"\xff".join([*bodies, b""]), np.uint8)
     sizes = np.array([len(b) for b in bodies])
-    owner = np.repeat(np.arange(sizes.size), sizes + 1)
     ends = np.cumsum(sizes + 1) - 1
-    room = ends[owner] - np.arange(text.size)
-    index = RunLengthIndex(text)
-    match = index.matching_statistics(room)
-    start = np.flatnonzero(match[index.order] < LENGTH)
-    if start[0] != 0:
-        start = np.concatenate([[0], start])
-    least = np.minimum.reduceat(docs[owner[index.order]], start)
-    covered = np.empty(text.size, bool)
-    covered[index.order] = np.repeat(least, np.diff(np.concatenate([start, [text.size]]))) < docs[owner[index.order]]
-    covered &= room >= LENGTH
+    n = int(ends[-1]) + 1
+    owner = np.repeat(np.arange(sizes.size), sizes + 1)
+    room = ends[owner] - np.arange(n)
+    near, match = RunLengthIndex(np.frombuffer(b"\xff".join([*bodies, b""]), np.uint8), room).matching_statistics()
+    # links to neighbours lead to the first suffix with the same string
+    first = np.where(match >= LENGTH, near, np.arange(n))
+    while (further := first[first]).tobytes() != first.tobytes():
+        first = further
+    doc = docs[owner]
+    least = doc.copy()
+    linked = np.flatnonzero(match >= LENGTH)
+    np.minimum.at(least, first[linked], doc[linked])
+    covered = (least[first] < doc) & (room >= LENGTH)
     return [covered[e - s : max(e - s, e - LENGTH + 1)] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
@@ -377,7 +395,7 @@ def settle_bucket(groups: int):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                     for j in once[bodies[i]]:
                         part = np.zeros(edge.size // 2, SPAN)
-                        part["row"], part["lo"], part["hi"] = meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
+                        part["doc"], part["row"], part["lo"], part["hi"] = meta["doc"][j], meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
                         found.append(part)
         return pa.Table.from_batches([as_batch(span_rows(np.concatenate(found), groups))])
 
@@ -390,12 +408,13 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def cut_group(docs: pa.Table, spans: pa.Table) -> pa.Table:
     """Cuts the spans out of the documents of one group."""
     own = np.concatenate([unpacked(x, SPAN) for x in spans.column("meta").to_pylist()] or [np.empty(0, SPAN)])
-    own = own[np.lexsort((own["lo"], own["row"]))]
+    own = own[np.lexsort((own["lo"], own["row"], own["doc"]))]
     out = []
-    rows = docs.column("row").to_numpy()
-    lo, hi = np.searchsorted(own["row"], rows, "left"), np.searchsorted(own["row"], rows, "right")
-    for doc_id, text, a, b in zip(docs.column("doc_id").to_pylist(), byte_list(docs.column("text")), lo.tolist(), hi.tolist(), strict=True):
+    new = np.flatnonzero(np.concatenate([[True], (own["row"][1:] != own["row"][:-1]) | (own["doc"][1:] != own["doc"][:-1])])) if own.size else np.empty(0, np.int64)
+    ranges = dict(zip(zip(own["doc"][new].tolist(), own["row"][new].tolist(), strict=True), zip(new.tolist(), np.append(new[1:], own.size)[: new.size].tolist(), strict=True), strict=True))
+    for doc_id, row, text in zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), byte_list(docs.column("text")), strict=True):
         text = text or b""
+        a, b = ranges.get((doc_id, row), (0, 0))
         at, kept, removed, n_spans, open_to = 0, [], 0, 0, -1
         for s, e in zip(own["lo"][a:b].tolist(), own["hi"][a:b].tolist(), strict=True):
             if s > open_to:
@@ -422,7 +441,8 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     groups = max(16, int(size // GROUP_BYTES))
     keyed = plain.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("group", F.pmod("row", F.lit(groups)).cast("int"))
     usable = keyed.where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(shared_anchors(usable))
+    bits = min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (size // 4).bit_length()))
+    shared = spark.sparkContext.broadcast(shared_anchors(usable, bits))
     routed = usable.select("doc_id", "row", "text").mapInArrow(send_fragments(shared, groups), ROUTED)
     settled = routed.groupBy("bucket").applyInArrow(settle_bucket(groups), ROUTED)
     spans = settled.select((-1 - F.col("bucket")).alias("group"), "meta")

@@ -32,6 +32,7 @@ from hostlore.llm.common import byte_list, join_weighted, shared_path, table, ut
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+MOST_PATHS = 10_000
 MIN_REVISIT_BYTES = 100
 END = "꒏"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -192,14 +193,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return bundles(spark, path).mapInArrow(read, schema)
 
 
-def bundles(spark: SparkSession, path: str) -> DataFrame:
+def bundles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def fetch_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(page_id, payload) of the responses that ``wanted`` (page_id, bundle, frame, frame_offset, record_bytes) names.
 
-    Only the frames that hold them are decoded.
+    Only the frames that hold them are decoded, and only the bundles named are read (Spark's reader takes a bundle as a
+    whole): by their paths, or where there are over MOST_PATHS, by a join with all bundles.
     """
     spots = wanted.groupBy(F.col("bundle").alias("path")).agg(F.sort_array(F.collect_list(F.struct("frame", "frame_offset", "record_bytes"))).alias("spots"))
 
@@ -210,7 +212,11 @@ def fetch_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFram
                 found = [parsed(bundle.record(s["frame"], s["frame_offset"], s["record_bytes"])) for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array([page_of(f["WARC-Record-ID"]) for f, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["page_id", "payload"])
 
-    return bundles(spark, path).join(spots, "path").select("content", "spots").mapInArrow(fetch, "page_id long, payload binary")
+    spots = written(spots, "record-spots")
+    paths = [r.path for r in spots.select("path").limit(MOST_PATHS + 1).collect()]
+    if not paths:
+        return spark.createDataFrame([], "page_id long, payload binary")
+    return bundles(spark, path if len(paths) > MOST_PATHS else paths).join(spots, "path").select("content", "spots").mapInArrow(fetch, "page_id long, payload binary")
 
 
 def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

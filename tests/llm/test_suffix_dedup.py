@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from hostlore.llm import suffix_dedup as sd
 
@@ -58,20 +59,59 @@ def test_equals_brute_force(spark, monkeypatch):
 
 
 def test_matching_statistics():
+    """Of the index's samples alone: what each place has in common with the suffix before it, up to 50 bytes."""
     rng = random.Random(3)
     bodies = ["".join(rng.choices("ab", k=rng.randint(50, 90))).encode() for _ in range(30)]
     bodies += [bodies[0][:60] + b"zz" + bodies[1][:30], bodies[0], b"a" * 90, b"a" * 70]
     text = np.frombuffer(b"\xff".join([*bodies, b""]), np.uint8)
     ends = np.flatnonzero(text == 255)
     room = ends[np.searchsorted(ends, np.arange(text.size))] - np.arange(text.size)
-    index = sd.RunLengthIndex(text)
-    got = index.matching_statistics(room)
-    raw = text.tobytes()
-    for a, b in zip(index.order, index.order[1:], strict=False):
+    index = sd.RunLengthIndex(text, room)
+    assert index.lengths.sum() == text.size and (index.symbols[1:] != index.symbols[:-1]).all()
+    near, match = index.matching_statistics()
+    order, raw = sd.suffix_order(text)[0], text.tobytes()
+    before = dict(zip(order[1:].tolist(), order[:-1].tolist(), strict=True))
+
+    def alike(a, b):
         n = 0
         while n < min(room[b], sd.DEPTH) and raw[a + n : a + n + 1] == raw[b + n : b + n + 1]:
             n += 1
-        assert min(got[b], sd.LENGTH) == min(n, sd.LENGTH)
+        return n
+
+    for b, a in before.items():
+        n = alike(a, b)
+        assert min(match[b], sd.LENGTH) == min(n, sd.LENGTH)
+        assert n < sd.LENGTH or alike(near[b], b) >= sd.LENGTH
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_covered_strings(seed):
+    """Repetitive fragments over few letters, many of them equal for long, against all strings."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choices("ab" if seed % 2 else "abcd", k=rng.randint(60, 84))) for _ in range(4)] + ["a" * 80, "ab" * 40]
+    bodies = []
+    for _ in range(60):
+        x = rng.choice(base)
+        y = rng.choice(base)
+        cut = rng.randint(0, len(x))
+        bodies.append((x[:cut] + y[cut:])[rng.randint(0, 9) :].ljust(50, "a")[:84].encode())
+    docs = np.array([rng.randint(0, 40) for _ in bodies])
+    least = {}
+    for b, d in zip(bodies, docs.tolist(), strict=True):
+        for i in range(len(b) - 49):
+            least[b[i : i + 50]] = min(d, least.get(b[i : i + 50], d))
+    for b, d, got in zip(bodies, docs.tolist(), sd.covered_strings(bodies, docs), strict=True):
+        assert got.tolist() == [least[b[i : i + 50]] < d for i in range(len(b) - 49)]
+
+
+@pytest.mark.parametrize("bits", [1 << 9, 1 << 12])
+def test_full_filters_change_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(sd, "FILTER_BITS", bits)
+    monkeypatch.setattr(sd, "MAX_FILTER_BITS", bits)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
+    assert out == brute(rows)
 
 
 def test_edges_of_a_hot_passage_are_split(spark, monkeypatch):
