@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostlore.sources.adapter import VIEWS
+from hostlore.plans.derived import VIEWS
 
 CAPTURES = """
 raw_cpu AS (

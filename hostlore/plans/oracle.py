@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hostlore.sources.adapter import VIEWS, WINDOW_SECONDS
-from hostlore.sources.captures import CAPTURES
+from hostlore.plans.derived import VIEWS, WINDOW_SECONDS
+from hostlore.plans.captures import CAPTURES
 
 MOST = 32
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from hostlore.functions import scalars as s
 from hostlore.operators import audit, correlate, diagnose, ingest, lifecycle, reconcile, reports, stored, temporal
-from hostlore.sources.adapter import WINDOW_SECONDS, view
-from hostlore.sources.captures import capture
+from hostlore.plans.derived import WINDOW_SECONDS, view
+from hostlore.plans.captures import capture
 from hostlore.sources.tables import stored_table
 
 WINDOW = WINDOW_SECONDS * 1_000_000

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,23 @@ from hostlore.functions.scalars import iso_fixed
 from hostlore.operators.lifecycle import service_validity
 from hostlore.plans.oracle import CORR, LIFE, fixed, sql
 from hostlore.plans.queries import Tables
-from hostlore.sources.adapter import WINDOW_SECONDS
-from hostlore.sources.tables import shared_folder
+from hostlore.plans.derived import WINDOW_SECONDS
+from hostlore.sources.tables import shared_path
 from hostlore.streaming import streams
 
 
-def path_for(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly-once ingest of a stream that has every event twice."""
     rows = streams.event_stream(spark, sf_dir)
     twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return streams.run_once(streams.deduplicated(twice), path_for(spark, "stream-journal")).select("host_id", "unit", "cursor")
+    return streams.run_once(streams.deduplicated(twice), shared_path(spark, "stream-journal")).select("host_id", "unit", "cursor")
 
 
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases near errors of the same unit."""
     errors = streams.event_stream(spark, sf_dir).where("event_type = 'error'").select("host_id", "unit", F.col("cursor").alias("anchor_id"), F.col("observed_at").alias("anchor_at"))
     other = streams.event_stream(spark, sf_dir).where("event_type = 'purchase'")
-    return streams.run_once(streams.interval_join(errors, other, WINDOW_SECONDS), path_for(spark, "stream-join")).select("host_id", "unit", "anchor_id", "cursor")
+    return streams.run_once(streams.interval_join(errors, other, WINDOW_SECONDS), shared_path(spark, "stream-join")).select("host_id", "unit", "anchor_id", "cursor")
 
 
 def captures(x: Tables) -> DataFrame:
@@ -58,7 +52,7 @@ def arriving(rows: DataFrame, path: str, cuts: list[int]) -> None:
 
 def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incidents after whole cycles over two arrivals of captures, with a stop between them."""
-    x, path = Tables(spark, sf_dir), path_for(spark, "stream-cycle")
+    x, path = Tables(spark, sf_dir), shared_path(spark, "stream-cycle")
     arriving(captures(x), f"{path}/captures", [15])
     stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(f"{path}/captures")
     fleet = streams.FleetCycles(spark, path, x.associations, WINDOW_SECONDS)
@@ -70,7 +64,7 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycles of services as the snapshots of each host arrive."""
-    x, path = Tables(spark, sf_dir), path_for(spark, "service-snapshots")
+    x, path = Tables(spark, sf_dir), shared_path(spark, "service-snapshots")
     key = ["host_id", "snapshot_id"]
     state = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("load_state", "active_state", "sub_state")), F.col("valid").cast("string")), F.lit("]"))
     pairs = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("name"), F.lit('":'), state))), ","), F.lit("}"))
@@ -78,7 +72,7 @@ def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = x.collection_results.where("collector_name = 'services'").select(*key, "status")
     arriving(status.join(services, key, "left"), path, [10, 20])
     stream = spark.readStream.schema("host_id string, snapshot_id long, status string, services string").option("maxFilesPerTrigger", 1).parquet(path)
-    return streams.run_once(streams.service_states(stream), path_for(spark, "stream-services"))
+    return streams.run_once(streams.service_states(stream), shared_path(spark, "stream-services"))
 
 
 def queries() -> dict:

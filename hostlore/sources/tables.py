@@ -11,20 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[tuple, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``, which must be set on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"  # one machine
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` of a folder: built and written at the first call in this session, later only read."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = shared_path(spark, name)
         build().write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
