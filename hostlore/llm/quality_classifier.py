@@ -144,7 +144,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     one = usable.groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", part.alias("part"), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # of rows that repeat an id, one
+    return once.select("text", "y", part.alias("part"), "doc_id")
 
 
 def fit_network(docs: DataFrame, labels: DataFrame, vectors, label: str = "quality", limit: int = MAX_LABELLED) -> Network | None:
