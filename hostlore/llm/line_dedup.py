@@ -1,16 +1,12 @@
 """Corpus-wide removal of repeated lines, with two Bloom filters in front of the exact count.
 
-1. Every task fills a filter pair from its own documents: *once* holds each line key, *twice* those met again in
-   another document of the task. Pairs are merged by segment: a key is twice-seen where either side says so or where
-   both *once* filters hold it. A merged filter can only err by holding too much.
-2. Lines whose key is in the merged *twice* filter are the suspects. Only they are shuffled, with their full key:
+1. The 64-bit hashes of line keys go to a segment of their own, which tells by a filter of once-seen hashes which of them two
+   documents have; those make the filter of twice-seen hashes (see ``seen_twice``).
+2. Lines whose key is in the *twice* filter are the suspects. Only they are shuffled, with their full key:
    the exact number of documents per key and the document that keeps its lines come from there.
 3. Documents that lose lines are rebuilt. The keys in enough documents and who keeps them are few, as a rule; where they
    take at most ``BROADCAST_BYTES``, they are broadcast and no text is shuffled. Beyond that, each document's lost keys
    are gathered and joined to it.
-
-The filter has two bits for each ``min_chars`` bytes of text, between ``FILTER_BITS`` and ``MAX_FILTER_BITS``, so the
-broadcast is bounded. A fuller filter lets more unique lines through to the exact step and never changes a result.
 """
 
 from __future__ import annotations
@@ -20,21 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
 from hostlore.llm.common import byte_list, free_name, join_weighted, release, table, utf8, written
+from hostlore.llm.seen_twice import twice_seen
 
 BLANKS = " \t\n\x0b\x0c\r"
-HASHES = 4
-SEGMENTS = 64
 MIN_CHARS = 40
 MIN_DOCS = 5
-FILTER_BITS = 1 << 26
-MAX_FILTER_BITS = 1 << 30
 #: Repeated keys are broadcast up to this size.
 BROADCAST_BYTES = 16 << 20
 
@@ -52,86 +44,26 @@ def line_keys(text: bytes | None, min_chars: int) -> set[bytes]:
     return keys
 
 
-def positions(keys: list[bytes], bits: int) -> np.ndarray:
-    """Bit positions of each key, one row per hash function (double hashing)."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
-
-
-def has_all(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-
+def key_hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
-def put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    at = at.ravel()
-    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-def add_keys(once: np.ndarray, twice: np.ndarray, keys: list[bytes]) -> None:
-    """Adds the keys of one document."""
-    at = positions(keys, once.size * 8)
-    seen = has_all(once, at)
-    put(twice, at[:, seen])
-    put(once, at)
 
-
-def fill_filters(bits: int, min_chars: int):
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        any_row = False
-        for batch in batches:
-            for text in byte_list(batch.column(0)):
-                if keys := line_keys(text, min_chars):
-                    any_row = True
-                    add_keys(once, twice, list(keys))
-        if any_row:
-            pack = zstandard.ZstdCompressor(1).compress
-            parts = list(zip(np.split(once, SEGMENTS), np.split(twice, SEGMENTS), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([pack(a.tobytes()) for a, _ in parts], pa.binary()), pa.array([pack(b.tobytes()) for _, b in parts], pa.binary())], names=["segment", "once", "twice"])
-
-    return fill
-
-
-def merge_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the segments of one partition as they stream by."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    merged: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for segment, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            once, twice = np.frombuffer(unpack(a), np.uint8), np.frombuffer(unpack(b), np.uint8)
-            if segment in merged:
-                mine = merged[segment]
-                mine[1] |= twice | (mine[0] & once)
-                mine[0] |= once
-            else:
-                merged[segment] = [once.copy(), twice.copy()]
-    if merged:
-        pack = zstandard.ZstdCompressor(1).compress
-        yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int32()), pa.array([pack(t.tobytes()) for _, t in merged.values()], pa.binary())], names=["segment", "twice"])
-
-
-def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The merged filter of keys that two documents may share: ``bits`` / 8 bytes on the driver."""
-    filled = docs.select("text").mapInArrow(fill_filters(bits, min_chars), "segment int, once binary, twice binary")
-    rows = filled.repartition(16, "segment").mapInArrow(merge_filters, "segment int, twice binary").collect()
-    bitmap = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8)
-    for segment, twice in rows:
-        bitmap[segment] = np.frombuffer(zstandard.ZstdDecompressor().decompress(twice), np.uint8)
-    return bitmap.ravel()
-
-
-def suspect_lines(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
+def suspect_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, key) of the lines that the twice filter holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, bits, min_chars))
+    expected = text_bytes(docs) // (2 * max(1, min_chars))
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, lambda text: key_hashes(list(line_keys(text, min_chars))), expected))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        twice = shared.value
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), strict=True):
                 if keys := list(line_keys(text, min_chars)):
-                    hit = has_all(bitmap, positions(keys, bits))
+                    hit = twice.holds(key_hashes(keys))
                     found += (own := [k for k, h in zip(keys, hit, strict=True) if h])
                     ids += [doc_id] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["doc_id", "key"])
@@ -140,12 +72,6 @@ def suspect_lines(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, key string")
 
 
-def filter_bits(docs: DataFrame, min_chars: int) -> int:
-    """A power of two for the size of the corpus."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (2 * size // max(1, min_chars)).bit_length()))
-
-
 def repeated_lines(suspects: DataFrame, min_docs: int) -> DataFrame:
     """(key, keeper, n): keys in enough documents, the largest doc_id, and the number of rows. A written table."""
     counted = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"), F.count("*").alias("n"))
@@ -191,7 +117,7 @@ def line_key(line: Column) -> Column:
 
 def without_repeated_lines(docs: DataFrame, into: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with all its columns and a struct ``into`` of kept_text, n_lines and n_dropped (see ``dedup_lines``)."""
-    suspects = written(suspect_lines(docs, filter_bits(docs, min_chars), min_chars), "line-suspects")
+    suspects = written(suspect_lines(docs, min_chars), "line-suspects")
     repeated = repeated_lines(suspects, min_docs)
     if (repeated.agg(F.sum(F.octet_length("key") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
         return cut_lines(docs, into, {r.key.encode(): r.keeper for r in repeated.select("key", "keeper").collect()}, min_chars)

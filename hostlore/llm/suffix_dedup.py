@@ -3,8 +3,8 @@
 Every 50-byte string has one *anchor*: the smallest hashed 16-byte string in it (the first, if several). Equal strings
 have equal anchors, so strings that may repeat can be brought together without shipping all text:
 
-1. Bloom filters of once-seen and twice-seen anchors find the anchors that two documents share. They have a bit for each
-   four bytes of text, between ``FILTER_BITS`` and ``MAX_FILTER_BITS``; a fuller filter sends more fragments and changes nothing.
+1. Bloom filters of once-seen and twice-seen anchors find the anchors that two documents share (see ``seen_twice``); a fuller
+   filter sends more fragments and changes nothing.
 2. The strings with such an anchor lie in a *fragment* around it. A task settles fragments that repeat within it and
    sends one copy of the others to the bucket of the anchor. A passage in a third of all documents is one
    fragment a task, however many documents hold it. Fragments at its two edges differ, so those of a *hot* anchor (in
@@ -29,20 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlore.llm.common import byte_list, mix64, release, table, text_groups
-from hostlore.llm.line_dedup import SEGMENTS, merge_filters
+from hostlore.llm.seen_twice import twice_seen
 
 LENGTH = 50
 ANCHOR = 16
-FILTER_BITS = 1 << 26
-MAX_FILTER_BITS = 1 << 29
-HASHES = 2
+#: Bytes of text for each anchor, about.
+ANCHOR_BYTES = 17
 #: Suffixes are sorted by so many bytes, which is more than LENGTH.
 DEPTH = 64
 #: Text of a bucket, and of a group of documents in the last step.
 GROUP_BYTES = 3 << 20
-#: An anchor is hot from so many documents on; those with fewer than LEAST of them in 8 MB of text are not counted there.
+#: An anchor is hot from so many documents on, or where that would be over MOST_HOT anchors, from more on.
 HOT = 1 << 14
-LEAST = 4
+MOST_HOT = 1 << 20
 #: Strings of hot anchors are settled so many at once.
 PIECES = 1 << 18
 
@@ -67,90 +66,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[at], at, np.concatenate([at[1:], [n]]) - 1
 
 
-def spots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)]).astype(np.int64)
-
-
-def has_all(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-
-
-def put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    at = np.unique(at)
-    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-
-
-OFTEN = np.dtype([("anchor", "<u8"), ("n", "<i8")])
-
-
-def counted(anchor: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.empty(anchor.size, OFTEN)
-    out["anchor"], out["n"] = anchor, n
-    return out
-
-
-def summed(parts: list[np.ndarray]) -> np.ndarray:
-    """One row for each anchor, with the sum of its counts."""
-    rows = np.concatenate(parts)
-    anchor, which = np.unique(rows["anchor"], return_inverse=True)
-    n = np.zeros(anchor.size, np.int64)
-    np.add.at(n, which, rows["n"])
-    return counted(anchor, n)
-
-
-def merge_counted(hot: int):
-    """Merges the filters of each segment, and keeps its anchors of ``hot`` documents or more."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often: dict[int, np.ndarray] = {}
-
-        def filters() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for segment, x in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    often[segment] = summed([often.get(segment, np.empty(0, OFTEN)), unpacked(x, OFTEN)])
-                yield batch.select(["segment", "once", "twice"])
-
-        for batch in merge_filters(filters()):
-            anchors_ = [often[k]["anchor"][often[k]["n"] >= hot] for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([packed(x) for x in anchors_], pa.binary())], names=["segment", "twice", "hot"])
-
-    return merge
-
-
-def fill_filters(bits: int):
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        any_row, often = False, [np.empty(0, OFTEN)]
-        for _, texts in text_groups(batches, 0):
-            own = [np.unique(anchors(np.frombuffer(t, np.uint8))[0]) for t in texts if len(t) >= LENGTH]
-            if own:
-                any_row = True
-                each, count = np.unique(np.concatenate(own), return_counts=True)
-                at = spots(each, bits)
-                put(twice, at[:, (count > 1) | has_all(once, at)])
-                put(once, at)
-                often.append(counted(each[count >= LEAST], count[count >= LEAST]))
-        if any_row:
-            sums = summed(often)
-            pack = zstandard.ZstdCompressor(1).compress
-            filters = [pa.array([pack(x.tobytes()) for x in np.split(f, SEGMENTS)], pa.binary()) for f in (once, twice)]
-            counts = pa.array([pack(sums[sums["anchor"] % SEGMENTS == k].tobytes()) for k in range(SEGMENTS)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *filters, counts], names=["segment", "once", "twice", "often"])
-        release()
-
-    return fill
-
-
-def shared_anchors(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of anchors that two documents may share (``bits`` / 8 bytes on the driver), and the hot anchors."""
-    filled = docs.select("text").mapInArrow(fill_filters(bits), "segment int, once binary, twice binary, often binary")
-    rows = filled.repartition(SEGMENTS, "segment").mapInArrow(merge_counted(HOT), "segment int, twice binary, hot binary")
-    bitmap, hot = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8), [np.empty(0, np.uint64)]
-    for segment, twice, anchors_ in rows.collect():
-        bitmap[segment] = np.frombuffer(zstandard.ZstdDecompressor().decompress(twice), np.uint8)
-        hot.append(unpacked(anchors_, np.dtype("<u8")))
-    return bitmap.ravel(), np.sort(np.concatenate(hot))
+def own_anchors(text: bytes) -> np.ndarray:
+    """The anchors of a text, each once."""
+    return np.unique(anchors(np.frombuffer(text, np.uint8))[0]) if len(text) >= LENGTH else np.empty(0, np.uint64)
 
 
 ROUTED = "bucket int, body binary, meta binary"
@@ -228,20 +146,20 @@ def send_fragments(shared, buckets: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
-        bitmap, often = shared.value
+        twice = shared.value
         size = 0
         for part, texts in text_groups(batches, 2):
             for doc, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
                 if len(text) < LENGTH:
                     continue
                 h, first, last = anchors(np.frombuffer(text, np.uint8))
-                on = has_all(bitmap, spots(h, bitmap.size * 8))
+                on = twice.holds(h)
                 if on.any():
                     h, first, stop = h[on], first[on], last[on] + LENGTH
                     meta = np.zeros(h.size, META)
                     meta["doc"], meta["row"], meta["at"], meta["size"] = doc, row, first, stop - first
                     meta["anchor"] = (h >> np.uint64(32)).astype(np.uint32)
-                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta, np.isin(h, often)))
+                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta, np.isin(h, twice.often)))
                     size += int(meta["size"].sum())
             if size > 8 * GROUP_BYTES:
                 yield from route(held)
@@ -441,8 +359,8 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     groups = max(16, int(size // GROUP_BYTES))
     keyed = plain.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("group", F.pmod("row", F.lit(groups)).cast("int"))
     usable = keyed.where("doc_id is not null")
-    bits = min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (size // 4).bit_length()))
-    shared = spark.sparkContext.broadcast(shared_anchors(usable, bits))
+    expected = size // ANCHOR_BYTES
+    shared = spark.sparkContext.broadcast(twice_seen(usable, own_anchors, expected, max(HOT, expected // MOST_HOT)))
     routed = usable.select("doc_id", "row", "text").mapInArrow(send_fragments(shared, groups), ROUTED)
     settled = routed.groupBy("bucket").applyInArrow(settle_bucket(groups), ROUTED)
     spans = settled.select((-1 - F.col("bucket")).alias("group"), "meta")

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from hostlore.llm import line_dedup
+from hostlore.llm import line_dedup, seen_twice
 
 KEY = re.compile(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 
@@ -43,11 +43,10 @@ def rows():
     return [*out, (None, pool[0]), (None, None), out[20], out[20], (out[21][0], pool[1])]
 
 
-@pytest.mark.parametrize(("bits", "bound"), [(1 << 26, 1 << 24), (1 << 9, 1 << 24), (1 << 26, 0), (1 << 9, 0)])
+@pytest.mark.parametrize(("bits", "bound"), [(12, 1 << 24), (0.05, 1 << 24), (12, 0), (0.05, 0)])
 def test_against_brute_force(spark, rows, monkeypatch, bits, bound):
     """With roomy and with full filters, with and without the broadcast."""
-    monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
-    monkeypatch.setattr(line_dedup, "MAX_FILTER_BITS", bits)
+    monkeypatch.setattr(seen_twice, "BITS_EACH", bits)
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept_text string").repartition(3)
     for min_chars, min_docs in ((40, 5), (5, 2)):
@@ -65,14 +64,3 @@ def test_other_columns_stay(spark, rows, monkeypatch, bound):
     assert out.columns == [*names, "lines"] and out.schema["doc_id"].dataType.simpleString() == "int"
     assert {tuple(r[n] for n in names[2:]) for r in out.collect()} == {tuple("abcdefg")}
     assert line_dedup.without_repeated_lines(df.limit(0), "lines").count() == 0
-
-
-def test_filters_never_miss():
-    import numpy as np
-
-    once, twice = np.zeros(64, np.uint8), np.zeros(64, np.uint8)
-    keys = [f"key {i}".encode() for i in range(300)]
-    for doc in (keys[:200], keys[100:]):
-        line_dedup.add_keys(once, twice, doc)
-    assert line_dedup.has_all(twice, line_dedup.positions(keys[100:200], 512)).all()
-    assert line_dedup.has_all(once, line_dedup.positions(keys, 512)).all()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from hostlore.llm import seen_twice
 from hostlore.llm import suffix_dedup as sd
 
 
@@ -104,10 +105,9 @@ def test_covered_strings(seed):
         assert got.tolist() == [least[b[i : i + 50]] < d for i in range(len(b) - 49)]
 
 
-@pytest.mark.parametrize("bits", [1 << 9, 1 << 12])
+@pytest.mark.parametrize("bits", [0.01, 1])
 def test_full_filters_change_nothing(spark, monkeypatch, bits):
-    monkeypatch.setattr(sd, "FILTER_BITS", bits)
-    monkeypatch.setattr(sd, "MAX_FILTER_BITS", bits)
+    monkeypatch.setattr(seen_twice, "BITS_EACH", bits)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
