@@ -83,7 +83,9 @@ def decode_bytes(value: Column) -> Column:
     right = F.forall(numbers, lambda x: x.isNotNull() & (x >= 0) & (x <= 255))
     bytes_ = F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
     kind = F.schema_of_variant(value)
-    return F.when(value.isNull() | F.is_variant_null(value), F.lit("")).when(kind == "STRING", text).when(kind.startswith("ARRAY") & right, F.try_validate_utf8(bytes_.cast("string")))
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit("")).when(kind == "STRING", text).when(
+        kind.startswith("ARRAY") & right, F.try_validate_utf8(bytes_.cast("string"))
+    )
 
 
 def bounded(values: Column, marker: str, most: int = MAX_LIMITATIONS) -> Column:

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 #: Statuses, and the facts and reasons of each kind of evidence.
 STATUSES = ("success", "partial", "permission_denied", "unsupported", "transient_failure", "invalid_data")
-FACTS = {"service_change": ["service_failed", "service_inactive", "service_deactivating", "service_removed", "unknown"], "journal_event": ["journal_unit_event", "unknown"], "process_change": ["process_exited", "process_started", "process_identity_changed", "unknown"]}
+FACTS = {
+    "service_change": ["service_failed", "service_inactive", "service_deactivating", "service_removed", "unknown"],
+    "journal_event": ["journal_unit_event", "unknown"],
+    "process_change": ["process_exited", "process_started", "process_identity_changed", "unknown"],
+}
 REASONS = {"service_change": "service_change_anchor", "journal_event": "service_unit_match", "process_change": "explicit_process_association"}
 
 
@@ -49,28 +53,79 @@ def audit_incidents(incidents: DataFrame, evidence: DataFrame, most: int = 128)
     """The contract of incidents and their evidence."""
     key = ["host_id", "incident_id"]
     anchor = F.col("reason") == "service_change_anchor"
-    per = evidence.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("kind", "evidence_id").alias("distinct"), F.countDistinct("kind").alias("kinds"), F.count_if(anchor).alias("anchors"), F.max(F.when(anchor, F.col("evidence_at"))).alias("anchor_at"), F.max("evidence_at").alias("last"))
+    per = evidence.groupBy(*key).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("kind", "evidence_id").alias("distinct"),
+        F.countDistinct("kind").alias("kinds"),
+        F.count_if(anchor).alias("anchors"),
+        F.max(F.when(anchor, F.col("evidence_at"))).alias("anchor_at"),
+        F.max("evidence_at").alias("last"),
+    )
     rows = incidents.join(per, key, "left")
-    heads = count_rules(rows, {
-        "one_anchor": ~F.col("anchors").eqNullSafe(F.lit(1)), "starts_at_anchor": F.col("anchor_at") != F.col("started_at"), "two_kinds": F.coalesce("kinds", F.lit(0)) < 2, "evidence_bound": F.col("n") > most, "unique_evidence": F.col("n") != F.col("distinct"), "no_later_evidence": F.col("last") > F.col("last_observed_at"),
-        "resolved_in_order": F.col("resolved_at") < F.col("last_observed_at"), "resolved_state": (F.col("state") == "resolved") != F.col("resolved_at").isNotNull(), "id_shape": ~F.col("incident_id").rlike("^[0-9a-f]{64}$"), "limitations_sorted": ~F.col("limitations").eqNullSafe(F.array_sort(F.array_distinct("limitations"))), "limitations_bound": F.size("limitations") > 32,
-    })
+    heads = count_rules(
+        rows,
+        {
+            "one_anchor": ~F.col("anchors").eqNullSafe(F.lit(1)),
+            "starts_at_anchor": F.col("anchor_at") != F.col("started_at"),
+            "two_kinds": F.coalesce("kinds", F.lit(0)) < 2,
+            "evidence_bound": F.col("n") > most,
+            "unique_evidence": F.col("n") != F.col("distinct"),
+            "no_later_evidence": F.col("last") > F.col("last_observed_at"),
+            "resolved_in_order": F.col("resolved_at") < F.col("last_observed_at"),
+            "resolved_state": (F.col("state") == "resolved") != F.col("resolved_at").isNotNull(),
+            "id_shape": ~F.col("incident_id").rlike("^[0-9a-f]{64}$"),
+            "limitations_sorted": ~F.col("limitations").eqNullSafe(F.array_sort(F.array_distinct("limitations"))),
+            "limitations_bound": F.size("limitations") > 32,
+        },
+    )
     fits = reduce(lambda a, b: a | b, [(F.col("kind") == k) & (F.col("reason") == REASONS[k]) & F.col("fact").isin(*FACTS[k]) for k in FACTS])
     return heads.unionByName(count_rules(evidence, {"kind_reason_fact": ~fits, "summary_bound": F.length("summary") > 512}))
 
 
 def audit_collections(results: DataFrame) -> DataFrame:
     """Status, time and duration of collection results."""
-    return count_rules(results, {"status_known": ~F.col("status").isin(*STATUSES), "has_time": F.col("collected_at").isNull(), "duration_positive": ~F.coalesce((F.col("duration_seconds") >= 0) & ~F.isnan("duration_seconds") & (F.col("duration_seconds") < float("inf")), F.lit(False))})
+    return count_rules(
+        results,
+        {
+            "status_known": ~F.col("status").isin(*STATUSES),
+            "has_time": F.col("collected_at").isNull(),
+            "duration_positive": ~F.coalesce(
+                (F.col("duration_seconds") >= 0) & ~F.isnan("duration_seconds") & (F.col("duration_seconds") < float("inf")), F.lit(False)
+            ),
+        },
+    )
 
 
 def audit_reports(diagnoses: DataFrame, cycles: DataFrame) -> DataFrame:
     """Bounds and order of diagnoses and cycle summaries."""
-    a = count_rules(diagnoses, {"history_bound": F.size("history") > 20, "history_unique": F.size("history") != F.size(F.array_distinct("history")), "provenance": F.size("evidence_ids") < 1, "facts": F.size("facts") < 1, "explanation": F.length("explanation") < 1, "limits_bound": F.size("limitations") > 32})
-    return a.unionByName(count_rules(cycles, {"counts_positive": F.least("n_services", "n_processes", "n_network", "events_processed") < 0, "cycle_limits_sorted": ~F.col("limitations").eqNullSafe(F.array_sort(F.array_distinct("limitations")))}))
+    a = count_rules(
+        diagnoses,
+        {
+            "history_bound": F.size("history") > 20,
+            "history_unique": F.size("history") != F.size(F.array_distinct("history")),
+            "provenance": F.size("evidence_ids") < 1,
+            "facts": F.size("facts") < 1,
+            "explanation": F.length("explanation") < 1,
+            "limits_bound": F.size("limitations") > 32,
+        },
+    )
+    return a.unionByName(
+        count_rules(
+            cycles,
+            {
+                "counts_positive": F.least("n_services", "n_processes", "n_network", "events_processed") < 0,
+                "cycle_limits_sorted": ~F.col("limitations").eqNullSafe(F.array_sort(F.array_distinct("limitations"))),
+            },
+        )
+    )
 
 
 def upgrade_history(events: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Older rows in today's form: fixed-precision times, a marker for unknown quality, and facts that default to unknown."""
-    up = events.withColumns({"observed_text": F.date_format(F.try_to_timestamp("observed_text"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"), "warnings": F.coalesce("warnings", F.array(F.lit("legacy_quality_unknown")))})
+    up = events.withColumns(
+        {
+            "observed_text": F.date_format(F.try_to_timestamp("observed_text"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"),
+            "warnings": F.coalesce("warnings", F.array(F.lit("legacy_quality_unknown"))),
+        }
+    )
     return up, evidence.withColumn("fact", F.coalesce("fact", F.lit("unknown")))

@@ -23,7 +23,9 @@ def plain_state(state: str) -> Column:
 
 def consistent(df: DataFrame) -> Column:
     """A valid name, at least one observation, and plain states in each."""
-    fine = lambda s: F.col(s).isNull() | (valid_state(F.col(f"{s}.load_state")) & valid_state(F.col(f"{s}.active_state")) & valid_state(F.col(f"{s}.sub_state")))
+    fine = lambda s: F.col(s).isNull() | (
+        valid_state(F.col(f"{s}.load_state")) & valid_state(F.col(f"{s}.active_state")) & valid_state(F.col(f"{s}.sub_state"))
+    )
     return valid_service_name(F.col("name")) & (F.col("previous").isNotNull() | F.col("current").isNotNull()) & fine("previous") & fine("current")
 
 
@@ -31,7 +33,15 @@ def identified(changes: DataFrame) -> DataFrame:
     """Service changes with ``change_id`` and quality limitations (none where the column is missing)."""
     if "limitations" not in changes.columns:
         changes = changes.withColumn("limitations", no_limits())
-    return changes.withColumn("change_id", F.concat(F.lit("service:"), digest("service-change-v1", F.col("name"), iso(F.col("observed_at")), F.col("lifecycle"), plain_state("previous"), plain_state("current"))))
+    return changes.withColumn(
+        "change_id",
+        F.concat(
+            F.lit("service:"),
+            digest(
+                "service-change-v1", F.col("name"), iso(F.col("observed_at")), F.col("lifecycle"), plain_state("previous"), plain_state("current")
+            ),
+        ),
+    )
 
 
 def process_change_id() -> Column:
@@ -67,7 +77,9 @@ def dedup_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def service_associations(associations: DataFrame) -> DataFrame:
     """Distinct, well-formed (service, lifetime) pairs."""
-    return associations.where(valid_service_name(F.col("service_name")) & F.col("lifetime_id").rlike("^[1-9][0-9]*:[0-9]+$") & (F.length("lifetime_id") <= 64)).select("host_id", "service_name", "lifetime_id").distinct()
+    return associations.where(
+        valid_service_name(F.col("service_name")) & F.col("lifetime_id").rlike("^[1-9][0-9]*:[0-9]+$") & (F.length("lifetime_id") <= 64)
+    ).select("host_id", "service_name", "lifetime_id").distinct()
 
 
 def quality_aware(changes: DataFrame, results: DataFrame, collector: str) -> DataFrame:
@@ -81,7 +93,9 @@ def quality_aware(changes: DataFrame, results: DataFrame, collector: str) -> Dat
 
 def incident_anchors(changes: DataFrame) -> DataFrame:
     """Consistent changes that open an incident: removals, and changes into a bad state."""
-    opens = ((F.col("lifecycle") == "removed") & F.col("previous").isNotNull() & F.col("current").isNull()) | ((F.col("lifecycle") == "state_changed") & F.col("current.active_state").isin(*BAD_STATES))
+    opens = ((F.col("lifecycle") == "removed") & F.col("previous").isNotNull() & F.col("current").isNull()) | (
+        (F.col("lifecycle") == "state_changed") & F.col("current.active_state").isin(*BAD_STATES)
+    )
     return changes.where(F.coalesce(consistent(changes) & opens, F.lit(False)))
 
 
@@ -108,19 +122,38 @@ EVIDENCE = ["kind", "evidence_id", "evidence_at", "reason", "summary", "fact", "
 
 
 def anchored(changes: DataFrame) -> DataFrame:
-    return incident_anchors(identified(changes)).select("host_id", "change_id", "name", "observed_at", "lifecycle", "previous", "current", "limitations", F.unix_micros("observed_at").alias("t"))
+    return incident_anchors(identified(changes)).select(
+        "host_id", "change_id", "name", "observed_at", "lifecycle", "previous", "current", "limitations", F.unix_micros("observed_at").alias("t")
+    )
 
 
 def event_evidence(anchors: DataFrame, events: DataFrame, window_us: int) -> DataFrame:
     """Journal events of exactly the anchor's unit within the window."""
     if "warnings" not in events.columns:
         events = events.withColumn("warnings", no_limits())
-    items = events.select("host_id", F.col("unit").alias("name"), "cursor", "priority", F.col("observed_at").alias("evidence_at"), "warnings", F.unix_micros("observed_at").alias("t"))
-    detail = F.concat(F.lit("journal event"), F.when(F.col("priority").isNotNull(), F.concat(F.lit(" priority "), F.col("priority").cast("string"))).otherwise(""))
+    items = events.select(
+        "host_id",
+        F.col("unit").alias("name"),
+        "cursor",
+        "priority",
+        F.col("observed_at").alias("evidence_at"),
+        "warnings",
+        F.unix_micros("observed_at").alias("t"),
+    )
+    detail = F.concat(
+        F.lit("journal event"), F.when(F.col("priority").isNotNull(), F.concat(F.lit(" priority "), F.col("priority").cast("string"))).otherwise("")
+    )
     return near(anchors, items, ["host_id", "name"], window_us).select(
-        *anchors.columns, "item_t", F.lit("journal_event").alias("kind"), F.concat(F.lit("journal:"), "cursor").alias("evidence_id"), "evidence_at", F.lit("service_unit_match").alias("reason"),
-        F.substring(detail, 1, MAX_SUMMARY).alias("summary"), F.lit("journal_unit_event").alias("fact"), bounded(F.col("warnings"), "quality_limitations_truncated").alias("evidence_limitations"),
-    )
+        *anchors.columns,
+        "item_t",
+        F.lit("journal_event").alias("kind"),
+        F.concat(F.lit("journal:"), "cursor").alias("evidence_id"),
+        "evidence_at",
+        F.lit("service_unit_match").alias("reason"),
+        F.substring(detail, 1, MAX_SUMMARY).alias("summary"),
+        F.lit("journal_unit_event").alias("fact"),
+        bounded(F.col("warnings"), "quality_limitations_truncated").alias("evidence_limitations"),
+    )
 
 
 def events_for_anchors(found: DataFrame, limit: int = 1000) -> DataFrame:
@@ -139,13 +172,30 @@ def process_evidence(anchors: DataFrame, changes: DataFrame, associations: DataF
     if "limitations" not in changes.columns:
         changes = changes.withColumn("limitations", no_limits())
     usable = changes.where(F.col("lifecycle").isin("new", "exited", "identity_changed") & F.col("lifetime_id").isNotNull())
-    items = usable.select("host_id", "lifetime_id", F.col("lifecycle").alias("p_lifecycle"), process_change_id().alias("evidence_id"), F.col("observed_at").alias("evidence_at"), F.array_sort(F.array_distinct("limitations")).alias("evidence_limitations"), F.unix_micros("observed_at").alias("t"))
-    fact = F.when(F.col("p_lifecycle") == "exited", "process_exited").when(F.col("p_lifecycle") == "new", "process_started").otherwise("process_identity_changed")
+    items = usable.select(
+        "host_id",
+        "lifetime_id",
+        F.col("lifecycle").alias("p_lifecycle"),
+        process_change_id().alias("evidence_id"),
+        F.col("observed_at").alias("evidence_at"),
+        F.array_sort(F.array_distinct("limitations")).alias("evidence_limitations"),
+        F.unix_micros("observed_at").alias("t"),
+    )
+    fact = F.when(
+        F.col("p_lifecycle") == "exited", "process_exited"
+    ).when(F.col("p_lifecycle") == "new", "process_started").otherwise("process_identity_changed")
     linked = anchors.join(service_associations(associations).withColumnRenamed("service_name", "name"), ["host_id", "name"])
     return near(linked, items, ["host_id", "lifetime_id"], window_us).select(
-        *anchors.columns, "item_t", F.lit("process_change").alias("kind"), "evidence_id", "evidence_at", F.lit("explicit_process_association").alias("reason"),
-        F.substring(F.concat(F.lit("associated process lifetime "), "lifetime_id", F.lit(" "), "p_lifecycle"), 1, MAX_SUMMARY).alias("summary"), fact.alias("fact"), "evidence_limitations",
-    )
+        *anchors.columns,
+        "item_t",
+        F.lit("process_change").alias("kind"),
+        "evidence_id",
+        "evidence_at",
+        F.lit("explicit_process_association").alias("reason"),
+        F.substring(F.concat(F.lit("associated process lifetime "), "lifetime_id", F.lit(" "), "p_lifecycle"), 1, MAX_SUMMARY).alias("summary"),
+        fact.alias("fact"),
+        "evidence_limitations",
+    )
 
 
 def ranked_evidence(related: DataFrame, most: int) -> DataFrame:
@@ -159,9 +209,16 @@ def anchor_evidence(anchors: DataFrame) -> DataFrame:
     fact = F.when(F.col("lifecycle") == "removed", "service_removed").otherwise(F.concat(F.lit("service_"), F.col("current.active_state")))
     summary = F.concat(F.lit("service "), "lifecycle", F.lit(": "), plain_state("previous"), F.lit(" -> "), plain_state("current"))
     return anchors.select(
-        *anchors.columns, F.col("t").alias("item_t"), F.lit("service_change").alias("kind"), F.col("change_id").alias("evidence_id"), F.col("observed_at").alias("evidence_at"), F.lit("service_change_anchor").alias("reason"),
-        F.substring(summary, 1, MAX_SUMMARY).alias("summary"), fact.alias("fact"), F.array_sort(F.array_distinct("limitations")).alias("evidence_limitations"),
-    )
+        *anchors.columns,
+        F.col("t").alias("item_t"),
+        F.lit("service_change").alias("kind"),
+        F.col("change_id").alias("evidence_id"),
+        F.col("observed_at").alias("evidence_at"),
+        F.lit("service_change_anchor").alias("reason"),
+        F.substring(summary, 1, MAX_SUMMARY).alias("summary"),
+        fact.alias("fact"),
+        F.array_sort(F.array_distinct("limitations")).alias("evidence_limitations"),
+    )
 
 
 def incident_id() -> Column:
@@ -178,18 +235,39 @@ def correlate(changes: DataFrame, process_changes: DataFrame, events: DataFrame,
     kept = ranked_evidence(related, most)
     with_any = anchor_evidence(anchors).join(kept.select("host_id", "change_id").distinct(), ["host_id", "change_id"], "left_semi")
     rows = with_any.unionByName(kept.drop("place"))
-    return rows.select("host_id", incident_id().alias("incident_id"), F.col("name").alias("subject_id"), F.col("observed_at").alias("started_at"), "limitations", *EVIDENCE)
+    return rows.select(
+        "host_id",
+        incident_id().alias("incident_id"),
+        F.col("name").alias("subject_id"),
+        F.col("observed_at").alias("started_at"),
+        "limitations",
+        *EVIDENCE,
+    )
 
 
 def candidates(evidence: DataFrame, journal_status: DataFrame | None = None) -> DataFrame:
     """One row per candidate; ``journal_status`` (host_id, at, status) adds its limitation where it wasn't a success."""
     keys = ["host_id", "incident_id", "subject_id", "started_at"]
-    rows = evidence.groupBy(*keys).agg(F.max("evidence_at").alias("last_observed_at"), F.count("*").alias("n_evidence"), F.flatten(F.collect_set("evidence_limitations")).alias("e"), F.flatten(F.collect_set("limitations")).alias("own"))
+    rows = evidence.groupBy(*keys).agg(
+        F.max("evidence_at").alias("last_observed_at"),
+        F.count("*").alias("n_evidence"),
+        F.flatten(F.collect_set("evidence_limitations")).alias("e"),
+        F.flatten(F.collect_set("limitations")).alias("own"),
+    )
     extra = no_limits()
     if journal_status is not None:
         rows = rows.join(journal_status.select("host_id", F.col("at").alias("started_at"), "status"), ["host_id", "started_at"], "left")
         extra = F.when(F.coalesce(F.col("status") != "success", F.lit(False)), F.array(F.concat(F.lit("journal_collection_"), "status"))).otherwise(no_limits())
     return rows.select(
-        "host_id", "incident_id", F.lit(RULE_ID).alias("rule_id"), F.lit("service").alias("subject_type"), "subject_id", F.lit("active").alias("state"), "started_at", "last_observed_at",
-        F.lit(None).cast("timestamp").alias("resolved_at"), bounded(F.concat("own", "e", extra), "quality_limitations_truncated").alias("limitations"), "n_evidence",
-    )
+        "host_id",
+        "incident_id",
+        F.lit(RULE_ID).alias("rule_id"),
+        F.lit("service").alias("subject_type"),
+        "subject_id",
+        F.lit("active").alias("state"),
+        "started_at",
+        "last_observed_at",
+        F.lit(None).cast("timestamp").alias("resolved_at"),
+        bounded(F.concat("own", "e", extra), "quality_limitations_truncated").alias("limitations"),
+        "n_evidence",
+    )

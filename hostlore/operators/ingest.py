@@ -14,9 +14,26 @@ from hostlore.functions.scalars import MAX_MESSAGE_BYTES, MAX_PID, bounded, deco
 from hostlore.operators.temporal import TICKS
 
 KEY = ["host_id", "snapshot_id"]
-MEMORY = {"MemTotal": "total_bytes", "MemAvailable": "available_bytes", "MemFree": "free_bytes", "Buffers": "buffers_bytes", "Cached": "cached_bytes", "SwapTotal": "swap_total_bytes", "SwapFree": "swap_free_bytes"}
+MEMORY = {
+    "MemTotal": "total_bytes",
+    "MemAvailable": "available_bytes",
+    "MemFree": "free_bytes",
+    "Buffers": "buffers_bytes",
+    "Cached": "cached_bytes",
+    "SwapTotal": "swap_total_bytes",
+    "SwapFree": "swap_free_bytes",
+}
 #: Columns of /proc/net/dev by field number.
-NETWORK = {0: "receive_bytes", 8: "transmit_bytes", 1: "receive_packets", 9: "transmit_packets", 2: "receive_errors", 10: "transmit_errors", 3: "receive_drops", 11: "transmit_drops"}
+NETWORK = {
+    0: "receive_bytes",
+    8: "transmit_bytes",
+    1: "receive_packets",
+    9: "transmit_packets",
+    2: "receive_errors",
+    10: "transmit_errors",
+    3: "receive_drops",
+    11: "transmit_drops",
+}
 COMMAND_CHARS = 1024
 MAX_CURSOR_BYTES = 1024
 PAGE_BYTES = 4096
@@ -52,8 +69,13 @@ def parse_memory(captures: DataFrame) -> DataFrame:
     unit = F.lower(F.coalesce(F.get("parts", F.lit(1)), F.lit("b")))
     rows = lines(captures).withColumn("parts", parts).where((F.instr("line", ":") > 0) & (F.size("parts") > 0))
     rows = rows.withColumns({"key": F.regexp_extract("line", "^([^:]*):", 1), "unit": unit, "n": whole(F.get("parts", F.lit(0)))})
-    rows = rows.withColumns({"ok": F.col("n").isNotNull() & F.col("unit").isin("kb", "b"), "value": F.col("n") * F.when(F.col("unit") == "kb", 1024).otherwise(1)})
-    picked = rows.groupBy(*KEY).agg(F.every("ok").alias("ok"), *(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("pos"))).alias(c) for k, c in MEMORY.items()))
+    rows = rows.withColumns(
+        {"ok": F.col("n").isNotNull() & F.col("unit").isin("kb", "b"), "value": F.col("n") * F.when(F.col("unit") == "kb", 1024).otherwise(1)}
+    )
+    picked = rows.groupBy(*KEY).agg(
+        F.every("ok").alias("ok"),
+        *(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("pos"))).alias(c) for k, c in MEMORY.items()),
+    )
     needed = F.col("total_bytes").isNotNull() & F.col("available_bytes").isNotNull() & F.col("free_bytes").isNotNull()
     joined = captures.select(*KEY).join(picked, KEY, "left").withColumn("valid", F.coalesce(F.col("ok") & needed, F.lit(False)))
     return joined.select(*KEY, "valid", *only_valid({c: F.col(c) for c in MEMORY.values()}))
@@ -65,7 +87,12 @@ def parse_network(captures: DataFrame) -> DataFrame:
     rows = lines(captures.withColumn("payload", F.regexp_replace("payload", r"\n$", ""))).where("pos >= 2").withColumn("n", F.transform(fields, whole))
     rows = rows.withColumn("ok", (F.instr("line", ":") > 0) & (F.size("n") >= 16) & F.forall("n", lambda x: F.coalesce(x >= 0, F.lit(False))))
     rows = rows.withColumn("valid", F.every("ok").over(Window.partitionBy(*KEY)))
-    good = rows.where("valid").select(*KEY, "valid", F.trim(F.regexp_extract("line", "^([^:]*):", 1)).alias("interface"), *(F.get("n", F.lit(i)).alias(c) for i, c in NETWORK.items()))
+    good = rows.where("valid").select(
+        *KEY,
+        "valid",
+        F.trim(F.regexp_extract("line", "^([^:]*):", 1)).alias("interface"),
+        *(F.get("n", F.lit(i)).alias(c) for i, c in NETWORK.items()),
+    )
     bad = rows.where("not valid").select(*KEY, "valid").distinct()
     return good.unionByName(bad, allowMissingColumns=True)
 
@@ -76,11 +103,30 @@ def parse_processes(captures: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFr
     rows = captures.withColumns({"name": F.regexp_extract("stat", r"(?s)^[^(]*\((.*)\)", 1), "f": f})
     at = lambda i: whole(F.get("f", F.lit(i)))
     numbers = {"ppid": at(1), "utime": at(11), "stime": at(12), "threads": at(17), "start_time_ticks": at(19), "virtual_memory_bytes": at(20), "pages": at(21)}
-    rows = rows.withColumns(numbers).withColumn("valid", F.col("stat").rlike(r"(?s)\(.*\)") & (F.size("f") >= 22) & F.forall(F.array(*numbers), lambda x: x.isNotNull()))
+    rows = rows.withColumns(numbers).withColumn(
+        "valid", F.col("stat").rlike(r"(?s)\(.*\)") & (F.size("f") >= 22) & F.forall(F.array(*numbers), lambda x: x.isNotNull())
+    )
     command = F.trim(F.translate("cmdline", "\0", " "))
-    return rows.select(*KEY, "pid", "valid", *only_valid({
-        "ppid": F.col("ppid").cast("int"), "name": F.col("name"), "state": F.get("f", F.lit(0)), "rss_bytes": F.col("pages") * page_bytes, "virtual_memory_bytes": F.col("virtual_memory_bytes"), "threads": F.col("threads").cast("int"),
-        "cpu_time_ticks": F.col("utime") + F.col("stime"), "start_time_ticks": F.col("start_time_ticks"), "command": F.when(command != "", redact_to(command, COMMAND_CHARS)), "executable": F.col("executable"), "lifetime_id": F.concat_ws(":", "pid", "start_time_ticks")}))
+    return rows.select(
+        *KEY,
+        "pid",
+        "valid",
+        *only_valid(
+            {
+                "ppid": F.col("ppid").cast("int"),
+                "name": F.col("name"),
+                "state": F.get("f", F.lit(0)),
+                "rss_bytes": F.col("pages") * page_bytes,
+                "virtual_memory_bytes": F.col("virtual_memory_bytes"),
+                "threads": F.col("threads").cast("int"),
+                "cpu_time_ticks": F.col("utime") + F.col("stime"),
+                "start_time_ticks": F.col("start_time_ticks"),
+                "command": F.when(command != "", redact_to(command, COMMAND_CHARS)),
+                "executable": F.col("executable"),
+                "lifetime_id": F.concat_ws(":", "pid", "start_time_ticks"),
+            }
+        ),
+    )
 
 
 def parse_services(captures: DataFrame) -> DataFrame:
@@ -89,16 +135,27 @@ def parse_services(captures: DataFrame) -> DataFrame:
     rows = lines(captures).withColumn("f", f).where(F.size("f") > 0).withColumn("name", F.get("f", F.lit(0)))
     w = Window.partitionBy(*KEY)
     plain = F.forall(F.slice("f", 1, 4), lambda x: ~x.rlike(r"[\x00-\x1f]"))
-    rows = rows.withColumn("same", F.count("*").over(Window.partitionBy(*KEY, "name"))).withColumn("ok", (F.size("f") >= 4) & F.col("name").endswith(".service") & (F.col("name") != ".service") & (F.col("same") == 1) & plain)
+    rows = rows.withColumn("same", F.count("*").over(Window.partitionBy(*KEY, "name"))).withColumn(
+        "ok", (F.size("f") >= 4) & F.col("name").endswith(".service") & (F.col("name") != ".service") & (F.col("same") == 1) & plain
+    )
     rows = rows.withColumn("valid", F.every("ok").over(w))
-    good = rows.where("valid").select(*KEY, "valid", "name", F.get("f", F.lit(1)).alias("load_state"), F.get("f", F.lit(2)).alias("active_state"), F.get("f", F.lit(3)).alias("sub_state"))
+    good = rows.where("valid").select(
+        *KEY,
+        "valid",
+        "name",
+        F.get("f", F.lit(1)).alias("load_state"),
+        F.get("f", F.lit(2)).alias("active_state"),
+        F.get("f", F.lit(3)).alias("sub_state"),
+    )
     return good.unionByName(rows.where("not valid").select(*KEY, "valid").distinct(), allowMissingColumns=True)
 
 
 def parse_uptime(captures: DataFrame) -> DataFrame:
     """The first number, not negative."""
     value = F.get(words(F.col("payload")), F.lit(0)).try_cast("double")
-    return captures.withColumn("uptime_seconds", value).withColumn("valid", F.coalesce(F.col("uptime_seconds") >= 0, F.lit(False))).select(*KEY, "valid", *only_valid({"uptime_seconds": F.col("uptime_seconds")}))
+    return captures.withColumn("uptime_seconds", value).withColumn("valid", F.coalesce(F.col("uptime_seconds") >= 0, F.lit(False))).select(
+        *KEY, "valid", *only_valid({"uptime_seconds": F.col("uptime_seconds")})
+    )
 
 
 def disk_usage(disks: DataFrame) -> DataFrame:
@@ -121,20 +178,47 @@ def parse_journal(records: DataFrame) -> DataFrame:
     rows = records.withColumn("v", v)
     unit = F.when(F.coalesce(decode_bytes(field("_SYSTEMD_UNIT")), F.lit("")) != "", field("_SYSTEMD_UNIT")).otherwise(field("_SYSTEMD_USER_UNIT"))
     source = F.when(field("SYSLOG_IDENTIFIER").isNull(), F.lit("journal")).otherwise(decode_bytes(field("SYSLOG_IDENTIFIER")))
-    rows = rows.withColumns({"cursor": text("__CURSOR"), "at": from_epoch_micros(decode_bytes(field("__REALTIME_TIMESTAMP"))), "r_message": decode_bytes(field("MESSAGE")), "r_source": source, "r_unit": decode_bytes(unit), "r_comm": decode_bytes(field("_COMM")), "r_boot_id": decode_bytes(field("_BOOT_ID"))})
+    rows = rows.withColumns(
+        {
+            "cursor": text("__CURSOR"),
+            "at": from_epoch_micros(decode_bytes(field("__REALTIME_TIMESTAMP"))),
+            "r_message": decode_bytes(field("MESSAGE")),
+            "r_source": source,
+            "r_unit": decode_bytes(unit),
+            "r_comm": decode_bytes(field("_COMM")),
+            "r_boot_id": decode_bytes(field("_BOOT_ID")),
+        }
+    )
     priority, priority_ok = optional_int(text("PRIORITY"), 7)
     pid, pid_ok = optional_int(text("_PID"), MAX_PID)
     names = ("message", "source", "unit", "comm", "boot_id")
-    valid = F.col("v").isNotNull() & F.coalesce((F.octet_length("cursor").between(1, MAX_CURSOR_BYTES)) & (F.instr("cursor", "\0") == 0), F.lit(False)) & F.col("at").isNotNull() & is_text("PRIORITY") & is_text("_PID") & priority_ok & pid_ok
+    valid = F.col("v").isNotNull() & F.coalesce(
+        (F.octet_length("cursor").between(1, MAX_CURSOR_BYTES)) & (F.instr("cursor", "\0") == 0), F.lit(False)
+    ) & F.col("at").isNotNull() & is_text("PRIORITY") & is_text("_PID") & priority_ok & pid_ok
     for n in names:
         valid = valid & F.col(f"r_{n}").isNotNull()
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
     clean = {n: normalised(n, F.col(f"r_{n}"), MAX_MESSAGE_BYTES if n == "message" else 512) for n in names}
     some = lambda n: F.when(clean[n][0] != "", clean[n][0])
     keep = [c for c in records.columns if c != "payload"]
-    return rows.select(*keep, "valid", *only_valid({
-        "cursor": F.col("cursor"), "observed_at": F.col("at"), "source": clean["source"][0], "priority": priority.cast("int"), "unit": some("unit"), "pid": pid.cast("int"), "comm": some("comm"), "message": clean["message"][0],
-        "boot_id": some("boot_id"), "warnings": F.concat(*(clean[n][1] for n in names))}))
+    return rows.select(
+        *keep,
+        "valid",
+        *only_valid(
+            {
+                "cursor": F.col("cursor"),
+                "observed_at": F.col("at"),
+                "source": clean["source"][0],
+                "priority": priority.cast("int"),
+                "unit": some("unit"),
+                "pid": pid.cast("int"),
+                "comm": some("comm"),
+                "message": clean["message"][0],
+                "boot_id": some("boot_id"),
+                "warnings": F.concat(*(clean[n][1] for n in names)),
+            }
+        ),
+    )
 
 
 def collection_status(captures: DataFrame, parsed: DataFrame, failures: DataFrame | None = None) -> DataFrame:
@@ -179,7 +263,9 @@ def process_status(parsed: DataFrame, unreadable: DataFrame | None = None, limit
 def lowest_pids(processes: DataFrame, most: int) -> DataFrame:
     """The ``most`` lowest pids of a snapshot; ``limited`` tells that there were more."""
     w = Window.partitionBy(*KEY)
-    return processes.withColumns({"place": F.row_number().over(w.orderBy("pid")), "limited": F.count("*").over(w) > most}).where(F.col("place") <= most).drop("place")
+    return processes.withColumns(
+        {"place": F.row_number().over(w.orderBy("pid")), "limited": F.count("*").over(w) > most}
+    ).where(F.col("place") <= most).drop("place")
 
 
 def accept_pages(records: DataFrame, saved: DataFrame, limit: int, pages: DataFrame | None = None) -> DataFrame:
@@ -197,20 +283,35 @@ def accept_pages(records: DataFrame, saved: DataFrame, limit: int, pages: DataFr
     skipped = F.when(F.col("saved").isNotNull(), 1).otherwise(0)
     taken = (F.col("rank") > skipped) & (F.col("rank") <= skipped + limit)
     agg = rows.groupBy(*key).agg(
-        F.max(F.when(F.col("rank") == 1, F.col("cursor"))).alias("first"), F.every("valid").alias("ok"), F.count("*").alias("n"), F.countDistinct("cursor").alias("distinct"), F.max(taken & F.col("warned")).alias("warned"),
-        F.max(F.when(F.col("rank") == skipped + limit, F.col("cursor"))).alias("at_limit"), F.max_by("cursor", "rank").alias("last"),
-    )
+        F.max(F.when(F.col("rank") == 1, F.col("cursor"))).alias("first"),
+        F.every("valid").alias("ok"),
+        F.count("*").alias("n"),
+        F.countDistinct("cursor").alias("distinct"),
+        F.max(taken & F.col("warned")).alias("warned"),
+        F.max(F.when(F.col("rank") == skipped + limit, F.col("cursor"))).alias("at_limit"),
+        F.max_by("cursor", "rank").alias("last"),
+    )
     every = (agg if pages is None else pages).select(*key).distinct()
-    out = every.join(agg, key, "left").join(saved, key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "distinct": F.coalesce("distinct", F.lit(0)), "ok": F.coalesce("ok", F.lit(True))})
+    out = every.join(agg, key, "left").join(saved, key, "left").withColumns(
+        {"n": F.coalesce("n", F.lit(0)), "distinct": F.coalesce("distinct", F.lit(0)), "ok": F.coalesce("ok", F.lit(True))}
+    )
     more = F.col("n") - skipped > limit
     outcome = (
-        F.when(~F.col("ok"), "journal_invalid").when(F.col("saved").isNotNull() & ~F.col("first").eqNullSafe(F.col("saved")), "journal_cursor_invalidated").when(F.col("distinct") < F.col("n"), "journal_duplicate_cursor")
-        .when(more | F.coalesce("warned", F.lit(False)), "partial").otherwise("success")
-    )
+        F.when(~F.col("ok"), "journal_invalid").when(
+            F.col("saved").isNotNull() & ~F.col("first").eqNullSafe(F.col("saved")), "journal_cursor_invalidated"
+        ).when(
+            F.col("distinct") < F.col("n"), "journal_duplicate_cursor"
+        ).when(more | F.coalesce("warned", F.lit(False)), "partial").otherwise("success")
+    )
     out = out.withColumn("outcome", outcome)
     fine = F.col("outcome").isin("partial", "success")
     end = F.coalesce(F.when(more, F.col("at_limit")).otherwise(F.col("last")), F.col("saved"))
-    return out.select(*key, "outcome", F.when(fine, F.least(F.col("n") - skipped, F.lit(limit))).otherwise(0).alias("accepted"), F.when(fine, end).otherwise(F.col("saved")).alias("next_cursor"))
+    return out.select(
+        *key,
+        "outcome",
+        F.when(fine, F.least(F.col("n") - skipped, F.lit(limit))).otherwise(0).alias("accepted"),
+        F.when(fine, end).otherwise(F.col("saved")).alias("next_cursor"),
+    )
 
 
 def assemble_snapshots(snapshots: DataFrame, statuses: DataFrame, **tables: DataFrame) -> DataFrame:

@@ -16,14 +16,25 @@ USABLE = ("success", "partial")
 
 def service_validity(services: DataFrame) -> DataFrame:
     """Adds ``valid``: the name has the right shape and the states are plain words."""
-    return services.withColumn("valid", valid_service_name(F.col("name")) & valid_state(F.col("load_state")) & valid_state(F.col("active_state")) & valid_state(F.col("sub_state")))
+    return services.withColumn(
+        "valid",
+        valid_service_name(F.col("name")) & valid_state(F.col("load_state")) & valid_state(F.col("active_state")) & valid_state(F.col("sub_state")),
+    )
 
 
 def completeness(results: DataFrame, services: DataFrame) -> DataFrame:
     """(host_id, snapshot_id, collector_name, usable, complete). Services are complete only with every row valid."""
-    invalid = service_validity(services).where("not valid").select("host_id", "snapshot_id", F.lit("services").alias("collector_name"), F.lit(True).alias("bad")).distinct()
+    invalid = service_validity(services).where("not valid").select(
+        "host_id", "snapshot_id", F.lit("services").alias("collector_name"), F.lit(True).alias("bad")
+    ).distinct()
     joined = results.join(invalid, ["host_id", "snapshot_id", "collector_name"], "left")
-    return joined.select("host_id", "snapshot_id", "collector_name", F.col("status").isin(*USABLE).alias("usable"), ((F.col("status") == "success") & F.col("bad").isNull()).alias("complete"))
+    return joined.select(
+        "host_id",
+        "snapshot_id",
+        "collector_name",
+        F.col("status").isin(*USABLE).alias("usable"),
+        ((F.col("status") == "success") & F.col("bad").isNull()).alias("complete"),
+    )
 
 
 def duplicate_identities(rows: DataFrame, identity: str) -> DataFrame:
@@ -63,15 +74,28 @@ def service_lifecycle(services: DataFrame, snapshots: DataFrame, results: DataFr
     w = Window.partitionBy("host_id", "name").orderBy("snapshot_id")
     rows = with_history(service_validity(services), snapshots, completeness(results, services), "services").withColumn("current", state)
     rows = rows.withColumns({"previous": adjacent(F.col("current"), w), "stays": adjacent(F.lit(True), w, back=False)})
-    same = F.col("previous.load_state").eqNullSafe(F.col("load_state")) & F.col("previous.active_state").eqNullSafe(F.col("active_state")) & F.col("previous.sub_state").eqNullSafe(F.col("sub_state"))
+    same = F.col("previous.load_state").eqNullSafe(F.col("load_state")) & F.col(
+        "previous.active_state"
+    ).eqNullSafe(F.col("active_state")) & F.col("previous.sub_state").eqNullSafe(F.col("sub_state"))
     lifecycle = (
-        F.when(~F.col("valid") | ~F.coalesce("previous.valid", F.lit(True)), "invalid")
-        .when(F.col("previous").isNull(), F.when(F.col("has_previous") & F.col("previous_complete") & F.col("complete"), "new").otherwise("insufficient_history"))
-        .when(same, "continuing").otherwise("state_changed")
-    )
+        F.when(~F.col("valid") | ~F.coalesce("previous.valid", F.lit(True)), "invalid").when(
+            F.col("previous").isNull(),
+            F.when(F.col("has_previous") & F.col("previous_complete") & F.col("complete"), "new").otherwise("insufficient_history"),
+        ).when(same, "continuing").otherwise("state_changed")
+    )
     now = rows.select("host_id", "snapshot_id", "observed_at", "name", lifecycle.alias("lifecycle"), "previous", "current")
     gone = rows.where("stays is null and next_id is not null and complete and next_complete")
-    return now.unionByName(gone.select("host_id", F.col("next_id").alias("snapshot_id"), F.col("next_at").alias("observed_at"), "name", F.lit("removed").alias("lifecycle"), F.col("current").alias("previous"), F.lit(None).cast(now.schema["current"].dataType).alias("current")))
+    return now.unionByName(
+        gone.select(
+            "host_id",
+            F.col("next_id").alias("snapshot_id"),
+            F.col("next_at").alias("observed_at"),
+            "name",
+            F.lit("removed").alias("lifecycle"),
+            F.col("current").alias("previous"),
+            F.lit(None).cast(now.schema["current"].dataType).alias("current"),
+        )
+    )
 
 
 def process_lifecycle(processes: DataFrame, snapshots: DataFrame, results: DataFrame, services: DataFrame) -> DataFrame:
@@ -93,10 +117,26 @@ def process_lifecycle(processes: DataFrame, snapshots: DataFrame, results: DataF
     )
     goes_on = F.col("lifecycle") == "continuing"
     now = rows.withColumn("lifecycle", lifecycle).select(
-        "host_id", "snapshot_id", "observed_at", "pid", "lifetime_id", "lifecycle",
+        "host_id",
+        "snapshot_id",
+        "observed_at",
+        "pid",
+        "lifetime_id",
+        "lifecycle",
         F.when(goes_on, counter(F.col("prior.cpu_time_ticks"), F.col("cpu_time_ticks"), F.col("elapsed"))).alias("cpu"),
-        F.when(goes_on, F.col("rss_bytes") - F.col("prior.rss_bytes")).alias("rss_delta"), F.when(goes_on, F.col("virtual_memory_bytes") - F.col("prior.virtual_memory_bytes")).alias("vm_delta"),
-    )
+        F.when(goes_on, F.col("rss_bytes") - F.col("prior.rss_bytes")).alias("rss_delta"),
+        F.when(goes_on, F.col("virtual_memory_bytes") - F.col("prior.virtual_memory_bytes")).alias("vm_delta"),
+    )
     gone = rows.where("stays is null and next_id is not null and complete and next_complete and lifetime_id is not null")
     none = {c: F.lit(None).cast(now.schema[c].dataType).alias(c) for c in ("cpu", "rss_delta", "vm_delta")}
-    return now.unionByName(gone.select("host_id", F.col("next_id").alias("snapshot_id"), F.col("next_at").alias("observed_at"), "pid", "lifetime_id", F.lit("exited").alias("lifecycle"), *none.values()))
+    return now.unionByName(
+        gone.select(
+            "host_id",
+            F.col("next_id").alias("snapshot_id"),
+            F.col("next_at").alias("observed_at"),
+            "pid",
+            "lifetime_id",
+            F.lit("exited").alias("lifecycle"),
+            *none.values(),
+        )
+    )

@@ -19,7 +19,9 @@ def unique_candidates(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates once per id, and the ids that come with different content."""
     whole = F.struct(*HEADER)
     rows = incoming.groupBy("host_id", "incident_id").agg(F.min(whole).alias("v"), F.max(whole).alias("w"))
-    return rows.where("v <=> w").select("host_id", "incident_id", "v.*"), rows.where("not (v <=> w)").select("host_id", "incident_id", F.lit("unequal_duplicates").alias("problem"))
+    return rows.where("v <=> w").select("host_id", "incident_id", "v.*"), rows.where("not (v <=> w)").select(
+        "host_id", "incident_id", F.lit("unequal_duplicates").alias("problem")
+    )
 
 
 def merge_limitations(a: str, b: str):
@@ -35,15 +37,33 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame
     """
     old, new = (df.select("host_id", "incident_id", F.struct(*HEADER).alias(side)) for df, side in ((stored, "o"), (incoming, "n")))
     both = old.join(new, ["host_id", "incident_id"], "full_outer")
-    clash = F.col("o").isNotNull() & F.col("n").isNotNull() & ((F.col("o.rule_id") != F.col("n.rule_id")) | (F.col("o.subject_type") != F.col("n.subject_type")) | (F.col("o.subject_id") != F.col("n.subject_id")) | (F.col("o.started_at") != F.col("n.started_at")))
+    clash = F.col("o").isNotNull() & F.col("n").isNotNull() & (
+        (F.col("o.rule_id") != F.col("n.rule_id")) | (
+            F.col("o.subject_type") != F.col("n.subject_type")
+        ) | (F.col("o.subject_id") != F.col("n.subject_id")) | (F.col("o.started_at") != F.col("n.started_at"))
+    )
     late = (F.col("o.state") == "resolved") & (F.col("n.last_observed_at") > F.col("o.resolved_at"))
     problem = F.when(clash, "identity_reused").when(late, "evidence_after_resolution")
     both = both.withColumn("problem", problem)
     extended = (F.col("o.state") == "active") & (F.col("n.last_observed_at") > F.col("o.last_observed_at"))
     change = F.when(F.col("o").isNull(), "inserted").when(F.col("n").isNull(), "stored").when(extended, "extended").otherwise("kept")
-    last = F.when(F.col("o").isNull(), F.col("n.last_observed_at")).when(F.coalesce(extended, F.lit(False)), F.col("n.last_observed_at")).otherwise(F.col("o.last_observed_at"))
+    last = F.when(F.col("o").isNull(), F.col("n.last_observed_at")).when(
+        F.coalesce(extended, F.lit(False)), F.col("n.last_observed_at")
+    ).otherwise(F.col("o.last_observed_at"))
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
-    merged = both.where("problem is null").select("host_id", "incident_id", pick("rule_id"), pick("subject_type"), pick("subject_id"), pick("state"), pick("started_at"), last.alias("last_observed_at"), F.col("o.resolved_at").alias("resolved_at"), merge_limitations("o.limitations", "n.limitations").alias("limitations"), change.alias("change"))
+    merged = both.where("problem is null").select(
+        "host_id",
+        "incident_id",
+        pick("rule_id"),
+        pick("subject_type"),
+        pick("subject_id"),
+        pick("state"),
+        pick("started_at"),
+        last.alias("last_observed_at"),
+        F.col("o.resolved_at").alias("resolved_at"),
+        merge_limitations("o.limitations", "n.limitations").alias("limitations"),
+        change.alias("change"),
+    )
     return merged, both.where("problem is not null").select("host_id", "incident_id", "problem")
 
 
@@ -52,10 +72,23 @@ def merge_evidence(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
     core = F.struct("evidence_at", "reason", "summary")
     known = F.when(F.col("fact") != "unknown", F.col("fact"))
     rows = stored.unionByName(incoming, allowMissingColumns=True).groupBy("host_id", "incident_id", "kind", "evidence_id").agg(
-        F.min(core).alias("c"), F.max(core).alias("d"), F.min(known).alias("low"), F.max(known).alias("high"), F.flatten(F.collect_set("evidence_limitations")).alias("all"))
+        F.min(core).alias("c"),
+        F.max(core).alias("d"),
+        F.min(known).alias("low"),
+        F.max(known).alias("high"),
+        F.flatten(F.collect_set("evidence_limitations")).alias("all"),
+    )
     problem = F.when(F.col("c") != F.col("d"), "content_differs").when(F.col("low") != F.col("high"), "facts_differ")
     rows = rows.withColumn("problem", problem)
-    clean = rows.where("problem is null").select("host_id", "incident_id", "kind", "evidence_id", "c.*", F.coalesce("low", F.lit("unknown")).alias("fact"), bounded(F.col("all"), "evidence_quality_limitations_storage_limit_reached").alias("evidence_limitations"))
+    clean = rows.where("problem is null").select(
+        "host_id",
+        "incident_id",
+        "kind",
+        "evidence_id",
+        "c.*",
+        F.coalesce("low", F.lit("unknown")).alias("fact"),
+        bounded(F.col("all"), "evidence_quality_limitations_storage_limit_reached").alias("evidence_limitations"),
+    )
     return clean, rows.where("problem is not null").select("host_id", "incident_id", "kind", "evidence_id", "problem")
 
 
@@ -64,7 +97,9 @@ def cap_evidence(evidence: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
     other = F.col("reason") != "service_change_anchor"
     w = Window.partitionBy("host_id", "incident_id", other).orderBy(F.desc("evidence_at"), F.desc("kind"), F.desc("evidence_id"))
     size = F.count("*").over(Window.partitionBy("host_id", "incident_id"))
-    return evidence.withColumns({"place": F.row_number().over(w), "truncated": size > most}).where(~other | (F.col("place") <= most - 1) | ~F.col("truncated")).drop("place")
+    return evidence.withColumns(
+        {"place": F.row_number().over(w), "truncated": size > most}
+    ).where(~other | (F.col("place") <= most - 1) | ~F.col("truncated")).drop("place")
 
 
 def settled(incidents: DataFrame, times: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -75,7 +110,13 @@ def settled(incidents: DataFrame, times: DataFrame, key: list[str]) -> tuple[Dat
     out = rows.withColumns({"hit": hit & ~early, "early": early})
     keep = [F.col(c) for c in incidents.columns if c not in ("state", "last_observed_at", "resolved_at")]
     then = lambda new, name: F.when(F.col("hit"), new).otherwise(F.col(name)).alias(name)
-    done = out.select(*keep, then(F.lit("resolved"), "state"), then(F.col("resolved_time"), "last_observed_at"), then(F.col("resolved_time"), "resolved_at"), F.coalesce("hit", F.lit(False)).alias("now_resolved"))
+    done = out.select(
+        *keep,
+        then(F.lit("resolved"), "state"),
+        then(F.col("resolved_time"), "last_observed_at"),
+        then(F.col("resolved_time"), "resolved_at"),
+        F.coalesce("hit", F.lit(False)).alias("now_resolved"),
+    )
     return done, out.where("early").select("host_id", "incident_id", F.lit("resolution_before_evidence").alias("problem"))
 
 
@@ -103,7 +144,9 @@ def resolve(incidents: DataFrame, subjects: DataFrame, candidates: DataFrame) ->
     A resolution earlier than the incident's last evidence is a conflict. Callers pass subjects of authoritative
     collections only.
     """
-    times = subjects.join(candidates.select("host_id", "subject_id").distinct(), ["host_id", "subject_id"], "left_anti").groupBy("host_id", "subject_id").agg(F.max("resolved_time").alias("resolved_time"))
+    times = subjects.join(
+        candidates.select("host_id", "subject_id").distinct(), ["host_id", "subject_id"], "left_anti"
+    ).groupBy("host_id", "subject_id").agg(F.max("resolved_time").alias("resolved_time"))
     return settled(incidents, times, ["host_id", "subject_id"])
 
 

@@ -16,13 +16,29 @@ def document(**parts: Column) -> Column:
 
 def incident_payload() -> Column:
     return F.struct(
-        "incident_id", "state", F.struct(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).alias("subject"), "rule_id", iso(F.col("started_at")).alias("opened_at"),
-        iso(F.col("last_observed_at")).alias("last_observed_at"), F.when(F.col("resolved_at").isNotNull(), iso(F.col("resolved_at"))).alias("resolved_at"),
-    )
+        "incident_id",
+        "state",
+        F.struct(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).alias("subject"),
+        "rule_id",
+        iso(F.col("started_at")).alias("opened_at"),
+        iso(F.col("last_observed_at")).alias("last_observed_at"),
+        F.when(F.col("resolved_at").isNotNull(), iso(F.col("resolved_at"))).alias("resolved_at"),
+    )
 
 
 def diagnosis_payload() -> Column:
-    return F.struct(F.col("incident_id"), "subject_id", F.col("d.state").alias("state"), F.col("d.rule").alias("rule"), F.col("d.explanation").alias("explanation"), F.col("d.facts").alias("supported_facts"), F.col("d.evidence_ids").alias("provenance_ids"), F.col("d.history").alias("historical_incident_ids"), F.col("d.limitations").alias("limitations"), F.array(F.lit("causal_direction"), F.lit("exact_root_cause")).alias("not_established"))
+    return F.struct(
+        F.col("incident_id"),
+        "subject_id",
+        F.col("d.state").alias("state"),
+        F.col("d.rule").alias("rule"),
+        F.col("d.explanation").alias("explanation"),
+        F.col("d.facts").alias("supported_facts"),
+        F.col("d.evidence_ids").alias("provenance_ids"),
+        F.col("d.history").alias("historical_incident_ids"),
+        F.col("d.limitations").alias("limitations"),
+        F.array(F.lit("causal_direction"), F.lit("exact_root_cause")).alias("not_established"),
+    )
 
 
 def incident_list(listed: DataFrame, limit: int) -> DataFrame:
@@ -30,7 +46,11 @@ def incident_list(listed: DataFrame, limit: int) -> DataFrame:
     key = F.struct(-F.unix_micros("last_observed_at"), "incident_id")
     rows = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), incident_payload().alias("p")))), lambda x: x["p"]).alias("incidents"))
     n = F.size("incidents")
-    return rows.select(document(incidents=F.col("incidents"), count=n, query=F.struct(F.lit(limit).alias("limit"), (n == limit).alias("limit_reached"))).alias("document"))
+    return rows.select(
+        document(
+            incidents=F.col("incidents"), count=n, query=F.struct(F.lit(limit).alias("limit"), (n == limit).alias("limit_reached"))
+        ).alias("document")
+    )
 
 
 def nested(diagnoses: DataFrame) -> DataFrame:
@@ -45,10 +65,31 @@ def diagnosis_documents(diagnoses: DataFrame) -> DataFrame:
 def inspection_documents(details: DataFrame, facts: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """``details``: incidents with their evidence arrays."""
     rows = details.join(facts, ["host_id", "incident_id"]).join(nested(diagnoses), ["host_id", "incident_id"])
-    evidence = F.transform("evidence", lambda e: F.struct(e["evidence_id"].alias("evidence_id"), e["kind"].alias("kind"), e["fact"].alias("fact"), e["reason"].alias("relation"), iso(e["evidence_at"]).alias("observed_at"), e["evidence_limitations"].alias("quality_limitations")))
+    evidence = F.transform(
+        "evidence",
+        lambda e: F.struct(
+            e["evidence_id"].alias("evidence_id"),
+            e["kind"].alias("kind"),
+            e["fact"].alias("fact"),
+            e["reason"].alias("relation"),
+            iso(e["evidence_at"]).alias("observed_at"),
+            e["evidence_limitations"].alias("quality_limitations"),
+        ),
+    )
     groups = F.struct(F.col("established"), F.col("unknown_ids").alias("unknown_evidence_ids"), F.col("not_established"))
     limits = F.struct(F.col("limitations").alias("incident"), F.col("d.limitations").alias("diagnosis"))
-    return rows.select("host_id", "incident_id", document(incident=incident_payload(), evidence=evidence, facts=groups, historical_related_incident_ids=F.col("d.history"), diagnosis=diagnosis_payload(), limitations=limits).alias("document"))
+    return rows.select(
+        "host_id",
+        "incident_id",
+        document(
+            incident=incident_payload(),
+            evidence=evidence,
+            facts=groups,
+            historical_related_incident_ids=F.col("d.history"),
+            diagnosis=diagnosis_payload(),
+            limitations=limits,
+        ).alias("document"),
+    )
 
 
 RESULT = ("status", "collected_at", "duration_seconds", "error_code", "error_message", "warnings")
@@ -79,28 +120,55 @@ def status_documents(snapshots: DataFrame, results: DataFrame, single: dict[str,
     statuses = F.transform("_went", lambda x: F.struct(x["collector_name"].alias("name"), x["r"]["status"].alias("status")))
     nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     groups = [*(F.col(n) for n in single), *(nothing(F.col(n), out.schema[n].dataType) for n in many)]
-    snapshot = F.struct(iso(F.col("observed_at")).alias("timestamp"), *(c.alias(n) for c, n in zip(groups, [*single, *many], strict=True)), statuses.alias("collector_statuses"), nothing(F.col("warnings"), "array<string>").alias("warnings"))
+    snapshot = F.struct(
+        iso(F.col("observed_at")).alias("timestamp"),
+        *(c.alias(n) for c, n in zip(groups, [*single, *many], strict=True)),
+        statuses.alias("collector_statuses"),
+        nothing(F.col("warnings"), "array<string>").alias("warnings"),
+    )
     collectors = F.map_from_entries(F.transform("_went", lambda x: F.struct(x["collector_name"], x["r"])))
     return out.select(*key, document(snapshot=snapshot, collectors=collectors).alias("document"))
 
 
-def cycle_summary(snapshots: DataFrame, results: DataFrame, counts: dict[str, DataFrame], events: DataFrame, candidates: DataFrame, resolved: DataFrame, correlated: DataFrame | None = None) -> DataFrame:
+def cycle_summary(
+    snapshots: DataFrame,
+    results: DataFrame,
+    counts: dict[str, DataFrame],
+    events: DataFrame,
+    candidates: DataFrame,
+    resolved: DataFrame,
+    correlated: DataFrame | None = None,
+) -> DataFrame:
     """One row per snapshot: quality, observation counts, events, candidate and resolved ids, limitations.
 
     ``correlated``: (host_id, observed_at) once for each event that was looked at for the anchors of a snapshot.
     """
     key = ["host_id", "snapshot_id"]
-    word = F.when(F.col("status") != "success", F.concat(F.when(F.col("collector_name") == "journal", "journal_collection_").otherwise(F.concat(F.lit("collector_"), "collector_name", F.lit("_"))), "status"))
+    word = F.when(
+        F.col("status") != "success",
+        F.concat(
+            F.when(F.col("collector_name") == "journal", "journal_collection_").otherwise(
+                F.concat(F.lit("collector_"), "collector_name", F.lit("_"))
+            ),
+            "status",
+        ),
+    )
     timing = [optional(snapshots, c, "double") for c in ("started_monotonic", "completed_monotonic")]
-    quality = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("collector_name") != "journal", F.struct("collector_name", "status"))))).alias("collection_quality")
+    quality = F.map_from_entries(
+        F.array_sort(F.collect_list(F.when(F.col("collector_name") != "journal", F.struct("collector_name", "status"))))
+    ).alias("collection_quality")
     journal = F.max(F.when(F.col("collector_name") == "journal", F.col("status"))).alias("journal_status")
-    out = snapshots.select(*key, "observed_at", *timing).join(results.groupBy(*key).agg(quality, journal), key, "left").join(results.groupBy(*key).agg(bounded(F.collect_set(word), "runtime_limitations_truncated").alias("limitations")), key, "left")
+    out = snapshots.select(*key, "observed_at", *timing).join(results.groupBy(*key).agg(quality, journal), key, "left").join(
+        results.groupBy(*key).agg(bounded(F.collect_set(word), "runtime_limitations_truncated").alias("limitations")), key, "left"
+    )
     for name, df in {**{f"n_{n}": d for n, d in counts.items()}, "events_processed": events}.items():
         out = out.join(df.groupBy(*key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     if correlated is None:
         out = out.withColumn("events_correlated", F.lit(0).cast("long"))
     else:
-        out = out.join(correlated.groupBy("host_id", "observed_at").agg(F.count("*").alias("events_correlated")), ["host_id", "observed_at"], "left").withColumn("events_correlated", F.coalesce("events_correlated", F.lit(0)))
+        out = out.join(
+            correlated.groupBy("host_id", "observed_at").agg(F.count("*").alias("events_correlated")), ["host_id", "observed_at"], "left"
+        ).withColumn("events_correlated", F.coalesce("events_correlated", F.lit(0)))
     for name, df in (("candidate_ids", candidates), ("resolved_ids", resolved)):
         ids = df.groupBy("host_id", F.col("at").alias("observed_at")).agg(F.array_sort(F.collect_set("incident_id")).alias(name))
         out = out.join(ids, ["host_id", "observed_at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
@@ -111,8 +179,20 @@ def cycle_documents(cycles: DataFrame) -> DataFrame:
     """A cycle's number is that of its snapshot on the host; times are null where the snapshots have none."""
     counts = F.struct(*(F.col(c).alias(c[2:]) for c in sorted(cycles.columns) if c.startswith("n_")))
     cycle = F.struct(
-        F.col("snapshot_id").alias("number"), iso(F.col("observed_at")).alias("observed_at"), "started_monotonic", "completed_monotonic", (F.col("completed_monotonic") - F.col("started_monotonic")).alias("duration_seconds"),
-        "snapshot_id", "collection_quality", counts.alias("observation_counts"), "journal_status", "events_processed", "events_correlated", F.col("candidate_ids").alias("incident_candidate_ids"),
-        F.col("candidate_ids").alias("reconciled_candidate_ids"), F.col("resolved_ids").alias("resolved_incident_ids"), "limitations",
-    )
+        F.col("snapshot_id").alias("number"),
+        iso(F.col("observed_at")).alias("observed_at"),
+        "started_monotonic",
+        "completed_monotonic",
+        (F.col("completed_monotonic") - F.col("started_monotonic")).alias("duration_seconds"),
+        "snapshot_id",
+        "collection_quality",
+        counts.alias("observation_counts"),
+        "journal_status",
+        "events_processed",
+        "events_correlated",
+        F.col("candidate_ids").alias("incident_candidate_ids"),
+        F.col("candidate_ids").alias("reconciled_candidate_ids"),
+        F.col("resolved_ids").alias("resolved_incident_ids"),
+        "limitations",
+    )
     return cycles.select("host_id", "snapshot_id", document(cycle=cycle).alias("document"))

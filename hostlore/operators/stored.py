@@ -20,9 +20,10 @@ def gate_batches(batches: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """
     rows = batches.join(checkpoints.select("host_id", F.col("cursor").alias("saved")), "host_id", "left")
     reason = (
-        F.when(~F.col("expected_cursor").eqNullSafe(F.col("saved")), "checkpoint_changed").when((F.col("n_events") > 0) & ~F.col("next_cursor").eqNullSafe(F.col("last_cursor")), "checkpoint_not_last_event")
-        .when((F.col("n_events") == 0) & ~F.col("next_cursor").eqNullSafe(F.col("saved")), "empty_batch_moves_checkpoint")
-    )
+        F.when(~F.col("expected_cursor").eqNullSafe(F.col("saved")), "checkpoint_changed").when(
+            (F.col("n_events") > 0) & ~F.col("next_cursor").eqNullSafe(F.col("last_cursor")), "checkpoint_not_last_event"
+        ).when((F.col("n_events") == 0) & ~F.col("next_cursor").eqNullSafe(F.col("saved")), "empty_batch_moves_checkpoint")
+    )
     return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("saved")
 
 
@@ -33,7 +34,9 @@ def checkpoints(events: DataFrame) -> DataFrame:
 
 def latest_quality(results: DataFrame) -> DataFrame:
     """The newest collection result of each host and collector, failures included."""
-    return results.groupBy("host_id", "collector_name").agg(F.max_by(F.struct("snapshot_id", "status", "collected_at"), F.struct("collected_at", "snapshot_id")).alias("r")).select("host_id", "collector_name", "r.*")
+    return results.groupBy("host_id", "collector_name").agg(
+        F.max_by(F.struct("snapshot_id", "status", "collected_at"), F.struct("collected_at", "snapshot_id")).alias("r")
+    ).select("host_id", "collector_name", "r.*")
 
 
 def valid_snapshots(snapshots: DataFrame, results: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -54,7 +57,11 @@ def rebuild(snapshots: DataFrame, results: DataFrame, services: DataFrame, proce
     """Snapshots with their children as sorted arrays."""
     gather = lambda df, name, *cols: df.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     out = snapshots.select(*KEY, "observed_at")
-    for part in (gather(results, "results", "collector_name", "status"), gather(services, "services", "name", "load_state", "active_state", "sub_state"), gather(processes, "processes", "pid", "lifetime_id")):
+    for part in (
+        gather(results, "results", "collector_name", "status"),
+        gather(services, "services", "name", "load_state", "active_state", "sub_state"),
+        gather(processes, "processes", "pid", "lifetime_id"),
+    ):
         out = out.join(part, KEY, "left")
     return out
 
@@ -73,7 +80,9 @@ def event_window(events: DataFrame, unit: str, start, end, limit: int) -> DataFr
     rows = events.where((F.col("unit") == unit) & F.col("observed_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
     first = rows.orderBy("observed_at", "cursor").limit(limit + 1)  # a bounded number of rows from here on
     w = Window.partitionBy("unit")
-    return first.withColumns({"place": F.row_number().over(w.orderBy("observed_at", "cursor")), "truncated": F.count("*").over(w) > limit}).where(F.col("place") <= limit)
+    return first.withColumns(
+        {"place": F.row_number().over(w.orderBy("observed_at", "cursor")), "truncated": F.count("*").over(w) > limit}
+    ).where(F.col("place") <= limit)
 
 
 def recent_incidents(incidents: DataFrame, limit: int = 100, state: str | None = None, subject_id: str | None = None) -> DataFrame:
@@ -87,7 +96,9 @@ def recent_incidents(incidents: DataFrame, limit: int = 100, state: str | None =
 
 def incident_detail(incidents: DataFrame, evidence: DataFrame) -> DataFrame:
     """Incidents with their evidence in order of time, kind and id."""
-    rows = evidence.groupBy("host_id", "incident_id").agg(F.array_sort(F.collect_list(F.struct("evidence_at", "kind", "evidence_id", "reason", "fact", "evidence_limitations"))).alias("evidence"))
+    rows = evidence.groupBy("host_id", "incident_id").agg(
+        F.array_sort(F.collect_list(F.struct("evidence_at", "kind", "evidence_id", "reason", "fact", "evidence_limitations"))).alias("evidence")
+    )
     return incidents.join(rows, ["host_id", "incident_id"], "left")
 
 

@@ -14,14 +14,25 @@ TICKS = [f"{x}_ticks" for x in ("user", "nice", "system", "idle", "iowait", "irq
 def intervals(snapshots: DataFrame) -> DataFrame:
     """(host_id, snapshot_id, has_previous, elapsed): monotonic seconds since the host's snapshot before."""
     w = Window.partitionBy("host_id").orderBy("snapshot_id")
-    return snapshots.select("host_id", "snapshot_id", F.lag("snapshot_id").over(w).isNotNull().alias("has_previous"), (F.col("monotonic_s") - F.lag("monotonic_s").over(w)).alias("elapsed"), F.lead("snapshot_id").over(w).alias("next_id"))
+    return snapshots.select(
+        "host_id",
+        "snapshot_id",
+        F.lag("snapshot_id").over(w).isNotNull().alias("has_previous"),
+        (F.col("monotonic_s") - F.lag("monotonic_s").over(w)).alias("elapsed"),
+        F.lead("snapshot_id").over(w).alias("next_id"),
+    )
 
 
 def counter_rates(rows: DataFrame, snapshots: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
     """Each counter of each resource as struct(state, delta, rate); new_resource where the snapshot before lacks it."""
     w = Window.partitionBy("host_id", *keys).orderBy("snapshot_id")
     joined = rows.join(intervals(snapshots), ["host_id", "snapshot_id"])
-    return joined.select("host_id", "snapshot_id", *keys, *(counter(adjacent(F.col(c), w), F.col(c), F.col("elapsed"), F.col("has_previous")).alias(c) for c in counters))
+    return joined.select(
+        "host_id",
+        "snapshot_id",
+        *keys,
+        *(counter(adjacent(F.col(c), w), F.col(c), F.col("elapsed"), F.col("has_previous")).alias(c) for c in counters),
+    )
 
 
 def removed(rows: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
@@ -41,12 +52,21 @@ def cpu_utilisation(cpu: DataFrame, snapshots: DataFrame) -> DataFrame:
     some = lambda test: F.exists(F.array(*(test(F.col(t), F.col(f"before.{t}")) for t in TICKS)), lambda x: x)
     rows = rows.withColumns({"total": total, "busy": busy})
     state = (
-        F.when(F.col("before").isNull(), "no_previous").when(~valid_elapsed(F.col("elapsed")), "invalid_interval").when(some(lambda a, b: (a < 0) | (b < 0)), "invalid_data")
-        .when(some(lambda a, b: a < b), "counter_reset").when((F.col("total") <= 0) | (F.col("busy") < 0) | (F.col("busy") > F.col("total")), "invalid_data").otherwise("valid")
-    )
+        F.when(F.col("before").isNull(), "no_previous").when(
+            ~valid_elapsed(F.col("elapsed")), "invalid_interval"
+        ).when(some(lambda a, b: (a < 0) | (b < 0)), "invalid_data").when(some(lambda a, b: a < b), "counter_reset").when(
+            (F.col("total") <= 0) | (F.col("busy") < 0) | (F.col("busy") > F.col("total")), "invalid_data"
+        ).otherwise("valid")
+    )
     ok = lambda c: F.when(F.col("state") == "valid", c)
     return rows.withColumn("state", state).select(
-        "host_id", "snapshot_id", "state", ok(F.col("total")).alias("total"), ok(F.col("busy")).alias("busy"), ok(F.col("busy") / F.col("total")).alias("utilisation"), ok(F.col("busy") / F.col("elapsed")).alias("busy_rate")
+        "host_id",
+        "snapshot_id",
+        "state",
+        ok(F.col("total")).alias("total"),
+        ok(F.col("busy")).alias("busy"),
+        ok(F.col("busy") / F.col("total")).alias("utilisation"),
+        ok(F.col("busy") / F.col("elapsed")).alias("busy_rate"),
     )
 
 
@@ -56,10 +76,25 @@ def process_cpu_rates(processes: DataFrame, snapshots: DataFrame) -> DataFrame:
     by_pid = Window.partitionBy("host_id", "pid").orderBy("snapshot_id")
     rows = processes.join(intervals(snapshots), ["host_id", "snapshot_id"])
     reading = F.struct(F.col("cpu_time_ticks"))
-    rows = rows.withColumns({"prior": F.when(F.col("lifetime_id").isNotNull(), adjacent(reading, by_life)), "pid_seen": F.coalesce(adjacent(F.lit(True), by_pid), F.lit(False))})
+    rows = rows.withColumns(
+        {
+            "prior": F.when(F.col("lifetime_id").isNotNull(), adjacent(reading, by_life)),
+            "pid_seen": F.coalesce(adjacent(F.lit(True), by_pid), F.lit(False)),
+        }
+    )
     plain = counter(F.col("prior.cpu_time_ticks"), F.col("cpu_time_ticks"), F.col("elapsed"))
-    state = F.when(~F.col("has_previous"), "no_previous").when(F.col("lifetime_id").isNull(), "identity_mismatch").when(F.col("prior").isNotNull(), plain["state"]).when(F.col("pid_seen"), "identity_mismatch").otherwise("new_resource")
-    return rows.withColumns({"state": state, "plain": plain}).select("host_id", "snapshot_id", "pid", "lifetime_id", "state", F.when(F.col("state") == "valid", F.col("plain.delta")).alias("delta"), F.when(F.col("state") == "valid", F.col("plain.rate")).alias("rate"))
+    state = F.when(~F.col("has_previous"), "no_previous").when(
+        F.col("lifetime_id").isNull(), "identity_mismatch"
+    ).when(F.col("prior").isNotNull(), plain["state"]).when(F.col("pid_seen"), "identity_mismatch").otherwise("new_resource")
+    return rows.withColumns({"state": state, "plain": plain}).select(
+        "host_id",
+        "snapshot_id",
+        "pid",
+        "lifetime_id",
+        "state",
+        F.when(F.col("state") == "valid", F.col("plain.delta")).alias("delta"),
+        F.when(F.col("state") == "valid", F.col("plain.rate")).alias("rate"),
+    )
 
 
 def snapshot_comparison(cpu: DataFrame, network: DataFrame, processes: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -69,8 +104,10 @@ def snapshot_comparison(cpu: DataFrame, network: DataFrame, processes: DataFrame
     gather = lambda df, name, *cols: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     out = snapshots.select(*key).join(cpu_utilisation(cpu, snapshots).withColumnRenamed("state", "cpu_state"), key, "left")
     for df, name, cols in (
-        (rates, "network", ("interface", "receive_bytes", "transmit_bytes")), (removed(network, snapshots, "interface"), "removed_interfaces", ("interface",)),
-        (process_cpu_rates(processes, snapshots), "processes", ("pid", "lifetime_id", "state", "delta", "rate")), (removed(processes, snapshots, "lifetime_id"), "removed_lifetimes", ("lifetime_id",)),
-    ):
+        (rates, "network", ("interface", "receive_bytes", "transmit_bytes")),
+        (removed(network, snapshots, "interface"), "removed_interfaces", ("interface",)),
+        (process_cpu_rates(processes, snapshots), "processes", ("pid", "lifetime_id", "state", "delta", "rate")),
+        (removed(processes, snapshots, "lifetime_id"), "removed_lifetimes", ("lifetime_id",)),
+    ):
         out = out.join(gather(df, name, *cols), key, "left")
     return out

@@ -9,25 +9,36 @@ from hostlore.plans.derived import VIEWS
 CAPTURES = """
 raw_cpu AS (
   SELECT host_id, snapshot_id, CASE WHEN snapshot_id % 17 = 0 THEN 'cpu 1 x 2 3' ELSE
-    'intr 5' || chr(10) || 'cpu  ' || CAST(user_ticks AS STRING) || ' ' || CAST(nice_ticks AS STRING) || ' ' || CAST(system_ticks AS STRING) || ' ' || CAST(idle_ticks AS STRING) || ' ' ||
+    'intr 5' || chr(10) || 'cpu  ' || CAST(user_ticks AS STRING) || ' ' || CAST(nice_ticks AS STRING) || ' ' || CAST(system_ticks AS STRING) ||
+      ' ' || CAST(idle_ticks AS STRING) || ' ' ||
     CAST(iowait_ticks AS STRING) || chr(10) || 'cpu0 1 2 3 4' END AS payload FROM cpu_observations),
 raw_memory AS (
-  SELECT host_id, snapshot_id, 'MemTotal: ' || CAST(total_kb AS STRING) || ' kB' || chr(10) || 'MemFree: ' || CAST(free_kb AS STRING) || CASE WHEN snapshot_id % 17 = 0 THEN ' pages' ELSE ' kB' END || chr(10) ||
-    'MemAvailable: ' || CAST(available_kb AS STRING) || ' kB' || chr(10) || coalesce('Buffers: ' || CAST(buffers_kb AS STRING) || ' kB' || chr(10), '') || 'HugePages_Total: 0' AS payload FROM memory_observations),
+  SELECT host_id, snapshot_id, 'MemTotal: ' || CAST(total_kb AS STRING) || ' kB' || chr(10) || 'MemFree: ' || CAST(free_kb AS STRING) || CASE
+    WHEN snapshot_id % 17 = 0 THEN ' pages' ELSE ' kB' END || chr(10) ||
+    'MemAvailable: ' || CAST(available_kb AS STRING) || ' kB' || chr(10) || coalesce('Buffers: ' || CAST(buffers_kb AS STRING) || ' kB' ||
+      chr(10), '') || 'HugePages_Total: 0' AS payload FROM memory_observations),
 raw_network AS (
-  SELECT host_id || '/' || interface AS host_id, snapshot_id, interface, receive_bytes, transmit_bytes, 'Inter-| Receive' || chr(10) || ' face |bytes' || chr(10) || '  ' || interface || ': ' || CAST(receive_bytes AS STRING) ||
-    CASE WHEN snapshot_id % 17 = 0 THEN ' 1 2' ELSE ' 1 2 3 0 0 0 0 ' || CAST(transmit_bytes AS STRING) || ' 4 5 6 0 0 0 0' END AS payload FROM network_observations),
+  SELECT host_id || '/' || interface AS host_id, snapshot_id, interface, receive_bytes, transmit_bytes, 'Inter-| Receive' || chr(10) ||
+    ' face |bytes' || chr(10) || '  ' || interface || ': ' || CAST(receive_bytes AS STRING) ||
+    CASE WHEN snapshot_id % 17 = 0 THEN ' 1 2' ELSE ' 1 2 3 0 0 0 0 ' || CAST(transmit_bytes AS STRING) || ' 4 5 6 0 0 0 0' END AS payload
+      FROM network_observations),
 raw_processes AS (
-  SELECT host_id, snapshot_id, pid, CAST(pid AS STRING) || ' (' || name || ' (x) y) S 1 ' || CASE WHEN pid % 17 = 0 THEN 'bad' ELSE '0' END || ' 0 0 0 0 0 0 0 0 ' || CAST(cpu_time_ticks AS STRING) || ' 5 0 0 20 0 1 0 ' ||
-    CAST(coalesce(start_time_ticks, 0) AS STRING) || ' ' || CAST(4 * rss_bytes AS STRING) || ' ' || CASE WHEN pid % 17 = 1 THEN 'none' ELSE CAST(rss_bytes AS STRING) END || ' 0' AS stat,
+  SELECT host_id, snapshot_id, pid, CAST(pid AS STRING) || ' (' || name || ' (x) y) S 1 ' || CASE WHEN pid % 17 = 0 THEN 'bad'
+    ELSE '0' END || ' 0 0 0 0 0 0 0 0 ' || CAST(cpu_time_ticks AS STRING) || ' 5 0 0 20 0 1 0 ' ||
+    CAST(coalesce(start_time_ticks, 0) AS STRING) || ' ' || CAST(4 * rss_bytes AS STRING) || ' ' || CASE WHEN pid % 17 = 1 THEN 'none'
+      ELSE CAST(rss_bytes AS STRING) END || ' 0' AS stat,
     '/bin/' || name || ' --token abc' AS cmdline, CASE WHEN pid % 2 = 0 THEN '/bin/' || name END AS executable FROM process_observations),
 raw_services AS (
   SELECT host_id || '/' || name AS host_id, snapshot_id, name, load_state, active_state, sub_state,
-    name || ' ' || load_state || ' ' || active_state || CASE WHEN snapshot_id % 17 = 0 THEN '' ELSE ' ' || sub_state || ' some description' END AS payload FROM service_observations),
-raw_uptime AS (SELECT host_id, snapshot_id, monotonic_s, CASE WHEN snapshot_id % 17 = 0 THEN '-1.5 2' ELSE CAST(snapshot_id AS STRING) || '.25 100.5' END AS payload FROM snapshots),
+    name || ' ' || load_state || ' ' || active_state || CASE WHEN snapshot_id % 17 = 0 THEN ''
+      ELSE ' ' || sub_state || ' some description' END AS payload FROM service_observations),
+raw_uptime AS (SELECT host_id, snapshot_id, monotonic_s, CASE WHEN snapshot_id % 17 = 0 THEN '-1.5 2'
+  ELSE CAST(snapshot_id AS STRING) || '.25 100.5' END AS payload FROM snapshots),
 raw_journal AS (
-  SELECT host_id, snapshot_id AS page, event_id AS pos, '{"__CURSOR":"' || cursor || '","__REALTIME_TIMESTAMP":"' || CAST(1700000000000000 + event_id AS STRING) || '","MESSAGE":"' || comm || ' token=' || CAST(event_id AS STRING) || ' end","PRIORITY":' ||
-    CASE WHEN event_id % 17 = 0 THEN '9' WHEN priority IS NULL THEN '""' ELSE '"' || CAST(priority AS STRING) || '"' END || ',"_SYSTEMD_UNIT":"' || unit || '","_PID":"' || CAST(pid AS STRING) || '","_COMM":[' || CASE WHEN comm = 'view' THEN '118,105' ELSE '97,98' END || ']}' AS payload,
+  SELECT host_id, snapshot_id AS page, event_id AS pos,
+    '{"__CURSOR":"' || cursor || '","__REALTIME_TIMESTAMP":"' || CAST(1700000000000000 + event_id AS STRING) || '","MESSAGE":"' || comm || ' token=' || CAST(event_id AS STRING) || ' end","PRIORITY":' ||
+    CASE WHEN event_id % 17 = 0 THEN '9' WHEN priority IS NULL THEN '""' ELSE '"' || CAST(priority AS STRING) || '"' END || ',"_SYSTEMD_UNIT":"'
+      || unit || '","_PID":"' || CAST(pid AS STRING) || '","_COMM":[' || CASE WHEN comm = 'view' THEN '118,105' ELSE '97,98' END || ']}' AS payload,
     event_id, cursor, unit, pid, comm, priority FROM journal_events)
 """
 

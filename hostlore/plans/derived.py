@@ -22,7 +22,8 @@ snapshots AS (
          CAST(86400 * CASE WHEN snapshot_id % 9 = 0 THEN snapshot_id - 1 ELSE snapshot_id END AS DOUBLE) AS monotonic_s FROM numbered),
 collection_results AS (
   SELECT host_id, snapshot_id, 'services' AS collector_name, observed_at AS collected_at,
-         CASE WHEN (snapshot_id + h) % 13 = 0 THEN 'transient_failure' WHEN (snapshot_id + h) % 11 = 0 THEN 'partial' ELSE 'success' END AS status FROM snapshots
+         CASE WHEN (snapshot_id + h) % 13 = 0 THEN 'transient_failure' WHEN (snapshot_id + h) % 11 = 0 THEN 'partial'
+           ELSE 'success' END AS status FROM snapshots
   UNION ALL
   SELECT host_id, snapshot_id, 'processes', observed_at,
          CASE WHEN (snapshot_id + h) % 7 = 0 THEN 'transient_failure' WHEN (snapshot_id + h) % 5 = 0 THEN 'partial' ELSE 'success' END FROM snapshots
@@ -64,11 +65,14 @@ network_observations AS (
   FROM per_type p JOIN snapshots s ON p.host_id = s.host_id AND p.d = s.d),
 daily AS (
   SELECT host_id, d, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS c1,
-         CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS c2, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS c3,
-         CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS c4, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS c5
+         CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS c2, CAST(sum(CASE WHEN event_type = 'error' THEN 1
+           ELSE 0 END) AS BIGINT) AS c3,
+         CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS c4, CAST(sum(CASE WHEN event_type = 'signup' THEN 1
+           ELSE 0 END) AS BIGINT) AS c5
   FROM ev GROUP BY host_id, d),
 running AS (
-  SELECT y.host_id, s.snapshot_id, s.observed_at, CAST(sum(cents) OVER w AS BIGINT) AS cents, CAST(sum(c1) OVER w AS BIGINT) AS c1, CAST(sum(c2) OVER w AS BIGINT) AS c2,
+  SELECT y.host_id, s.snapshot_id, s.observed_at, CAST(sum(cents) OVER w AS BIGINT) AS cents, CAST(sum(c1) OVER w AS BIGINT) AS c1, CAST(sum(c2)
+    OVER w AS BIGINT) AS c2,
          CAST(sum(c3) OVER w AS BIGINT) AS c3, CAST(sum(c4) OVER w AS BIGINT) AS c4, CAST(sum(c5) OVER w AS BIGINT) AS c5
   FROM daily y JOIN snapshots s ON y.host_id = s.host_id AND y.d = s.d WINDOW w AS (PARTITION BY y.host_id ORDER BY y.d)),
 cpu_observations AS (
@@ -78,7 +82,8 @@ memory_observations AS (
   SELECT host_id, snapshot_id, CAST(64000000 AS BIGINT) AS total_kb, 64000000 - cents % 32000000 AS available_kb, cents % 16000000 AS free_kb,
          CASE WHEN snapshot_id % 2 = 1 THEN NULL ELSE c1 END AS buffers_kb FROM running),
 disk_observations AS (
-  SELECT host_id, snapshot_id, '/' AS path, CAST(10000000 AS BIGINT) AS blocks, CAST(4096 AS BIGINT) AS fragment_bytes, 10000000 - cents % 5000000 AS available_blocks FROM running),
+  SELECT host_id, snapshot_id, '/' AS path, CAST(10000000 AS BIGINT) AS blocks, CAST(4096 AS BIGINT) AS fragment_bytes, 10000000 - cents %
+    5000000 AS available_blocks FROM running),
 journal_events AS (
   SELECT e.host_id, s.snapshot_id, e.event_id, e.cursor, e.ts AS observed_at, 'journal' AS source,
          CASE event_type WHEN 'error' THEN 3 WHEN 'view' THEN NULL ELSE 5 END AS priority, e.unit, CAST(1000 + user_id AS INT) AS pid,

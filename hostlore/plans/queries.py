@@ -46,7 +46,10 @@ class Tables:
         return self.stored("service_changes", lambda: lifecycle.service_lifecycle(self.service_captured, self.snapshots, self.collection_results))
 
     def process_changes(self) -> DataFrame:
-        return self.stored("process_changes", lambda: lifecycle.process_lifecycle(self.process_captured, self.snapshots, self.collection_results, self.service_captured))
+        return self.stored(
+            "process_changes",
+            lambda: lifecycle.process_lifecycle(self.process_captured, self.snapshots, self.collection_results, self.service_captured),
+        )
 
     def aware(self) -> DataFrame:
         return correlate.quality_aware(self.changes(), self.collection_results, "services")
@@ -71,7 +74,9 @@ class Tables:
         return marked.where("started_at <= cut_at").drop("cut_at"), marked.where("started_at > cut_at - interval 5 days").drop("cut_at")
 
     def subjects(self) -> DataFrame:
-        ok = self.collection_results.where("collector_name = 'services' and status = 'success'").select("host_id", "snapshot_id", F.col("collected_at").alias("resolved_time"))
+        ok = self.collection_results.where("collector_name = 'services' and status = 'success'").select(
+            "host_id", "snapshot_id", F.col("collected_at").alias("resolved_time")
+        )
         late = ok.join(self.cut(), "host_id").where("resolved_time > cut_at").drop("cut_at")
         return correlate.resolution_subjects(self.changes()).join(late, ["host_id", "snapshot_id"])
 
@@ -154,12 +159,29 @@ def ingest_disk(x):
 
 @query
 def ingest_journal(x):
-    return ingest.parse_journal(x.raw("raw_journal").select("host_id", "page", "pos", "payload")).select("host_id", "page", "pos", "valid", "cursor", F.unix_micros("observed_at").alias("at_us"), "source", "priority", "unit", "pid", "comm", "message", "boot_id", j("warnings"))
+    return ingest.parse_journal(x.raw("raw_journal").select("host_id", "page", "pos", "payload")).select(
+        "host_id",
+        "page",
+        "pos",
+        "valid",
+        "cursor",
+        F.unix_micros("observed_at").alias("at_us"),
+        "source",
+        "priority",
+        "unit",
+        "pid",
+        "comm",
+        "message",
+        "boot_id",
+        j("warnings"),
+    )
 
 
 @query
 def collection_status(x):
-    denied = x.snapshots.where("snapshot_id % 7 = 3").select("host_id", "snapshot_id", F.when(F.col("snapshot_id") % 2 == 0, "permission_denied").otherwise("vanished").alias("source_status"))
+    denied = x.snapshots.where("snapshot_id % 7 = 3").select(
+        "host_id", "snapshot_id", F.when(F.col("snapshot_id") % 2 == 0, "permission_denied").otherwise("vanished").alias("source_status")
+    )
     captures = x.raw("raw_cpu")
     return ingest.collection_status(captures, ingest.parse_cpu(captures.where("snapshot_id % 9 <> 5")), denied)
 
@@ -180,29 +202,65 @@ def process_topn_by_pid(x):
 @query
 def journal_page_accept(x):
     records = x.raw("raw_journal").select("host_id", "page", "pos", "cursor", (F.col("event_id") % 97 != 0).alias("valid"))
-    saved = records.groupBy("host_id", "page").agg(F.min_by("cursor", "pos").alias("c")).where("page % 2 = 0").select("host_id", "page", F.when(F.col("page") % 4 == 0, F.col("c")).otherwise("c-gone").alias("saved"))
+    saved = records.groupBy("host_id", "page").agg(F.min_by("cursor", "pos").alias("c")).where("page % 2 = 0").select(
+        "host_id", "page", F.when(F.col("page") % 4 == 0, F.col("c")).otherwise("c-gone").alias("saved")
+    )
     empty = F.col("page") % 7 == 3  # read, but without records
     return ingest.accept_pages(records.where(~empty), saved, 60, records.select("host_id", "page"))
 
 
 @query
 def assemble_snapshot(x):
-    out = ingest.assemble_snapshots(x.snapshots, x.collection_results, services=x.service_observations, processes=x.process_observations, network=x.network_observations, cpu=x.cpu_observations, memory=x.memory_observations, disk=x.disk_observations)
-    return out.select("host_id", "snapshot_id", t("observed_at"), F.array_join(F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("statuses"), "n_services", "n_processes", "n_network", "n_cpu", "n_memory", "n_disk")
+    out = ingest.assemble_snapshots(
+        x.snapshots,
+        x.collection_results,
+        services=x.service_observations,
+        processes=x.process_observations,
+        network=x.network_observations,
+        cpu=x.cpu_observations,
+        memory=x.memory_observations,
+        disk=x.disk_observations,
+    )
+    return out.select(
+        "host_id",
+        "snapshot_id",
+        t("observed_at"),
+        F.array_join(
+            F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|"
+        ).alias("statuses"),
+        "n_services",
+        "n_processes",
+        "n_network",
+        "n_cpu",
+        "n_memory",
+        "n_disk",
+    )
 
 
 # stored state
 @query
 def events_append_new(x):
-    return stored.new_events(x.journal_events.where("snapshot_id <= 15"), x.journal_events.where("snapshot_id >= 14").unionByName(x.journal_events.where("snapshot_id = 20"))).select("host_id", "cursor", t("observed_at"))
+    return stored.new_events(
+        x.journal_events.where("snapshot_id <= 15"),
+        x.journal_events.where("snapshot_id >= 14").unionByName(x.journal_events.where("snapshot_id = 20")),
+    ).select("host_id", "cursor", t("observed_at"))
 
 
 @query
 def journal_batch_gate(x):
     e = x.journal_events
     saved = e.where("snapshot_id <= 10").groupBy("host_id").agg(F.max_by("cursor", "event_id").alias("cursor"))
-    batches = e.groupBy("host_id", "snapshot_id").agg(F.count("*").alias("n_events"), F.max_by("cursor", "event_id").alias("last_cursor")).join(saved.withColumnRenamed("cursor", "s"), "host_id")
-    batches = batches.select("host_id", "snapshot_id", F.when(F.col("snapshot_id") % 5 == 0, 0).otherwise(F.col("n_events")).alias("n_events"), "last_cursor", F.when(F.col("snapshot_id") % 3 == 0, "c-other").otherwise(F.col("last_cursor")).alias("next_cursor"), F.when(F.col("snapshot_id") % 4 == 0, "c-stale").otherwise(F.col("s")).alias("expected_cursor"))
+    batches = e.groupBy("host_id", "snapshot_id").agg(F.count("*").alias("n_events"), F.max_by("cursor", "event_id").alias("last_cursor")).join(
+        saved.withColumnRenamed("cursor", "s"), "host_id"
+    )
+    batches = batches.select(
+        "host_id",
+        "snapshot_id",
+        F.when(F.col("snapshot_id") % 5 == 0, 0).otherwise(F.col("n_events")).alias("n_events"),
+        "last_cursor",
+        F.when(F.col("snapshot_id") % 3 == 0, "c-other").otherwise(F.col("last_cursor")).alias("next_cursor"),
+        F.when(F.col("snapshot_id") % 4 == 0, "c-stale").otherwise(F.col("s")).alias("expected_cursor"),
+    )
     return stored.gate_batches(batches, saved).select("host_id", "snapshot_id", "accepted", "reason")
 
 
@@ -223,14 +281,26 @@ def doubled(x):
 
 @query
 def snapshot_fanout(x):
-    parts = stored.fan_out(x.snapshots, x.collection_results, {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])})
-    return parts["services"].select("host_id", "snapshot_id", F.lit("services").alias("part"), F.col("name").alias("child")).unionByName(parts["processes"].select("host_id", "snapshot_id", F.lit("processes").alias("part"), F.col("pid").cast("string").alias("child"))).unionByName(parts["network"].select("host_id", "snapshot_id", F.lit("network").alias("part"), F.col("interface").alias("child")))
+    parts = stored.fan_out(
+        x.snapshots,
+        x.collection_results,
+        {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])},
+    )
+    return parts["services"].select("host_id", "snapshot_id", F.lit("services").alias("part"), F.col("name").alias("child")).unionByName(
+        parts["processes"].select("host_id", "snapshot_id", F.lit("processes").alias("part"), F.col("pid").cast("string").alias("child"))
+    ).unionByName(parts["network"].select("host_id", "snapshot_id", F.lit("network").alias("part"), F.col("interface").alias("child")))
 
 
 @query
 def snapshot_rebuild(x):
     out = stored.rebuild(x.snapshots, x.collection_results, x.service_observations, x.process_observations)
-    return out.select("host_id", "snapshot_id", F.array_join(F.transform("results", lambda r: F.concat_ws("=", r["collector_name"], r["status"])), "|").alias("results"), F.array_join(F.transform("services", lambda r: F.concat_ws("/", r["name"], r["active_state"])), "|").alias("services"), F.size("processes").alias("n_processes"))
+    return out.select(
+        "host_id",
+        "snapshot_id",
+        F.array_join(F.transform("results", lambda r: F.concat_ws("=", r["collector_name"], r["status"])), "|").alias("results"),
+        F.array_join(F.transform("services", lambda r: F.concat_ws("/", r["name"], r["active_state"])), "|").alias("services"),
+        F.size("processes").alias("n_processes"),
+    )
 
 
 @query
@@ -240,7 +310,9 @@ def events_recent(x):
 
 @query
 def event_window(x):
-    return stored.event_window(x.journal_events, "svc-5.service", "2024-01-03 00:00:00", "2024-01-25 00:00:00", 10).select("host_id", "cursor", t("observed_at"), "place", "truncated")
+    return stored.event_window(x.journal_events, "svc-5.service", "2024-01-03 00:00:00", "2024-01-25 00:00:00", 10).select(
+        "host_id", "cursor", t("observed_at"), "place", "truncated"
+    )
 
 
 @query
@@ -256,13 +328,22 @@ def incidents_recent(x):
 
 @query
 def incident_detail(x):
-    return stored.incident_detail(x.candidates(), x.evidence()).select("host_id", "incident_id", "subject_id", F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), "|").alias("evidence_ids"), j("limitations"))
+    return stored.incident_detail(x.candidates(), x.evidence()).select(
+        "host_id",
+        "incident_id",
+        "subject_id",
+        F.array_join(F.transform("evidence", lambda e: e["evidence_id"]), "|").alias("evidence_ids"),
+        j("limitations"),
+    )
 
 
 # comparison of snapshots
 @query
 def counter_rate(x):
-    return flat_counter(temporal.counter_rates(x.process_observations.where("lifetime_id is not null"), x.snapshots, ["lifetime_id"], ["cpu_time_ticks"]), "cpu_time_ticks")
+    return flat_counter(
+        temporal.counter_rates(x.process_observations.where("lifetime_id is not null"), x.snapshots, ["lifetime_id"], ["cpu_time_ticks"]),
+        "cpu_time_ticks",
+    )
 
 
 @query
@@ -272,7 +353,11 @@ def cpu_utilization(x):
 
 @query
 def network_rates(x):
-    return flat_counter(temporal.counter_rates(x.network_observations, x.snapshots, ["interface"], ["receive_bytes", "transmit_bytes"]), "receive_bytes", "transmit_bytes")
+    return flat_counter(
+        temporal.counter_rates(x.network_observations, x.snapshots, ["interface"], ["receive_bytes", "transmit_bytes"]),
+        "receive_bytes",
+        "transmit_bytes",
+    )
 
 
 @query
@@ -297,13 +382,30 @@ def snapshot_comparison(x):
     processes = F.transform("processes", lambda r: F.concat_ws("/", r["pid"].cast("string"), F.coalesce(r["lifetime_id"], F.lit("-")), r["state"]))
     text = lambda c, name: F.coalesce(F.array_join(c, "|"), F.lit("")).alias(name)
     return rows.select(
-        "host_id", "snapshot_id", "cpu_state", "total", text(network, "network"), text(F.col("removed_interfaces.interface"), "removed_interfaces"), text(processes, "processes"), text(F.array_sort("removed_lifetimes.lifetime_id"), "removed_lifetimes")
+        "host_id",
+        "snapshot_id",
+        "cpu_state",
+        "total",
+        text(network, "network"),
+        text(F.col("removed_interfaces.interface"), "removed_interfaces"),
+        text(processes, "processes"),
+        text(F.array_sort("removed_lifetimes.lifetime_id"), "removed_lifetimes"),
     )
 
 
 @query
 def derived_identity(x):
-    return x.cpu_observations.select("host_id", "snapshot_id", sum((F.col(c) for c in temporal.TICKS[1:]), F.col(temporal.TICKS[0])).alias("total_ticks")).join(x.process_observations.select("host_id", "snapshot_id", "pid", F.when(F.col("start_time_ticks").isNotNull(), F.concat_ws(":", "pid", "start_time_ticks")).alias("lifetime_id")), ["host_id", "snapshot_id"])
+    return x.cpu_observations.select(
+        "host_id", "snapshot_id", sum((F.col(c) for c in temporal.TICKS[1:]), F.col(temporal.TICKS[0])).alias("total_ticks")
+    ).join(
+        x.process_observations.select(
+            "host_id",
+            "snapshot_id",
+            "pid",
+            F.when(F.col("start_time_ticks").isNotNull(), F.concat_ws(":", "pid", "start_time_ticks")).alias("lifetime_id"),
+        ),
+        ["host_id", "snapshot_id"],
+    )
 
 
 @query
@@ -313,7 +415,16 @@ def process_memory_delta(x):
 
 @query
 def process_lifecycle(x):
-    return x.process_changes().select("host_id", "snapshot_id", t("observed_at"), "pid", "lifetime_id", "lifecycle", F.col("cpu.state").alias("cpu_state"), F.col("cpu.delta").alias("cpu_delta"))
+    return x.process_changes().select(
+        "host_id",
+        "snapshot_id",
+        t("observed_at"),
+        "pid",
+        "lifetime_id",
+        "lifecycle",
+        F.col("cpu.state").alias("cpu_state"),
+        F.col("cpu.delta").alias("cpu_delta"),
+    )
 
 
 @query
@@ -323,7 +434,10 @@ def service_lifecycle(x):
 
 @query
 def collection_completeness(x):
-    return lifecycle.completeness(x.collection_results, x.service_observations.unionByName(x.service_observations.where("snapshot_id = 4").withColumn("active_state", F.lit("two words"))))
+    return lifecycle.completeness(
+        x.collection_results,
+        x.service_observations.unionByName(x.service_observations.where("snapshot_id = 4").withColumn("active_state", F.lit("two words"))),
+    )
 
 
 @query
@@ -333,7 +447,12 @@ def duplicate_identities(x):
 
 @query
 def service_validity(x):
-    odd = x.service_observations.withColumn("name", F.when(F.col("snapshot_id") % 5 == 0, F.lit(".service")).when(F.col("snapshot_id") % 5 == 1, F.concat("name", F.lit(" "))).otherwise(F.col("name"))).withColumn("sub_state", F.when(F.col("snapshot_id") % 3 == 0, "").otherwise(F.col("sub_state")))
+    odd = x.service_observations.withColumn(
+        "name",
+        F.when(F.col("snapshot_id") % 5 == 0, F.lit(".service")).when(
+            F.col("snapshot_id") % 5 == 1, F.concat("name", F.lit(" "))
+        ).otherwise(F.col("name")),
+    ).withColumn("sub_state", F.when(F.col("snapshot_id") % 3 == 0, "").otherwise(F.col("sub_state")))
     return lifecycle.service_validity(odd).select("host_id", "snapshot_id", "name", "sub_state", "valid")
 
 
@@ -345,37 +464,53 @@ def incident_anchors(x):
 
 @query
 def dedup_service_changes(x):
-    return correlate.dedup_service_changes(x.aware().drop("status").unionByName(x.changes().withColumn("limitations", correlate.no_limits()).where("snapshot_id % 2 = 0")))[0].select("host_id", "change_id", "name", t("observed_at"), j("limitations"))
+    return correlate.dedup_service_changes(
+        x.aware().drop("status").unionByName(x.changes().withColumn("limitations", correlate.no_limits()).where("snapshot_id % 2 = 0"))
+    )[0].select("host_id", "change_id", "name", t("observed_at"), j("limitations"))
 
 
 @query
 def dedup_process_changes(x):
-    return correlate.dedup_process_changes(x.process_changes().unionByName(x.process_changes().where("snapshot_id < 9")))[0].select("host_id", "lifetime_id", t("observed_at"), "lifecycle")
+    return correlate.dedup_process_changes(x.process_changes().unionByName(x.process_changes().where("snapshot_id < 9")))[0].select(
+        "host_id", "lifetime_id", t("observed_at"), "lifecycle"
+    )
 
 
 @query
 def dedup_events(x):
-    return correlate.dedup_events(x.journal_events.unionByName(x.journal_events.where("event_id % 5 = 0").withColumn("priority", F.when(F.col("event_id") % 10 == 0, 7).otherwise(F.col("priority")))))[0].select("host_id", "cursor", t("observed_at"), "unit", "priority")
+    return correlate.dedup_events(
+        x.journal_events.unionByName(
+            x.journal_events.where("event_id % 5 = 0").withColumn("priority", F.when(F.col("event_id") % 10 == 0, 7).otherwise(F.col("priority")))
+        )
+    )[0].select("host_id", "cursor", t("observed_at"), "unit", "priority")
 
 
 @query
 def service_associations(x):
-    return correlate.service_associations(x.associations.unionByName(x.associations).unionByName(x.associations.withColumn("lifetime_id", F.concat(F.lit("0"), "lifetime_id"))))
+    return correlate.service_associations(
+        x.associations.unionByName(x.associations).unionByName(x.associations.withColumn("lifetime_id", F.concat(F.lit("0"), "lifetime_id")))
+    )
 
 
 @query
 def event_evidence_join(x):
-    return correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary")
+    return correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW).select(
+        "host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary"
+    )
 
 
 @query
 def process_evidence_join(x):
-    return correlate.process_evidence(correlate.anchored(x.changes()), x.process_changes(), x.associations, WINDOW).select("host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary", "fact")
+    return correlate.process_evidence(correlate.anchored(x.changes()), x.process_changes(), x.associations, WINDOW).select(
+        "host_id", "name", t("observed_at"), "evidence_id", t("evidence_at"), "summary", "fact"
+    )
 
 
 @query
 def evidence_topk(x):
-    return correlate.ranked_evidence(correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW), MOST).select("host_id", "name", t("observed_at"), "evidence_id", "place")
+    return correlate.ranked_evidence(correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW), MOST).select(
+        "host_id", "name", t("observed_at"), "evidence_id", "place"
+    )
 
 
 @query
@@ -385,7 +520,9 @@ def evidence_rows(x):
 
 @query
 def incident_candidates(x):
-    return x.candidates().select("host_id", "incident_id", "rule_id", "subject_id", "state", t("started_at"), t("last_observed_at"), j("limitations"), "n_evidence")
+    return x.candidates().select(
+        "host_id", "incident_id", "rule_id", "subject_id", "state", t("started_at"), t("last_observed_at"), j("limitations"), "n_evidence"
+    )
 
 
 @query
@@ -407,14 +544,22 @@ def incident_formation(x):
 @query
 def reconcile_unique(x):
     c = x.candidates()
-    clean, bad = reconcile.unique_candidates(c.unionByName(c.where("subject_id like 'svc-1%'")).unionByName(c.where("subject_id like 'svc-2%'").withColumn("last_observed_at", F.expr("last_observed_at + interval 1 hour"))))
-    return clean.select("host_id", "incident_id", F.lit("clean").alias("outcome")).unionByName(bad.select("host_id", "incident_id", F.col("problem").alias("outcome")))
+    clean, bad = reconcile.unique_candidates(
+        c.unionByName(c.where("subject_id like 'svc-1%'")).unionByName(
+            c.where("subject_id like 'svc-2%'").withColumn("last_observed_at", F.expr("last_observed_at + interval 1 hour"))
+        )
+    )
+    return clean.select("host_id", "incident_id", F.lit("clean").alias("outcome")).unionByName(
+        bad.select("host_id", "incident_id", F.col("problem").alias("outcome"))
+    )
 
 
 def stored_and_incoming(x):
     """Stored: the first half, some resolved early or under another rule. Incoming: the last days of it and the rest."""
     old, new = x.halves(x.candidates())
-    old = old.withColumn("rule_id", F.when(F.col("subject_id").like("svc-3%"), "other-rule").otherwise(F.col("rule_id"))).withColumn("last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at")))
+    old = old.withColumn("rule_id", F.when(F.col("subject_id").like("svc-3%"), "other-rule").otherwise(F.col("rule_id"))).withColumn(
+        "last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at"))
+    )
     early = F.col("subject_id").like("svc-4%")
     return old.withColumn("state", F.when(early, "resolved").otherwise(F.col("state"))).withColumn("resolved_at", F.when(early, F.col("started_at"))), new
 
@@ -422,15 +567,34 @@ def stored_and_incoming(x):
 @query
 def reconcile_upsert(x):
     merged, bad = reconcile.upsert(*stored_and_incoming(x))
-    return merged.select("host_id", "incident_id", "change", "state", t("last_observed_at")).unionByName(bad.select("host_id", "incident_id", F.col("problem").alias("change"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("last_observed_at")))
+    return merged.select("host_id", "incident_id", "change", "state", t("last_observed_at")).unionByName(
+        bad.select(
+            "host_id",
+            "incident_id",
+            F.col("problem").alias("change"),
+            F.lit(None).cast("string").alias("state"),
+            F.lit(None).cast("string").alias("last_observed_at"),
+        )
+    )
 
 
 @query
 def reconcile_evidence(x):
     e = x.evidence()
-    old = e.withColumn("fact", F.when(F.col("kind") == "journal_event", "unknown").otherwise(F.col("fact"))).withColumn("summary", F.when(F.col("evidence_id").like("%7"), "changed").otherwise(F.col("summary")))
+    old = e.withColumn("fact", F.when(F.col("kind") == "journal_event", "unknown").otherwise(F.col("fact"))).withColumn(
+        "summary", F.when(F.col("evidence_id").like("%7"), "changed").otherwise(F.col("summary"))
+    )
     clean, bad = reconcile.merge_evidence(old, e)
-    return clean.select("host_id", "incident_id", "kind", "evidence_id", F.col("fact").alias("outcome"), j("evidence_limitations")).unionByName(bad.select("host_id", "incident_id", "kind", "evidence_id", F.col("problem").alias("outcome"), F.lit(None).cast("string").alias("evidence_limitations")))
+    return clean.select("host_id", "incident_id", "kind", "evidence_id", F.col("fact").alias("outcome"), j("evidence_limitations")).unionByName(
+        bad.select(
+            "host_id",
+            "incident_id",
+            "kind",
+            "evidence_id",
+            F.col("problem").alias("outcome"),
+            F.lit(None).cast("string").alias("evidence_limitations"),
+        )
+    )
 
 
 @query
@@ -440,7 +604,9 @@ def evidence_cap(x):
 
 @query
 def merge_limitations(x):
-    rows = x.ev.groupBy("host_id", "user_id").agg(F.collect_set(F.concat(F.lit("a"), F.col("event_id") % 60)).alias("a"), F.collect_set(F.concat(F.lit("b"), F.col("event_id") % 7)).alias("b"))
+    rows = x.ev.groupBy("host_id", "user_id").agg(
+        F.collect_set(F.concat(F.lit("a"), F.col("event_id") % 60)).alias("a"), F.collect_set(F.concat(F.lit("b"), F.col("event_id") % 7)).alias("b")
+    )
     return rows.select("host_id", "user_id", F.array_join(reconcile.merge_limitations("a", "b"), "|").alias("limitations"))
 
 
@@ -490,7 +656,9 @@ def diagnosis_provenance(x):
 
 @query
 def inspection_facts(x):
-    return diagnose.fact_groups(x.evidence().withColumn("fact", F.when(F.col("evidence_id").like("%3"), "unknown").otherwise(F.col("fact")))).select(*D, j("established"), j("unknown_ids"), j("not_established"))
+    return diagnose.fact_groups(x.evidence().withColumn("fact", F.when(F.col("evidence_id").like("%3"), "unknown").otherwise(F.col("fact")))).select(
+        *D, j("established"), j("unknown_ids"), j("not_established")
+    )
 
 
 def opened(documents: DataFrame, kind: str) -> DataFrame:
@@ -508,7 +676,15 @@ def inspections(x) -> DataFrame:
 @query
 def inspect_all(x):
     """What every incident's inspection says of it."""
-    return inspections(x).select(*D, "d.incident.opened_at", "d.incident.state", "d.diagnosis.rule", F.size("d.evidence").alias("n_evidence"), j("d.facts.established", "established"), F.size("d.facts.unknown_evidence_ids").alias("n_unknown"))
+    return inspections(x).select(
+        *D,
+        "d.incident.opened_at",
+        "d.incident.state",
+        "d.diagnosis.rule",
+        F.size("d.evidence").alias("n_evidence"),
+        j("d.facts.established", "established"),
+        F.size("d.facts.unknown_evidence_ids").alias("n_unknown"),
+    )
 
 
 @query
@@ -516,25 +692,64 @@ def report_status(x):
     seen = x.network_observations.select("host_id", "snapshot_id", "interface", "receive_bytes", "transmit_bytes")
     processes = x.process_observations.drop("user_id")
     documents = reports.status_documents(
-        x.snapshots, x.collection_results, {"system": ingest.parse_uptime(x.raw("raw_uptime")).drop("valid"), "memory": ingest.parse_memory(x.raw("raw_memory")).drop("valid"), "cpu": x.cpu_observations},
-        {"processes": (processes, "pid"), "disk": (ingest.disk_usage(x.disk_observations), "path"), "network": (seen, "interface"), "services": (x.service_observations, "name")},
-    )
-    rows = {"processes": "pid:int,lifetime_id:string", "disk": "path:string,free_bytes:long", "network": "interface:string,receive_bytes:long", "services": "name:string,active_state:string"}
+        x.snapshots,
+        x.collection_results,
+        {
+            "system": ingest.parse_uptime(x.raw("raw_uptime")).drop("valid"),
+            "memory": ingest.parse_memory(x.raw("raw_memory")).drop("valid"),
+            "cpu": x.cpu_observations,
+        },
+        {
+            "processes": (processes, "pid"),
+            "disk": (ingest.disk_usage(x.disk_observations), "path"),
+            "network": (seen, "interface"),
+            "services": (x.service_observations, "name"),
+        },
+    )
+    rows = {
+        "processes": "pid:int,lifetime_id:string",
+        "disk": "path:string,free_bytes:long",
+        "network": "interface:string,receive_bytes:long",
+        "services": "name:string,active_state:string",
+    }
     one = {"system": "uptime_seconds:double", "memory": "total_bytes:long", "cpu": "user_ticks:long"}
-    snapshot = ",".join(["timestamp:string", *(f"{n}:struct<{f}>" for n, f in one.items()), *(f"{n}:array<struct<{f}>>" for n, f in rows.items()), "collector_statuses:array<struct<name:string,status:string>>", "warnings:array<string>"])
+    snapshot = ",".join(
+        [
+            "timestamp:string",
+            *(f"{n}:struct<{f}>" for n, f in one.items()),
+            *(f"{n}:array<struct<{f}>>" for n, f in rows.items()),
+            "collector_statuses:array<struct<name:string,status:string>>",
+            "warnings:array<string>",
+        ]
+    )
     d = opened(documents, f"struct<schema_version:string,snapshot:struct<{snapshot}>,collectors:map<string,struct<status:string,collected_at:string>>>")
-    text = lambda name, *fields: F.array_join(F.transform(f"d.snapshot.{name}", lambda r: F.concat_ws("/", *(r[f].cast("string") for f in fields))), "|").alias(name)
+    text = lambda name, *fields: F.array_join(
+        F.transform(f"d.snapshot.{name}", lambda r: F.concat_ws("/", *(r[f].cast("string") for f in fields))), "|"
+    ).alias(name)
     return d.select(
-        "host_id", "snapshot_id", "d.snapshot.timestamp", "d.snapshot.system.uptime_seconds", "d.snapshot.memory.total_bytes", "d.snapshot.cpu.user_ticks", text("processes", "pid", "lifetime_id"), text("disk", "path", "free_bytes"),
-        text("network", "interface", "receive_bytes"), text("services", "name", "active_state"), text("collector_statuses", "name", "status"), F.col("d.collectors")["services"]["collected_at"].alias("collected_at"), F.size("d.snapshot.warnings").alias("n_warnings"),
-    )
+        "host_id",
+        "snapshot_id",
+        "d.snapshot.timestamp",
+        "d.snapshot.system.uptime_seconds",
+        "d.snapshot.memory.total_bytes",
+        "d.snapshot.cpu.user_ticks",
+        text("processes", "pid", "lifetime_id"),
+        text("disk", "path", "free_bytes"),
+        text("network", "interface", "receive_bytes"),
+        text("services", "name", "active_state"),
+        text("collector_statuses", "name", "status"),
+        F.col("d.collectors")["services"]["collected_at"].alias("collected_at"),
+        F.size("d.snapshot.warnings").alias("n_warnings"),
+    )
 
 
 @query
 def report_incidents(x):
     doc = reports.incident_list(stored.recent_incidents(x.resolved(), 25), 25)
     kind = "struct<incidents:array<struct<incident_id:string,state:string>>,count:int,query:struct<limit:int,limit_reached:boolean>>"
-    return doc.select(F.from_json("document", kind).alias("d")).select(F.posexplode("d.incidents").alias("pos", "i"), "d.count", "d.query").select("pos", "i.incident_id", "i.state", "count", "query.limit_reached")
+    return doc.select(F.from_json("document", kind).alias("d")).select(F.posexplode("d.incidents").alias("pos", "i"), "d.count", "d.query").select(
+        "pos", "i.incident_id", "i.state", "count", "query.limit_reached"
+    )
 
 
 @query
@@ -546,10 +761,20 @@ def report_inspection(x):
 
 @query
 def report_diagnosis(x):
-    lists = {"supported_facts": "facts", "provenance_ids": "evidence_ids", "historical_incident_ids": "history", "limitations": "limitations", "not_established": "not_established"}
+    lists = {
+        "supported_facts": "facts",
+        "provenance_ids": "evidence_ids",
+        "historical_incident_ids": "history",
+        "limitations": "limitations",
+        "not_established": "not_established",
+    }
     kind = "struct<diagnosis:struct<subject_id:string,state:string,rule:string,explanation:string," + ",".join(f"{n}:array<string>" for n in lists) + ">>"
     d = opened(reports.diagnosis_documents(x.diagnoses()), kind)
-    return d.select(*D, *(f"d.diagnosis.{c}" for c in ("subject_id", "state", "rule", "explanation")), *(j(f"d.diagnosis.{n}", alias) for n, alias in lists.items()))
+    return d.select(
+        *D,
+        *(f"d.diagnosis.{c}" for c in ("subject_id", "state", "rule", "explanation")),
+        *(j(f"d.diagnosis.{n}", alias) for n, alias in lists.items()),
+    )
 
 
 @query
@@ -557,13 +782,41 @@ def report_cycle(x):
     kind = "number:long,observed_at:string,duration_seconds:double,snapshot_id:long,collection_quality:map<string,string>,observation_counts:map<string,long>,journal_status:string,events_processed:long,events_correlated:long,"
     kind += ",".join(f"{n}:array<string>" for n in ("incident_candidate_ids", "reconciled_candidate_ids", "resolved_incident_ids", "limitations"))
     d = opened(reports.cycle_documents(x.cycles()), f"struct<cycle:struct<{kind}>>").select("host_id", "d.cycle.*")
-    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias(c)
-    return d.select("host_id", "number", "observed_at", "duration_seconds", "snapshot_id", pairs("collection_quality"), pairs("observation_counts"), "journal_status", "events_processed", "events_correlated", j("incident_candidate_ids"), j("reconciled_candidate_ids"), j("resolved_incident_ids"), j("limitations"))
+    pairs = lambda c: F.array_join(
+        F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|"
+    ).alias(c)
+    return d.select(
+        "host_id",
+        "number",
+        "observed_at",
+        "duration_seconds",
+        "snapshot_id",
+        pairs("collection_quality"),
+        pairs("observation_counts"),
+        "journal_status",
+        "events_processed",
+        "events_correlated",
+        j("incident_candidate_ids"),
+        j("reconciled_candidate_ids"),
+        j("resolved_incident_ids"),
+        j("limitations"),
+    )
 
 
 @query
 def cycle_summary(x):
-    return x.cycles().select("host_id", "snapshot_id", t("observed_at"), j("limitations"), "n_services", "n_processes", "n_network", "events_processed", F.size("candidate_ids").alias("n_candidates"), F.size("resolved_ids").alias("n_resolved"))
+    return x.cycles().select(
+        "host_id",
+        "snapshot_id",
+        t("observed_at"),
+        j("limitations"),
+        "n_services",
+        "n_processes",
+        "n_network",
+        "events_processed",
+        F.size("candidate_ids").alias("n_candidates"),
+        F.size("resolved_ids").alias("n_resolved"),
+    )
 
 
 # retention
@@ -595,7 +848,20 @@ def retain_incidents(x):
 # scalars over whole tables
 @query
 def redact_text(x):
-    return x.read("documents").select("doc_id", s.redact_to(F.concat(F.lit("--token "), F.col("doc_id").cast("string"), F.lit(" url?api_key="), F.col("doc_id").cast("string"), F.lit("&x -p y "), F.coalesce("text", F.lit(""))), 200).alias("redacted"))
+    return x.read("documents").select(
+        "doc_id",
+        s.redact_to(
+            F.concat(
+                F.lit("--token "),
+                F.col("doc_id").cast("string"),
+                F.lit(" url?api_key="),
+                F.col("doc_id").cast("string"),
+                F.lit("&x -p y "),
+                F.coalesce("text", F.lit("")),
+            ),
+            200,
+        ).alias("redacted"),
+    )
 
 
 @query
@@ -621,39 +887,71 @@ def incident_ids(x):
 
 @query
 def iso_timestamp(x):
-    return x.ev.select("event_id", s.iso(F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(0))).alias("iso"), s.iso_fixed(F.col("ts")).alias("fixed"))
+    return x.ev.select(
+        "event_id",
+        s.iso(F.timestamp_micros(F.unix_micros("ts") + F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(0))).alias("iso"),
+        s.iso_fixed(F.col("ts")).alias("fixed"),
+    )
 
 
 @query
 def epoch_micros(x):
-    return x.ev.select("event_id", F.unix_micros(s.from_epoch_micros(F.concat(F.when(F.col("event_id") % 7 == 0, "x").otherwise(""), (F.col("event_id") + 1_700_000_000_000_000).cast("string")))).alias("us"))
+    return x.ev.select(
+        "event_id",
+        F.unix_micros(
+            s.from_epoch_micros(
+                F.concat(F.when(F.col("event_id") % 7 == 0, "x").otherwise(""), (F.col("event_id") + 1_700_000_000_000_000).cast("string"))
+            )
+        ).alias("us"),
+    )
 
 
 @query
 def optional_int(x):
-    value, ok = s.optional_int(F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, F.col("event_type")).otherwise(F.col("event_id").cast("string")), 5000)
+    value, ok = s.optional_int(
+        F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, F.col("event_type")).otherwise(F.col("event_id").cast("string")), 5000
+    )
     return x.ev.select("event_id", value.alias("value"), ok.alias("ok"))
 
 
 @query
 def decode_bytes_field(x):
-    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(F.col("event_id") % 4 == 1, "[104,195,169]").when(F.col("event_id") % 4 == 2, "[300]").otherwise("null")
+    text = F.when(
+        F.col("event_id") % 4 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))
+    ).when(F.col("event_id") % 4 == 1, "[104,195,169]").when(F.col("event_id") % 4 == 2, "[300]").otherwise("null")
     return x.ev.withColumn("v", F.try_parse_json(text)).select("event_id", s.decode_bytes(F.col("v")).alias("decoded"))
 
 
 @query
 def bounded_list(x):
-    return x.ev.groupBy("host_id", "user_id").agg(F.collect_list(F.concat(F.lit("w"), F.col("event_id") % 90)).alias("w")).select("host_id", "user_id", F.array_join(s.bounded(F.col("w"), "quality_limitations_truncated"), "|").alias("bounded"))
+    return x.ev.groupBy("host_id", "user_id").agg(F.collect_list(F.concat(F.lit("w"), F.col("event_id") % 90)).alias("w")).select(
+        "host_id", "user_id", F.array_join(s.bounded(F.col("w"), "quality_limitations_truncated"), "|").alias("bounded")
+    )
 
 
 @query
 def valid_service_name(x):
-    return x.ev.select("event_id", s.valid_service_name(F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), "unit", F.when(F.col("event_id") % 5 == 0, "x").otherwise(""))).alias("ok"))
+    return x.ev.select(
+        "event_id",
+        s.valid_service_name(
+            F.concat(F.when(F.col("event_id") % 3 == 0, " ").otherwise(""), "unit", F.when(F.col("event_id") % 5 == 0, "x").otherwise(""))
+        ).alias("ok"),
+    )
 
 
 @query
 def parse_utc(x):
-    return x.ev.select("event_id", F.unix_micros(s.parse_utc(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "+02:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+00:00")))).alias("us"))
+    return x.ev.select(
+        "event_id",
+        F.unix_micros(
+            s.parse_utc(
+                F.concat(
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(F.col("event_id") % 3 == 0, "+02:00").when(F.col("event_id") % 3 == 1, "Z").otherwise("+00:00"),
+                )
+            )
+        ).alias("us"),
+    )
 
 
 # audits
@@ -664,12 +962,21 @@ def audit_constraints(x):
 
 @query
 def audit_incidents(x):
-    return audit.audit_incidents(x.candidates().withColumn("last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at"))), x.evidence())
+    return audit.audit_incidents(
+        x.candidates().withColumn(
+            "last_observed_at", F.when(F.col("subject_id").like("svc-1%"), F.col("started_at")).otherwise(F.col("last_observed_at"))
+        ),
+        x.evidence(),
+    )
 
 
 @query
 def audit_collections(x):
-    return audit.audit_collections(x.collection_results.withColumn("duration_seconds", F.when(F.col("snapshot_id") % 4 == 0, float("nan")).otherwise((F.col("snapshot_id") - 3).cast("double"))))
+    return audit.audit_collections(
+        x.collection_results.withColumn(
+            "duration_seconds", F.when(F.col("snapshot_id") % 4 == 0, float("nan")).otherwise((F.col("snapshot_id") - 3).cast("double"))
+        )
+    )
 
 
 @query
@@ -679,7 +986,13 @@ def audit_reports(x):
 
 @query
 def upgrade_history(x):
-    old = x.ev.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""), F.lit("+00:00")).alias("observed_text"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit("w"))).alias("warnings"))
+    old = x.ev.select(
+        "event_id",
+        F.concat(
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, ".5").otherwise(""), F.lit("+00:00")
+        ).alias("observed_text"),
+        F.when(F.col("event_id") % 3 == 0, F.array(F.lit("w"))).alias("warnings"),
+    )
     up, _ = audit.upgrade_history(old, x.ev.select(F.lit(None).cast("string").alias("fact")))
     return up.select("event_id", "observed_text", j("warnings"))
 

@@ -23,9 +23,13 @@ def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases near errors of the same unit."""
-    errors = streams.event_stream(spark, sf_dir).where("event_type = 'error'").select("host_id", "unit", F.col("cursor").alias("anchor_id"), F.col("observed_at").alias("anchor_at"))
+    errors = streams.event_stream(spark, sf_dir).where("event_type = 'error'").select(
+        "host_id", "unit", F.col("cursor").alias("anchor_id"), F.col("observed_at").alias("anchor_at")
+    )
     other = streams.event_stream(spark, sf_dir).where("event_type = 'purchase'")
-    return streams.run_once(streams.interval_join(errors, other, WINDOW_SECONDS), shared_path(spark, "stream-join")).select("host_id", "unit", "anchor_id", "cursor")
+    return streams.run_once(streams.interval_join(errors, other, WINDOW_SECONDS), shared_path(spark, "stream-join")).select(
+        "host_id", "unit", "anchor_id", "cursor"
+    )
 
 
 def captures(x: Tables) -> DataFrame:
@@ -59,14 +63,27 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet.go(stream, batches=1)
     fleet.go(stream)
     rows = fleet.incidents().join(fleet.evidence().groupBy("host_id", "incident_id").agg(F.count("*").alias("n_evidence")), ["host_id", "incident_id"])
-    return rows.select("host_id", "incident_id", "subject_id", "state", *(iso_fixed(F.col(c)).alias(c) for c in ("started_at", "last_observed_at", "resolved_at")), "n_evidence")
+    return rows.select(
+        "host_id",
+        "incident_id",
+        "subject_id",
+        "state",
+        *(iso_fixed(F.col(c)).alias(c) for c in ("started_at", "last_observed_at", "resolved_at")),
+        "n_evidence",
+    )
 
 
 def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycles of services as the snapshots of each host arrive."""
     x, path = Tables(spark, sf_dir), shared_path(spark, "service-snapshots")
     key = ["host_id", "snapshot_id"]
-    state = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("load_state", "active_state", "sub_state")), F.col("valid").cast("string")), F.lit("]"))
+    state = F.concat(
+        F.lit("["),
+        F.concat_ws(
+            ",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("load_state", "active_state", "sub_state")), F.col("valid").cast("string")
+        ),
+        F.lit("]"),
+    )
     pairs = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("name"), F.lit('":'), state))), ","), F.lit("}"))
     services = service_validity(x.service_captured).groupBy(*key).agg(pairs.alias("services"))
     status = x.collection_results.where("collector_name = 'services'").select(*key, "status")
@@ -82,16 +99,22 @@ def queries() -> dict:
 def oracles() -> dict[str, str]:
     return {
         "stream_journal": sql("SELECT host_id, unit, cursor FROM ev"),
-        "stream_interval_join": sql(f"SELECT a.host_id, a.unit, a.cursor AS anchor_id, e.cursor FROM ev a JOIN ev e ON a.host_id = e.host_id AND a.unit = e.unit AND a.event_type = 'error' AND e.event_type = 'purchase' AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"),
+        "stream_interval_join": sql(
+            f"SELECT a.host_id, a.unit, a.cursor AS anchor_id, e.cursor FROM ev a JOIN ev e ON a.host_id = e.host_id "
+            f"AND a.unit = e.unit AND a.event_type = 'error' AND e.event_type = 'purchase' "
+            f"AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"
+        ),
         "stream_service_lifecycle": sql("SELECT host_id, snapshot_id, name, lifecycle FROM svc", LIFE),
         "stream_cycle": sql(
-            f"""SELECT c.host_id, c.incident_id, c.subject_id, CASE WHEN back_at IS NULL THEN 'active' ELSE 'resolved' END AS state, {fixed('c.started_at', 'started_at')},
+            f"""SELECT c.host_id, c.incident_id, c.subject_id, CASE WHEN back_at IS NULL THEN 'active'
+              ELSE 'resolved' END AS state, {fixed('c.started_at', 'started_at')},
           {fixed('coalesce(back_at, last_observed_at)', 'last_observed_at')}, {fixed('back_at', 'resolved_at')}, n_evidence
           FROM candidates c LEFT JOIN ended e ON e.host_id = c.host_id AND e.incident_id = c.incident_id""",
             CORR,
             """
 back_all AS (
-  SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
+  SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id
+    AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
   WHERE NOT EXISTS (SELECT 1 FROM candidates n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id AND n.started_at = r.collected_at)),
 ended AS (
   SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN back_all b ON b.host_id = c.host_id AND b.subject_id = c.subject_id AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)""",

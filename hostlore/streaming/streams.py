@@ -32,9 +32,13 @@ def journal_rows(events: DataFrame) -> DataFrame:
     """Events as journal rows: host, unit, cursor and time."""
     rows = events.where("user_id is not null and ts is not null")
     return rows.select(
-        F.concat(F.lit("host-"), (F.col("user_id") % 4).cast("string")).alias("host_id"), F.concat(F.lit("svc-"), F.col("user_id").cast("string"), F.lit(".service")).alias("unit"),
-        F.concat(F.lit("c-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("cursor"), F.col("ts").cast("timestamp").alias("observed_at"), "event_type", "event_id",
-    )
+        F.concat(F.lit("host-"), (F.col("user_id") % 4).cast("string")).alias("host_id"),
+        F.concat(F.lit("svc-"), F.col("user_id").cast("string"), F.lit(".service")).alias("unit"),
+        F.concat(F.lit("c-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("cursor"),
+        F.col("ts").cast("timestamp").alias("observed_at"),
+        "event_type",
+        "event_id",
+    )
 
 
 def deduplicated(events: DataFrame, delay: str = "40 days") -> DataFrame:
@@ -46,7 +50,11 @@ def interval_join(anchors: DataFrame, events: DataFrame, window_seconds: int, de
     """Events of the anchor's host and unit within the window, both ends included."""
     left = anchors.withWatermark("anchor_at", delay).alias("a")
     right = events.withWatermark("observed_at", delay).alias("e")
-    near = F.expr(f"a.host_id = e.host_id AND a.unit = e.unit AND e.observed_at BETWEEN a.anchor_at - INTERVAL {window_seconds} SECONDS AND a.anchor_at + INTERVAL {window_seconds} SECONDS")
+    near = F.expr(
+        f"a.host_id = e.host_id AND a.unit = e.unit "
+        f"AND e.observed_at BETWEEN a.anchor_at - INTERVAL {window_seconds} SECONDS "
+        f"AND a.anchor_at + INTERVAL {window_seconds} SECONDS"
+    )
     return left.join(right, near, "inner").select("a.host_id", "a.unit", "a.anchor_id", "anchor_at", "e.cursor", "observed_at")
 
 
@@ -89,7 +97,9 @@ def service_states(captures: DataFrame) -> DataFrame:
 
 def run_once(stream: DataFrame, path: str) -> DataFrame:
     """Runs a stream over all that is there now, into Parquet under ``path``, and reads the result."""
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).option("path", f"{path}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -146,7 +156,13 @@ class FleetCycles:
         base = self.stored("baseline", number, batch)
         last = Window.partitionBy("host_id").orderBy(F.desc("snapshot_id"))
         both = batch.unionByName(base)
-        self.store(both.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place").withColumn("events", F.lit(None).cast(PARTS["events"])), "baseline", number)
+        self.store(
+            both.withColumn("place", F.row_number().over(last)).where("place = 1").drop("place").withColumn(
+                "events", F.lit(None).cast(PARTS["events"])
+            ),
+            "baseline",
+            number,
+        )
         part = lambda rows, name: rows.select(*key, F.inline(name))
         snapshots, results = both.select(*key, "observed_at", "monotonic_s"), part(both, "results")
         services, processes = part(both, "services"), part(both, "processes")
@@ -165,17 +181,34 @@ class FleetCycles:
         changes = lifecycle.service_lifecycle(services, snapshots, results).join(mine, key, "left_semi")
         changes = correlate.quality_aware(changes, results, "services")
         process_changes = lifecycle.process_lifecycle(processes, snapshots, results, services).join(mine, key, "left_semi")
-        process_changes = self.store(correlate.quality_aware(process_changes.select(*key, "observed_at", "pid", "lifetime_id", "lifecycle"), results, "processes"), "process_changes", number, "observed_at")
+        process_changes = self.store(
+            correlate.quality_aware(process_changes.select(*key, "observed_at", "pid", "lifetime_id", "lifecycle"), results, "processes"),
+            "process_changes",
+            number,
+            "observed_at",
+        )
         anchors = self.store(correlate.incident_anchors(changes), "anchors", number, "observed_at")
         journal = results.join(mine, key, "left_semi").where("collector_name = 'journal'").select("host_id", F.col("collected_at").alias("at"), "status")
         journal = self.store(journal, "journal", number, "at")
 
         near_events, near_anchors = self.around("events", number, fresh, low, high), self.around("anchors", number, anchors, low, high)
         touched = fresh.select("host_id", F.col("unit").alias("name"), F.unix_micros("observed_at").alias("t"))
-        late = correlate.near(near_anchors.select("host_id", "name", "observed_at", F.unix_micros("observed_at").alias("t")), touched, ["host_id", "name"], self.window * 1_000_000)
+        late = correlate.near(
+            near_anchors.select("host_id", "name", "observed_at", F.unix_micros("observed_at").alias("t")),
+            touched,
+            ["host_id", "name"],
+            self.window * 1_000_000,
+        )
         again = late.select("host_id", "name", "observed_at").unionByName(anchors.select("host_id", "name", "observed_at")).distinct()
         asked = near_anchors.join(again, ["host_id", "name", "observed_at"], "left_semi")
-        evidence = correlate.correlate(asked, self.around("process_changes", number, process_changes, low, high), near_events, self.associations, self.window * 1_000_000, self.most)
+        evidence = correlate.correlate(
+            asked,
+            self.around("process_changes", number, process_changes, low, high),
+            near_events,
+            self.associations,
+            self.window * 1_000_000,
+            self.most,
+        )
         evidence = self.store(evidence, "evidence", number)
         candidates = self.store(correlate.candidates(evidence, self.around("journal", number, journal, low, high)), "candidates", number)
 

@@ -17,9 +17,19 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("previous", "current", "elapsed", "state", "rate"),
-    [(100, 160, 2.5, "valid", 24.0), (None, 1, 1.0, "no_previous", None), (1, None, 1.0, "invalid_data", None), (1, 2, 0.0, "invalid_interval", None), (1, 2, -1.0, "invalid_interval", None),
-     (1, 2, float("nan"), "invalid_interval", None), (1, 2, float("inf"), "invalid_interval", None), (1, 2, None, "invalid_interval", None), (-1, 2, 1.0, "invalid_data", None), (5, 2, 1.0, "counter_reset", None)],
-)
+    [
+        (100, 160, 2.5, "valid", 24.0),
+        (None, 1, 1.0, "no_previous", None),
+        (1, None, 1.0, "invalid_data", None),
+        (1, 2, 0.0, "invalid_interval", None),
+        (1, 2, -1.0, "invalid_interval", None),
+        (1, 2, float("nan"), "invalid_interval", None),
+        (1, 2, float("inf"), "invalid_interval", None),
+        (1, 2, None, "invalid_interval", None),
+        (-1, 2, 1.0, "invalid_data", None),
+        (5, 2, 1.0, "counter_reset", None),
+    ],
+)
 def test_counter_states(spark, previous, current, elapsed, state, rate):
     got = one(spark, s.counter(F.lit(previous).cast("long"), F.lit(current).cast("long"), F.lit(elapsed).cast("double")))
     assert (got.state, got.rate) == (state, rate)
@@ -45,8 +55,16 @@ def frame(spark, rows, schema):
 
 
 def history(spark, statuses, collector="services"):
-    snapshots = frame(spark, [("h", i + 1, T0 + timedelta(days=i), 60.0 * i) for i in range(len(statuses))], "host_id string, snapshot_id long, observed_at timestamp, monotonic_s double")
-    results = frame(spark, [("h", i + 1, c, x) for i, x in enumerate(statuses) for c in (collector,)], "host_id string, snapshot_id long, collector_name string, status string")
+    snapshots = frame(
+        spark,
+        [("h", i + 1, T0 + timedelta(days=i), 60.0 * i) for i in range(len(statuses))],
+        "host_id string, snapshot_id long, observed_at timestamp, monotonic_s double",
+    )
+    results = frame(
+        spark,
+        [("h", i + 1, c, x) for i, x in enumerate(statuses) for c in (collector,)],
+        "host_id string, snapshot_id long, collector_name string, status string",
+    )
     return snapshots, results
 
 
@@ -55,23 +73,55 @@ SERVICES = "host_id string, snapshot_id long, name string, load_state string, ac
 
 def test_service_lifecycle(spark):
     snapshots, results = history(spark, ["success", "success", "partial", "success"])
-    rows = frame(spark, [("h", 1, "a.service", "loaded", "active", "running"), ("h", 2, "a.service", "loaded", "failed", "failed"), ("h", 2, "b.service", "loaded", "active", "running"), ("h", 3, "a.service", "loaded", "failed", "failed"), ("h", 4, "c.service", "loaded", "active", "running")], SERVICES)
+    rows = frame(
+        spark,
+        [
+            ("h", 1, "a.service", "loaded", "active", "running"),
+            ("h", 2, "a.service", "loaded", "failed", "failed"),
+            ("h", 2, "b.service", "loaded", "active", "running"),
+            ("h", 3, "a.service", "loaded", "failed", "failed"),
+            ("h", 4, "c.service", "loaded", "active", "running"),
+        ],
+        SERVICES,
+    )
     got = {(r.snapshot_id, r.name): r.lifecycle for r in lifecycle.service_lifecycle(rows, snapshots, results).collect()}
-    assert got == {(1, "a.service"): "insufficient_history", (2, "a.service"): "state_changed", (2, "b.service"): "new", (3, "a.service"): "continuing", (4, "c.service"): "insufficient_history"}
+    assert got == {
+        (1, "a.service"): "insufficient_history",
+        (2, "a.service"): "state_changed",
+        (2, "b.service"): "new",
+        (3, "a.service"): "continuing",
+        (4, "c.service"): "insufficient_history",
+    }
 
 
 def test_removed_and_invalid(spark):
     snapshots, results = history(spark, ["success", "success"])
     rows = frame(spark, [("h", 1, "a.service", "loaded", "active", "running"), ("h", 2, "b.service", "loaded", "active", "running")], SERVICES)
-    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect() if r.snapshot_id == 2} == {("a.service", "removed"), ("b.service", "new")}
+    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect() if r.snapshot_id == 2} == {
+        ("a.service", "removed"), ("b.service", "new")
+    }
     bad = rows.unionByName(frame(spark, [("h", 2, "a.service", "loaded", "two words", "x")], SERVICES))
-    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(bad, snapshots, results).collect() if r.snapshot_id == 2} == {("a.service", "invalid"), ("b.service", "insufficient_history")}
+    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(bad, snapshots, results).collect() if r.snapshot_id == 2} == {
+        ("a.service", "invalid"), ("b.service", "insufficient_history")
+    }
 
 
 def test_process_lifecycle(spark):
     snapshots, results = history(spark, ["success", "success"], "processes")
     schema = "host_id string, snapshot_id long, pid int, lifetime_id string, cpu_time_ticks long, rss_bytes long, virtual_memory_bytes long"
-    rows = frame(spark, [("h", 1, 1, "1:5", 10, 1, 1), ("h", 1, 2, "2:5", 10, 1, 1), ("h", 1, 3, "3:5", 10, 1, None), ("h", 2, 1, "1:5", 70, 4, 1), ("h", 2, 3, "3:6", 1, 1, 1), ("h", 2, 4, "4:1", 1, 1, 1), ("h", 2, 5, None, 1, 1, 1)], schema)
+    rows = frame(
+        spark,
+        [
+            ("h", 1, 1, "1:5", 10, 1, 1),
+            ("h", 1, 2, "2:5", 10, 1, 1),
+            ("h", 1, 3, "3:5", 10, 1, None),
+            ("h", 2, 1, "1:5", 70, 4, 1),
+            ("h", 2, 3, "3:6", 1, 1, 1),
+            ("h", 2, 4, "4:1", 1, 1, 1),
+            ("h", 2, 5, None, 1, 1, 1),
+        ],
+        schema,
+    )
     got = {r.pid: r for r in lifecycle.process_lifecycle(rows, snapshots, results, frame(spark, [], SERVICES)).collect() if r.snapshot_id == 2}
     assert {p: r.lifecycle for p, r in got.items()} == {1: "continuing", 2: "exited", 3: "identity_changed", 4: "new", 5: "invalid"}
     assert (got[1].cpu.rate, got[1].rss_delta) == (1.0, 3)
@@ -91,13 +141,27 @@ def test_failed_collections_make_no_claims(spark):
         got = {(r.snapshot_id, r.pid, r.lifecycle) for r in lifecycle.process_lifecycle(rows, snapshots, results, frame(spark, [], SERVICES)).collect()}
         assert got == {(1, 1, "insufficient_history"), (1, 2, "insufficient_history"), (3, 1, "insufficient_history")}
     snapshots, results = history(spark, ["success", "partial"])
-    rows = frame(spark, [("h", 1, "a.service", "loaded", "active", "x"), ("h", 2, "a.service", "loaded", "failed", "x"), ("h", 1, "b.service", "loaded", "active", "x")], SERVICES)
-    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect() if r.snapshot_id == 2} == {("a.service", "state_changed")}
+    rows = frame(
+        spark,
+        [
+            ("h", 1, "a.service", "loaded", "active", "x"),
+            ("h", 2, "a.service", "loaded", "failed", "x"),
+            ("h", 1, "b.service", "loaded", "active", "x"),
+        ],
+        SERVICES,
+    )
+    assert {(r.name, r.lifecycle) for r in lifecycle.service_lifecycle(rows, snapshots, results).collect() if r.snapshot_id == 2} == {
+        ("a.service", "state_changed")
+    }
 
 
 def test_cpu(spark):
     snapshots, _ = history(spark, ["success"] * 2)
-    rows = frame(spark, [("h", 1, 10, 2, 3, 80, 1, 1, 1, 0), ("h", 2, 15, 2, 8, 90, 1, 1, 1, 0)], "host_id string, snapshot_id long, " + ", ".join(f"{t} long" for t in temporal.TICKS))
+    rows = frame(
+        spark,
+        [("h", 1, 10, 2, 3, 80, 1, 1, 1, 0), ("h", 2, 15, 2, 8, 90, 1, 1, 1, 0)],
+        "host_id string, snapshot_id long, " + ", ".join(f"{t} long" for t in temporal.TICKS),
+    )
     r = temporal.cpu_utilisation(rows, snapshots).where("snapshot_id = 2").first()
     assert (r.state, r.total, r.busy, r.utilisation) == ("valid", 20, 10, 0.5)
 
@@ -114,22 +178,30 @@ def test_parsers(spark):
         return frame(spark, [("h", 1, text)], "host_id string, snapshot_id long, payload string")
 
     assert ingest.parse_cpu(cap("cpu  1 2 3 4\ncpu0 9")).first()[2:] == (True, 1, 2, 3, 4, 0, 0, 0, 0)
-    assert not ingest.parse_cpu(cap("cpu 1 2 3")).first().valid and not ingest.parse_cpu(cap("cpu 1 2 3 -4")).first().valid and not ingest.parse_cpu(cap("none")).first().valid
+    assert not ingest.parse_cpu(cap("cpu 1 2 3")).first().valid and not ingest.parse_cpu(
+        cap("cpu 1 2 3 -4")
+    ).first().valid and not ingest.parse_cpu(cap("none")).first().valid
     r = ingest.parse_memory(cap("MemTotal: 4 kB\nMemFree: 1 kB\nMemAvailable: 2\nMemFree: 3 kB\nnothing")).first()
     assert (r.valid, r.total_bytes, r.free_bytes, r.available_bytes, r.buffers_bytes) == (True, 4096, 3072, 2, None)
     assert not ingest.parse_memory(cap("MemTotal: 4 MB")).first().valid
-    assert [r.name for r in ingest.parse_services(cap("a.service loaded active running x y\nb.service loaded failed failed")).collect()] == ["a.service", "b.service"]
+    assert [
+        r.name for r in ingest.parse_services(cap("a.service loaded active running x y\nb.service loaded failed failed")).collect()
+    ] == ["a.service", "b.service"]
     assert not ingest.parse_services(cap("a.service loaded active running\na.service loaded active running")).first().valid
 
 
 def test_journal_page(spark):
-    records = frame(spark, [("h", p, i, c, True) for p, cs in {1: "abc", 2: "abca", 3: "bcd", 4: "abcd"}.items() for i, c in enumerate(cs)], "host_id string, page long, pos long, cursor string, valid boolean")
+    records = frame(
+        spark,
+        [("h", p, i, c, True) for p, cs in {1: "abc", 2: "abca", 3: "bcd", 4: "abcd"}.items() for i, c in enumerate(cs)],
+        "host_id string, page long, pos long, cursor string, valid boolean",
+    )
     saved = frame(spark, [("h", 3, "a"), ("h", 4, "a")], "host_id string, page long, saved string")
     got = {r.page: (r.outcome, r.accepted, r.next_cursor) for r in ingest.accept_pages(records, saved, 2).collect()}
     assert got == {1: ("partial", 2, "b"), 2: ("journal_duplicate_cursor", 0, None), 3: ("journal_cursor_invalidated", 0, "a"), 4: ("partial", 2, "c")}
 
 
-HEAD = "host_id string, incident_id string, rule_id string, subject_type string, subject_id string, state string, started_at timestamp, last_observed_at timestamp, resolved_at timestamp, limitations array<string>"
+HEAD = "host_id string, incident_id string, rule_id string, subject_type string, subject_id string, state string, " "started_at timestamp, last_observed_at timestamp, resolved_at timestamp, limitations array<string>"
 
 
 def test_reconcile(spark):
@@ -143,9 +215,15 @@ def test_reconcile(spark):
     assert {r.incident_id: r.problem for r in bad.collect()} == {"c": "evidence_after_resolution", "d": "identity_reused"}
     again, none = reconcile.upsert(merged.drop("change"), new.where("incident_id in ('a', 'e')"))
     assert {r.change for r in again.collect()} == {"kept", "stored"} and none.count() == 0
-    subjects = frame(spark, [("h", "a.service", T0 + timedelta(hours=9)), ("h", "b.service", T0), ("h", "e.service", T0 + timedelta(hours=9))], "host_id string, subject_id string, resolved_time timestamp")
+    subjects = frame(
+        spark,
+        [("h", "a.service", T0 + timedelta(hours=9)), ("h", "b.service", T0), ("h", "e.service", T0 + timedelta(hours=9))],
+        "host_id string, subject_id string, resolved_time timestamp",
+    )
     done, early = reconcile.resolve(merged, subjects, new.where("incident_id = 'e'"))
-    assert {r.incident_id: r.state for r in done.collect()} == {"a": "resolved", "b": "active", "e": "active"} and [r.incident_id for r in early.collect()] == ["b"]
+    assert {
+        r.incident_id: r.state for r in done.collect()
+    } == {"a": "resolved", "b": "active", "e": "active"} and [r.incident_id for r in early.collect()] == ["b"]
 
 
 def test_resolution_over_time(spark):
@@ -157,16 +235,31 @@ def test_resolution_over_time(spark):
 
     old = [row("a", "s", 1, 1), row("b", "s", 5, 5), row("c", "t", 1, 9), row("d", "u", 1, 1), row("e", "s", 1, 2, "resolved"), row("f", "s", 8, 8)]
     incidents = frame(spark, old, HEAD)
-    recoveries = frame(spark, [("h", "s", at(3)), ("h", "s", at(5)), ("h", "s", at(7)), ("h", "t", at(4)), ("g", "u", at(4))], "host_id string, subject_id string, resolved_time timestamp")
+    recoveries = frame(
+        spark,
+        [("h", "s", at(3)), ("h", "s", at(5)), ("h", "s", at(7)), ("h", "t", at(4)), ("g", "u", at(4))],
+        "host_id string, subject_id string, resolved_time timestamp",
+    )
     done, early = reconcile.resolve_over_time(incidents, recoveries, incidents.where("incident_id = 'b'"))
     got = {r.incident_id: (r.state, r.resolved_at, r.now_resolved) for r in done.collect()}
-    assert got == {"a": ("resolved", at(3), True), "b": ("resolved", at(7), True), "c": ("active", None, False), "d": ("active", None, False), "e": ("resolved", at(2), False), "f": ("active", None, False)}
+    assert got == {
+        "a": ("resolved", at(3), True),
+        "b": ("resolved", at(7), True),
+        "c": ("active", None, False),
+        "d": ("active", None, False),
+        "e": ("resolved", at(2), False),
+        "f": ("active", None, False),
+    }
     assert [(r.incident_id, r.problem) for r in early.collect()] == [("c", "resolution_before_evidence")]
 
 
 def test_history_is_the_last_of_the_recent(spark):
     """Against all pairs, with ties in time and more incidents than count."""
-    rows = [("h", f"{i:02}", "r", "service", f"s{i % 2}", "active", T0 + timedelta(hours=i // 4), T0 + timedelta(hours=(i * 7) % 23), None, []) for i in range(40)]
+    rows = [
+        (
+            "h", f"{i:02}", "r", "service", f"s{i % 2}", "active", T0 + timedelta(hours=i // 4), T0 + timedelta(hours=(i * 7) % 23), None, []
+        ) for i in range(40)
+    ]
     got = {r.incident_id: r.history for r in diagnose.history(frame(spark, rows, HEAD), recent=12, most=3).collect()}
     for r in rows:
         same = sorted((x for x in rows if x[4] == r[4]), key=lambda x: (-x[7].timestamp(), x[1]))[:12]
@@ -175,33 +268,68 @@ def test_history_is_the_last_of_the_recent(spark):
 
 
 def test_event_window_is_cut(spark):
-    rows = frame(spark, [("h", f"c{i:02}", "a", T0 + timedelta(minutes=i)) for i in range(10)], "host_id string, cursor string, unit string, observed_at timestamp")
+    rows = frame(
+        spark,
+        [("h", f"c{i:02}", "a", T0 + timedelta(minutes=i)) for i in range(10)],
+        "host_id string, cursor string, unit string, observed_at timestamp",
+    )
     for limit, cut in ((4, True), (10, False), (20, False)):
         got = stored.event_window(rows, "a", str(T0), str(T0 + timedelta(days=1)), limit).collect()
         assert [r.cursor for r in got] == [f"c{i:02}" for i in range(min(limit, 10))] and {r.truncated for r in got} == {cut}
 
 
 def test_events_for_anchors_cut(spark):
-    rows = frame(spark, [("h", T0, f"e{i}", T0 + timedelta(seconds=i)) for i in range(5)] * 2 + [("h", T0 + timedelta(days=1), "e0", T0)], "host_id string, observed_at timestamp, evidence_id string, evidence_at timestamp")
+    rows = frame(
+        spark,
+        [("h", T0, f"e{i}", T0 + timedelta(seconds=i)) for i in range(5)] * 2 + [("h", T0 + timedelta(days=1), "e0", T0)],
+        "host_id string, observed_at timestamp, evidence_id string, evidence_at timestamp",
+    )
     got = {(r.observed_at == T0, r.evidence_id, r.truncated) for r in correlate.events_for_anchors(rows, 3).collect()}
     assert got == {(True, "e0", True), (True, "e1", True), (True, "e2", True), (False, "e0", False)}
 
 
 def test_diagnosis_rules(spark):
-    cases = {"a": ["service_failed", "journal_unit_event", "process_exited"], "b": ["service_failed", "journal_unit_event"], "c": ["service_failed", "process_exited"], "d": ["service_failed", "process_started"], "e": ["service_inactive", "journal_unit_event"]}
-    kind = {"j": ("journal_event", "service_unit_match"), "p": ("process_change", "explicit_process_association"), "s": ("service_change", "service_change_anchor")}
-    heads = frame(spark, [("h", i, "r", "service", "x.service", "active", T0 + timedelta(hours=k), T0 + timedelta(hours=k), None, []) for k, i in enumerate(cases)], HEAD)
+    cases = {
+        "a": ["service_failed", "journal_unit_event", "process_exited"],
+        "b": ["service_failed", "journal_unit_event"],
+        "c": ["service_failed", "process_exited"],
+        "d": ["service_failed", "process_started"],
+        "e": ["service_inactive", "journal_unit_event"],
+    }
+    kind = {
+        "j": ("journal_event", "service_unit_match"),
+        "p": ("process_change", "explicit_process_association"),
+        "s": ("service_change", "service_change_anchor"),
+    }
+    heads = frame(
+        spark,
+        [("h", i, "r", "service", "x.service", "active", T0 + timedelta(hours=k), T0 + timedelta(hours=k), None, []) for k, i in enumerate(cases)],
+        HEAD,
+    )
     rows = [("h", i, kind[f[0]][0], f"{i}{f}", T0, kind[f[0]][1], "", f, ["partial"] if i == "b" else []) for i, fs in cases.items() for f in fs]
-    evidence = frame(spark, rows, "host_id string, incident_id string, kind string, evidence_id string, evidence_at timestamp, reason string, summary string, fact string, evidence_limitations array<string>")
+    evidence = frame(
+        spark,
+        rows,
+        "host_id string, incident_id string, kind string, evidence_id string, evidence_at timestamp, reason string, summary "
+        "string, fact string, evidence_limitations array<string>",
+    )
     got = {r.incident_id: r for r in diagnose.diagnose(heads, evidence).collect()}
-    assert {i: r.rule.removeprefix("service_failure_") for i, r in got.items()} == {"a": "journal_process_exit", "b": "journal", "c": "process_exit", "d": "insufficient", "e": "unsupported_service_condition"}
-    assert got["c"].history == ["a", "b"] and "2 earlier incident candidates" in got["c"].explanation and got["b"].explanation.endswith(diagnose.CONTEXT) and not got["a"].explanation.endswith(diagnose.CONTEXT)
+    assert {i: r.rule.removeprefix("service_failure_") for i, r in got.items()} == {
+        "a": "journal_process_exit", "b": "journal", "c": "process_exit", "d": "insufficient", "e": "unsupported_service_condition"
+    }
+    assert got["c"].history == ["a", "b"] and "2 earlier incident candidates" in got["c"].explanation and got["b"].explanation.endswith(
+        diagnose.CONTEXT
+    ) and not got["a"].explanation.endswith(diagnose.CONTEXT)
 
 
 def test_append_and_gate(spark):
     schema = "host_id string, cursor string"
     old = frame(spark, [("h", "a"), ("h", "b")], schema)
     assert {r.cursor for r in stored.new_events(old, frame(spark, [("h", "b"), ("h", "c"), ("h", "c")], schema)).collect()} == {"c"}
-    batches = frame(spark, [("h", 1, "z", "z", "b"), ("h", 1, "z", "y", "b"), ("h", 0, None, "q", "b"), ("h", 1, "z", "z", "a")], "host_id string, n_events int, last_cursor string, next_cursor string, expected_cursor string")
+    batches = frame(
+        spark,
+        [("h", 1, "z", "z", "b"), ("h", 1, "z", "y", "b"), ("h", 0, None, "q", "b"), ("h", 1, "z", "z", "a")],
+        "host_id string, n_events int, last_cursor string, next_cursor string, expected_cursor string",
+    )
     got = [r.reason for r in stored.gate_batches(batches, frame(spark, [("h", "b")], schema)).collect()]
     assert sorted(map(str, got)) == ["None", "checkpoint_changed", "checkpoint_not_last_event", "empty_batch_moves_checkpoint"]

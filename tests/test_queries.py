@@ -6,7 +6,18 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["service_lifecycle", "process_lifecycle", "incident_candidates", "evidence_rows", "diagnose", "reconcile_upsert", "cycle_summary", "network_rates", "ingest_journal", "stream_journal"]
+SOME = [
+    "service_lifecycle",
+    "process_lifecycle",
+    "incident_candidates",
+    "evidence_rows",
+    "diagnose",
+    "reconcile_upsert",
+    "cycle_summary",
+    "network_rates",
+    "ingest_journal",
+    "stream_journal",
+]
 
 
 def plain(x):
@@ -31,9 +42,15 @@ def test_service_states_stream(spark, tmp_path):
 
     up, down, bad = '["loaded","active","x",true]', '["loaded","failed","x",true]', '["loaded","two words","x",false]'
     rows = [
-        ("h", 1, "success", f'{{"a":{up},"b":{up}}}'), ("h", 2, "success", f'{{"a":{down},"c":{up}}}'), ("h", 3, "transient_failure", f'{{"a":{up}}}'), ("h", 4, "success", f'{{"a":{up}}}'),
-        ("h", 5, "partial", f'{{"a":{down},"d":{up}}}'), ("h", 6, "success", f'{{"a":{bad}}}'), ("g", 5, "success", f'{{"a":{up}}}'), ("g", 7, "success", f'{{"a":{up}}}'),
-    ]
+        ("h", 1, "success", f'{{"a":{up},"b":{up}}}'),
+        ("h", 2, "success", f'{{"a":{down},"c":{up}}}'),
+        ("h", 3, "transient_failure", f'{{"a":{up}}}'),
+        ("h", 4, "success", f'{{"a":{up}}}'),
+        ("h", 5, "partial", f'{{"a":{down},"d":{up}}}'),
+        ("h", 6, "success", f'{{"a":{bad}}}'),
+        ("g", 5, "success", f'{{"a":{up}}}'),
+        ("g", 7, "success", f'{{"a":{up}}}'),
+    ]
     schema = "host_id string, snapshot_id long, status string, services string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
@@ -69,13 +86,27 @@ def test_fleet_cycles(spark, tmp_path):
         stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(source)
         streams.FleetCycles(spark, path, links, 6 * 3600).go(stream, batches=1)
         (one,) = fleet.incidents().collect()
-        seen.append((one.incident_id, one.state, one.last_observed_at, one.resolved_at, sorted(r.evidence_id for r in fleet.evidence().collect() if r.kind == "journal_event")))
+        seen.append(
+            (
+                one.incident_id,
+                one.state,
+                one.last_observed_at,
+                one.resolved_at,
+                sorted(r.evidence_id for r in fleet.evidence().collect() if r.kind == "journal_event"),
+            )
+        )
     assert len({s[0] for s in seen}) == 1
-    assert [s[1:] for s in seen] == [("active", at(2), None, ["journal:c1"]), ("active", late[1], None, ["journal:c1", "journal:c2"]), ("resolved", at(4), at(4), ["journal:c1", "journal:c2"])]
+    assert [s[1:] for s in seen] == [
+        ("active", at(2), None, ["journal:c1"]),
+        ("active", late[1], None, ["journal:c1", "journal:c2"]),
+        ("resolved", at(4), at(4), ["journal:c1", "journal:c2"]),
+    ]
     again = spark.read.schema(streams.CAPTURE).parquet(source).where("snapshot_id = 4")
     fleet.run(again, 2)  # a replayed batch writes the same
     assert [r.resolved_at for r in fleet.incidents().collect()] == [at(4)]
-    assert sorted((r.snapshot_id, r.events_processed, len(r.candidate_ids), len(r.resolved_ids)) for r in fleet.cycles().collect()) == [(1, 0, 0, 0), (2, 2, 1, 0), (3, 2, 0, 0), (4, 0, 0, 1)]
+    assert sorted((r.snapshot_id, r.events_processed, len(r.candidate_ids), len(r.resolved_ids)) for r in fleet.cycles().collect()) == [
+        (1, 0, 0, 0), (2, 2, 1, 0), (3, 2, 0, 0), (4, 0, 0, 1)
+    ]
 
 
 def test_every_query_has_a_unique_name():
