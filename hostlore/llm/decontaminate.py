@@ -222,7 +222,13 @@ def searcher(shared, into: str, keep: int, first: bool, last: bool, shard_bytes:
     def verdict(lists: list[list[bytes]], spans: list[list[int]], found: list[list[str]]) -> list[pa.Array]:
         hit, size = [sum(x[1::2]) - sum(x[::2]) for x in spans], [len(x) for x in lists]
         digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
-        return [pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digest), pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, size, strict=True)])]
+        return [
+            pa.array(size, pa.int64()),
+            pa.array(hit, pa.int64()),
+            pa.array([len(x) for x in found], pa.int64()),
+            pa.array(digest),
+            pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, size, strict=True)]),
+        ]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -282,7 +288,9 @@ def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], into: str,
     return now
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): its contaminated spans of words, the items met, and the verdict.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A phrase is ``window``

@@ -250,7 +250,7 @@ def measure_fields(vocabularies: int) -> list[str]:
 def measured(docs: DataFrame, keep: list[str], into: str, vocabularies: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and a struct ``into``: counts, base verdict, script, size class, measures."""
     fields = measure_fields(len(vocabularies))
-    kind = f"struct<{', '.join(f'{c}: long' for c in COUNTS)}, base_failed: boolean, script: string, size_class: int, {', '.join(f'{m}: double' for m in fields)}>"
+    kind = f"struct<{', '.join(f'{c}: long' for c in COUNTS)}, base_failed: boolean, script: string, size_class: int, " f"{', '.join(f'{m}: double' for m in fields)}>"
     schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(f"`{into}` {kind}").fields])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +267,19 @@ def measured(docs: DataFrame, keep: list[str], into: str, vocabularies: list[str
                     spelled = [s.spell(ids) for s in speller.spellings]
                     size_class = min(max(int(spelled[0].size).bit_length() - 1, SIZE_CLASSES[0]), SIZE_CLASSES[1])
                     found = [x for s, tokens in zip(speller.spellings, spelled, strict=True) for x in measures(tokens, s.vocabulary.is_byte, word_chars)]
-                    out.append((ids.size, word_chars, len(t) - len(t.translate(None, SYMBOLS)), repeated_lines(t), repeats, failed, script_of(t), size_class, *found))
+                    out.append(
+                        (
+                            ids.size,
+                            word_chars,
+                            len(t) - len(t.translate(None, SYMBOLS)),
+                            repeated_lines(t),
+                            repeats,
+                            failed,
+                            script_of(t),
+                            size_class,
+                            *found,
+                        )
+                    )
             if out:
                 columns = [pa.array(c, pa.int32()) if i == 7 else pa.array(c) for i, c in enumerate(zip(*out, strict=True))]
                 struct = pa.StructArray.from_arrays(columns, names=[*COUNTS, "base_failed", "script", "size_class", *fields])
@@ -294,9 +306,15 @@ def group_bands(rows: DataFrame, into: str, fields: list[str]) -> DataFrame:
 
     At most one row for each script and size class, whatever the corpus.
     """
-    grid = rows.where(f"not `{into}`.base_failed").select(f"{into}.script", f"{into}.size_class", *(F.round(F.col(f"{into}.{m}") * GRID).cast("int").alias(m) for m in fields))
-    each = grid.distinct().unpivot(["script", "size_class"], fields, "measure", "cell").groupBy("script", "size_class", "measure", "cell").agg(F.count("*").alias("n"))
-    cut = each.groupBy("script", "size_class", "measure").agg(F.expr("percentile(cell, array(0.25D, 0.5D, 0.75D), n)").alias("q"), F.sum("n").alias("documents")).where(F.col("documents") >= LEAST_DOCUMENTS)
+    grid = rows.where(f"not `{into}`.base_failed").select(
+        f"{into}.script", f"{into}.size_class", *(F.round(F.col(f"{into}.{m}") * GRID).cast("int").alias(m) for m in fields)
+    )
+    each = grid.distinct().unpivot(
+        ["script", "size_class"], fields, "measure", "cell"
+    ).groupBy("script", "size_class", "measure", "cell").agg(F.count("*").alias("n"))
+    cut = each.groupBy("script", "size_class", "measure").agg(
+        F.expr("percentile(cell, array(0.25D, 0.5D, 0.75D), n)").alias("q"), F.sum("n").alias("documents")
+    ).where(F.col("documents") >= LEAST_DOCUMENTS)
     reach = REACH * F.greatest(F.col("q")[2] - F.col("q")[0], LEAST_RANGE * F.col("q")[1])
     bounds = F.struct(((F.col("q")[0] - reach) / GRID).alias("lo"), ((F.col("q")[2] + reach) / GRID).alias("hi"))
     return cut.groupBy("script", "size_class").agg(F.map_from_entries(F.collect_list(F.struct("measure", bounds))).alias("bands"))
@@ -310,9 +328,15 @@ def judged(rows: DataFrame, into: str, vocabularies: int, bands: dict[str, Band]
     def fixed(pick: Callable[[Band], float]) -> Column:
         return reduce(lambda c, name: c.when(script == name, pick(given[name])), given, F.when(F.lit(False), 0.0)).otherwise(pick(given["other"]))
 
-    plain = {"chars_per_token": (fixed(lambda b: b.min_chars), fixed(lambda b: b.max_chars)), "fallback_share": (F.lit(0.0), fixed(lambda b: b.max_fallback)), "token_entropy": (fixed(lambda b: b.min_entropy), fixed(lambda b: b.max_entropy))}
+    plain = {
+        "chars_per_token": (fixed(lambda b: b.min_chars), fixed(lambda b: b.max_chars)),
+        "fallback_share": (F.lit(0.0), fixed(lambda b: b.max_fallback)),
+        "token_entropy": (fixed(lambda b: b.min_entropy), fixed(lambda b: b.max_entropy)),
+    }
     named = free_name(rows, "bands")
-    limits = group_bands(rows, into, fields).where(~F.col("script").isin(list(bands or {}))).select(F.col("script").alias(f"{named}_s"), F.col("size_class").alias(f"{named}_c"), F.col("bands").alias(named))
+    limits = group_bands(rows, into, fields).where(~F.col("script").isin(list(bands or {}))).select(
+        F.col("script").alias(f"{named}_s"), F.col("size_class").alias(f"{named}_c"), F.col("bands").alias(named)
+    )
     verdict = F.when(F.col(f"{into}.base_failed"), "base")
     for m in fields:
         value, own, (lo, hi) = F.col(f"{into}.{m}"), F.col(named)[m], plain[re.sub(r"_\d$", "", m)]
@@ -321,7 +345,10 @@ def judged(rows: DataFrame, into: str, vocabularies: int, bands: dict[str, Band]
         verdict = verdict.when(~value.between(lo, hi), m)
     out = rows.join(F.broadcast(limits), (script == F.col(f"{named}_s")) & (F.col(f"{into}.size_class") == F.col(f"{named}_c")), "left")
     rejected = verdict.otherwise(none)
-    return out.select(*(F.col(c) for c in rows.columns if c != into), F.col(into).withField("rejected_by", rejected).withField("kept", rejected.isNull()).alias(into))
+    return out.select(
+        *(F.col(c) for c in rows.columns if c != into),
+        F.col(into).withField("rejected_by", rejected).withField("kept", rejected.isNull()).alias(into),
+    )
 
 
 def paths(vocabularies: list[str] | None) -> list[str]:

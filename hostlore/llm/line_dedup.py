@@ -103,10 +103,15 @@ def cut_lines(docs: DataFrame, into: str, keepers: dict[bytes, int], min_chars:
                 kept.append(b"\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
-            struct = pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["kept_text", "n_lines", "n_dropped"])
+            struct = pa.StructArray.from_arrays(
+                [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                names=["kept_text", "n_lines", "n_dropped"],
+            )
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], names=names)
 
-    return docs.withColumn(own, F.col("doc_id").cast("long")).mapInArrow(cut, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{into}` struct<{LINES}>").fields]))
+    return docs.withColumn(own, F.col("doc_id").cast("long")).mapInArrow(
+        cut, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{into}` struct<{LINES}>").fields])
+    )
 
 
 def line_key(line: Column) -> Column:
@@ -125,7 +130,11 @@ def without_repeated_lines(docs: DataFrame, into: str, min_chars: int = MIN_CHAR
     lost = lost_lines(suspects, repeated).select(F.col("doc_id").alias(ids), F.col("keys").alias(keys))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), line_key(x))))
-    struct = F.struct(F.array_join(kept, "\n").alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"))
+    struct = F.struct(
+        F.array_join(kept, "\n").alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+    )
     return docs.join(lost, F.col("doc_id").cast("long") == F.col(ids), "left").select(*docs.columns, struct.alias(into))
 
 

@@ -102,7 +102,13 @@ def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 full = [s.size > 0 for s in sets]
                 bands, low = iter(band_keys(rows)), iter((rows & np.uint64(255)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets], pa.binary()), pa.array([next(low).tobytes() if f else None for f in full], pa.binary()), pa.array([next(bands) if f else None for f in full], pa.list_(pa.int64()))],
+                    [
+                        part.column(0),
+                        pa.array([s.size for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets], pa.binary()),
+                        pa.array([next(low).tobytes() if f else None for f in full], pa.binary()),
+                        pa.array([next(bands) if f else None for f in full], pa.list_(pa.int64())),
+                    ],
                     names=["doc_id", "n_shingles", "print", "sketch", "bands"],
                 )
 
@@ -174,7 +180,9 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
                 other += found
                 more += [best.size > partners] * len(found)
         place = [pa.array([rows.column(k)[0].as_py()] * len(ask), rows.schema.field(k).type) for k in TILE]
-        return pa.RecordBatch.from_arrays([*place, pa.array(ask, pa.int64()), pa.array(other, pa.int64()), pa.array(more, pa.bool_())], names=[*TILE, "ask", "other", "more"])
+        return pa.RecordBatch.from_arrays(
+            [*place, pa.array(ask, pa.int64()), pa.array(other, pa.int64()), pa.array(more, pa.bool_())], names=[*TILE, "ask", "other", "more"]
+        )
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(tile, by_tile(batches))
@@ -250,7 +258,9 @@ def tile_links(asking: DataFrame, live: DataFrame, sets: DataFrame, percent: int
                 apart = labels[u] != labels[v]
                 u, v = u[apart], v[apart]
                 keep = joining(labels[u], labels[v]) if u.size else u
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[u[keep]], ids[v[keep]])), pa.array(np.minimum(ids[u[keep]], ids[v[keep]]))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.maximum(ids[u[keep]], ids[v[keep]])), pa.array(np.minimum(ids[u[keep]], ids[v[keep]]))], names=["a", "b"]
+                )
 
     place = live.select("band", "doc_id", "label", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     targets = place.join(asking.select(*TILE).distinct(), ["band", "block"]).withColumn("asks", F.lit(False))
@@ -265,7 +275,10 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in byte_list(batch.column(1))], pa.binary())], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in byte_list(batch.column(1))], pa.binary())],
+                names=["doc_id", "items"],
+            )
 
     return texts.select("doc_id", "text").mapInArrow(cut, "doc_id long, items binary")
 
@@ -293,8 +306,18 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of an edge (a, b) reaches. A written table."""
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("id")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("id"))).where("u <> id"), "edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.min("id").alias("m"), F.count("*").alias("n")).select("id", "n", F.least("id", "m").alias("label")), "labels")
+    both = written(
+        edges.select(F.col("a").alias("u"), F.col("b").alias("id")).unionByName(
+            edges.select(F.col("b").alias("u"), F.col("a").alias("id"))
+        ).where("u <> id"),
+        "edges",
+    )
+    labels = written(
+        both.groupBy(F.col("u").alias("id")).agg(F.min("id").alias("m"), F.count("*").alias("n")).select(
+            "id", "n", F.least("id", "m").alias("label")
+        ),
+        "labels",
+    )
     while True:
         near = join_weighted(both, labels, "id", "n").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("m"))
         now = written(labels.join(near, "id").select("id", "n", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")), "labels")
@@ -302,7 +325,12 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("id", "label")
         labels = now.drop("moved")
         roots = labels.groupBy(F.col("label").alias("root")).agg(F.count("*").alias("k"))
-        steps = written(roots.join(labels.select(F.col("id").alias("root"), F.col("label").alias("up")), "root").where("up < root").select(F.col("root").alias("label"), "up", "k"), "jumps")
+        steps = written(
+            roots.join(labels.select(F.col("id").alias("root"), F.col("label").alias("up")), "root").where("up < root").select(
+                F.col("root").alias("label"), "up", "k"
+            ),
+            "jumps",
+        )
         if steps.limit(1).count():
             jumped = join_weighted(labels, steps, "label", "k").select("id", F.col("up"))
             labels = written(labels.join(jumped, "id", "left").select("id", "n", F.coalesce("up", "label").alias("label")), "labels")
@@ -319,7 +347,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sketched = written(sketch_documents(docs, size), "sketches")
     known = sketched.where("doc_id is not null and print is not null")
     groups = written(known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
-    copies = written(join_weighted(known.select("doc_id", "print"), groups, "print", "n").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copy-links")
+    copies = written(
+        join_weighted(known.select("doc_id", "print"), groups, "print", "n").where("doc_id <> rep").select(
+            F.col("doc_id").alias("a"), F.col("rep").alias("b")
+        ),
+        "copy-links",
+    )
     first = known.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
 
     rows = first.dropDuplicates(["doc_id", "print"]).select("doc_id", "n_shingles", F.posexplode("bands").alias("nth", "band"))
@@ -331,11 +364,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     def labelled(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components: (band, nth, doc_id, label, asks, blocks)."""
-        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select("band", "nth", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
+        of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
+            "band", "nth", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label")
+        )
         blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-        mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), blocks.alias("blocks")).where("low < high")
+        mixed = of.groupBy("band").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), blocks.alias("blocks")
+        ).where("low < high")
         mixed = written(mixed.select("band", "low", "n", "blocks"), "mixed")
-        return written(join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), "blocks"), "live")
+        return written(
+            join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), "blocks"),
+            "live",
+        )
 
     pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = written(agreeing(pairs, known, percent), "pairs")
@@ -355,7 +395,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         sets = written(whole_sets(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
         labels = components(links.unionByName(written(tile_links(outside, now, sets, percent), "links")))
     out = sketched.select("doc_id", "n_shingles").join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    )
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,10 @@ def fit_network(docs: DataFrame, labels: DataFrame, vectors, label: str = "quali
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_groups(batches, 0):
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array([r.tobytes() for r in pooled(texts, vectors.value)], pa.binary())], names=["y", "part", "doc_id", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1), part.column(2), part.column(3), pa.array([r.tobytes() for r in pooled(texts, vectors.value)], pa.binary())],
+                names=["y", "part", "doc_id", "x"],
+            )
 
     rows = labelled_sample(docs, labels, label, limit).mapInArrow(pool, "y double, part long, doc_id long, x binary").collect()
     if not rows:

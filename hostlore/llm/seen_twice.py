@@ -110,7 +110,11 @@ def send_hashes(hashes_of: Callable[[bytes], np.ndarray], segments: int, group_b
         order = np.argsort(segment, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(segment[order])) + 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array([int(segment[p[0]]) for p in parts], pa.int32()), pa.array([packed(each[p]) for p in parts], pa.binary()), pa.array([packed(count[p].astype("<u4")) for p in parts], pa.binary())],
+            [
+                pa.array([int(segment[p[0]]) for p in parts], pa.int32()),
+                pa.array([packed(each[p]) for p in parts], pa.binary()),
+                pa.array([packed(count[p].astype("<u4")) for p in parts], pa.binary()),
+            ],
             names=["segment", "hashes", "counts"],
         )
 
@@ -146,7 +150,15 @@ def look_twice(bits: int, often: int):
     def ended(segment: int, found: list[np.ndarray], many: list[np.ndarray]) -> pa.RecordBatch:
         twice, counts = np.unique(np.concatenate(found)), summed([np.zeros(0, OFTEN), *many])
         frequent = counts["hash"][counts["n"] >= often]
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([twice.size], pa.int64()), pa.array([packed(twice)], pa.binary()), pa.array([packed(frequent)], pa.binary())], names=["segment", "n", "twice", "often"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([segment], pa.int32()),
+                pa.array([twice.size], pa.int64()),
+                pa.array([packed(twice)], pa.binary()),
+                pa.array([packed(frequent)], pa.binary()),
+            ],
+            names=["segment", "n", "twice", "often"],
+        )
 
     return look
 
@@ -160,7 +172,9 @@ def twice_seen(docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], expect
     segments = max(LEAST_SEGMENTS, -(-expected // SEGMENT_HASHES))
     bits = power(BITS_EACH * expected / segments)
     sent = docs.select("text").mapInArrow(send_hashes(hashes_of, segments, GROUP_BYTES), "segment int, hashes binary, counts binary")
-    looked = sent.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(look_twice(bits, often), "segment int, n long, twice binary, often binary")
+    looked = sent.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(
+        look_twice(bits, often), "segment int, n long, twice binary, often binary"
+    )
     looked = written(looked, "twice-seen")
     most = looked.agg(F.max("n")).first()[0] or 0
     width = max(64, min(power(BITS_EACH * most), power(MAX_BITS // segments + 1) // 2))
@@ -170,7 +184,10 @@ def twice_seen(docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], expect
             for segment, twice, frequent in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), byte_list(batch.column(2)), strict=True):
                 bitmap = np.zeros(width // 8, np.uint8)
                 put(bitmap, places(unpacked(twice, "<u8"), width))
-                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed(bitmap)], pa.binary()), pa.array([frequent], pa.binary())], names=["segment", "bitmap", "often"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([segment], pa.int32()), pa.array([packed(bitmap)], pa.binary()), pa.array([frequent], pa.binary())],
+                    names=["segment", "bitmap", "often"],
+                )
 
     out, many = np.zeros((segments, width // 8), np.uint8), [np.zeros(0, "<u8")]
     for segment, bitmap, frequent in looked.select("segment", "twice", "often").mapInArrow(slices, "segment int, bitmap binary, often binary").collect():

@@ -112,7 +112,9 @@ def span_rows(spans: np.ndarray, groups: int) -> list[tuple[int, bytes, bytes]]:
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "body", "meta"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "body", "meta"]
+    )
 
 
 def settle(bodies: list[bytes], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,7 +315,11 @@ def settle_bucket(groups: int):
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                     for j in once[bodies[i]]:
                         part = np.zeros(edge.size // 2, SPAN)
-                        part["doc"], part["row"], part["lo"], part["hi"] = meta["doc"][j], meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
+                        part[
+                            "doc"
+                        ], part[
+                            "row"
+                        ], part["lo"], part["hi"] = meta["doc"][j], meta["row"][j], meta["at"][j] + edge[::2], meta["at"][j] + edge[1::2] - 1 + LENGTH
                         found.append(part)
         return pa.Table.from_batches([as_batch(span_rows(np.concatenate(found), groups))])
 
@@ -328,8 +334,16 @@ def cut_group(docs: pa.Table, spans: pa.Table) -> pa.Table:
     own = np.concatenate([unpacked(x, SPAN) for x in spans.column("meta").to_pylist()] or [np.empty(0, SPAN)])
     own = own[np.lexsort((own["lo"], own["row"], own["doc"]))]
     out = []
-    new = np.flatnonzero(np.concatenate([[True], (own["row"][1:] != own["row"][:-1]) | (own["doc"][1:] != own["doc"][:-1])])) if own.size else np.empty(0, np.int64)
-    ranges = dict(zip(zip(own["doc"][new].tolist(), own["row"][new].tolist(), strict=True), zip(new.tolist(), np.append(new[1:], own.size)[: new.size].tolist(), strict=True), strict=True))
+    new = np.flatnonzero(
+        np.concatenate([[True], (own["row"][1:] != own["row"][:-1]) | (own["doc"][1:] != own["doc"][:-1])])
+    ) if own.size else np.empty(0, np.int64)
+    ranges = dict(
+        zip(
+            zip(own["doc"][new].tolist(), own["row"][new].tolist(), strict=True),
+            zip(new.tolist(), np.append(new[1:], own.size)[: new.size].tolist(), strict=True),
+            strict=True,
+        )
+    )
     for doc_id, row, text in zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), byte_list(docs.column("text")), strict=True):
         text = text or b""
         a, b = ranges.get((doc_id, row), (0, 0))
@@ -343,7 +357,10 @@ def cut_group(docs: pa.Table, spans: pa.Table) -> pa.Table:
         kept.append(text[at:])
         out.append((doc_id, len(text), removed, n_spans, b"".join(kept)))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    return pa.Table.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+    )
 
 
 def dedup_strings(docs: DataFrame) -> DataFrame:

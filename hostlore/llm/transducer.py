@@ -297,7 +297,9 @@ class Merger:
                 self.last[to] = token
             self.table[state, self.classes[symbol]] = to << 8 | (change + 128)
 
-    def lockstep(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entered: np.ndarray, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def lockstep(
+        self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entered: np.ndarray, tokens: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The state in which each chunk is left and the tokens counted in it; ``tokens`` gets the last one at every symbol."""
         order = np.argsort(-lengths, kind="stable")
         start, size = starts[order], lengths[order]

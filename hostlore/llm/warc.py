@@ -41,7 +41,12 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record; a revisit has no payload but tells its digest and length."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
+    ]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
@@ -157,7 +162,14 @@ def write_archives(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = Bundle(frame_bytes)
         for batch in batches:
-            for page_id, digest, url, payload, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), byte_list(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+            for page_id, digest, url, payload, refers_to in zip(
+                batch.column(0).to_pylist(),
+                batch.column(1).to_pylist(),
+                batch.column(2).to_pylist(),
+                byte_list(batch.column(3)),
+                batch.column(4).to_pylist(),
+                strict=True,
+            ):
                 bundle.add(f"<urn:page:{'' if page_id is None else page_id}>", record(page_id, url, payload, digest, refers_to, date))
                 if bundle.total >= bundle_bytes:
                     yield packed(bundle)
@@ -168,8 +180,16 @@ def write_archives(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES,
     def packed(bundle: Bundle) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bundle.finish()[: -len(END.encode())]], pa.binary())], names=["bundle"])
 
-    rows = with_decisions(pages).select(F.col("page_id").cast("long").alias("page_id"), "digest", F.col("url").cast("string").alias("url"), "payload", F.col("refers_to").cast("long").alias("refers_to"))
-    rows.mapInArrow(write, "bundle binary").select(F.col("bundle").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
+    rows = with_decisions(pages).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "digest",
+        F.col("url").cast("string").alias("url"),
+        "payload",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+    rows.mapInArrow(write, "bundle binary").select(
+        F.col("bundle").cast("string").alias("value")
+    ).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -186,10 +206,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         size = int(fields["WARC-Payload-Length"])
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{fields['WARC-Record-ID']}: payload and digest differ")
-                    rows.append((page_of(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), name, frame, offset, length))
+                    rows.append(
+                        (
+                            page_of(fields["WARC-Record-ID"]),
+                            size,
+                            digest,
+                            fields["WARC-Type"],
+                            page_of(fields.get("WARC-Refers-To")),
+                            name,
+                            frame,
+                            offset,
+                            length,
+                        )
+                    )
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[f"c{i}" for i in range(9)])
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame long, frame_offset long, record_bytes long"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame " "long, frame_offset long, record_bytes long"
     return bundles(spark, path).mapInArrow(read, schema)
 
 
@@ -210,13 +242,18 @@ def fetch_records(spark: SparkSession, path: str, wanted: DataFrame) -> DataFram
             for data, own in zip(byte_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 bundle = Reader(data)
                 found = [parsed(bundle.record(s["frame"], s["frame_offset"], s["record_bytes"])) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array([page_of(f["WARC-Record-ID"]) for f, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["page_id", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([page_of(f["WARC-Record-ID"]) for f, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())],
+                    names=["page_id", "payload"],
+                )
 
     spots = written(spots, "record-spots")
     paths = [r.path for r in spots.select("path").limit(MOST_PATHS + 1).collect()]
     if not paths:
         return spark.createDataFrame([], "page_id long, payload binary")
-    return bundles(spark, path if len(paths) > MOST_PATHS else paths).join(spots, "path").select("content", "spots").mapInArrow(fetch, "page_id long, payload binary")
+    return bundles(spark, path if len(paths) > MOST_PATHS else paths).join(spots, "path").select("content", "spots").mapInArrow(
+        fetch, "page_id long, payload binary"
+    )
 
 
 def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

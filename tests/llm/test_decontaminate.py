@@ -37,10 +37,29 @@ def brute(docs, items, window):
 @pytest.fixture(scope="module")
 def case():
     rng = random.Random(2)
-    items = [("b", " ".join(rng.choices(VOCAB, k=30))), ("a", " ".join(rng.choices(VOCAB, k=13))), ("c", "w1 w2"), ("d", None), ("e", "..."), (None, "w3 w4"), ("f", "alone"), ("g", "w1 w2")]
+    items = [
+        ("b", " ".join(rng.choices(VOCAB, k=30))),
+        ("a", " ".join(rng.choices(VOCAB, k=13))),
+        ("c", "w1 w2"),
+        ("d", None),
+        ("e", "..."),
+        (None, "w3 w4"),
+        ("f", "alone"),
+        ("g", "w1 w2"),
+    ]
     items += [(f"h{i}", " ".join(rng.choices(VOCAB, k=rng.randint(1, 40)))) for i in range(20)]
     items += [("b", " ".join(rng.choices(VOCAB, k=20)))]  # repeats an id
-    docs = [(1, None), (2, ""), (3, "..., !"), (4, "ALONE!"), (5, items[0][1].upper()), (6, items[0][1].upper()), (None, items[1][1]), (7, "w1"), (8, "w1, W2; w1 w2 w1")]
+    docs = [
+        (1, None),
+        (2, ""),
+        (3, "..., !"),
+        (4, "ALONE!"),
+        (5, items[0][1].upper()),
+        (6, items[0][1].upper()),
+        (None, items[1][1]),
+        (7, "w1"),
+        (8, "w1, W2; w1 w2 w1"),
+    ]
     for i in range(60):
         own = rng.choices(VOCAB, k=rng.randint(0, 120))
         if i % 3 == 0:

@@ -28,7 +28,20 @@ def brute(text):
 
 
 def test_rules(spark):
-    texts = [None, "", "one", "a\x1cb\x85c d", f"{LINE}\n" * 2, f"{LINE} " * 40, "日本語 " * 30, f"{LINE} {LINE[::-1]} $$$ ### <b>", "\n \n \n\t\n", "ж" * 5000, f"{LINE}. Ñandú écoute. " + " ".join(LINE[i % 30 : i % 30 + 9].replace(" ", "e") for i in range(25)), *[f"{LINE} and something else that is not the same {i}" for i in (1, 1)]]
+    texts = [
+        None,
+        "",
+        "one",
+        "a\x1cb\x85c d",
+        f"{LINE}\n" * 2,
+        f"{LINE} " * 40,
+        "日本語 " * 30,
+        f"{LINE} {LINE[::-1]} $$$ ### <b>",
+        "\n \n \n\t\n",
+        "ж" * 5000,
+        f"{LINE}. Ñandú écoute. " + " ".join(LINE[i % 30 : i % 30 + 9].replace(" ", "e") for i in range(25)),
+        *[f"{LINE} and something else that is not the same {i}" for i in (1, 1)],
+    ]
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string")
     out = {r.doc_id: r for r in fertility.apply_rules(rows).collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -78,7 +91,10 @@ def test_bands_reject_what_the_base_rules_do_not(spark):
 def test_keep_good_judges_rows_not_ids(spark):
     """Null and repeated doc_ids, repeated rows and odd column names: each row goes or stays by its own text."""
     text = " ".join(WORDS[:60])
-    rows = spark.createDataFrame([(None, text, 1), (None, "two words", 2), (7, text, 3), (7, "short", 4), (8, None, 5), (9, text, 6), (9, text, 6)], "doc_id long, text string, rules int")
+    rows = spark.createDataFrame(
+        [(None, text, 1), (None, "two words", 2), (7, text, 3), (7, "short", 4), (8, None, 5), (9, text, 6), (9, text, 6)],
+        "doc_id long, text string, rules int",
+    )
     assert sorted(r.rules for r in fertility.keep_good(rows).collect()) == [1, 3, 6, 6]
     assert fertility.keep_good(rows.limit(0)).columns == rows.columns
 

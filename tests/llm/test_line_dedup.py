@@ -34,7 +34,18 @@ def rows():
     pool = [f"line {i} with enough words to count as long {'é' * (i % 3)}" for i in range(12)]
     texts = [None, "", "\n", "\n\n", pool[0], pool[0].upper(), f"  {pool[0]}\t\r", "x" * 9, "日" * 20, "日" * 39 + "\n" + "日" * 40]
     for _ in range(60):
-        lines = [rng.choice([rng.choice(pool), f"\t{rng.choice(pool).upper()} \x0b", "short", "", f"own line {rng.random()} that nobody else has at all", "日" * 40]) for _ in range(rng.randint(1, 9))]
+        lines = [
+            rng.choice(
+                [
+                    rng.choice(pool),
+                    f"\t{rng.choice(pool).upper()} \x0b",
+                    "short",
+                    "",
+                    f"own line {rng.random()} that nobody else has at all",
+                    "日" * 40,
+                ]
+            ) for _ in range(rng.randint(1, 9))
+        ]
         texts.append("\n".join(lines))
     texts.append("\n".join(f"{pool[i % 12]}" for i in range(30_000)))
     ids = list(range(len(texts)))

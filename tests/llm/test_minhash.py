@@ -90,7 +90,10 @@ def test_low_bytes_do_not_hide_a_pair(spark):
     full[0, 8:] = rng.integers(0, 2**63, minhash.COORDINATES - 8).astype(np.uint64)
     bands, low = minhash.band_keys(full), (full & np.uint64(255)).astype(np.uint8)
     assert bands[1, 0] != bands[2, 0] and (low[1] == low[2]).all() and len(set(bands[:, 1])) == 1
-    known = spark.createDataFrame([(i + 1, 100, bytearray(low[i].tobytes()), bands[i].tolist()) for i in range(3)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
+    known = spark.createDataFrame(
+        [(i + 1, 100, bytearray(low[i].tobytes()), bands[i].tolist()) for i in range(3)],
+        "doc_id long, n_shingles long, sketch binary, bands array<long>",
+    )
     live = [(int(b), nth, i + 1, i + 1, i > 0, 1) for i in range(3) for nth, b in enumerate(bands[i].tolist()) if nth == 1]
     live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, blocks int")
     assert {(max(r.ask, r.other), min(r.ask, r.other)) for r in minhash.proposals(live, known, 80, 8).collect()} == {(3, 2)}

@@ -47,7 +47,10 @@ def test_odd_rows_and_names(spark):
     good = cp.quality_rules(spark, docs, SF).first().text
     rows = [(None, good), (None, "two words"), (None, None), (10**9, good), (10**9, "short"), (10**9 + 1, good), (10**9 + 1, good)]
     names = ["rules", "bands", "lines", "found", "body", "kept_text", "n_lines", "n_dropped", "kept", "component_id"]
-    odd = spark.createDataFrame([(i, t, "en", "x", len(t or ""), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int, k int")
+    odd = spark.createDataFrame(
+        [(i, t, "en", "x", len(t or ""), k) for k, (i, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars int, k int",
+    )
     both = docs.selectExpr("*", "-1 k").unionByName(odd)
     both = both.selectExpr("*", *(f"'{n}' as {n}" for n in names))
     left = [set(range(7)), {0, 3, 5, 6}, {0, 3, 5, 6}, {0}, {0}]

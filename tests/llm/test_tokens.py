@@ -11,7 +11,36 @@ from tokenizers import Tokenizer
 
 from hostlore.llm import packing, token_counts, transducer
 
-ODD = ["'s", "''s", "x'll", "x'lx", "a  b", " 's", "  's", "\n's", "\n\n's", "don't'", "'re're", "'r e'", "'", "'l", "'r", "'r\n", "   ", "a   ", "a \n", "Σας ΣΑΣ", "é é", "<|endoftext|> x", "12345 a1b2", "İx", "　日本語 テスト", "\x1c\x85\xa0x", "", "aaaa" * 50]
+ODD = [
+    "'s",
+    "''s",
+    "x'll",
+    "x'lx",
+    "a  b",
+    " 's",
+    "  's",
+    "\n's",
+    "\n\n's",
+    "don't'",
+    "'re're",
+    "'r e'",
+    "'",
+    "'l",
+    "'r",
+    "'r\n",
+    "   ",
+    "a   ",
+    "a \n",
+    "Σας ΣΑΣ",
+    "é é",
+    "<|endoftext|> x",
+    "12345 a1b2",
+    "İx",
+    "　日本語 テスト",
+    "\x1c\x85\xa0x",
+    "",
+    "aaaa" * 50,
+]
 
 
 def mixed(n: int) -> list[str]:
@@ -54,13 +83,36 @@ def test_table_starts_anew(monkeypatch):
 def all_unicode(n: int) -> list[str]:
     """Texts over all planes, in runs of one script, with what joins and cuts pieces between."""
     rng = random.Random(9)
-    ranges = [(0x400, 0x530), (0x370, 0x400), (0x590, 0x700), (0x900, 0xA00), (0xE00, 0xE80), (0x300, 0x370), (0x2000, 0x2070), (0x2010, 0x2030), (0x3000, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4), (0xFF00, 0xFFEF), (0x1F300, 0x1F700), (0x1D400, 0x1D800), (0x10400, 0x10450), (0x20000, 0x20100), (0x660, 0x66A), (0xE000, 0xE010), (0x250, 0xD800), (0xE000, 0x110000)]
+    ranges = [
+        (0x400, 0x530),
+        (0x370, 0x400),
+        (0x590, 0x700),
+        (0x900, 0xA00),
+        (0xE00, 0xE80),
+        (0x300, 0x370),
+        (0x2000, 0x2070),
+        (0x2010, 0x2030),
+        (0x3000, 0x3100),
+        (0x4E00, 0x9FFF),
+        (0xAC00, 0xD7A4),
+        (0xFF00, 0xFFEF),
+        (0x1F300, 0x1F700),
+        (0x1D400, 0x1D800),
+        (0x10400, 0x10450),
+        (0x20000, 0x20100),
+        (0x660, 0x66A),
+        (0xE000, 0xE010),
+        (0x250, 0xD800),
+        (0xE000, 0x110000),
+    ]
     out = []
     for _ in range(n):
         text = ""
         for _ in range(rng.randint(1, 12)):
             lo, hi = rng.choice(ranges)
-            text += "".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(1, 6))) + rng.choice(["", " ", "  ", "'s", "\n", "a", "1", "!", "\u2019s", "\u3000"])
+            text += "".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randint(1, 6))) + rng.choice(
+                ["", " ", "  ", "'s", "\n", "a", "1", "!", "\u2019s", "\u3000"]
+            )
         out.append(text)
     return [*out, "Привет, мир — это «текст»", "日本語のテキスト。", "naïve café — “quotes” … 👩‍👩‍👧", "İstanbul ΑΣ", "e\u0301 A\u030a"]
 
@@ -88,7 +140,19 @@ def test_counting_maps_compose(monkeypatch, name, chunk):
     monkeypatch.setattr(transducer, "CHUNK", chunk)
     machine = transducer.Compiled(public_tokenizers.path(name))
     rng = random.Random(1)
-    texts = ["a" * 700, "ab" * 300, "x" * 1001 + " y", "".join(rng.choices("abcdefgh", k=900)), "internationalization" * 40, "=" * 333, "-=" * 200, "日" * 200, "é" * 333, "", "short words here"]
+    texts = [
+        "a" * 700,
+        "ab" * 300,
+        "x" * 1001 + " y",
+        "".join(rng.choices("abcdefgh", k=900)),
+        "internationalization" * 40,
+        "=" * 333,
+        "-=" * 200,
+        "日" * 200,
+        "é" * 333,
+        "",
+        "short words here",
+    ]
     want = [e.ids for e in machine.library.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in machine.ids(texts)] == want
     assert machine.counts(texts).tolist() == [len(x) for x in want]
@@ -110,13 +174,17 @@ def test_counts_query(spark):
     out = {r.doc_id: r for r in token_counts.count_tokens(frame(spark, [(i, t, "x", 1) for i, t in enumerate(texts)])).collect()}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in enumerate(texts):
-        assert (out[i].n_bytes, out[i].n_tokens, out[i].over_limit) == (len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024)
+        assert (out[i].n_bytes, out[i].n_tokens, out[i].over_limit) == (
+            len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 1024
+        )
     assert token_counts.count_tokens(frame(spark, [])).count() == 0
 
 
 def test_packing_round_trip(spark):
     rng = random.Random(7)
-    texts = [" ".join(rng.choices(["the", "quick", "brown", "fox's", "1.5", "ñandú"], k=rng.choice([0, 1, 5, 90, 700, 6000]))) for _ in range(120)] + [None, "", "same", "same"]
+    texts = [
+        " ".join(rng.choices(["the", "quick", "brown", "fox's", "1.5", "ñandú"], k=rng.choice([0, 1, 5, 90, 700, 6000]))) for _ in range(120)
+    ] + [None, "", "same", "same"]
     rows = packing.pack_documents(frame(spark, [(i, t, "x", 1) for i, t in enumerate(texts)]).repartition(3)).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     by_doc, by_seq = defaultdict(list), defaultdict(list)

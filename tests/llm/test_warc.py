@@ -10,7 +10,19 @@ from hostlore.llm.common import shared_path
 
 def pages(spark):
     long, other = "<p>" + "é" * 100 + "</p>", "<b>" + "x" * 200
-    rows = [(5, "http://a/ b\n", long, "k"), (3, None, long, "k"), (9, "u", long, None), (9, "u", long, "k"), (1, "v", "short", "k"), (2, "v", "short", "k"), (7, "w", None, "k"), (8, "w", "", "k"), (None, "n", long, "k"), (11, "m", other * 50, "k"), (12, "m", other * 50 + "!", "k")]
+    rows = [
+        (5, "http://a/ b\n", long, "k"),
+        (3, None, long, "k"),
+        (9, "u", long, None),
+        (9, "u", long, "k"),
+        (1, "v", "short", "k"),
+        (2, "v", "short", "k"),
+        (7, "w", None, "k"),
+        (8, "w", "", "k"),
+        (None, "n", long, "k"),
+        (11, "m", other * 50, "k"),
+        (12, "m", other * 50 + "!", "k"),
+    ]
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
 
 
