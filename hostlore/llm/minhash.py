@@ -80,7 +80,7 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """Bucket keys of the bands of each sketch."""
-    parts = sketch.reshape(len(sketch), -1, rows)
+    parts = sketch.reshape(len(sketch), sketch.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1), parts.shape[:2])
     for k in range(rows):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])

@@ -117,3 +117,12 @@ def test_cache_starts_anew(monkeypatch):
         for one in s.spellings:
             assert one.spell(ids).tolist() == [t for w in words for t in one.vocabulary.encode([w.decode()])[0].tolist()]
         assert len(s.number) <= 5
+
+
+def test_very_long_and_repeated_rows(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choices(WORDS, k=200_000))
+    rows = spark.createDataFrame([(1, long), (1, long), (None, long), (2, "x" * 400_000)], "doc_id long, text string")
+    out = fertility.apply_rules(rows).collect()
+    assert len(out) == 4 and len({(r.n_words, r.kept, r.token_entropy) for r in out if r.doc_id != 2}) == 1
+    assert [r.n_words for r in out if r.doc_id == 2] == [1] and sum(r.doc_id is None for r in out) == 1

@@ -133,3 +133,15 @@ def test_proposal_groups_are_bounded(spark, monkeypatch):
     found = {(max(r.ask, r.other), min(r.ask, r.other)) for r in minhash.proposals(live, known, 80, n).collect()}
     assert found == {(a, b) for a in range(n) for b in range(a)}
     assert max(sizes) < 60
+
+
+def test_very_long_texts(spark):
+    """A text of 60,000 words, a near copy of it, and one that shares too little."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    near = [w if rng.random() > 0.03 else "other" for w in words]
+    far = [w if rng.random() > 0.2 else "another" for w in words]
+    rows = [(5, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None)]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert out == {i: want[i][1] for i in out} and out[5] == 2 and out[3] == 3

@@ -138,3 +138,13 @@ def test_edges_of_a_hot_passage_are_split(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
     assert out == brute(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of some hundred kilobytes that share a long passage, and one that repeats itself."""
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefghij \n", k=200_000))
+    rows = [(3, long), (1, "x" + long[50_000:150_000] + "y" * 500), (2, long[:1000] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
+    assert out == brute(rows)
