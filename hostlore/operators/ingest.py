@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlore.functions.scalars import MAX_MESSAGE_BYTES, MAX_PID, bounded, decode_bytes, from_epoch_micros, normalised, optional_int, redact_to, valid_service_name
+from hostlore.functions.scalars import MAX_MESSAGE_BYTES, MAX_PID, decode_bytes, from_epoch_micros, normalised, optional_int, redact_to
 from hostlore.operators.temporal import TICKS
 
 KEY = ["host_id", "snapshot_id"]

@@ -190,6 +190,27 @@ def test_parsers(spark):
     assert not ingest.parse_services(cap("a.service loaded active running\na.service loaded active running")).first().valid
 
 
+def test_empty_captures_and_pages(spark):
+    """A capture or page without rows is a success; a page without rows under a saved cursor has lost it."""
+    captures = frame(spark, [("h", 1, "a.service loaded active running x"), ("h", 2, ""), ("h", 3, "broken"), ("h", 4, "")], "host_id string, snapshot_id long, payload string")
+    failures = frame(spark, [("h", 4, "permission_denied"), ("h", 5, "vanished")], "host_id string, snapshot_id long, source_status string")
+    got = {r.snapshot_id: r.status for r in ingest.collection_status(captures, ingest.parse_services(captures), failures).collect()}
+    assert got == {1: "success", 2: "success", 3: "invalid_data", 4: "permission_denied", 5: "transient_failure"}
+    records = frame(spark, [("h", 1, 0, "a", True, True), ("h", 2, 0, "b", True, False)], "host_id string, page long, pos long, cursor string, valid boolean, warned boolean")
+    saved = frame(spark, [("h", 4, "z")], "host_id string, page long, saved string")
+    pages = frame(spark, [("h", n) for n in (1, 2, 3, 4)], "host_id string, page long")
+    got = {r.page: (r.outcome, r.accepted, r.next_cursor) for r in ingest.accept_pages(records, saved, 5, pages).collect()}
+    assert got == {1: ("partial", 1, "a"), 2: ("success", 1, "b"), 3: ("success", 0, None), 4: ("journal_cursor_invalidated", 0, "z")}
+
+
+def test_unreadable_processes(spark):
+    parsed = frame(spark, [("h", 1, 1, True), ("h", 1, 2, False), ("h", 1, 9, True), ("g", 1, 1, True)], "host_id string, snapshot_id long, pid int, valid boolean")
+    gone = frame(spark, [("h", 1, 3, "vanished"), ("h", 1, 4, "inaccessible")], "host_id string, snapshot_id long, pid int, problem string")
+    got = {r.host_id: (r.n_valid, r.warnings, r.status) for r in ingest.process_status(parsed, gone, 4).collect()}
+    said = ["process 2 returned malformed data", "process 3 disappeared during collection", "process 4 was inaccessible", "process observation limit reached (4)"]
+    assert got == {"h": (1, said, "partial"), "g": (1, [], "success")}
+
+
 def test_journal_page(spark):
     records = frame(
         spark,
