@@ -99,6 +99,25 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 <<
                 lo, held = i + 1, 0
 
 
+def terms_table(*kept: range) -> bytes:
+    """A table for ``bytes.translate``: A-Z in lower case, all ASCII outside the ranges ``kept`` a blank, other bytes as they are."""
+    keep = {b for r in kept for b in r} | set(range(128, 256))
+    return bytes((b + 32 if 65 <= b <= 90 else b) if b in keep else 32 for b in range(256))
+
+
+def term_lists(text: bytes, table: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of about ``size`` bytes, so that a very long text isn't held as words at once."""
+    lo = 0
+    while lo < len(text):
+        hi, step = lo + size, text[lo : lo + size].translate(table)
+        while hi < len(text) and step[-1:] != b" ":  # to the end of the term that the cut is in
+            more = text[hi : hi + 4096].translate(table)
+            cut = more.find(b" ") + 1 or len(more)
+            step, hi = step + more[:cut], hi + cut
+        yield step.split()
+        lo = hi
+
+
 BLOCKS = 16
 
 

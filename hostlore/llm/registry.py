@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from hostlore.llm import decontaminate, fertility, line_dedup, lm_score, minhash, packing, quality_classifier, suffix_dedup, token_counts, warc
+from hostlore.llm import (
+    decontaminate,
+    divergence,
+    fertility,
+    line_dedup,
+    lm_score,
+    minhash,
+    packing,
+    quality_classifier,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 
 MODULES = {
     "op1_fertility_rules": fertility,
@@ -15,6 +27,7 @@ MODULES = {
     "op8_suffix_dedup": suffix_dedup,
     "op9_harmonic_packing": packing,
     "op10_near_duplicates": minhash,
+    "op13_source_divergence": divergence,
 }
 
 
