@@ -11,6 +11,7 @@ from hostlore.llm import (
     minhash,
     packing,
     quality_classifier,
+    secret_scan,
     suffix_dedup,
     token_counts,
     warc,
@@ -27,6 +28,7 @@ MODULES = {
     "op8_suffix_dedup": suffix_dedup,
     "op9_harmonic_packing": packing,
     "op10_near_duplicates": minhash,
+    "op12_secret_scan": secret_scan,
     "op13_source_divergence": divergence,
 }
 
