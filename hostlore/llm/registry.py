@@ -6,6 +6,7 @@ from hostlore.llm import (
     decontaminate,
     divergence,
     fertility,
+    lexical_search,
     line_dedup,
     lm_score,
     minhash,
@@ -28,6 +29,7 @@ MODULES = {
     "op8_suffix_dedup": suffix_dedup,
     "op9_harmonic_packing": packing,
     "op10_near_duplicates": minhash,
+    "op11_pair_bound_search": lexical_search,
     "op12_secret_scan": secret_scan,
     "op13_source_divergence": divergence,
 }
