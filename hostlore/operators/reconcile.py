@@ -6,12 +6,13 @@ merged come back as conflicts with a reason; ``strict`` callers refuse the batch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlore.functions.scalars import MAX_LIMITATIONS, bounded
 
 MAX_EVIDENCE = 128
+EVIDENCE_LIMIT = "evidence_storage_limit_reached"
 HEADER = ["rule_id", "subject_type", "subject_id", "state", "started_at", "last_observed_at", "resolved_at", "limitations"]
 
 
@@ -24,16 +25,18 @@ def unique_candidates(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def merge_limitations(a: str, b: str):
+def merge_limitations(a: Column | str, b: Column | str) -> Column:
     """Union, sorted, at most 32 with a marker."""
     union = F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
     return bounded(union, "quality_limitations_storage_limit_reached", MAX_LIMITATIONS)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The overlay of incidents, and conflicts: another identity under an id, or newer evidence for a resolved one.
+    """The overlay of incidents, and the refused: another identity under an id, or newer evidence for a resolved one.
 
-    ``change`` is stored, inserted, extended or kept. A resolved incident never opens again.
+    ``change`` is stored, inserted, extended or kept. A resolved incident never opens again. Where a merge is refused, the
+    stored row stays as it was (kept), and the second table has (host_id, incident_id, problem, offered_at): the reason
+    and the last time that the refused candidate had.
     """
     old, new = (df.select("host_id", "incident_id", F.struct(*HEADER).alias(side)) for df, side in ((stored, "o"), (incoming, "n")))
     both = old.join(new, ["host_id", "incident_id"], "full_outer")
@@ -45,13 +48,14 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame
     late = (F.col("o.state") == "resolved") & (F.col("n.last_observed_at") > F.col("o.resolved_at"))
     problem = F.when(clash, "identity_reused").when(late, "evidence_after_resolution")
     both = both.withColumn("problem", problem)
-    extended = (F.col("o.state") == "active") & (F.col("n.last_observed_at") > F.col("o.last_observed_at"))
+    refused = F.col("problem").isNotNull()
+    extended = ~refused & (F.col("o.state") == "active") & (F.col("n.last_observed_at") > F.col("o.last_observed_at"))
     change = F.when(F.col("o").isNull(), "inserted").when(F.col("n").isNull(), "stored").when(extended, "extended").otherwise("kept")
     last = F.when(F.col("o").isNull(), F.col("n.last_observed_at")).when(
         F.coalesce(extended, F.lit(False)), F.col("n.last_observed_at")
     ).otherwise(F.col("o.last_observed_at"))
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}").alias(c)
-    merged = both.where("problem is null").select(
+    merged = both.select(
         "host_id",
         "incident_id",
         pick("rule_id"),
@@ -61,45 +65,74 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame
         pick("started_at"),
         last.alias("last_observed_at"),
         F.col("o.resolved_at").alias("resolved_at"),
-        merge_limitations("o.limitations", "n.limitations").alias("limitations"),
+        F.when(refused, F.col("o.limitations")).otherwise(merge_limitations("o.limitations", "n.limitations")).alias("limitations"),
         change.alias("change"),
     )
-    return merged, both.where("problem is not null").select("host_id", "incident_id", "problem")
+    return merged, both.where(refused).select("host_id", "incident_id", "problem", F.col("n.last_observed_at").alias("offered_at"))
 
 
 def merge_evidence(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Union of evidence by kind and id. A known fact beats unknown; different content or facts are conflicts."""
+    """Union of evidence by kind and id. A known fact beats unknown; different content or facts are conflicts.
+
+    A stored row that an incoming one differs from stays as it was; of incoming rows that differ among themselves, none
+    is taken. The second table has each such key with its reason.
+    """
     core = F.struct("evidence_at", "reason", "summary")
     known = F.when(F.col("fact") != "unknown", F.col("fact"))
-    rows = stored.unionByName(incoming, allowMissingColumns=True).groupBy("host_id", "incident_id", "kind", "evidence_id").agg(
+    sides = stored.withColumn("is_stored", F.lit(True)).unionByName(incoming.withColumn("is_stored", F.lit(False)), allowMissingColumns=True)
+    whole = F.struct(core.alias("c"), "fact", "evidence_limitations")
+    rows = sides.groupBy("host_id", "incident_id", "kind", "evidence_id").agg(
         F.min(core).alias("c"),
         F.max(core).alias("d"),
         F.min(known).alias("low"),
         F.max(known).alias("high"),
         F.flatten(F.collect_set("evidence_limitations")).alias("all"),
+        F.max(F.when(F.col("is_stored"), whole)).alias("was"),
     )
     problem = F.when(F.col("c") != F.col("d"), "content_differs").when(F.col("low") != F.col("high"), "facts_differ")
     rows = rows.withColumn("problem", problem)
-    clean = rows.where("problem is null").select(
+    fine = F.col("problem").isNull()
+    limits = bounded(F.col("all"), "evidence_quality_limitations_storage_limit_reached")
+    clean = rows.where(fine | F.col("was").isNotNull()).withColumn("core", F.when(fine, F.col("c")).otherwise(F.col("was.c"))).select(
         "host_id",
         "incident_id",
         "kind",
         "evidence_id",
-        "c.*",
-        F.coalesce("low", F.lit("unknown")).alias("fact"),
-        bounded(F.col("all"), "evidence_quality_limitations_storage_limit_reached").alias("evidence_limitations"),
+        "core.*",
+        F.when(fine, F.coalesce("low", F.lit("unknown"))).otherwise(F.col("was.fact")).alias("fact"),
+        F.when(fine, limits).otherwise(F.col("was.evidence_limitations")).alias("evidence_limitations"),
     )
-    return clean, rows.where("problem is not null").select("host_id", "incident_id", "kind", "evidence_id", "problem")
+    return clean, rows.where(~fine).select("host_id", "incident_id", "kind", "evidence_id", "problem")
 
 
 def cap_evidence(evidence: DataFrame, most: int = MAX_EVIDENCE) -> DataFrame:
-    """The anchor and the latest ``most`` - 1 others of each incident; ``truncated`` tells that some went."""
+    """The anchor and the latest ``most`` - 1 others of each incident; ``truncated`` tells that some went, now or before."""
     other = F.col("reason") != "service_change_anchor"
     w = Window.partitionBy("host_id", "incident_id", other).orderBy(F.desc("evidence_at"), F.desc("kind"), F.desc("evidence_id"))
-    size = F.count("*").over(Window.partitionBy("host_id", "incident_id"))
+    whole = Window.partitionBy("host_id", "incident_id")
+    over = F.count("*").over(whole) > most
+    before = F.coalesce(F.max("truncated").over(whole), F.lit(False)) if "truncated" in evidence.columns else F.lit(False)
     return evidence.withColumns(
-        {"place": F.row_number().over(w), "truncated": size > most}
-    ).where(~other | (F.col("place") <= most - 1) | ~F.col("truncated")).drop("place")
+        {"place": F.row_number().over(w), "over": over, "truncated": over | before}
+    ).where(~other | (F.col("place") <= most - 1) | ~F.col("over")).drop("place", "over")
+
+
+def merge_stored_evidence(state: DataFrame, incoming: DataFrame, most: int = MAX_EVIDENCE) -> tuple[DataFrame, DataFrame]:
+    """The next state of stored evidence: at most ``most`` rows of an incident, with ``truncated``, and the conflicts.
+
+    The latest rows of two parts are among the latest of each, so merging batch by batch leaves what merging all at once
+    does: what was dropped has ``most`` - 1 later rows before it for good. The state is all that a merge reads.
+    """
+    clean, conflicts = merge_evidence(state.drop("truncated"), incoming)
+    before = state.where("truncated").select("host_id", "incident_id", F.lit(True).alias("truncated")).distinct()
+    rows = clean.join(before, ["host_id", "incident_id"], "left")
+    return cap_evidence(rows, most), conflicts
+
+
+def with_limit_mark(limitations: Column, full: Column) -> Column:
+    """The limitations of an incident, with the mark of dropped evidence where ``full``."""
+    mark = F.when(F.coalesce(full, F.lit(False)), F.array(F.lit(EVIDENCE_LIMIT))).otherwise(F.array().cast("array<string>"))
+    return merge_limitations(limitations, mark)
 
 
 def settled(incidents: DataFrame, times: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -138,8 +138,11 @@ def cycle_summary(
     candidates: DataFrame,
     resolved: DataFrame,
     correlated: DataFrame | None = None,
+    refused: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per snapshot: quality, observation counts, events, candidate and resolved ids, limitations.
+    """One row per snapshot: quality, observation counts, events, candidate, reconciled and resolved ids, limitations.
+
+    ``refused``: (host_id, incident_id) of candidates that could not be merged; they are not among the reconciled.
 
     ``correlated``: (host_id, observed_at) once for each event that was looked at for the anchors of a snapshot.
     """
@@ -169,7 +172,8 @@ def cycle_summary(
         out = out.join(
             correlated.groupBy("host_id", "observed_at").agg(F.count("*").alias("events_correlated")), ["host_id", "observed_at"], "left"
         ).withColumn("events_correlated", F.coalesce("events_correlated", F.lit(0)))
-    for name, df in (("candidate_ids", candidates), ("resolved_ids", resolved)):
+    merged = candidates if refused is None else candidates.join(refused, ["host_id", "incident_id"], "left_anti")
+    for name, df in (("candidate_ids", candidates), ("reconciled_ids", merged), ("resolved_ids", resolved)):
         ids = df.groupBy("host_id", F.col("at").alias("observed_at")).agg(F.array_sort(F.collect_set("incident_id")).alias(name))
         out = out.join(ids, ["host_id", "observed_at"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out
@@ -191,7 +195,7 @@ def cycle_documents(cycles: DataFrame) -> DataFrame:
         "events_processed",
         "events_correlated",
         F.col("candidate_ids").alias("incident_candidate_ids"),
-        F.col("candidate_ids").alias("reconciled_candidate_ids"),
+        F.col("reconciled_ids").alias("reconciled_candidate_ids"),
         F.col("resolved_ids").alias("resolved_incident_ids"),
         "limitations",
     )

@@ -122,9 +122,7 @@ back AS (SELECT DISTINCT host_id, snapshot_id, name AS subject_id FROM svc WHERE
 recovery AS (
   SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id
     AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
-  JOIN cuts c ON c.host_id = b.host_id
-  WHERE r.collected_at > cut_at AND NOT EXISTS (SELECT 1 FROM new_half n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id
-    AND n.started_at = r.collected_at)),
+  WHERE NOT EXISTS (SELECT 1 FROM candidates n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id AND n.started_at = r.collected_at)),
 times AS (
   SELECT m.host_id, m.incident_id, min(back_at) AS back_at FROM merged m JOIN recovery r ON r.host_id = m.host_id AND r.subject_id = m.subject_id
     AND r.back_at >= m.started_at GROUP BY m.host_id, m.incident_id),
@@ -136,6 +134,13 @@ resolved AS (
     CASE WHEN back_at < last_observed_at THEN 'resolution_before_evidence' END AS problem
   FROM merged m LEFT JOIN times t ON t.host_id = m.host_id AND t.incident_id = m.incident_id)"""
 
+
+
+def corr(events: str, snapshots: str) -> str:
+    """The same over other tables of events and snapshots."""
+    return CORR.replace("JOIN journal_events", f"JOIN {events}").replace("FROM snapshots", f"FROM {snapshots}").lstrip()
+
+
 #: The texts of the explanations, written out here on their own so that the check sees a change of them.
 TEXT_CASE = """CASE rule
   WHEN 'unsupported_service_condition' THEN
@@ -482,22 +487,25 @@ def oracles() -> dict[str, str]:
         CORR,
     )
     out["reconcile_upsert"] = sql(
-        f"""SELECT host_id, incident_id, change, CASE WHEN bad THEN NULL WHEN o.subject_id LIKE 'svc-4%' THEN 'resolved' ELSE 'active' END AS state,
-          CASE WHEN NOT bad THEN strftime(last, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS last_observed_at FROM (
-          SELECT host_id, incident_id, o, change IN ('identity_reused', 'evidence_after_resolution') AS bad, change, CASE
-            WHEN o IS NULL OR change = 'extended' THEN n.last_observed_at WHEN o.subject_id LIKE 'svc-1%' THEN o.started_at
-            ELSE o.last_observed_at END AS last FROM (
-          SELECT host_id, incident_id, o, n, CASE WHEN o IS NULL THEN 'inserted' WHEN n IS NULL THEN 'stored'
-            WHEN o.subject_id LIKE 'svc-3%' THEN 'identity_reused'
-            WHEN o.subject_id LIKE 'svc-4%' THEN CASE WHEN n.last_observed_at > o.started_at THEN 'evidence_after_resolution' ELSE 'kept' END
-              WHEN o.subject_id LIKE 'svc-1%' AND n.last_observed_at > o.started_at THEN 'extended' ELSE 'kept' END AS change
-          FROM (SELECT host_id, incident_id, old_half AS o FROM old_half) FULL JOIN (SELECT host_id, incident_id, new_half AS n FROM new_half) USING (host_id, incident_id)))""",
+        f"""SELECT host_id, incident_id, CASE WHEN bad THEN 'kept' ELSE change END AS change,
+          CASE WHEN o.subject_id LIKE 'svc-4%' THEN 'resolved' ELSE 'active' END AS state, {fixed('last', 'last_observed_at')} FROM overlay
+          UNION ALL SELECT host_id, incident_id, change, NULL, NULL FROM overlay WHERE bad""",
         CORR,
+        """
+overlay AS (
+  SELECT host_id, incident_id, o, change IN ('identity_reused', 'evidence_after_resolution') AS bad, change, CASE
+    WHEN o IS NULL OR change = 'extended' THEN n.last_observed_at WHEN o.subject_id LIKE 'svc-1%' THEN o.started_at ELSE o.last_observed_at END AS last
+  FROM (
+    SELECT host_id, incident_id, o, n, CASE WHEN o IS NULL THEN 'inserted' WHEN n IS NULL THEN 'stored' WHEN o.subject_id LIKE 'svc-3%' THEN 'identity_reused'
+      WHEN o.subject_id LIKE 'svc-4%' THEN CASE WHEN n.last_observed_at > o.started_at THEN 'evidence_after_resolution' ELSE 'kept' END
+      WHEN o.subject_id LIKE 'svc-1%' AND n.last_observed_at > o.started_at THEN 'extended' ELSE 'kept' END AS change
+    FROM (SELECT host_id, incident_id, old_half AS o FROM old_half) FULL JOIN (SELECT host_id, incident_id, new_half AS n FROM new_half)
+      USING (host_id, incident_id)))""",
     )
     out["reconcile_evidence"] = sql(
-        "SELECT host_id, incident_id, kind, evidence_id, CASE "
-        "WHEN evidence_id LIKE '%7' THEN 'content_differs' ELSE fact END AS outcome, CASE "
-        "WHEN evidence_id NOT LIKE '%7' THEN coalesce(e_limit, '') END AS evidence_limitations FROM evidence",
+        "SELECT host_id, incident_id, kind, evidence_id, CASE WHEN evidence_id LIKE '%7' AND kind = 'journal_event' THEN 'unknown' ELSE fact END AS outcome, "
+        "coalesce(e_limit, '') AS evidence_limitations FROM evidence UNION ALL "
+        "SELECT host_id, incident_id, kind, evidence_id, 'content_differs', NULL FROM evidence WHERE evidence_id LIKE '%7'",
         CORR,
     )
     out["evidence_cap"] = sql(

@@ -77,8 +77,7 @@ class Tables:
         ok = self.collection_results.where("collector_name = 'services' and status = 'success'").select(
             "host_id", "snapshot_id", F.col("collected_at").alias("resolved_time")
         )
-        late = ok.join(self.cut(), "host_id").where("resolved_time > cut_at").drop("cut_at")
-        return correlate.resolution_subjects(self.changes()).join(late, ["host_id", "snapshot_id"])
+        return correlate.resolution_subjects(self.changes()).join(ok, ["host_id", "snapshot_id"])
 
     def merged(self) -> DataFrame:
         old, new = self.halves(self.candidates())
@@ -87,7 +86,7 @@ class Tables:
     def resolution(self) -> tuple[DataFrame, DataFrame]:
         """The incoming cycles, one after another: each with its own candidates and recoveries."""
         old, new = self.halves(self.candidates())
-        return reconcile.resolve_over_time(reconcile.upsert(old, new)[0], self.subjects(), new)
+        return reconcile.resolve_over_time(reconcile.upsert(old, new)[0], self.subjects(), self.candidates())
 
     def resolved(self) -> DataFrame:
         return self.stored("resolved_incidents", lambda: self.resolution()[0])
@@ -100,7 +99,9 @@ class Tables:
         done = self.resolved().where("now_resolved").select("host_id", "incident_id", F.col("resolved_at").alias("at"))
         counts = {"services": self.service_observations, "processes": self.process_observations, "network": self.network_observations}
         looked_at = correlate.events_for_anchors(correlate.event_evidence(correlate.anchored(self.changes()), self.journal_events, WINDOW), ANCHOR_EVENTS)
-        return reports.cycle_summary(self.snapshots, self.collection_results, counts, self.journal_events, found, done, looked_at)
+        old, new = self.halves(self.candidates())
+        refused = reconcile.upsert(old, new)[1]
+        return reports.cycle_summary(self.snapshots, self.collection_results, counts, self.journal_events, found, done, looked_at, refused)
 
 
 def flat_counter(df: DataFrame, *names: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from hostlore.functions.scalars import iso_fixed
 from hostlore.operators.lifecycle import service_validity
 from hostlore.plans.derived import WINDOW_SECONDS
-from hostlore.plans.oracle import CORR, LIFE, fixed, sql
+from hostlore.plans.oracle import CORR, LIFE, corr, fixed, sql
 from hostlore.plans.queries import Tables
 from hostlore.sources.tables import shared_path
-from hostlore.streaming import streams
+from hostlore.streaming import cycles, streams
 
 
 def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +32,15 @@ def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def captures(x: Tables) -> DataFrame:
-    """One row per host and snapshot with all that was captured, failed collections included."""
+def captures(x: Tables, events: DataFrame | None = None) -> DataFrame:
+    """One row per host and snapshot with all that was captured, failed collections included; ``events``: those of the journal."""
     key = ["host_id", "snapshot_id"]
     out = x.snapshots.select(*key, "observed_at", "monotonic_s")
     tables = {
         "results": x.collection_results.select(*key, F.struct("collector_name", "status", "collected_at").alias("s")),
         "services": x.service_captured.select(*key, F.struct("name", "load_state", "active_state", "sub_state").alias("s")),
         "processes": x.process_captured.select(*key, F.struct("pid", "lifetime_id", "cpu_time_ticks", "rss_bytes", "virtual_memory_bytes").alias("s")),
-        "events": x.journal_events.select(*key, F.struct("cursor", "observed_at", "unit", "priority").alias("s")),
+        "events": (x.journal_events if events is None else events).select(*key, F.struct("cursor", "observed_at", "unit", "priority").alias("s")),
     }
     for name, rows in tables.items():
         out = out.join(rows.groupBy(*key).agg(F.collect_list("s").alias(name)), key, "left").withColumn(name, F.col(name).cast(streams.PARTS[name]))
@@ -51,19 +51,31 @@ def arriving(rows: DataFrame, path: str, cuts: list[int]) -> None:
     """Captures as files that arrive one after another: snapshots up to each cut, then the rest."""
     for low, high in zip([0, *cuts], [*cuts, None], strict=True):
         part = rows.where(F.col("snapshot_id") > low)
-        (part if high is None else part.where(F.col("snapshot_id") <= high)).coalesce(1).write.mode("append").parquet(path)
+        (part if high is None else part.where(F.col("snapshot_id") <= high)).write.mode("append").parquet(path)
+
+
+def cycles_over(spark: SparkSession, x: Tables, name: str, arrivals: list[DataFrame]) -> cycles.FleetCycles:
+    """Whole cycles over captures that arrive one table after another, with a stop after each."""
+    path = shared_path(spark, name)
+    fleet = cycles.FleetCycles(spark, path, x.associations, WINDOW_SECONDS)
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{path}/captures")
+        fleet.go(spark.readStream.schema(streams.CAPTURE).parquet(f"{path}/captures"))
+    return fleet
+
+
+def counted_evidence(fleet: cycles.FleetCycles) -> DataFrame:
+    return fleet.evidence().groupBy("host_id", "incident_id").agg(F.count("*").alias("n_evidence"))
 
 
 def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incidents after whole cycles over two arrivals of captures, with a stop between them."""
-    x, path = Tables(spark, sf_dir), shared_path(spark, "stream-cycle")
-    arriving(captures(x), f"{path}/captures", [15])
-    stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(f"{path}/captures")
-    fleet = streams.FleetCycles(spark, path, x.associations, WINDOW_SECONDS)
-    fleet.go(stream, batches=1)
-    fleet.go(stream)
-    rows = fleet.incidents().join(fleet.evidence().groupBy("host_id", "incident_id").agg(F.count("*").alias("n_evidence")), ["host_id", "incident_id"])
-    return rows.select(
+    """The incidents after whole cycles. Between two halves of the captures come old ones again, and an arrival without rows."""
+    x = Tables(spark, sf_dir)
+    rows = captures(x)
+    again = rows.where("snapshot_id in (7, 15)")  # 15 a second time, 7 out of order
+    fleet = cycles_over(spark, x, "stream-cycle", [rows.where("snapshot_id <= 15").unionByName(again), again, rows.limit(0), rows.where("snapshot_id > 15")])
+    out = fleet.incidents().join(counted_evidence(fleet), ["host_id", "incident_id"])
+    return out.select(
         "host_id",
         "incident_id",
         "subject_id",
@@ -73,6 +85,22 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Events that come after all snapshots: (event_id % 7 = 3). The stream sees the snapshots up to this one.
+LATE, LAST_SNAPSHOT = "event_id % 7 = 3", 20
+
+
+def stream_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents, their evidence and refused merges where a seventh of the events arrives after all recoveries."""
+    x = Tables(spark, sf_dir)
+    early = captures(x, x.journal_events.where(f"not ({LATE})")).where(f"snapshot_id <= {LAST_SNAPSHOT}")
+    late = captures(x, x.journal_events.where(LATE)).where(f"snapshot_id <= {LAST_SNAPSHOT}")
+    fleet = cycles_over(spark, x, "stream-late", [early, late])
+    refused = fleet.conflicts().where("problem = 'evidence_after_resolution'").groupBy("host_id", "incident_id").agg(F.max("batch").alias("refused_in"))
+    out = fleet.incidents().join(counted_evidence(fleet), ["host_id", "incident_id"]).join(refused, ["host_id", "incident_id"], "left")
+    times = (iso_fixed(F.col(c)).alias(c) for c in ("last_observed_at", "resolved_at"))
+    return out.select("host_id", "incident_id", "state", *times, "n_evidence", "refused_in")
+
+
 def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycles of services as the snapshots of each host arrive."""
     x, path = Tables(spark, sf_dir), shared_path(spark, "service-snapshots")
@@ -93,7 +121,7 @@ def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_service_lifecycle)}
+    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_late_evidence, stream_service_lifecycle)}
 
 
 def oracles() -> dict[str, str]:
@@ -112,11 +140,32 @@ def oracles() -> dict[str, str]:
           FROM candidates c LEFT JOIN ended e ON e.host_id = c.host_id AND e.incident_id = c.incident_id""",
             CORR,
             """
-back_all AS (
-  SELECT b.host_id, b.subject_id, r.collected_at AS back_at FROM back b JOIN collection_results r ON r.host_id = b.host_id
-    AND r.snapshot_id = b.snapshot_id AND r.collector_name = 'services' AND r.status = 'success'
-  WHERE NOT EXISTS (SELECT 1 FROM candidates n WHERE n.host_id = b.host_id AND n.subject_id = b.subject_id AND n.started_at = r.collected_at)),
 ended AS (
-  SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN back_all b ON b.host_id = c.host_id AND b.subject_id = c.subject_id AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)""",
+  SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN recovery b ON b.host_id = c.host_id AND b.subject_id = c.subject_id
+    AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)""",
+        ),
+        "stream_late_evidence": sql(
+            f"""SELECT host_id, incident_id, CASE WHEN resolved IS NULL THEN 'active' ELSE 'resolved' END AS state, {fixed('last', 'last_observed_at')},
+              {fixed('resolved', 'resolved_at')}, n_evidence, CASE WHEN refused THEN CAST(1 AS BIGINT) END AS refused_in FROM (
+              SELECT coalesce(o.host_id, n.host_id) AS host_id, coalesce(o.incident_id, n.incident_id) AS incident_id, resolved,
+                coalesce(n.last_observed_at > resolved, false) AS refused,
+                CASE WHEN o.host_id IS NULL OR resolved IS NULL AND n.last_observed_at > o.last THEN n.last_observed_at ELSE o.last END AS last,
+                CASE WHEN coalesce(n.last_observed_at > resolved, false) OR n.host_id IS NULL THEN o.n_evidence ELSE (
+                  SELECT count(*) FROM (SELECT kind, evidence_id FROM early_evidence e WHERE e.host_id = n.host_id AND e.incident_id = n.incident_id
+                    UNION SELECT kind, evidence_id FROM late_evidence e WHERE e.host_id = n.host_id AND e.incident_id = n.incident_id)) END AS n_evidence
+              FROM first_state o FULL JOIN second_offer n ON o.host_id = n.host_id AND o.incident_id = n.incident_id)""",
+            f"""
+snaps AS (SELECT * FROM snapshots WHERE snapshot_id <= {LAST_SNAPSHOT}),
+early_all AS (SELECT * FROM journal_events WHERE NOT ({LATE}) AND snapshot_id <= {LAST_SNAPSHOT}),
+both_all AS (SELECT * FROM journal_events WHERE snapshot_id <= {LAST_SNAPSHOT}),
+early_evidence AS (WITH {corr('early_all', 'snaps')} SELECT * FROM evidence),
+late_evidence AS (WITH {corr('both_all', 'snaps')} SELECT * FROM evidence WHERE (host_id, change_id) IN (SELECT (a.host_id, a.change_id)
+  FROM anchors a JOIN both_all e ON e.host_id = a.host_id AND e.unit = a.name AND {LATE} AND abs(epoch_us(e.observed_at) - epoch_us(a.observed_at)) <= {WINDOW_SECONDS}000000)),
+first_state AS (WITH {corr('early_all', 'snaps')},
+  back_times AS (SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN recovery b ON b.host_id = c.host_id
+    AND b.subject_id = c.subject_id AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)
+  SELECT c.host_id, c.incident_id, CASE WHEN back_at >= last_observed_at THEN back_at END AS resolved, CASE WHEN back_at >= last_observed_at THEN back_at
+    ELSE last_observed_at END AS last, n_evidence FROM candidates c LEFT JOIN back_times b ON b.host_id = c.host_id AND b.incident_id = c.incident_id),
+second_offer AS (SELECT host_id, incident_id, max(evidence_at) AS last_observed_at FROM late_evidence GROUP BY host_id, incident_id)""",
         ),
     }
