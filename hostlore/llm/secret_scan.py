@@ -10,6 +10,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,18 @@ def live_look(value: Column) -> Column:
     return (F.length(value) >= LEAST_CHARS) & (different >= LEAST_DIFFERENT) & value.rlike("[0-9]") & ~value.rlike(PLACEHOLDER)
 
 
-def matches(text: Column, kind: str) -> Column:
+def may_match(text: Column) -> dict[str, Column]:
+    """For each kind, whether a text can have matches, by one regular expression over all texts and searches for words."""
+    lowered = F.lower(text)
+    words = [F.contains(lowered, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]
+    long_run = text.rlike(KINDS["opaque"][0])  # each run of hexadecimal digits is such a run too
+    return {"assign": reduce(or_, words), "access": F.contains(text, F.lit("AKIA")), "opaque": long_run}
+
+
+def matches(text: Column, kind: str, may: Column) -> Column:
     """The matches of a kind in order: what lies before each, its length, and its value."""
     pattern, group, _ = KINDS[kind]
-    some = lambda x: F.when(text.rlike(pattern), x).otherwise(F.array().cast("array<string>"))
+    some = lambda x: F.when(may, x).otherwise(F.array().cast("array<string>"))
     gaps, hits = some(F.split(text, pattern, -1)), some(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     values = some(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else hits
     lengths = lambda x, name: F.transform(x, lambda s: F.length(s)).alias(name)
@@ -62,15 +73,19 @@ def matches(text: Column, kind: str) -> Column:
 
 def scanned(docs: DataFrame, owner: str, repository: list[str]) -> DataFrame:
     """(row, doc_id, owner, repository, found): one row for each document, with all its matches; written, without texts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository))).alias("repository"),
-        F.concat(*(matches(text, k) for k in KINDS)).alias("found"),
+        text,
     )
-    return written(rows, "secret-matches")
+    rows = rows.select("*", *(may.alias(f"may_{k}") for k, may in may_match(F.col("text")).items()))
+    may = {k: F.col("may_opaque" if k == "hex" else f"may_{k}") for k in KINDS}
+    found = F.when(reduce(or_, may.values()), F.concat(*(matches(F.col("text"), k, may[k]) for k in KINDS)))
+    none = F.array().cast(rows.select(found.alias("f")).schema["f"].dataType)
+    return written(rows.select("row", "doc_id", "owner", "repository", F.coalesce(found, none).alias("found")), "secret-matches")
 
 
 def candidates(found: DataFrame) -> DataFrame:
