@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlore.functions.scalars import MAX_MESSAGE_BYTES, MAX_PID, decode_bytes, from_epoch_micros, normalised, optional_int, redact_to
+from hostlore.operators import chain
 from hostlore.operators.temporal import TICKS
 
 KEY = ["host_id", "snapshot_id"]
@@ -314,6 +315,40 @@ def accept_pages(records: DataFrame, saved: DataFrame, limit: int, pages: DataFr
     )
 
 
+def accept_page_chain(records: DataFrame, limit: int, saved: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """``accept_pages`` for all pages of each host in order: the cursor that a page meets is what the pages before it left.
+
+    ``saved`` (host_id, saved): cursors that are stored before the first page; other hosts have none. A refused page
+    leaves the cursor as it is, so a later page that begins with it is accepted.
+    """
+    key = ["host_id", "page"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
+    agg = records.withColumn("rank", rank).groupBy(*key).agg(
+        F.min_by("cursor", "rank").alias("first"),
+        F.every("valid").alias("ok"),
+        F.count("*").alias("n"),
+        F.countDistinct("cursor").alias("distinct"),
+        F.max(F.when(F.col("rank") == limit, F.col("cursor"))).alias("at_limit"),
+        F.max(F.when(F.col("rank") == limit + 1, F.col("cursor"))).alias("after_limit"),
+        F.max_by("cursor", "rank").alias("last"),
+    )
+    fine = agg.where(F.col("ok") & (F.col("distinct") == F.col("n")))
+    none = F.lit(None).cast("string")
+    # a page has two ways in: from its first cursor, which isn't taken again, or with nothing saved yet
+    known = fine.select("host_id", (F.col("page") * 2).alias("place"), F.col("first").alias("enter"), F.coalesce("after_limit", "last").alias("leave"))
+    fresh = fine.select("host_id", (F.col("page") * 2 + 1).alias("place"), none.alias("enter"), F.coalesce("at_limit", "last").alias("leave"))
+    every = (agg if pages is None else pages).select(*key).distinct()
+    start = every.select("host_id").distinct()
+    start = start.withColumn("state", none) if saved is None else start.join(saved.select("host_id", F.col("saved").alias("state")), "host_id", "left")
+    steps = chain.stored(known.unionByName(fresh), "page-steps")
+    on_path = steps.join(chain.taken(steps, start, ["host_id"]), ["host_id", "place"], "left_semi")
+    on_path = on_path.select("host_id", F.floor(F.col("place") / 2).alias("place"), "leave")
+    rows = every.select("host_id", F.col("page").cast("long").alias("place")).join(on_path, ["host_id", "place"], "left")
+    met = chain.states(rows, on_path.select("host_id", "place"), start, ["host_id"])
+    before = met.where("before is not null").select("host_id", F.col("place").alias("page"), F.col("before").alias("saved"))
+    return accept_pages(records, before, limit, every)
+
+
 def assemble_snapshots(snapshots: DataFrame, statuses: DataFrame, **tables: DataFrame) -> DataFrame:
     """One row per snapshot: a status map and the number of rows of each observation table."""
     status = statuses.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("collector_name", "status")))).alias("statuses"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlore.operators import chain
+
 KEY = ["host_id", "snapshot_id"]
 
 
@@ -18,13 +20,36 @@ def gate_batches(batches: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
     The saved cursor must be the expected one, a batch must end at its last event, an empty one may not move the cursor.
     """
-    rows = batches.join(checkpoints.select("host_id", F.col("cursor").alias("saved")), "host_id", "left")
+    return judge(batches.join(checkpoints.select("host_id", F.col("cursor").alias("saved")), "host_id", "left")).drop("saved")
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """Batches with the ``saved`` cursor that they meet: accepted, or the reason why not."""
     reason = (
         F.when(~F.col("expected_cursor").eqNullSafe(F.col("saved")), "checkpoint_changed").when(
             (F.col("n_events") > 0) & ~F.col("next_cursor").eqNullSafe(F.col("last_cursor")), "checkpoint_not_last_event"
         ).when((F.col("n_events") == 0) & ~F.col("next_cursor").eqNullSafe(F.col("saved")), "empty_batch_moves_checkpoint")
     )
-    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("saved")
+    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+
+
+def gate_history(batches: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """``gate_batches`` for all batches of each host in the order of ``seq``, where an accepted one moves the saved cursor.
+
+    ``checkpoints`` (host_id, cursor): what is saved at first; hosts that aren't there have nothing saved. Adds ``saved``, the
+    cursor that a batch met, ``accepted`` and ``reason``. A refused batch leaves the cursor, so a later one that
+    expects it is accepted. ``seq`` must be unique in a host.
+    """
+    start = batches.select("host_id").distinct().join(checkpoints.select("host_id", F.col("cursor").alias("state")), "host_id", "left")
+    possible = F.when(F.col("n_events") > 0, F.col("next_cursor").eqNullSafe(F.col("last_cursor"))).otherwise(
+        F.col("next_cursor").eqNullSafe(F.col("expected_cursor"))
+    )
+    steps = batches.where(possible).select("host_id", F.col("seq").alias("place"), F.col("expected_cursor").alias("enter"), F.col("next_cursor").alias("leave"))
+    path = chain.taken(steps, start, ["host_id"])
+    rows = batches.withColumns({"place": F.col("seq"), "leave": F.col("next_cursor")})
+    met = chain.states(rows, path, start, ["host_id"])
+    judged = judge(met.drop("place", "leave", "reached").withColumnRenamed("before", "saved"))
+    return judged
 
 
 def checkpoints(events: DataFrame) -> DataFrame:

@@ -39,7 +39,27 @@ raw_journal AS (
     '{"__CURSOR":"' || cursor || '","__REALTIME_TIMESTAMP":"' || CAST(1700000000000000 + event_id AS STRING) || '","MESSAGE":"' || comm || ' token=' || CAST(event_id AS STRING) || ' end","PRIORITY":' ||
     CASE WHEN event_id % 17 = 0 THEN '9' WHEN priority IS NULL THEN '""' ELSE '"' || CAST(priority AS STRING) || '"' END || ',"_SYSTEMD_UNIT":"'
       || unit || '","_PID":"' || CAST(pid AS STRING) || '","_COMM":[' || CASE WHEN comm = 'view' THEN '118,105' ELSE '97,98' END || ']}' AS payload,
-    event_id, cursor, unit, pid, comm, priority FROM journal_events)
+    event_id, cursor, unit, pid, comm, priority FROM journal_events),
+page_own AS (
+  SELECT host_id, page, pos, cursor, event_id, row_number() OVER (PARTITION BY host_id, page ORDER BY pos) AS r,
+    count(*) OVER (PARTITION BY host_id, page) AS n, max(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY host_id, page) AS bad
+  FROM raw_journal WHERE page % 7 <> 3),
+page_end AS (SELECT host_id, page, cursor AS leaves FROM page_own WHERE r = least(n, 60) AND bad = 0 AND page % 6 <> 4),
+page_start AS (
+  SELECT p.host_id, p.page, max_by(e.leaves, e.page) AS starts FROM (SELECT DISTINCT host_id, page FROM page_own) p
+  JOIN page_end e ON e.host_id = p.host_id AND e.page < p.page GROUP BY p.host_id, p.page),
+raw_pages AS (
+  SELECT host_id, page, pos, cursor, event_id % 97 <> 0 AS valid FROM page_own
+  UNION ALL SELECT host_id, page, -1, CASE WHEN page % 6 = 4 THEN 'c-gone' ELSE starts END, true FROM page_start),
+batch_own AS (SELECT host_id, snapshot_id, count(*) AS n, max_by(cursor, event_id) AS last_cursor FROM journal_events GROUP BY host_id, snapshot_id),
+batch_before AS (
+  SELECT b.host_id, b.snapshot_id, max_by(g.last_cursor, g.snapshot_id) AS good FROM batch_own b JOIN batch_own g ON g.host_id = b.host_id
+    AND g.snapshot_id < b.snapshot_id AND g.snapshot_id % 3 <> 0 AND g.snapshot_id % 4 <> 0 AND g.snapshot_id % 5 <> 0 GROUP BY b.host_id, b.snapshot_id),
+raw_batches AS (
+  SELECT b.host_id, b.snapshot_id, CASE WHEN b.snapshot_id % 5 = 0 THEN CAST(0 AS BIGINT) ELSE n END AS n_events, last_cursor,
+    CASE WHEN b.snapshot_id % 3 = 0 THEN 'c-other' WHEN b.snapshot_id % 5 = 0 THEN good ELSE last_cursor END AS next_cursor,
+    CASE WHEN b.snapshot_id % 4 = 0 THEN 'c-stale' WHEN good IS NULL AND b.host_id IN ('host-1', 'host-3') THEN 'c-start' ELSE good END AS expected_cursor
+  FROM batch_own b LEFT JOIN batch_before g ON g.host_id = b.host_id AND g.snapshot_id = b.snapshot_id)
 """
 
 

@@ -195,6 +195,11 @@ def sql(body: str, *parts: str, most: int = MOST) -> str:
     return (f"WITH {VIEWS}, {CAPTURES}" + "".join(f",{p}" for p in parts) + "\n" + body).replace("MOST", str(most))
 
 
+def walked(body: str, *parts: str) -> str:
+    """``sql`` with a part that walks from row to row."""
+    return sql(body, *parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def ct(prev: str, cur: str, elapsed: str, missing: str) -> str:
     return f"CASE WHEN {prev} IS NULL THEN {missing} WHEN NOT ({elapsed} > 0) THEN 'invalid_interval' " f"WHEN {prev} < 0 OR {cur} < 0 THEN 'invalid_data' WHEN {cur} < {prev} THEN 'counter_reset' ELSE 'valid' END"
 
@@ -310,28 +315,44 @@ def oracles() -> dict[str, str]:
         "FROM (SELECT *, count(*) OVER (PARTITION BY host_id, snapshot_id) AS n, row_number() OVER (PARTITION BY host_id, "
         "snapshot_id ORDER BY pid) AS k FROM process_observations) WHERE k <= 3"
     )
-    out["journal_page_accept"] = sql(
-        """SELECT host_id, page, outcome, CAST(CASE WHEN outcome IN ('success', 'partial') THEN least(n - skip, 60) ELSE 0 END AS BIGINT) AS accepted,
-          CASE outcome WHEN 'partial' THEN CASE WHEN skip = 1 THEN all_c[61] ELSE all_c[60] END WHEN 'success' THEN CASE WHEN n > 0 THEN all_c[n]
-            ELSE saved END ELSE saved END AS next_cursor
-          FROM (SELECT *, CASE WHEN bad AND n > 0 THEN 'journal_invalid' WHEN page % 4 = 2 OR skip = 1
-            AND n = 0 THEN 'journal_cursor_invalidated' WHEN n - skip > 60 THEN 'partial' ELSE 'success' END AS outcome
-            FROM (SELECT host_id, page, CASE WHEN page % 7 = 3 THEN 0 ELSE count(*) END AS n, bool_or(event_id % 97 = 0) AS bad, CASE
-              WHEN page % 2 = 0 THEN 1 ELSE 0 END AS skip, CASE WHEN page % 4 = 0 THEN min_by(cursor, pos)
-              WHEN page % 4 = 2 THEN 'c-gone' END AS saved, list(cursor ORDER BY pos) AS all_c
-              FROM raw_journal GROUP BY host_id, page))"""
+    out["journal_page_accept"] = walked(
+        """SELECT host_id, page, outcome, CAST(CASE WHEN outcome IN ('success', 'partial') THEN least(n - skip, 60) ELSE 0 END AS BIGINT) AS accepted, next_cursor
+          FROM walk WHERE k > 0""",
+        """
+page_all AS (
+  SELECT j.host_id, j.page, row_number() OVER (PARTITION BY j.host_id ORDER BY j.page) AS k, coalesce(n, 0) AS n, coalesce(ok, true) AS ok,
+    coalesce(len(list_distinct(cursors)), 0) AS different, cursors
+  FROM (SELECT DISTINCT host_id, page FROM raw_journal) j LEFT JOIN (SELECT host_id, page, count(*) AS n, bool_and(valid) AS ok, list(cursor ORDER BY pos) AS cursors
+    FROM raw_pages GROUP BY host_id, page) p ON p.host_id = j.host_id AND p.page = j.page),
+walk AS (
+  SELECT host_id, CAST(0 AS BIGINT) AS page, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, 0 AS skip, '' AS outcome, CAST(NULL AS VARCHAR) AS next_cursor
+  FROM (SELECT DISTINCT host_id FROM raw_journal)
+  UNION ALL
+  SELECT host_id, page, k, n, skip, outcome, CASE WHEN outcome NOT IN ('success', 'partial') OR n = 0 THEN saved WHEN outcome = 'partial'
+    THEN cursors[60 + skip] ELSE cursors[n] END FROM (
+    SELECT *, CASE WHEN NOT ok THEN 'journal_invalid' WHEN skip = 1 AND cursors[1] IS DISTINCT FROM saved THEN 'journal_cursor_invalidated'
+      WHEN different < n THEN 'journal_duplicate_cursor' WHEN n - skip > 60 THEN 'partial' ELSE 'success' END AS outcome
+    FROM (SELECT p.*, w.next_cursor AS saved, CASE WHEN w.next_cursor IS NULL THEN 0 ELSE 1 END AS skip FROM walk w JOIN page_all p ON p.host_id = w.host_id
+      AND p.k = w.k + 1)))""",
     )
     parts = {"services": "service", "processes": "process", "network": "network", "cpu": "cpu", "memory": "memory", "disk": "disk"}
     counts = ", ".join(f"{number_of(f'{table}_observations')} AS n_{name}" for name, table in parts.items())
     statuses = listed("collection_results", "collector_name || '=' || status", "collector_name", "statuses")
     out["assemble_snapshot"] = sql(f"SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, {statuses}, {counts} FROM snapshots s")
     out["events_append_new"] = sql(f"SELECT host_id, cursor, {fixed('observed_at', 'observed_at')} FROM journal_events WHERE snapshot_id > 15")
-    out["journal_batch_gate"] = sql(
-        """SELECT host_id, snapshot_id, reason IS NULL AS accepted, reason FROM (
-          SELECT host_id, snapshot_id, CASE WHEN snapshot_id % 4 = 0 THEN 'checkpoint_changed' WHEN snapshot_id % 5 <> 0
-            AND snapshot_id % 3 = 0 THEN 'checkpoint_not_last_event'
-            WHEN snapshot_id % 5 = 0 AND (snapshot_id % 3 = 0 OR last <> saved) THEN 'empty_batch_moves_checkpoint' END AS reason
-          FROM (SELECT host_id, snapshot_id, max_by(cursor, event_id) AS last FROM journal_events GROUP BY host_id, snapshot_id) JOIN (SELECT host_id, max_by(cursor, event_id) AS saved FROM journal_events WHERE snapshot_id <= 10 GROUP BY host_id) USING (host_id))"""
+    out["journal_batch_gate"] = walked(
+        "SELECT host_id, snapshot_id, met AS saved, reason IS NULL AS accepted, reason FROM walk WHERE k > 0",
+        """
+batch_all AS (SELECT *, row_number() OVER (PARTITION BY host_id ORDER BY snapshot_id) AS k FROM raw_batches),
+walk AS (
+  SELECT host_id, CAST(0 AS BIGINT) AS snapshot_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS met, CAST(NULL AS VARCHAR) AS reason,
+    CASE WHEN host_id IN ('host-1', 'host-3') THEN 'c-start' END AS saved FROM (SELECT DISTINCT host_id FROM raw_batches)
+  UNION ALL
+  SELECT host_id, snapshot_id, k, met, reason, CASE WHEN reason IS NULL AND n_events > 0 THEN next_cursor ELSE met END FROM (
+    SELECT b.*, w.saved AS met, CASE WHEN expected_cursor IS DISTINCT FROM w.saved THEN 'checkpoint_changed'
+      WHEN n_events > 0 AND next_cursor IS DISTINCT FROM last_cursor THEN 'checkpoint_not_last_event'
+      WHEN n_events = 0 AND next_cursor IS DISTINCT FROM w.saved THEN 'empty_batch_moves_checkpoint' END AS reason
+    FROM walk w JOIN batch_all b ON b.host_id = w.host_id AND b.k = w.k + 1))""",
     )
     out["advance_checkpoint"] = sql(
         f"SELECT host_id, source, max_by(cursor, event_id) AS cursor, {fixed('max(observed_at)', 'updated_at')} "

@@ -202,12 +202,8 @@ def process_topn_by_pid(x):
 
 @query
 def journal_page_accept(x):
-    records = x.raw("raw_journal").select("host_id", "page", "pos", "cursor", (F.col("event_id") % 97 != 0).alias("valid"))
-    saved = records.groupBy("host_id", "page").agg(F.min_by("cursor", "pos").alias("c")).where("page % 2 = 0").select(
-        "host_id", "page", F.when(F.col("page") % 4 == 0, F.col("c")).otherwise("c-gone").alias("saved")
-    )
-    empty = F.col("page") % 7 == 3  # read, but without records
-    return ingest.accept_pages(records.where(~empty), saved, 60, records.select("host_id", "page"))
+    """All pages of each host in order; some are malformed, some begin elsewhere, some were read without records."""
+    return ingest.accept_page_chain(x.raw("raw_pages"), 60, pages=x.raw("raw_journal").select("host_id", "page").distinct())
 
 
 @query
@@ -249,20 +245,10 @@ def events_append_new(x):
 
 @query
 def journal_batch_gate(x):
-    e = x.journal_events
-    saved = e.where("snapshot_id <= 10").groupBy("host_id").agg(F.max_by("cursor", "event_id").alias("cursor"))
-    batches = e.groupBy("host_id", "snapshot_id").agg(F.count("*").alias("n_events"), F.max_by("cursor", "event_id").alias("last_cursor")).join(
-        saved.withColumnRenamed("cursor", "s"), "host_id"
-    )
-    batches = batches.select(
-        "host_id",
-        "snapshot_id",
-        F.when(F.col("snapshot_id") % 5 == 0, 0).otherwise(F.col("n_events")).alias("n_events"),
-        "last_cursor",
-        F.when(F.col("snapshot_id") % 3 == 0, "c-other").otherwise(F.col("last_cursor")).alias("next_cursor"),
-        F.when(F.col("snapshot_id") % 4 == 0, "c-stale").otherwise(F.col("s")).alias("expected_cursor"),
-    )
-    return stored.gate_batches(batches, saved).select("host_id", "snapshot_id", "accepted", "reason")
+    """All batches of each host in order; some expect a stale cursor, some don't end at their last event, some are empty."""
+    batches = x.raw("raw_batches").withColumn("seq", F.col("snapshot_id"))
+    saved = x.snapshots.where("host_id in ('host-1', 'host-3')").select("host_id", F.lit("c-start").alias("cursor")).distinct()
+    return stored.gate_history(batches, saved).select("host_id", "snapshot_id", "saved", "accepted", "reason")
 
 
 @query

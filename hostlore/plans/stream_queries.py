@@ -12,6 +12,7 @@ from hostlore.plans.oracle import CORR, LIFE, corr, fixed, sql
 from hostlore.plans.queries import Tables
 from hostlore.sources.tables import shared_path
 from hostlore.streaming import cycles, streams
+from hostlore.streaming import lifecycles as lifecycles_state
 
 
 def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,27 +102,35 @@ def stream_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host_id", "incident_id", "state", *times, "n_evidence", "refused_in")
 
 
+def lifecycles(spark: SparkSession, x: Tables, rows: DataFrame, collector: str, fields: list[str], processor: type) -> DataFrame:
+    """Snapshots of each host that arrive in three parts, the last of which has an old one again."""
+    key, path = ["host_id", "snapshot_id"], shared_path(spark, f"{collector}-snapshots")
+    items = rows.groupBy(*key).agg(F.collect_list(F.struct(*fields)).alias("items"))
+    status = x.collection_results.where(F.col("collector_name") == collector).select(*key, F.col("collected_at").alias("observed_at"), "status")
+    found = status.join(items, key, "left")
+    arriving(found, path, [10, 20])
+    found.where("snapshot_id in (9, 20)").write.mode("append").parquet(path)
+    with lifecycles_state.rocksdb(spark):
+        stream = spark.readStream.schema(found.schema).parquet(path)
+        return streams.run_once(lifecycles_state.compared(stream, processor), shared_path(spark, f"stream-{collector}"))
+
+
 def stream_service_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifecycles of services as the snapshots of each host arrive."""
-    x, path = Tables(spark, sf_dir), shared_path(spark, "service-snapshots")
-    key = ["host_id", "snapshot_id"]
-    state = F.concat(
-        F.lit("["),
-        F.concat_ws(
-            ",", *(F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in ("load_state", "active_state", "sub_state")), F.col("valid").cast("string")
-        ),
-        F.lit("]"),
-    )
-    pairs = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), F.col("name"), F.lit('":'), state))), ","), F.lit("}"))
-    services = service_validity(x.service_captured).groupBy(*key).agg(pairs.alias("services"))
-    status = x.collection_results.where("collector_name = 'services'").select(*key, "status")
-    arriving(status.join(services, key, "left"), path, [10, 20])
-    stream = spark.readStream.schema("host_id string, snapshot_id long, status string, services string").option("maxFilesPerTrigger", 1).parquet(path)
-    return streams.run_once(streams.service_states(stream), shared_path(spark, "stream-services"))
+    x = Tables(spark, sf_dir)
+    fields = ["name", "load_state", "active_state", "sub_state", "valid"]
+    return lifecycles(spark, x, service_validity(x.service_captured), "services", fields, lifecycles_state.Services)
+
+
+def stream_process_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycles of processes as the snapshots of each host arrive."""
+    x = Tables(spark, sf_dir)
+    fields = ["pid", "lifetime_id", "rss_bytes", "virtual_memory_bytes"]
+    return lifecycles(spark, x, x.process_captured, "processes", fields, lifecycles_state.Processes)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_late_evidence, stream_service_lifecycle)}
+    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_late_evidence, stream_service_lifecycle, stream_process_lifecycle)}
 
 
 def oracles() -> dict[str, str]:
@@ -133,6 +142,11 @@ def oracles() -> dict[str, str]:
             f"AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"
         ),
         "stream_service_lifecycle": sql("SELECT host_id, snapshot_id, name, lifecycle FROM svc", LIFE),
+        "stream_process_lifecycle": sql(
+            "SELECT host_id, snapshot_id, pid, lifetime_id, lifecycle, rss_delta, vm_delta FROM prc_now UNION ALL "
+            "SELECT host_id, snapshot_id, pid, lifetime_id, lifecycle, NULL, NULL FROM prc_gone",
+            LIFE,
+        ),
         "stream_cycle": sql(
             f"""SELECT c.host_id, c.incident_id, c.subject_id, CASE WHEN back_at IS NULL THEN 'active'
               ELSE 'resolved' END AS state, {fixed('c.started_at', 'started_at')},

@@ -42,6 +42,12 @@ CONFLICTS = "host_id string, incident_id string, problem string, offered_at time
 SKIPPED = "host_id string, snapshot_id long, reason string"
 
 
+def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """A table without rows that the optimiser knows to be one, so what is joined to it costs nothing."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields)).limit(0)
+
+
 class Folder:
     """State tables by version, and logs by day and batch, under one path."""
 
@@ -60,7 +66,7 @@ class Folder:
     def state(self, name: str, versions: dict[str, int], schema: str) -> DataFrame:
         """A state table as a manifest names it; empty before its first version."""
         if name not in versions:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={versions[name]}")
 
     def every(self, name: str, schema: str, upto: int | None) -> DataFrame:
@@ -68,7 +74,7 @@ class Folder:
         kind = StructType([*StructType.fromDDL(schema).fields, StructField("batch", LongType())])
         fs, place = self.there(name)
         if upto is None or not fs.exists(place):
-            return self.spark.createDataFrame([], kind)
+            return empty(self.spark, kind)
         return self.spark.read.schema(kind).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").where(F.col("batch") <= upto)
 
     def there(self, name: str):
@@ -90,7 +96,7 @@ class Folder:
             if fs.exists(place):
                 found.append(f"{self.path}/{name}/day={day.isoformat()}")
         if not found:
-            return self.spark.createDataFrame([], kind)
+            return empty(self.spark, kind)
         return self.spark.read.schema(kind).option("basePath", f"{self.path}/{name}").parquet(*found).where(F.col("batch") <= number)
 
 

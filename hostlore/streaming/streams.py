@@ -6,15 +6,10 @@ lateness of the source.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hostlore.operators.lifecycle import USABLE
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -54,43 +49,6 @@ def interval_join(anchors: DataFrame, events: DataFrame, window_seconds: int, de
     return left.join(right, near, "inner").select("a.host_id", "a.unit", "a.anchor_id", "anchor_at", "e.cursor", "observed_at")
 
 
-LIFECYCLE = "host_id string, snapshot_id long, name string, lifecycle string"
-
-
-def service_states(captures: DataFrame) -> DataFrame:
-    """The lifecycle of services as captures arrive, by the rules of ``lifecycle.service_lifecycle``.
-
-    Input: one row per host and snapshot with the ``status`` of its services collection and its ``services`` as JSON, name
-    to [load, active, sub, valid]. State of a host: the snapshot before, its services if that collection was usable, and
-    whether it was complete.
-    """
-
-    def compare(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("snapshot_id")
-        out = []
-        for snapshot_id, status, text in zip(rows["snapshot_id"], rows["status"], rows["services"], strict=True):
-            now = json.loads(text) if status in USABLE and text else {}
-            complete = status == "success" and all(x[3] for x in now.values())
-            known = before is not None and before["snapshot_id"] == snapshot_id - 1
-            old, both = (before["services"], before["complete"] and complete) if known else ({}, False)
-            for name in sorted(now):
-                a, b = old.get(name), now[name]
-                if not b[3] or a is not None and not a[3]:
-                    word = "invalid"
-                elif a is None:
-                    word = "new" if both else "insufficient_history"
-                else:
-                    word = "continuing" if a == b else "state_changed"
-                out.append((key[0], int(snapshot_id), name, word))
-            out += [(key[0], int(snapshot_id), name, "removed") for name in sorted(old) if both and name not in now]
-            before = {"snapshot_id": int(snapshot_id), "services": now, "complete": complete}
-        state.update((json.dumps(before),))
-        yield pd.DataFrame(out, columns=["host_id", "snapshot_id", "name", "lifecycle"])
-
-    return captures.groupBy("host_id").applyInPandasWithState(compare, LIFECYCLE, "previous string", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, path: str) -> DataFrame:
     """Runs a stream over all that is there now, into Parquet under ``path``, and reads the result."""
     stream.writeStream.format("parquet").option(
