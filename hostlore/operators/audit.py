@@ -97,7 +97,15 @@ def audit_collections(results: DataFrame) -> DataFrame:
 
 
 def audit_reports(diagnoses: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Bounds and order of diagnoses and cycle summaries."""
+    """Bounds and order of diagnoses and cycle summaries.
+
+    Of a cycle's times, which may be null, the end mustn't be before the start, both must be finite, and where they are
+    in order, ``duration_seconds`` (if there is such a column) must be what lies between them.
+    """
+    start, end = F.col("started_monotonic"), F.col("completed_monotonic")
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    duration = F.col("duration_seconds") if "duration_seconds" in cycles.columns else end - start
+    ids = F.array("candidate_ids", "reconciled_ids", "resolved_ids")
     a = count_rules(
         diagnoses,
         {
@@ -115,6 +123,13 @@ def audit_reports(diagnoses: DataFrame, cycles: DataFrame) -> DataFrame:
             {
                 "counts_positive": F.least("n_services", "n_processes", "n_network", "events_processed") < 0,
                 "cycle_limits_sorted": ~F.col("limitations").eqNullSafe(F.array_sort(F.array_distinct("limitations"))),
+                "cycle_limits_bound": (F.size("limitations") > 32) | F.exists("limitations", lambda x: (F.length(x) < 1) | (F.length(x) > 256)),
+                "cycle_ids_unique": F.exists(ids, lambda x: F.size(x) != F.size(F.array_distinct(x))),
+                "cycle_ids_shape": F.exists(F.flatten(ids), lambda x: ~x.rlike("^[0-9a-f]{64}$")),
+                "cycle_number": F.col("snapshot_id") < 1,
+                "cycle_time_finite": ~(finite(start) & finite(end) & finite(duration)),
+                "cycle_time_order": (finite(start) & finite(end) & (end < start)) | (duration < 0),
+                "cycle_duration": finite(start) & finite(end) & (end >= start) & (duration != end - start),
             },
         )
     )

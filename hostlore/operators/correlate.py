@@ -1,4 +1,7 @@
-"""From lifecycle changes and journal events to incident candidates with bounded evidence."""
+"""From lifecycle changes and journal events to incident candidates with bounded evidence.
+
+Rule id, states and bounds are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -118,6 +121,55 @@ def near(anchors: DataFrame, items: DataFrame, keys: list[str], window_us: int)
     return left.join(right, [*keys, "slot"]).where(F.abs(F.col("item_t") - F.col("t")) <= window_us).drop("slot")
 
 
+def numbered(items: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Items with their ``slot`` and two numbers in it: ``back`` counts so that walking down from a number meets equal times by
+    rising ``tie``, ``ahead`` so that walking up does."""
+    own = Window.partitionBy(*keys, "slot")
+    items = items.withColumn("slot", F.floor(F.col("item_t") / width))
+    return items.withColumns({"back": F.row_number().over(own.orderBy("item_t", F.desc("tie"))), "ahead": F.row_number().over(own.orderBy("item_t", "tie"))})
+
+
+def nearest(anchors: DataFrame, items: DataFrame, keys: list[str], window_us: int, most: int, tie: Column) -> DataFrame:
+    """What ``near`` gives, but of each anchor only the ``most`` items before or at its time and the ``most`` after it.
+
+    Items are numbered within their slots, which are as wide as the window. An anchor learns from a merge with its slot how
+    many items stand before it and how many the slot has; that names the numbers that it needs there, and how many more it
+    needs of the slots beside. So an anchor asks for 2 x ``most`` numbers at most, each an ordinary join key, however
+    many items its window has. ``tie``: text by which items of equal distance and time are ordered, unique in a key.
+    """
+    width = max(window_us, 1)
+    right = numbered(items.withColumnRenamed("t", "item_t").withColumn("tie", tie), keys, width)
+    left = anchors.withColumns({"slot": F.floor(F.col("t") / width)})
+    # one sorted run of items and anchors in each slot; at equal times items come first
+    run = right.select(*keys, "slot", F.col("item_t").alias("at"), F.lit(0).alias("is_ask"))
+    run = run.unionByName(left.select(*keys, "slot", F.col("t").alias("at"), F.lit(1).alias("is_ask")).distinct())
+    own = Window.partitionBy(*keys, "slot")
+    before = F.sum(1 - F.col("is_ask")).over(own.orderBy("at", "is_ask").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = right.groupBy(*keys, "slot").agg(F.count("*").alias("size"))
+    counted = run.withColumn("passed", before).where("is_ask = 1").select(*keys, "slot", F.col("at").alias("t"), "passed")
+    counted = counted.join(sizes, [*keys, "slot"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    beside = sizes.select(*keys, (F.col("slot") + 1).alias("slot"), F.col("size").alias("size_before"))
+    counted = counted.join(beside, [*keys, "slot"], "left").withColumn("size_before", F.coalesce("size_before", F.lit(0)))
+
+    passed, size, prior = (F.col(c).cast("long") for c in ("passed", "size", "size_before"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    numbers = lambda low, high: F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    wants = lambda side, step, found: F.transform(
+        found, lambda n: F.struct(F.lit(side).alias("side"), (F.col("slot") + step).alias("in_slot"), n.alias("number"))
+    )
+    asked = F.concat(
+        wants("back", 0, numbers(F.greatest(passed - most + 1, one), passed)),
+        wants("back", -1, numbers(F.greatest(prior - F.greatest(most - passed, zero) + 1, one), prior)),
+        wants("ahead", 0, numbers(passed + 1, F.least(passed + most, size))),
+        wants("ahead", 1, numbers(one, F.greatest(most - (size - passed), zero))),
+    )
+    lookups = counted.select(*keys, "t", F.explode(asked).alias("w")).select(*keys, "t", F.col("w.side").alias("side"), F.col("w.in_slot").alias("slot"), "w.number")
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("number")) for s in ("back", "ahead"))))
+    offered = right.withColumn("s", sides).select("*", "s.*").drop("s", "back", "ahead", "tie")
+    found = lookups.join(offered, [*keys, "slot", "side", "number"]).drop("slot", "side", "number")
+    return anchors.join(found, [*keys, "t"]).where(F.abs(F.col("item_t") - F.col("t")) <= window_us)
+
+
 EVIDENCE = ["kind", "evidence_id", "evidence_at", "reason", "summary", "fact", "evidence_limitations"]
 
 
@@ -127,8 +179,8 @@ def anchored(changes: DataFrame) -> DataFrame:
     )
 
 
-def event_evidence(anchors: DataFrame, events: DataFrame, window_us: int) -> DataFrame:
-    """Journal events of exactly the anchor's unit within the window."""
+def event_evidence(anchors: DataFrame, events: DataFrame, window_us: int, most: int | None = None) -> DataFrame:
+    """Journal events of exactly the anchor's unit within the window; with ``most``, the nearest so many on each side."""
     if "warnings" not in events.columns:
         events = events.withColumn("warnings", no_limits())
     items = events.select(
@@ -143,7 +195,9 @@ def event_evidence(anchors: DataFrame, events: DataFrame, window_us: int) -> Dat
     detail = F.concat(
         F.lit("journal event"), F.when(F.col("priority").isNotNull(), F.concat(F.lit(" priority "), F.col("priority").cast("string"))).otherwise("")
     )
-    return near(anchors, items, ["host_id", "name"], window_us).select(
+    keys = ["host_id", "name"]
+    found = near(anchors, items, keys, window_us) if most is None else nearest(anchors, items, keys, window_us, most, F.col("cursor"))
+    return found.select(
         *anchors.columns,
         "item_t",
         F.lit("journal_event").alias("kind"),
@@ -167,8 +221,8 @@ def events_for_anchors(found: DataFrame, limit: int = 1000) -> DataFrame:
     return placed.where(F.col("place") <= limit).drop("place")
 
 
-def process_evidence(anchors: DataFrame, changes: DataFrame, associations: DataFrame, window_us: int) -> DataFrame:
-    """New, exited and changed lifetimes that are explicitly associated with the anchor's service."""
+def process_evidence(anchors: DataFrame, changes: DataFrame, associations: DataFrame, window_us: int, most: int | None = None) -> DataFrame:
+    """New, exited and changed lifetimes that are explicitly associated with the anchor's service; ``most`` as for events, by lifetime."""
     if "limitations" not in changes.columns:
         changes = changes.withColumn("limitations", no_limits())
     usable = changes.where(F.col("lifecycle").isin("new", "exited", "identity_changed") & F.col("lifetime_id").isNotNull())
@@ -185,7 +239,9 @@ def process_evidence(anchors: DataFrame, changes: DataFrame, associations: DataF
         F.col("p_lifecycle") == "exited", "process_exited"
     ).when(F.col("p_lifecycle") == "new", "process_started").otherwise("process_identity_changed")
     linked = anchors.join(service_associations(associations).withColumnRenamed("service_name", "name"), ["host_id", "name"])
-    return near(linked, items, ["host_id", "lifetime_id"], window_us).select(
+    keys = ["host_id", "lifetime_id"]
+    found = near(linked, items, keys, window_us) if most is None else nearest(linked, items, keys, window_us, most, F.col("evidence_id"))
+    return found.select(
         *anchors.columns,
         "item_t",
         F.lit("process_change").alias("kind"),
@@ -231,7 +287,8 @@ def correlate(changes: DataFrame, process_changes: DataFrame, events: DataFrame,
     A candidate needs one related item besides its anchor. Nearness in time alone never relates.
     """
     anchors = anchored(changes)
-    related = event_evidence(anchors, events, window_us).unionByName(process_evidence(anchors, process_changes, associations, window_us))
+    found = event_evidence(anchors, events, window_us, most - 1)
+    related = found.unionByName(process_evidence(anchors, process_changes, associations, window_us, most - 1))
     kept = ranked_evidence(related, most)
     with_any = anchor_evidence(anchors).join(kept.select("host_id", "change_id").distinct(), ["host_id", "change_id"], "left_semi")
     rows = with_any.unionByName(kept.drop("place"))

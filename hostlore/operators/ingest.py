@@ -15,6 +15,8 @@ from hostlore.operators import chain
 from hostlore.operators.temporal import TICKS
 
 KEY = ["host_id", "snapshot_id"]
+#: The order of collectors in a snapshot.
+COLLECTORS = ("system", "memory", "cpu", "processes", "disk", "network", "services")
 MEMORY = {
     "MemTotal": "total_bytes",
     "MemAvailable": "available_bytes",
@@ -349,9 +351,20 @@ def accept_page_chain(records: DataFrame, limit: int, saved: DataFrame | None =
     return accept_pages(records, before, limit, every)
 
 
-def assemble_snapshots(snapshots: DataFrame, statuses: DataFrame, **tables: DataFrame) -> DataFrame:
-    """One row per snapshot: a status map and the number of rows of each observation table."""
-    status = statuses.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("collector_name", "status")))).alias("statuses"))
+def assemble_snapshots(snapshots: DataFrame, statuses: DataFrame, collectors: tuple[str, ...] = COLLECTORS, **tables: DataFrame) -> DataFrame:
+    """One row per snapshot: a status map, its warnings, and the number of rows of each observation table.
+
+    ``statuses`` may have ``warnings``, those of a collection in their order; a snapshot has them in the order of
+    ``collectors``, then those of other collectors by name.
+    """
+    if "warnings" not in statuses.columns:
+        statuses = statuses.withColumn("warnings", F.array().cast("array<string>"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(c) for c in collectors)), F.col("collector_name")), F.lit(0)), F.lit(len(collectors) + 1))
+    own = F.struct(place.alias("place"), "collector_name", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+    status = statuses.groupBy(*KEY).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("collector_name", "status")))).alias("statuses"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["warnings"])).alias("warnings"),
+    )
     out = snapshots.select(*KEY, "observed_at").join(status, KEY, "left")
     for name, df in tables.items():
         out = out.join(df.groupBy(*KEY).agg(F.count("*").alias(f"n_{name}")), KEY, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlore.operators import chain
+from hostlore.sources.publish import publish
 
 KEY = ["host_id", "snapshot_id"]
 
@@ -57,27 +58,67 @@ def checkpoints(events: DataFrame) -> DataFrame:
     return events.groupBy("host_id", "source").agg(F.max_by("cursor", "seq").alias("cursor"), F.max("observed_at").alias("updated_at"))
 
 
-def latest_quality(results: DataFrame) -> DataFrame:
-    """The newest collection result of each host and collector, failures included."""
-    return results.groupBy("host_id", "collector_name").agg(
-        F.max_by(F.struct("snapshot_id", "status", "collected_at"), F.struct("collected_at", "snapshot_id")).alias("r")
-    ).select("host_id", "collector_name", "r.*")
+QUALITY = {"duration_seconds": "double", "error_code": "string", "error_message": "string", "warnings": "array<string>"}
 
 
-def valid_snapshots(snapshots: DataFrame, results: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Snapshots without repeated collectors or child keys; all or nothing."""
+def latest_quality(results: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """The newest collection result of each host and collector, failures included.
+
+    ``accepted`` (host_id, snapshot_id, collector_name, event_count): how many facts a collection took in, which is not how
+    many are still stored. A failure has none; a success that isn't there took in 0. Fields that ``results`` lacks are null.
+    """
+    keys = ["host_id", "snapshot_id", "collector_name"]
+    rows = results.withColumns({c: F.lit(None).cast(kind) for c, kind in QUALITY.items() if c not in results.columns})
+    if accepted is None:
+        rows = rows.withColumn("event_count", F.lit(None).cast("long"))
+    else:
+        taken = F.when(F.col("status").isin("success", "partial"), F.coalesce("event_count", F.lit(0).cast("long")))
+        rows = rows.join(accepted.select(*keys, "event_count"), keys, "left").withColumn("event_count", taken)
+    fields = ["snapshot_id", "status", "collected_at", "event_count", *QUALITY]
+    newest = rows.groupBy("host_id", "collector_name").agg(F.max_by(F.struct(*fields), F.struct("collected_at", "snapshot_id")).alias("r"))
+    return newest.select("host_id", "collector_name", "r.*")
+
+
+def valid_snapshots(snapshots: DataFrame, results: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], claimed: DataFrame | None = None) -> DataFrame:
+    """Snapshots without repeated collectors or child keys; all or nothing.
+
+    ``claimed`` (host_id, snapshot_id, collector_name, status): the statuses that the snapshots themselves name. A snapshot
+    is refused when they aren't those of its collection results, each once.
+    """
     bad = results.groupBy(*KEY, "collector_name").count().where("count > 1").select(*KEY)
     for df, key in children.values():
         bad = bad.unionByName(df.groupBy(*KEY, *key).count().where("count > 1").select(*KEY))
+    if claimed is not None:
+        one = lambda df, name: df.groupBy(*KEY, "collector_name").agg(F.min("status").alias(name), F.count("*").alias(f"n_{name}"))
+        both = one(claimed, "said").join(one(results, "was"), [*KEY, "collector_name"], "full_outer")
+        bad = bad.unionByName(both.where(~F.col("said").eqNullSafe(F.col("was")) | (F.col("n_said") > 1)).select(*KEY))
     return snapshots.join(bad.distinct(), KEY, "left_anti")
 
 
-def fan_out(snapshots: DataFrame, results: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
+def fan_out(
+    snapshots: DataFrame, results: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], claimed: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """The child tables of the valid snapshots."""
-    good = valid_snapshots(snapshots, results, children).select(*KEY)
+    good = valid_snapshots(snapshots, results, children, claimed).select(*KEY)
     return {name: df.join(good, KEY, "left_semi") for name, (df, _) in children.items()}
 
 
+def publish_snapshots(
+    path: str,
+    snapshots: DataFrame,
+    results: DataFrame,
+    children: dict[str, tuple[DataFrame, list[str]]],
+    claimed: DataFrame | None = None,
+    expected: int | None = None,
+) -> int:
+    """Writes the valid snapshots, their results and all their child tables as one version under ``path``; see ``publish``."""
+    good = valid_snapshots(snapshots, results, children, claimed)
+    kept = good.select(*KEY)
+    tables = {"snapshots": good, "results": results.join(kept, KEY, "left_semi")}
+    tables |= {name: df.join(kept, KEY, "left_semi") for name, (df, _) in children.items()}
+    return publish(path, tables, expected)
+
+
 def rebuild(snapshots: DataFrame, results: DataFrame, services: DataFrame, processes: DataFrame) -> DataFrame:
     """Snapshots with their children as sorted arrays."""
     gather = lambda df, name, *cols: df.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -131,10 +172,24 @@ def keep_events_from(events: DataFrame, cutoff) -> DataFrame:
     return events.where(F.col("observed_at") >= F.lit(cutoff).cast("timestamp"))
 
 
-def newest_events(events: DataFrame, most: int) -> DataFrame:
-    """The newest ``most`` of each host."""
-    w = Window.partitionBy("host_id").orderBy(F.desc("observed_at"), F.desc("cursor"))
-    return events.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+def newest_events(events: DataFrame, most: int, cell_seconds: int = 3600) -> DataFrame:
+    """The newest ``most`` of each host, by time and cursor.
+
+    A histogram of each host's times in cells of ``cell_seconds`` tells in which cell the last of them is. Newer cells stay
+    whole and older ones go; only the events of that one cell are ranked.
+    """
+    cell = F.floor(F.unix_micros("observed_at") / (cell_seconds * 1_000_000))
+    counts = events.groupBy("host_id", cell.alias("cell")).agg(F.count("*").alias("n"))
+    newer = F.sum("n").over(Window.partitionBy("host_id").orderBy(F.desc("cell")))
+    edge = counts.withColumn("upto", newer).where(F.col("upto") >= most).groupBy("host_id").agg(
+        F.max("cell").alias("edge"), F.min(F.col("upto")).alias("reached"), F.max_by("n", "cell").alias("in_edge")
+    )
+    edge = edge.select("host_id", "edge", (most - (F.col("reached") - F.col("in_edge"))).alias("room"))  # none: the host has fewer
+    placed = events.withColumn("cell", cell).join(edge, "host_id", "left")
+    whole = placed.where("edge is null or cell > edge").select(events.columns)
+    w = Window.partitionBy("host_id", "cell").orderBy(F.desc("observed_at"), F.desc("cursor"))
+    part = placed.where("cell = edge").withColumn("place", F.row_number().over(w)).where("place <= room").select(events.columns)
+    return whole.unionByName(part)
 
 
 def newest_snapshots(snapshots: DataFrame, most: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Raw captures printed from the derived tables, in SQL that Spark and DuckDB both read; every 17th is malformed."""
+"""Raw captures printed from the derived tables, in SQL that Spark and DuckDB both read; every 17th is malformed, in one of its lines."""
 
 from __future__ import annotations
 
@@ -18,20 +18,22 @@ raw_memory AS (
     'MemAvailable: ' || CAST(available_kb AS STRING) || ' kB' || chr(10) || coalesce('Buffers: ' || CAST(buffers_kb AS STRING) || ' kB' ||
       chr(10), '') || 'HugePages_Total: 0' AS payload FROM memory_observations),
 raw_network AS (
-  SELECT host_id || '/' || interface AS host_id, snapshot_id, interface, receive_bytes, transmit_bytes, 'Inter-| Receive' || chr(10) ||
-    ' face |bytes' || chr(10) || '  ' || interface || ': ' || CAST(receive_bytes AS STRING) ||
-    CASE WHEN snapshot_id % 17 = 0 THEN ' 1 2' ELSE ' 1 2 3 0 0 0 0 ' || CAST(transmit_bytes AS STRING) || ' 4 5 6 0 0 0 0' END AS payload
-      FROM network_observations),
+  SELECT host_id, snapshot_id, 'Inter-| Receive' || chr(10) || ' face |bytes' || chr(10) || string_agg('  ' || interface || ': ' ||
+    CAST(receive_bytes AS STRING) || CASE WHEN snapshot_id % 17 = 0 AND interface = 'if-view' THEN ' 1 2' ELSE ' 1 2 3 0 0 0 0 ' ||
+    CAST(transmit_bytes AS STRING) || ' 4 5 6 0 0 0 0' END, chr(10)) AS payload FROM network_observations GROUP BY host_id, snapshot_id),
 raw_processes AS (
   SELECT host_id, snapshot_id, pid, CAST(pid AS STRING) || ' (' || name || ' (x) y) S 1 ' || CASE WHEN pid % 17 = 0 THEN 'bad'
     ELSE '0' END || ' 0 0 0 0 0 0 0 0 ' || CAST(cpu_time_ticks AS STRING) || ' 5 0 0 20 0 1 0 ' ||
     CAST(coalesce(start_time_ticks, 0) AS STRING) || ' ' || CAST(4 * rss_bytes AS STRING) || ' ' || CASE WHEN pid % 17 = 1 THEN 'none'
       ELSE CAST(rss_bytes AS STRING) END || ' 0' AS stat,
     '/bin/' || name || ' --token abc' AS cmdline, CASE WHEN pid % 2 = 0 THEN '/bin/' || name END AS executable FROM process_observations),
+service_line AS (
+  SELECT host_id, snapshot_id, name, load_state, active_state, sub_state, row_number() OVER (PARTITION BY host_id, snapshot_id ORDER BY name) AS r
+  FROM service_observations),
 raw_services AS (
-  SELECT host_id || '/' || name AS host_id, snapshot_id, name, load_state, active_state, sub_state,
-    name || ' ' || load_state || ' ' || active_state || CASE WHEN snapshot_id % 17 = 0 THEN ''
-      ELSE ' ' || sub_state || ' some description' END AS payload FROM service_observations),
+  SELECT host_id, snapshot_id, string_agg(name || ' ' || load_state || ' ' || active_state || CASE WHEN snapshot_id % 17 = 0 AND r = 1 THEN ''
+    ELSE ' ' || sub_state || ' some description' END || CASE WHEN snapshot_id % 13 = 5 AND r = 2 THEN chr(10) || name || ' a b c' ELSE '' END, chr(10)) AS payload
+  FROM service_line GROUP BY host_id, snapshot_id),
 raw_uptime AS (SELECT host_id, snapshot_id, monotonic_s, CASE WHEN snapshot_id % 17 = 0 THEN '-1.5 2'
   ELSE CAST(snapshot_id AS STRING) || '.25 100.5' END AS payload FROM snapshots),
 raw_journal AS (

@@ -269,8 +269,13 @@ def oracles() -> dict[str, str]:
         "swap_free_bytes FROM memory_observations"
     )
     fixed_counts = {"receive_packets": 1, "transmit_packets": 4, "receive_errors": 2, "transmit_errors": 5, "receive_drops": 3, "transmit_drops": 6}
-    valid = ", ".join([*(pick(c, ok17) for c in ("interface", "receive_bytes", "transmit_bytes")), *(pick(f"CAST({v} AS BIGINT)", ok17, c) for c, v in fixed_counts.items())])
-    out["ingest_network"] = sql(f"SELECT host_id, snapshot_id, {ok17} AS valid, {valid} FROM raw_network")
+    counted = ", ".join(f"CAST({v} AS BIGINT) AS {c}" for c, v in fixed_counts.items())
+    out["ingest_network"] = sql(
+        f"SELECT host_id, snapshot_id, true AS valid, interface, receive_bytes, transmit_bytes, {counted} FROM network_observations "
+        f"WHERE (host_id, snapshot_id) NOT IN (SELECT (host_id, snapshot_id) FROM bad_network) "
+        f"UNION ALL SELECT host_id, snapshot_id, false, NULL, NULL, NULL{', NULL' * len(fixed_counts)} FROM bad_network",
+        "bad_network AS (SELECT DISTINCT host_id, snapshot_id FROM network_observations WHERE snapshot_id % 17 = 0 AND interface = 'if-view')",
+    )
     values = {
         "ppid": "1", "name": "name || ' (x) y'", "state": "'S'", "rss_bytes": "rss_bytes * 4096", "virtual_memory_bytes": "4 * rss_bytes", "threads": "1",
         "cpu_time_ticks": "cpu_time_ticks + 5", "start_time_ticks": "coalesce(start_time_ticks, 0)", "command": "'/bin/' || name || ' --token [REDACTED]'",
@@ -279,9 +284,11 @@ def oracles() -> dict[str, str]:
     valid = ", ".join(pick(v, "ok", c) for c, v in values.items())
     out["ingest_processes"] = sql(f"SELECT host_id, snapshot_id, pid, ok AS valid, {valid} FROM (SELECT *, pid % 17 <> 1 AS ok FROM process_observations)")
     out["ingest_services"] = sql(
-        f"SELECT host_id, snapshot_id, {ok17} AS valid, "
-        + ", ".join(pick(c, ok17) for c in ("name", "load_state", "active_state", "sub_state"))
-        + " FROM raw_services"
+        "SELECT host_id, snapshot_id, true AS valid, name, load_state, active_state, sub_state FROM service_observations "
+        "WHERE (host_id, snapshot_id) NOT IN (SELECT (host_id, snapshot_id) FROM bad_services) "
+        "UNION ALL SELECT host_id, snapshot_id, false, NULL, NULL, NULL, NULL FROM bad_services",
+        "bad_services AS (SELECT host_id, snapshot_id FROM service_observations GROUP BY host_id, snapshot_id "
+        "HAVING snapshot_id % 17 = 0 OR snapshot_id % 13 = 5 AND count(*) > 1)",
     )
     out["ingest_system"] = sql(
         f"SELECT host_id, snapshot_id, {ok17} AS valid, CASE "
@@ -338,7 +345,10 @@ walk AS (
     parts = {"services": "service", "processes": "process", "network": "network", "cpu": "cpu", "memory": "memory", "disk": "disk"}
     counts = ", ".join(f"{number_of(f'{table}_observations')} AS n_{name}" for name, table in parts.items())
     statuses = listed("collection_results", "collector_name || '=' || status", "collector_name", "statuses")
-    out["assemble_snapshot"] = sql(f"SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, {statuses}, {counts} FROM snapshots s")
+    warnings = """(SELECT coalesce(string_agg(collector_name || ' was ' || status || '|' || collector_name || ' again', '|' ORDER BY CASE collector_name
+      WHEN 'processes' THEN 4 WHEN 'services' THEN 7 ELSE 8 END), '') FROM collection_results o WHERE o.host_id = s.host_id AND o.snapshot_id = s.snapshot_id
+      AND status <> 'success') AS warnings"""
+    out["assemble_snapshot"] = sql(f"SELECT s.host_id, s.snapshot_id, {fixed('observed_at', 'observed_at')}, {statuses}, {warnings}, {counts} FROM snapshots s")
     out["events_append_new"] = sql(f"SELECT host_id, cursor, {fixed('observed_at', 'observed_at')} FROM journal_events WHERE snapshot_id > 15")
     out["journal_batch_gate"] = walked(
         "SELECT host_id, snapshot_id, met AS saved, reason IS NULL AS accepted, reason FROM walk WHERE k > 0",
@@ -359,18 +369,18 @@ walk AS (
         f"FROM journal_events GROUP BY host_id, source"
     )
     out["latest_journal_quality"] = sql(
-        f"SELECT host_id, collector_name, snapshot_id, status, {fixed('collected_at', 'collected_at')} "
-        f"FROM collection_results r WHERE snapshot_id = (SELECT max(snapshot_id) FROM snapshots s "
-        f"WHERE s.host_id = r.host_id)"
+        f"""SELECT host_id, collector_name, snapshot_id, status, {fixed('collected_at', 'collected_at')}, CASE
+          WHEN status NOT IN ('success', 'partial') THEN NULL WHEN collector_name = 'journal' THEN {number_of('journal_events').replace('s.', 'r.')}
+          ELSE 0 END AS event_count, snapshot_id * 0.5::DOUBLE AS duration_seconds, CASE WHEN status <> 'success' THEN collector_name || '_' || status END AS error_code
+          FROM collection_results r WHERE snapshot_id = (SELECT max(snapshot_id) FROM snapshots s WHERE s.host_id = r.host_id)"""
     )
+    good = "WHERE (host_id, snapshot_id) NOT IN (SELECT (host_id, snapshot_id) FROM refused)"
     out["snapshot_fanout"] = sql(
-        "SELECT host_id, snapshot_id, 'services' AS part, name AS child FROM service_observations "
-        "WHERE snapshot_id NOT IN (3) OR NOT EXISTS (SELECT 1 FROM service_observations o "
-        "WHERE o.host_id = service_observations.host_id AND o.snapshot_id = 3) UNION ALL "
-        "SELECT p.host_id, p.snapshot_id, 'processes', CAST(pid AS VARCHAR) FROM process_observations p "
-        "WHERE (host_id, snapshot_id) NOT IN (SELECT (host_id, snapshot_id) FROM service_observations "
-        "WHERE snapshot_id = 3) UNION ALL SELECT host_id, snapshot_id, 'network', interface FROM network_observations "
-        "WHERE (host_id, snapshot_id) NOT IN (SELECT (host_id, snapshot_id) FROM service_observations WHERE snapshot_id = 3)"
+        f"SELECT host_id, snapshot_id, 'services' AS part, name AS child FROM service_observations {good} UNION ALL "
+        f"SELECT host_id, snapshot_id, 'processes', CAST(pid AS VARCHAR) FROM process_observations {good} UNION ALL "
+        f"SELECT host_id, snapshot_id, 'network', interface FROM network_observations {good}",
+        "refused AS (SELECT host_id, snapshot_id FROM service_observations WHERE snapshot_id = 3 UNION SELECT host_id, snapshot_id FROM snapshots "
+        "WHERE snapshot_id IN (5, 8))",
     )
     out["snapshot_rebuild"] = sql(
         """SELECT s.host_id, s.snapshot_id, (SELECT string_agg(collector_name || '=' || status, '|' ORDER BY collector_name)
@@ -747,9 +757,15 @@ overlay AS (
         "SELECT 'status_known' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'has_time', 0 UNION ALL "
         "SELECT 'duration_positive', count(*) FROM collection_results WHERE snapshot_id % 4 = 0 OR snapshot_id < 3"
     )
-    out[
-        "audit_reports"
-    ] = "SELECT rule, CAST(0 AS BIGINT) AS violations " "FROM (VALUES ('history_bound'), ('history_unique'), ('provenance'), ('facts'), ('explanation'), ('limits_bound'), " "('counts_positive'), ('cycle_limits_sorted')) t(rule)"
+    whole = ("history_bound", "history_unique", "provenance", "facts", "explanation", "limits_bound", "counts_positive", "cycle_limits_sorted")
+    whole += ("cycle_limits_bound", "cycle_ids_unique", "cycle_ids_shape", "cycle_number")
+    broken = {"cycle_time_order": "snapshot_id % 9 = 0", "cycle_duration": "snapshot_id % 4 = 0 AND snapshot_id % 9 <> 0", "cycle_time_finite": "snapshot_id % 13 = 0"}
+    out["audit_reports"] = sql(
+        "SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES "
+        + ", ".join(f"('{r}')" for r in whole)
+        + ") t(rule)"
+        + "".join(f" UNION ALL SELECT '{r}', count(*) FROM snapshots WHERE {w}" for r, w in broken.items())
+    )
     out["upgrade_history"] = sql(
         "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || CASE "
         "WHEN event_id % 2 = 0 THEN '.500000' ELSE '.000000' END || '+00:00' AS observed_text, CASE "

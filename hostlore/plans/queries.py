@@ -208,9 +208,13 @@ def journal_page_accept(x):
 
 @query
 def assemble_snapshot(x):
+    warned = F.when(
+        F.col("status") != "success",
+        F.array(F.concat_ws(" was ", "collector_name", "status"), F.concat("collector_name", F.lit(" again"))),
+    )
     out = ingest.assemble_snapshots(
         x.snapshots,
-        x.collection_results,
+        x.collection_results.withColumn("warnings", warned),
         services=x.service_observations,
         processes=x.process_observations,
         network=x.network_observations,
@@ -225,6 +229,7 @@ def assemble_snapshot(x):
         F.array_join(
             F.transform(F.array_sort(F.map_entries("statuses")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|"
         ).alias("statuses"),
+        j("warnings"),
         "n_services",
         "n_processes",
         "n_network",
@@ -258,7 +263,12 @@ def advance_checkpoint(x):
 
 @query
 def latest_journal_quality(x):
-    return stored.latest_quality(x.collection_results).select("host_id", "collector_name", "snapshot_id", "status", t("collected_at"))
+    code = F.when(F.col("status") != "success", F.concat_ws("_", "collector_name", "status"))
+    results = x.collection_results.withColumns({"duration_seconds": F.col("snapshot_id") * 0.5, "error_code": code})
+    accepted = x.journal_events.groupBy("host_id", "snapshot_id").agg(F.count("*").alias("event_count")).withColumn("collector_name", F.lit("journal"))
+    return stored.latest_quality(results, accepted).select(
+        "host_id", "collector_name", "snapshot_id", "status", t("collected_at"), "event_count", "duration_seconds", "error_code"
+    )
 
 
 def doubled(x):
@@ -268,10 +278,13 @@ def doubled(x):
 
 @query
 def snapshot_fanout(x):
+    said = F.when((F.col("snapshot_id") == 5) & (F.col("collector_name") == "journal"), "partly").otherwise(F.col("status"))
+    claimed = x.collection_results.where("not (snapshot_id = 8 and collector_name = 'services')").withColumn("status", said)
     parts = stored.fan_out(
         x.snapshots,
         x.collection_results,
         {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])},
+        claimed,
     )
     return parts["services"].select("host_id", "snapshot_id", F.lit("services").alias("part"), F.col("name").alias("child")).unionByName(
         parts["processes"].select("host_id", "snapshot_id", F.lit("processes").alias("part"), F.col("pid").cast("string").alias("child"))
@@ -968,7 +981,10 @@ def audit_collections(x):
 
 @query
 def audit_reports(x):
-    return audit.audit_reports(x.diagnoses(), x.cycles())
+    n = F.col("snapshot_id")
+    start = F.when(n % 13 == 0, float("nan")).otherwise(n * 60.0)
+    timed = x.cycles().withColumn("started_monotonic", start).withColumn("completed_monotonic", n * 60.0 + F.when(n % 9 == 0, -1.0).otherwise(5.0))
+    return audit.audit_reports(x.diagnoses(), timed.withColumn("duration_seconds", F.when(n % 4 == 0, 6.0).when(n % 9 == 0, -1.0).otherwise(5.0)))
 
 
 @query
