@@ -124,9 +124,11 @@ def widened(cells: np.ndarray, absent: np.ndarray, width: int) -> np.ndarray:
 
 
 def cell_divergence(key: tuple, rows: pa.Table) -> pa.Table:
-    """Partial divergences of the pairs of sources in a cell; one slice (a block against itself) or two."""
+    """Partial divergences of the pairs of sources in a cell: a block against itself, or against another one that has sources."""
     slices = sorted(rows.to_pylist(), key=lambda r: r["group_block"])
-    same = len(slices) == 1
+    same = key[1] == key[2]
+    if not same and len(slices) == 1:
+        return pa.table([pa.array([], k) for k in (pa.string(), pa.string(), pa.string(), pa.int64())], names=["lang", "a", "b", "part"])
     a, absent_a, p = opened(slices[0])
     b, absent_b, q = opened(slices[-1])
     width = max(p.shape[1], q.shape[1])

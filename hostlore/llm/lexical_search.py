@@ -188,15 +188,17 @@ class Lists:
         return np.sort(sum(self.looked_up(docs, t) for t in chain))[::-1][:k]
 
     def best(self, chain: list[int], pairs: dict | None, floor: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and scores of the ``k`` best documents that reach the floor, and how many documents were looked at."""
+        """Ids and scores of the ``k`` best documents that reach the floor, and how many impacts were looked at."""
         bound, floor = self.bounds(chain, pairs), max(floor, 1)
         essential = next(i for i in range(len(chain) + 1) if bound[i] < floor)
         score = np.zeros(len(self.ids), np.int64)
+        looked = 0
         for t in chain[:essential]:
             docs, impacts = self.term(t)
             score[docs] += impacts
+            looked += len(docs)
         docs = np.flatnonzero(score)
-        looked, score = len(docs), score[docs]
+        score = score[docs]
         for i in range(essential, len(chain) + 1):
             if len(docs) >= k:
                 floor = max(floor, int(np.partition(score, len(score) - k)[len(score) - k]))
@@ -205,6 +207,7 @@ class Lists:
             if not docs.size or i == len(chain):
                 break
             score = score + self.looked_up(docs, chain[i])
+            looked += len(docs)
         order = np.lexsort((self.ids[docs], -score))[:k]
         return self.ids[docs[order]], score[order], looked
 
