@@ -21,7 +21,6 @@ import threading
 from collections.abc import Iterable
 from datetime import date, timedelta
 
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -101,16 +100,16 @@ class Folder:
 
 
 class Counted(StreamingQueryListener):
-    """Tells when a query has committed ``most`` batches."""
+    """Tells when a query has committed ``most`` batches. A batch that failed reports progress too, so manifests are asked."""
 
-    def __init__(self, most: int):
-        self.most, self.seen, self.run_id, self.reached = most, set(), None, threading.Event()
+    def __init__(self, most: int, manifests: Manifests):
+        self.most, self.manifests, self.seen, self.run_id, self.reached = most, manifests, set(), None, threading.Event()
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
-        if str(event.progress.runId) == self.run_id:
+        if str(event.progress.runId) == self.run_id and self.manifests.read(event.progress.batchId) is not None:
             self.seen.add(event.progress.batchId)
             if len(self.seen) >= self.most:
                 self.reached.set()
@@ -281,7 +280,7 @@ class FleetCycles:
         if batches is None:
             self.start(captures).awaitTermination()
             return
-        counted = Counted(batches)
+        counted = Counted(batches, self.folder.manifests)
         self.spark.streams.addListener(counted)
         try:
             query = self.start(captures)
@@ -290,8 +289,8 @@ class FleetCycles:
                 pass
             if counted.reached.is_set():
                 query.stop()
-            if (problem := query.exception()) and not counted.reached.is_set():
-                raise StreamingQueryException(str(problem))
+            else:
+                query.awaitTermination()  # all is done, or what went wrong is raised
         finally:
             self.spark.streams.removeListener(counted)
 

@@ -232,7 +232,9 @@ def test_reconcile(spark):
     old = frame(spark, [row("a", 1), row("b", 1), row("c", 1, "resolved", 2), row("d", 1)], HEAD)
     new = frame(spark, [row("a", 3), row("c", 3), row("d", 1, rule="other"), row("e", 1)], HEAD)
     merged, bad = reconcile.upsert(old, new)
-    assert {r.incident_id: r.change for r in merged.collect()} == {"a": "extended", "b": "stored", "e": "inserted"}
+    assert {r.incident_id: r.change for r in merged.collect()} == {
+        "a": "extended", "b": "stored", "c": "kept", "d": "kept", "e": "inserted"
+    }
     assert {r.incident_id: r.problem for r in bad.collect()} == {"c": "evidence_after_resolution", "d": "identity_reused"}
     again, none = reconcile.upsert(merged.drop("change"), new.where("incident_id in ('a', 'e')"))
     assert {r.change for r in again.collect()} == {"kept", "stored"} and none.count() == 0
@@ -244,7 +246,7 @@ def test_reconcile(spark):
     done, early = reconcile.resolve(merged, subjects, new.where("incident_id = 'e'"))
     assert {
         r.incident_id: r.state for r in done.collect()
-    } == {"a": "resolved", "b": "active", "e": "active"} and [r.incident_id for r in early.collect()] == ["b"]
+    } == {"a": "resolved", "b": "active", "c": "resolved", "d": "active", "e": "active"} and [r.incident_id for r in early.collect()] == ["b"]
 
 
 def test_resolution_over_time(spark):

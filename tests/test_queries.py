@@ -17,6 +17,11 @@ SOME = [
     "network_rates",
     "ingest_journal",
     "stream_journal",
+    "journal_batch_gate",
+    "journal_page_accept",
+    "ingest_services",
+    "snapshot_fanout",
+    "audit_reports",
 ]
 
 
@@ -38,23 +43,25 @@ def test_equals_sql(spark, name):
 
 def test_service_states_stream(spark, tmp_path):
     """As the batch rules say: failed and partial collections, malformed names, and a gap between snapshots."""
-    from hostlore.streaming import streams
+    from datetime import datetime
 
-    up, down, bad = '["loaded","active","x",true]', '["loaded","failed","x",true]', '["loaded","two words","x",false]'
+    from hostlore.streaming import lifecycles, streams
+
+    up, down, bad = ("loaded", "active", "x", True), ("loaded", "failed", "x", True), ("loaded", "two words", "x", False)
     rows = [
-        ("h", 1, "success", f'{{"a":{up},"b":{up}}}'),
-        ("h", 2, "success", f'{{"a":{down},"c":{up}}}'),
-        ("h", 3, "transient_failure", f'{{"a":{up}}}'),
-        ("h", 4, "success", f'{{"a":{up}}}'),
-        ("h", 5, "partial", f'{{"a":{down},"d":{up}}}'),
-        ("h", 6, "success", f'{{"a":{bad}}}'),
-        ("g", 5, "success", f'{{"a":{up}}}'),
-        ("g", 7, "success", f'{{"a":{up}}}'),
-    ]
-    schema = "host_id string, snapshot_id long, status string, services string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = {(r.host_id, r.snapshot_id, r.name): r.lifecycle for r in streams.run_once(streams.service_states(stream), str(tmp_path / "out")).collect()}
+        ("h", 1, "success", {"a": up, "b": up}), ("h", 2, "success", {"a": down, "c": up}), ("h", 3, "transient_failure", {"a": up}),
+        ("h", 4, "success", {"a": up}), ("h", 5, "partial", {"a": down, "d": up}), ("h", 6, "success", {"a": bad}),
+        ("g", 5, "success", {"a": up}), ("g", 7, "success", {"a": up}),
+    ]
+    item = "array<struct<name:string,load_state:string,active_state:string,sub_state:string,valid:boolean>>"
+    schema = f"host_id string, snapshot_id long, observed_at timestamp, status string, items {item}"
+    frame = spark.createDataFrame([(h, n, datetime(2024, 1, n), s, [(k, *v) for k, v in items.items()]) for h, n, s, items in rows], schema)
+    for low, high in ((0, 2), (2, 4), (4, 9)):
+        frame.where(f"snapshot_id > {low} and snapshot_id <= {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with lifecycles.rocksdb(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = streams.run_once(lifecycles.compared(stream, lifecycles.Services), str(tmp_path / "out")).collect()
+    got = {(r.host_id, r.snapshot_id, r.name): r.lifecycle for r in out}
     first = "insufficient_history"
     assert got == {
         ("h", 1, "a"): first, ("h", 1, "b"): first, ("h", 2, "a"): "state_changed", ("h", 2, "b"): "removed", ("h", 2, "c"): "new", ("h", 4, "a"): first,
@@ -66,7 +73,7 @@ def test_fleet_cycles(spark, tmp_path):
     """Three arrivals: an incident opens, late evidence merges under its id, it is resolved; stopped and gone on with."""
     from datetime import datetime, timedelta
 
-    from hostlore.streaming import streams
+    from hostlore.streaming import cycles, streams
 
     t0 = datetime(2024, 1, 1)
     at = lambda n: t0 + timedelta(days=n)
@@ -79,12 +86,12 @@ def test_fleet_cycles(spark, tmp_path):
     ]
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     links = spark.createDataFrame([], "host_id string, service_name string, lifetime_id string")
-    fleet = streams.FleetCycles(spark, path, links, 6 * 3600)
+    fleet = cycles.FleetCycles(spark, path, links, 6 * 3600)
     seen = []
     for part in (rows[:2], rows[2:3], rows[3:]):
         spark.createDataFrame(part, streams.CAPTURE).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(streams.CAPTURE).option("maxFilesPerTrigger", 1).parquet(source)
-        streams.FleetCycles(spark, path, links, 6 * 3600).go(stream, batches=1)
+        cycles.FleetCycles(spark, path, links, 6 * 3600).go(stream, batches=1)
         (one,) = fleet.incidents().collect()
         seen.append(
             (
@@ -102,7 +109,7 @@ def test_fleet_cycles(spark, tmp_path):
         ("resolved", at(4), at(4), ["journal:c1", "journal:c2"]),
     ]
     again = spark.read.schema(streams.CAPTURE).parquet(source).where("snapshot_id = 4")
-    fleet.run(again, 2)  # a replayed batch writes the same
+    fleet.run(again, 2)  # a replayed batch that was committed does nothing
     assert [r.resolved_at for r in fleet.incidents().collect()] == [at(4)]
     assert sorted((r.snapshot_id, r.events_processed, len(r.candidate_ids), len(r.resolved_ids)) for r in fleet.cycles().collect()) == [
         (1, 0, 0, 0), (2, 2, 1, 0), (3, 2, 0, 0), (4, 0, 0, 1)
