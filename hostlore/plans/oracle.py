@@ -382,6 +382,9 @@ walk AS (
         "refused AS (SELECT host_id, snapshot_id FROM service_observations WHERE snapshot_id = 3 UNION SELECT host_id, snapshot_id FROM snapshots "
         "WHERE snapshot_id IN (5, 8))",
     )
+    out["snapshot_publish"] = out["snapshot_fanout"].replace(
+        "FROM snapshots WHERE snapshot_id IN (5, 8)", "FROM snapshots WHERE snapshot_id IN (5, 8) OR snapshot_id <= 4"
+    )
     out["snapshot_rebuild"] = sql(
         """SELECT s.host_id, s.snapshot_id, (SELECT string_agg(collector_name || '=' || status, '|' ORDER BY collector_name)
           FROM collection_results r WHERE r.host_id = s.host_id AND r.snapshot_id = s.snapshot_id) AS results,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+from functools import reduce
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,8 @@ from hostlore.functions import scalars as s
 from hostlore.operators import audit, correlate, diagnose, ingest, lifecycle, reconcile, reports, stored, temporal
 from hostlore.plans.derived import WINDOW_SECONDS, view
 from hostlore.plans.captures import capture
-from hostlore.sources.tables import stored_table
+from hostlore.sources import publish
+from hostlore.sources.tables import shared_path, stored_table
 
 WINDOW = WINDOW_SECONDS * 1_000_000
 #: Evidence of an incident, as ``correlate`` takes by default; a cycle's events of its anchors.
@@ -276,19 +281,36 @@ def doubled(x):
     return x.service_observations.unionByName(x.service_observations.where("snapshot_id = 3"))
 
 
-@query
-def snapshot_fanout(x):
+def fanout_parts(x) -> tuple:
+    """Snapshots, results, children and claimed statuses: 3 has a name twice, 5 claims another status, 8 leaves one out."""
     said = F.when((F.col("snapshot_id") == 5) & (F.col("collector_name") == "journal"), "partly").otherwise(F.col("status"))
     claimed = x.collection_results.where("not (snapshot_id = 8 and collector_name = 'services')").withColumn("status", said)
-    parts = stored.fan_out(
-        x.snapshots,
-        x.collection_results,
-        {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])},
-        claimed,
-    )
-    return parts["services"].select("host_id", "snapshot_id", F.lit("services").alias("part"), F.col("name").alias("child")).unionByName(
-        parts["processes"].select("host_id", "snapshot_id", F.lit("processes").alias("part"), F.col("pid").cast("string").alias("child"))
-    ).unionByName(parts["network"].select("host_id", "snapshot_id", F.lit("network").alias("part"), F.col("interface").alias("child")))
+    children = {"services": (doubled(x), ["name"]), "processes": (x.process_observations, ["pid"]), "network": (x.network_observations, ["interface"])}
+    return x.snapshots, x.collection_results, children, claimed
+
+
+def flat_parts(parts: dict) -> DataFrame:
+    names = {"services": "name", "processes": "pid", "network": "interface"}
+    rows = [parts[p].select("host_id", "snapshot_id", F.lit(p).alias("part"), F.col(c).cast("string").alias("child")) for p, c in names.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def snapshot_fanout(x):
+    return flat_parts(stored.fan_out(*fanout_parts(x)))
+
+
+@query
+def snapshot_publish(x):
+    """What readers see after two versions and a third that failed between its tables: the second, whole."""
+    path = shared_path(x.spark, "published-snapshots")
+    stored.publish_snapshots(path, *fanout_parts(x))
+    newer = fanout_parts(x)
+    version = stored.publish_snapshots(path, newer[0].where("snapshot_id > 4"), *newer[1:], expected=0)
+    children = {"services": newer[2]["services"][0], "broken": x.snapshots.select(F.raise_error(F.lit("disk full")).cast("int").alias("v"))}
+    with contextlib.suppress(PySparkException):
+        publish.publish(path, children, expected=version)
+    return flat_parts(publish.published(x.spark, path))
 
 
 @query
@@ -508,7 +530,8 @@ def process_evidence_join(x):
 
 @query
 def evidence_topk(x):
-    return correlate.ranked_evidence(correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW), MOST).select(
+    found = correlate.event_evidence(correlate.anchored(x.changes()), x.journal_events, WINDOW, MOST - 1)
+    return correlate.ranked_evidence(found, MOST).select(
         "host_id", "name", t("observed_at"), "evidence_id", "place"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlore.functions.scalars import iso_fixed
+from hostlore.operators import correlate
 from hostlore.operators.lifecycle import service_validity
 from hostlore.plans.derived import WINDOW_SECONDS
 from hostlore.plans.oracle import CORR, LIFE, corr, fixed, sql
@@ -102,6 +103,20 @@ def stream_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("host_id", "incident_id", "state", *times, "n_evidence", "refused_in")
 
 
+def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that arrives in four parts, some of it twice and some with other content: the anchor and the two latest stay."""
+    x, path = Tables(spark, sf_dir), shared_path(spark, "stream-evidence")
+    rows = x.evidence(6).select("host_id", "incident_id", *correlate.EVIDENCE)
+    part = F.pmod(F.xxhash64("evidence_id"), F.lit(3))
+    other = rows.where("evidence_id like '%7'").withColumn("summary", F.lit("changed"))
+    state = cycles.EvidenceState(spark, path, 3)
+    for arrival in (rows.where(part == 0), rows.where(part <= 1), rows.where(part == 2), other):
+        arrival.write.mode("append").parquet(f"{path}/rows")
+        state.go(spark.readStream.schema(rows.schema).parquet(f"{path}/rows"))
+    kept = state.evidence().select("host_id", "incident_id", "evidence_id", F.col("truncated").cast("string").alias("outcome"))
+    return kept.unionByName(state.differing().select("host_id", "incident_id", "evidence_id", F.col("problem").alias("outcome")))
+
+
 def lifecycles(spark: SparkSession, x: Tables, rows: DataFrame, collector: str, fields: list[str], processor: type) -> DataFrame:
     """Snapshots of each host that arrive in three parts, the last of which has an old one again."""
     key, path = ["host_id", "snapshot_id"], shared_path(spark, f"{collector}-snapshots")
@@ -130,7 +145,7 @@ def stream_process_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_late_evidence, stream_service_lifecycle, stream_process_lifecycle)}
+    return {f.__name__: f for f in (stream_journal, stream_interval_join, stream_cycle, stream_late_evidence, stream_evidence, stream_service_lifecycle, stream_process_lifecycle)}
 
 
 def oracles() -> dict[str, str]:
@@ -142,6 +157,17 @@ def oracles() -> dict[str, str]:
             f"AND abs(epoch_us(e.ts) - epoch_us(a.ts)) <= {WINDOW_SECONDS}000000"
         ),
         "stream_service_lifecycle": sql("SELECT host_id, snapshot_id, name, lifecycle FROM svc", LIFE),
+        "stream_evidence": sql(
+            "SELECT host_id, incident_id, evidence_id, CAST(n > 3 AS VARCHAR) AS outcome FROM stays UNION ALL "
+            "SELECT host_id, incident_id, evidence_id, 'content_differs' FROM stays WHERE evidence_id LIKE '%7'",
+            CORR,
+            """
+stays AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY host_id, incident_id) AS n, row_number() OVER (PARTITION BY host_id, incident_id,
+    reason <> 'service_change_anchor' ORDER BY evidence_at DESC, kind DESC, evidence_id DESC) AS k FROM evidence)
+  WHERE reason = 'service_change_anchor' OR k <= 2 OR n <= 3)""",
+            most=6,
+        ),
         "stream_process_lifecycle": sql(
             "SELECT host_id, snapshot_id, pid, lifetime_id, lifecycle, rss_delta, vm_delta FROM prc_now UNION ALL "
             "SELECT host_id, snapshot_id, pid, lifetime_id, lifecycle, NULL, NULL FROM prc_gone",

@@ -99,6 +99,40 @@ class Folder:
         return self.spark.read.schema(kind).option("basePath", f"{self.path}/{name}").parquet(*found).where(F.col("batch") <= number)
 
 
+class EvidenceState:
+    """Stored evidence alone: each micro-batch of evidence rows merges into at most ``most`` rows of an incident.
+
+    A batch reads the state and itself, nothing of earlier days. Conflicts are listed with their batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most: int = reconcile.MAX_EVIDENCE):
+        self.folder, self.most = Folder(spark, path), most
+
+    def run(self, batch: DataFrame, number: int) -> None:
+        folder = self.folder
+        if folder.manifests.read(number) is not None:
+            return
+        versions = folder.versions(number)
+        if not batch.isEmpty():
+            merged, differing = reconcile.merge_stored_evidence(folder.state("evidence", versions, EVIDENCE), batch, self.most)
+            folder.store(merged.select(StructType.fromDDL(EVIDENCE).fieldNames()), "evidence", number)
+            folder.store(differing, "differing", number)
+            versions["evidence"] = number
+        folder.manifests.commit(number, {"tables": versions})
+
+    def go(self, rows: DataFrame) -> None:
+        """All that is there now; a later call goes on."""
+        checkpoint = f"{self.folder.path}/checkpoint"
+        rows.writeStream.foreachBatch(self.run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def evidence(self) -> DataFrame:
+        return self.folder.state("evidence", self.folder.versions(), EVIDENCE)
+
+    def differing(self) -> DataFrame:
+        found = self.folder.manifests.last()
+        return self.folder.every("differing", "host_id string, incident_id string, kind string, evidence_id string, problem string", found and found[0])
+
+
 class Counted(StreamingQueryListener):
     """Tells when a query has committed ``most`` batches. A batch that failed reports progress too, so manifests are asked."""
 
