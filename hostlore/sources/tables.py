@@ -30,3 +30,9 @@ def stored_table(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
         build().write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
+
+
+def forget(sf_dir: str, keep: set[str]) -> None:
+    """Stored tables of a folder but those named are built anew when they are next asked for."""
+    for key in [k for k in _written if k[1] == sf_dir and k[2] not in keep]:
+        del _written[key]
