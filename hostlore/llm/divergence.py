@@ -195,11 +195,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, group
     known = known.withColumns({"p": share(F.col("n"), F.col("whole")), "q": share(F.col("in_lang"), F.col("lang_whole"))})
 
     absent = F.when(F.col("kept") > 0, share(F.lit(0), F.col("whole"))).otherwise(F.lit(0).cast("long"))
-    own = group.select("lang", "source", "group_block", "group_blocks", "kept", absent.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("term_blocks") - 1)).alias("term_block"))
+    first = F.lit(0).cast("long")
+    every_block = F.explode(F.sequence(first, F.col("term_blocks") - 1)).alias("term_block")
+    own = group.select("lang", "source", "group_block", "group_blocks", "kept", absent.alias("p"), every_block)
     parts = known.select("lang", "source", "group_block", "term_block", "p", "place").unionByName(own, allowMissingColumns=True)
     slices = parts.groupBy("lang", "group_block", "term_block").applyInArrow(pack_slice, SLICE)
     slices = written(slices, "slices")
-    sent = slices.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("group_blocks") - 1)))
+    sent = slices.withColumn("other", F.explode(F.sequence(first, F.col("group_blocks") - 1)))
     sent = sent.withColumns({"low": F.least("group_block", "other"), "high": F.greatest("group_block", "other")}).drop("other", "group_blocks")
     partial = sent.groupBy("lang", "low", "high", "term_block").applyInArrow(cell_divergence, "lang string, a string, b string, part long")
     value = partial.groupBy("lang", "a", "b").agg(F.sum("part").alias("value"))
@@ -230,8 +232,9 @@ p AS (
   SELECT ng.lang, ng.source, k.term, coalesce(n.c, 0) AS c, 1 + (1000000000 * (coalesce(n.c, 0) + 5)) // (ng.n + 5 * v.v) AS p,
          1 + (1000000000 * (k.c + 5)) // (v.n + 5 * v.v) AS q
   FROM ng JOIN v ON ng.lang = v.lang JOIN k ON k.lang = ng.lang LEFT JOIN n ON n.lang = ng.lang AND n.source = ng.source AND n.term = k.term),
-far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
-  GROUP BY a.lang, a.source, b.source),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+    AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
 pair AS (
   SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
   LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),

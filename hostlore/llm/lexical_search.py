@@ -76,7 +76,7 @@ class Shard:
         n = np.bincount(term, minlength=len(self.known))
         ends = np.cumsum(n)
         total = np.add.reduceat(counts[order], np.concatenate([[0], ends[:-1]])) if len(n) else n
-        own = [pa.array([x], kind) for x, kind in ((np.array(self.ids, np.int64).tobytes(), pa.binary()), (np.array(self.lengths, np.int64).tobytes(), pa.binary()))]
+        own = [pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (self.ids, self.lengths)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(len(n) + 1, self.number), pa.int64()),
@@ -143,7 +143,15 @@ def measured(length: int, n_docs: int, all_terms: int) -> int:
 class Lists:
     """The impact lists of one shard, as ``packed`` wrote them."""
 
-    FIELDS = (("ids", np.int64), ("term_ends", np.int64), ("term_docs", np.uint16), ("impacts", np.int64), ("pair_ends", np.int64), ("pair_docs", np.uint16), ("joint", np.int64))
+    FIELDS = (
+        ("ids", np.int64),
+        ("term_ends", np.int64),
+        ("term_docs", np.uint16),
+        ("impacts", np.int64),
+        ("pair_ends", np.int64),
+        ("pair_docs", np.uint16),
+        ("joint", np.int64),
+    )
 
     def __init__(self, row: dict):
         for name, kind in self.FIELDS:
@@ -273,7 +281,8 @@ def seed_scores(shared, k: int):
                         held[q] = np.sort(np.concatenate([held.get(q, found[:0]), found]))[::-1][:k]
         if held:
             sizes = [len(x) for x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(held), sizes), pa.int64()), pa.array(np.concatenate(list(held.values())), pa.int64())], names=["query", "score"])
+            columns = [np.repeat(list(held), sizes), np.concatenate(list(held.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "score"])
 
     return run
 
@@ -288,8 +297,8 @@ def shard_best(shared, k: int):
                     ids, scores, _ = lists.best(chain, queries.pairs, floors.get(q, 1), k)
                     found += [(q, d, s) for d, s in zip(ids.tolist(), scores.tolist(), strict=True)]
                 if found:
-                    q, d, s = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int64())], names=["query", "doc_id", "score"])
+                    columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query", "doc_id", "score"])
 
     return run
 

@@ -181,15 +181,16 @@ def found_sql(kind: str) -> str:
     """Spans of a kind as DuckDB SQL: each begins after the gaps up to it and the matches before it."""
     pattern, group, least = KINDS[kind]
     p, number = pattern.replace("'", "''"), list(KINDS).index(kind)
-    return f"""SELECT r, owner, repo, {number} AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1],
-    lambda x: length(x))), 0) AS s, length(hits[i]) AS l, vals[i] AS v
+    return f"""SELECT r, owner, repo, {number} AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) +
+    coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS l, vals[i] AS v
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT r, owner, repo, regexp_split_to_array(text, '{p}') AS gaps,
     regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {group}) AS vals FROM d)) WHERE length(vals[i]) >= {least}"""
 
 
 ORACLE = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || chr(0) || coalesce(lang, '') AS repo
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner,
+    coalesce(source, '') || chr(0) || coalesce(lang, '') AS repo
   FROM documents),
 f AS ({" UNION ALL ".join(found_sql(k) for k in KINDS)}),
 c AS (
@@ -206,7 +207,8 @@ j AS (
 a AS (
   SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
     string_agg(w, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(w, ',' ORDER BY s, kind) AS spans,
-    count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied, string_agg(verdict, ',' ORDER BY s, kind) AS verdicts
+    count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied,
+    string_agg(verdict, ',' ORDER BY s, kind) AS verdicts
   FROM j WHERE kind < 3 OR verdict = 'live' GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(verdicts, '') AS verdicts
