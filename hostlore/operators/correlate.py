@@ -163,7 +163,7 @@ def nearest(anchors: DataFrame, items: DataFrame, keys: list[str], window_us: in
         wants("ahead", 0, numbers(passed + 1, F.least(passed + most, size))),
         wants("ahead", 1, numbers(one, F.greatest(most - (size - passed), zero))),
     )
-    lookups = counted.select(*keys, "t", F.explode(asked).alias("w")).select(*keys, "t", F.col("w.side").alias("side"), F.col("w.in_slot").alias("slot"), "w.number")
+    lookups = counted.select(*keys, "t", F.inline(asked)).withColumnRenamed("in_slot", "slot")
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).cast("long").alias("number")) for s in ("back", "ahead"))))
     offered = right.withColumn("s", sides).select("*", "s.*").drop("s", "back", "ahead", "tie")
     found = lookups.join(offered, [*keys, "slot", "side", "number"]).drop("slot", "side", "number")

@@ -75,7 +75,8 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Tables(spark, sf_dir)
     rows = captures(x)
     again = rows.where("snapshot_id in (7, 15)")  # 15 a second time, 7 out of order
-    fleet = cycles_over(spark, x, "stream-cycle", [rows.where("snapshot_id <= 15").unionByName(again), again, rows.limit(0), rows.where("snapshot_id > 15")])
+    arrivals = [rows.where("snapshot_id <= 15").unionByName(again), again, rows.limit(0), rows.where("snapshot_id > 15")]
+    fleet = cycles_over(spark, x, "stream-cycle", arrivals)
     out = fleet.incidents().join(counted_evidence(fleet), ["host_id", "incident_id"])
     return out.select(
         "host_id",

@@ -93,7 +93,8 @@ def test_nearest_equals_all_pairs(spark, window, most):
 
 
 def test_a_busy_window_asks_for_few_pairs(spark):
-    items = spark.range(20_000).select(F.lit("h").alias("host_id"), F.lit("a").alias("name"), (F.col("id") % 1000).alias("t"), F.col("id").cast("string").alias("key"))
+    rows = spark.range(20_000)
+    items = rows.select(F.lit("h").alias("host_id"), F.lit("a").alias("name"), (F.col("id") % 1000).alias("t"), F.col("id").cast("string").alias("key"))
     anchors = spark.createDataFrame([("h", "a", 500), ("h", "a", 998)], "host_id string, name string, t long")
     assert correlate.nearest(anchors, items, ["host_id", "name"], 1000, 31, F.col("key")).count() <= 4 * 31
 
@@ -130,14 +131,20 @@ def test_warnings_in_collector_order(spark):
 
 def test_quality_counts_what_was_accepted(spark):
     key = "host_id string, snapshot_id long, collector_name string"
-    rows = [("h", 1, "journal", "success", T0, None), ("h", 2, "journal", "partial", T0 + timedelta(1), None), ("g", 1, "journal", "permission_denied", T0, "denied"), ("f", 1, "journal", "success", T0, None)]
+    rows = [
+        ("h", 1, "journal", "success", T0, None), ("h", 2, "journal", "partial", T0 + timedelta(1), None),
+        ("g", 1, "journal", "permission_denied", T0, "denied"), ("f", 1, "journal", "success", T0, None),
+    ]
     results = spark.createDataFrame(rows, key + ", status string, collected_at timestamp, error_code string")
     accepted = spark.createDataFrame([("h", 1, "journal", 5), ("h", 2, "journal", 3), ("g", 1, "journal", 9)], key + ", event_count long")
     got = {r.host_id: (r.snapshot_id, r.event_count, r.error_code, r.error_message) for r in stored.latest_quality(results, accepted).collect()}
     assert got == {"h": (2, 3, None, None), "g": (1, None, "denied", None), "f": (1, 0, None, None)}
 
 
-PROCESS = "host_id string, snapshot_id long, observed_at timestamp, status string, items array<struct<pid:int,lifetime_id:string,rss_bytes:bigint,virtual_memory_bytes:bigint>>"
+PROCESS = (
+    "host_id string, snapshot_id long, observed_at timestamp, status string, "
+    "items array<struct<pid:int,lifetime_id:string,rss_bytes:bigint,virtual_memory_bytes:bigint>>"
+)
 
 
 def test_process_states_in_the_stream(spark, tmp_path):

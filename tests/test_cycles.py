@@ -47,7 +47,8 @@ class Fleet:
 def test_state_survives_awkward_arrivals(spark, tmp_path, monkeypatch):
     """Each step leaves the state as it should be; a step that should change nothing is held against what was before."""
     soon = lambda n, state, hours, events=(): (
-        "h", n, at(2, hours), 60.0 * n, [(c, "success", at(2, hours)) for c in ("services", "processes", "journal")], [("a.service", "loaded", state, "x")], [], list(events)
+        "h", n, at(2, hours), 60.0 * n, [(c, "success", at(2, hours)) for c in ("services", "processes", "journal")],
+        [("a.service", "loaded", state, "x")], [], list(events),
     )
     fleet = Fleet(spark, tmp_path).batch()  # the first batch is empty
     assert fleet.seen() == ([], [])
@@ -161,7 +162,10 @@ def test_versions_are_compared_and_set(spark, tmp_path):
 
 
 # evidence as state
-EVIDENCE = "host_id string, incident_id string, kind string, evidence_id string, evidence_at timestamp, reason string, summary string, fact string, evidence_limitations array<string>"
+EVIDENCE = (
+    "host_id string, incident_id string, kind string, evidence_id string, evidence_at timestamp, reason string, summary string, fact string, "
+    "evidence_limitations array<string>"
+)
 
 
 def piece(i, n, fact="journal_unit_event", summary="s", limits=()):
