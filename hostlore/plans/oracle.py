@@ -136,9 +136,10 @@ resolved AS (
 
 
 
-def corr(events: str, snapshots: str) -> str:
-    """The same over other tables of events and snapshots."""
-    return CORR.replace("JOIN journal_events", f"JOIN {events}").replace("FROM snapshots", f"FROM {snapshots}").lstrip()
+def corr(events: str, snapshots: str, window_seconds: int) -> str:
+    """The same over other tables of events and snapshots, with another window."""
+    text = CORR.replace("JOIN journal_events", f"JOIN {events}").replace("FROM snapshots", f"FROM {snapshots}")
+    return text.replace(f"{WINDOW_SECONDS}000000", f"{window_seconds}000000").lstrip()
 
 
 #: The texts of the explanations, written out here on their own so that the check sees a change of them.

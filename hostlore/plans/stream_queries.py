@@ -56,10 +56,10 @@ def arriving(rows: DataFrame, path: str, cuts: list[int]) -> None:
         (part if high is None else part.where(F.col("snapshot_id") <= high)).write.mode("append").parquet(path)
 
 
-def cycles_over(spark: SparkSession, x: Tables, name: str, arrivals: list[DataFrame]) -> cycles.FleetCycles:
+def cycles_over(spark: SparkSession, x: Tables, name: str, arrivals: list[DataFrame], window: int = WINDOW_SECONDS) -> cycles.FleetCycles:
     """Whole cycles over captures that arrive one table after another, with a stop after each."""
     path = shared_path(spark, name)
-    fleet = cycles.FleetCycles(spark, path, x.associations, WINDOW_SECONDS)
+    fleet = cycles.FleetCycles(spark, path, x.associations, window)
     for rows in arrivals:
         rows.write.mode("append").parquet(f"{path}/captures")
         fleet.go(spark.readStream.schema(streams.CAPTURE).parquet(f"{path}/captures"))
@@ -90,6 +90,8 @@ def stream_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Events that come after all snapshots: (event_id % 7 = 3). The stream sees the snapshots up to this one.
 LATE, LAST_SNAPSHOT = "event_id % 7 = 3", 20
+#: Longer than from one snapshot to the next, so that some late events come after a resolution.
+LATE_WINDOW = 30 * 3600
 
 
 def stream_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ def stream_late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Tables(spark, sf_dir)
     early = captures(x, x.journal_events.where(f"not ({LATE})")).where(f"snapshot_id <= {LAST_SNAPSHOT}")
     late = captures(x, x.journal_events.where(LATE)).where(f"snapshot_id <= {LAST_SNAPSHOT}")
-    fleet = cycles_over(spark, x, "stream-late", [early, late])
+    fleet = cycles_over(spark, x, "stream-late", [early, late], LATE_WINDOW)
     refused = fleet.conflicts().where("problem = 'evidence_after_resolution'").groupBy("host_id", "incident_id").agg(F.max("batch").alias("refused_in"))
     out = fleet.incidents().join(counted_evidence(fleet), ["host_id", "incident_id"]).join(refused, ["host_id", "incident_id"], "left")
     times = (iso_fixed(F.col(c)).alias(c) for c in ("last_observed_at", "resolved_at"))
@@ -199,10 +201,10 @@ ended AS (
 snaps AS (SELECT * FROM snapshots WHERE snapshot_id <= {LAST_SNAPSHOT}),
 early_all AS (SELECT * FROM journal_events WHERE NOT ({LATE}) AND snapshot_id <= {LAST_SNAPSHOT}),
 both_all AS (SELECT * FROM journal_events WHERE snapshot_id <= {LAST_SNAPSHOT}),
-early_evidence AS (WITH {corr('early_all', 'snaps')} SELECT * FROM evidence),
-late_evidence AS (WITH {corr('both_all', 'snaps')} SELECT * FROM evidence WHERE (host_id, change_id) IN (SELECT (a.host_id, a.change_id)
-  FROM anchors a JOIN both_all e ON e.host_id = a.host_id AND e.unit = a.name AND {LATE} AND abs(epoch_us(e.observed_at) - epoch_us(a.observed_at)) <= {WINDOW_SECONDS}000000)),
-first_state AS (WITH {corr('early_all', 'snaps')},
+early_evidence AS (WITH {corr('early_all', 'snaps', LATE_WINDOW)} SELECT * FROM evidence),
+late_evidence AS (WITH {corr('both_all', 'snaps', LATE_WINDOW)} SELECT * FROM evidence WHERE (host_id, change_id) IN (SELECT (a.host_id, a.change_id)
+  FROM anchors a JOIN both_all e ON e.host_id = a.host_id AND e.unit = a.name AND {LATE} AND abs(epoch_us(e.observed_at) - epoch_us(a.observed_at)) <= {LATE_WINDOW}000000)),
+first_state AS (WITH {corr('early_all', 'snaps', LATE_WINDOW)},
   back_times AS (SELECT c.host_id, c.incident_id, min(back_at) AS back_at FROM candidates c JOIN recovery b ON b.host_id = c.host_id
     AND b.subject_id = c.subject_id AND b.back_at >= c.started_at GROUP BY c.host_id, c.incident_id)
   SELECT c.host_id, c.incident_id, CASE WHEN back_at >= last_observed_at THEN back_at END AS resolved, CASE WHEN back_at >= last_observed_at THEN back_at
