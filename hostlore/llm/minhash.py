@@ -37,6 +37,8 @@ PARTNERS = 4
 #: Buckets are compared in blocks of about so many documents, and so many shingles.
 BLOCK = 1000
 BLOCK_SHINGLES = 1 << 20
+#: Partners of a document that are compared with it in one group; with more, it has several groups and a copy of its text in each.
+TOGETHER = 1 << 12
 #: Columns of the incidence matrices that a tile multiplies at once.
 COLUMNS = 2048
 #: Pairs whose sketches agree less are dropped: four standard deviations under the threshold.
@@ -116,7 +118,10 @@ def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity; ``known`` has doc_id, n_shingles, sketch."""
+    """The pairs (a, b) whose sizes and sketches allow the similarity; ``known`` has doc_id, n_shingles, sketch.
+
+    ``pairs`` is a written table, read three times. Any number of pairs may have the same b: sketches of such are broadcast.
+    """
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +130,11 @@ def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             keep = pa.array((x == y).mean(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    for side in "ab":
-        own = known.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-        pairs = pairs.join(own, side)
+    def own(side: str) -> DataFrame:
+        return known.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+
+    leaders = written(own("b").join(pairs.groupBy("b").agg(F.count("*").alias("n")), "b"), "leaders")
+    pairs = join_weighted(pairs, leaders, "b", "n").join(own("a"), "a")
     fit = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return fit.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
@@ -152,7 +159,8 @@ def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) -> DataFrame:
     """The best ``partners`` of each asking document in each block of its buckets: (band, block, ask_block, ask, other, more).
 
-    A tile is one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket.
+    A tile is one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket; targets are
+    copied only for blocks in which a document asks.
     ``live``: (band, nth, doc_id, label, asks, blocks): the bucket, the number of its band, and into how many blocks it
     falls. ``more`` tells that a document had further ones.
     """
@@ -188,7 +196,8 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
         return map(tile, by_tile(batches))
 
     placed, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    targets = live.withColumns({"block": placed, "asks": F.lit(False)}).withColumn("ask_block", every)
+    asked = live.where("asks").select("band", "blocks", placed.alias("ask_block")).distinct().select("band", "ask_block", every.alias("block"))
+    targets = live.withColumns({"block": placed, "asks": F.lit(False)}).join(asked, ["band", "block"])
     asking = live.where("asks").withColumn("ask_block", placed).withColumn("block", every)
     own = known.select("doc_id", "n_shingles", "sketch", "bands")
     rows = targets.unionByName(asking).join(own, "doc_id").select(*TILE, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
@@ -284,24 +293,37 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have the similarity."""
+    """The pairs (a, b) whose whole shingle sets have the similarity. ``pairs`` is a written table, read three times.
+
+    A group has one text of b, once and in front, and about ``TOGETHER`` of its partners at most, so a document may be the b
+    of any number of pairs. Where a doc_id has several texts, one pair of them is enough.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        own = np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, b in zip(byte_list(batch.column(2)), byte_list(batch.column(3)), strict=True):
-                if last[0] != b:
-                    last = b, shingle_set(b, size)
-                mine = shingle_set(a, size)
-                common = np.intersect1d(mine, last[1], assume_unique=True).size
-                keep.append(100 * common >= percent * (mine.size + last[1].size - common))
+            for a, text in zip(batch.column("a").to_pylist(), byte_list(batch.column("text")), strict=True):
+                items = shingle_set(text, size)
+                if a is None:
+                    own = items
+                    keep.append(False)
+                else:
+                    common = np.intersect1d(items, own, assume_unique=True).size
+                    keep.append(100 * common >= percent * (items.size + own.size - common))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t_{side}")), side)
-    return pairs.select("a", "b", "t_a", "t_b").mapInArrow(verify, "a long, b long")
+    group = ["b", "version", "part"]
+    parts = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
+    versions = texts.select(F.col("doc_id").alias("b"), F.xxhash64("text").alias("version"), "text")
+    leaders = written(versions.drop("text").join(parts, "b").distinct(), "leaders")
+    partners = join_weighted(pairs, leaders, "b", "n").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    partners = partners.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select(*group, "a", "text")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    first = versions.join(leaders, ["b", "version"]).select("b", "version", every.alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    rows = partners.unionByName(first).repartition(*group).sortWithinPartitions(*group, "a")
+    return rows.select("a", "b", "text").mapInArrow(verify, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -377,12 +399,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
             "live",
         )
 
-    pairs = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = written(agreeing(pairs, known, percent), "pairs")
+    met_leaders = members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = written(agreeing(written(met_leaders, "met"), known, percent), "pairs")
     links = copies.unionByName(written(verified(pairs, texts, percent, size), "links"))
     live = labelled(components(links))
     found = written(proposals(live, known, percent, partners), "proposals")
-    fresh = found.select(F.greatest("ask", "other").alias("a"), F.least("ask", "other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    ends = F.greatest("ask", "other").alias("a"), F.least("ask", "other").alias("b")
+    fresh = found.select(*ends, "ask").groupBy("a", "b").agg(F.min("ask").alias("ask")).join(pairs, ["a", "b"], "left_anti")
+    # many documents may propose the same one, which is then the b of their pairs
+    fresh = written(fresh.select(F.col("ask").alias("a"), F.when(F.col("ask") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b")), "fresh")
     links = links.unionByName(written(verified(fresh, texts, percent, size), "links"))
     labels = components(links)
     # who could not propose all partners and is still outside the first component of the bucket

@@ -30,6 +30,7 @@ def brute(rows):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "TOGETHER", 3)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(4000)]
     texts = [None, "", " \n", "one", "ONE", "two words", "Two\twords"]
@@ -145,3 +146,49 @@ def test_very_long_texts(spark):
     out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
     assert out == {i: want[i][1] for i in out} and out[5] == 2 and out[3] == 3
+
+
+def test_pairs_of_one_document_are_split(spark, monkeypatch):
+    """A leader of many pairs has several groups, its text once in each; a doc_id of two texts links by either of them."""
+    monkeypatch.setattr(minhash, "TOGETHER", 4)
+    rng = random.Random(6)
+    base, other = (rng.choices([f"w{i}" for i in range(500)], k=60) for _ in range(2))
+    rows = [(0, " ".join(base)), (0, " ".join(other)), (0, " ".join(base))]
+    for i in range(1, 60):
+        words = list(other if i % 3 == 0 else base)
+        for at in rng.sample(range(60), rng.randint(0, 9)):
+            words[at] = "changed"
+        rows.append((i, " ".join(words)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = minhash.written(spark.createDataFrame([(i, 0) for i in range(1, 60)], "a long, b long"), "pairs")
+    groups, plain = [], type(texts).mapInArrow
+
+    def watched(df, *args, **kwargs):
+        groups.extend(df.where("a is null").collect() + df.where("a is not null").collect())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(texts), "mapInArrow", watched)
+    found = {r.a for r in minhash.verified(pairs, texts, 80, 2).collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    want = {i for i, s in sets for k, t in sets if k == 0 and i and 100 * len(s & t) >= 80 * len(s | t)}
+    assert found == want and 0 < len(want) < 59
+    heads = [r for r in groups if r.a is None]
+    assert len(heads) == 45 and len(groups) == 45 + 2 * 59  # 15 groups of three rows, of which two are equal; both versions meet all
+
+
+def test_targets_go_where_somebody_asks(spark, monkeypatch):
+    n, blocks = 100, 10
+    full = np.random.default_rng(5).integers(0, 2**63, (1, minhash.COORDINATES)).astype(np.uint64)
+    bands, low = minhash.band_keys(full)[0].tolist(), bytearray((full & np.uint64(255)).astype(np.uint8).tobytes())
+    known = spark.createDataFrame([(i, 100, low, bands) for i in range(n)], "doc_id long, n_shingles long, sketch binary, bands array<long>")
+    live = [(bands[0], 0, i, i, i == 7, blocks) for i in range(n)]
+    live = spark.createDataFrame(live, "band long, nth int, doc_id long, label long, asks boolean, blocks int")
+    rows, plain = [], type(known).mapInArrow
+
+    def watched(df, *args, **kwargs):
+        rows.append(df.count())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(known), "mapInArrow", watched)
+    assert {(r.ask, r.other) for r in minhash.proposals(live, known, 80, n).collect()} == {(7, i) for i in range(n) if i != 7}
+    assert rows == [n + blocks]
