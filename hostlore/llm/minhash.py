@@ -196,8 +196,10 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
         return map(tile, by_tile(batches))
 
     placed, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asked = live.where("asks").select("band", "blocks", placed.alias("ask_block")).distinct().select("band", "ask_block", every.alias("block"))
-    targets = live.withColumns({"block": placed, "asks": F.lit(False)}).join(asked, ["band", "block"])
+    in_use = F.collect_set(F.when(F.col("asks"), placed)).alias("ask_blocks")
+    asked = written(live.groupBy("band").agg(F.count("*").alias("n"), in_use), "asked")
+    targets = join_weighted(live.withColumns({"block": placed, "asks": F.lit(False)}), asked, "band", "n")
+    targets = targets.withColumn("ask_block", F.explode("ask_blocks")).drop("ask_blocks")
     asking = live.where("asks").withColumn("ask_block", placed).withColumn("block", every)
     own = known.select("doc_id", "n_shingles", "sketch", "bands")
     rows = targets.unionByName(asking).join(own, "doc_id").select(*TILE, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
