@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlore.llm.common import byte_list, join_weighted, mix64, table, written
@@ -159,8 +159,8 @@ def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) -> DataFrame:
     """The best ``partners`` of each asking document in each block of its buckets: (band, block, ask_block, ask, other, more).
 
-    A tile is one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket; targets are
-    copied only for blocks in which a document asks.
+    A tile is one block of targets and one of asking documents, so about two ``BLOCK`` rows whatever the bucket. Asking
+    documents fill as many blocks as their share of the bucket needs: where m of n ask, about 2mn / ``BLOCK`` rows are made.
     ``live``: (band, nth, doc_id, label, asks, blocks): the bucket, the number of its band, and into how many blocks it
     falls. ``more`` tells that a document had further ones.
     """
@@ -195,12 +195,17 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(tile, by_tile(batches))
 
-    placed, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    in_use = F.collect_set(F.when(F.col("asks"), placed)).alias("ask_blocks")
-    asked = written(live.groupBy("band").agg(F.count("*").alias("n"), in_use), "asked")
-    targets = join_weighted(live.withColumns({"block": placed, "asks": F.lit(False)}), asked, "band", "n")
-    targets = targets.withColumn("ask_block", F.explode("ask_blocks")).drop("ask_blocks")
-    asking = live.where("asks").withColumn("ask_block", placed).withColumn("block", every)
+    def placed(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    share = F.ceil(F.first("blocks") * F.count_if("asks") / F.count("*")).cast("int").alias("ask_blocks")
+    asked = written(live.groupBy("band").agg(F.count("*").alias("n"), share).where("ask_blocks > 0"), "asked")
+    live = join_weighted(live.select("band", "nth", "doc_id", "label", "asks", "blocks"), asked, "band", "n")
+    targets = live.withColumns({"block": placed("blocks"), "asks": F.lit(False)}).withColumn("ask_block", every("ask_blocks"))
+    asking = live.where("asks").withColumn("ask_block", placed("ask_blocks")).withColumn("block", every("blocks"))
     own = known.select("doc_id", "n_shingles", "sketch", "bands")
     rows = targets.unionByName(asking).join(own, "doc_id").select(*TILE, "nth", "asks", "doc_id", "label", "n_shingles", "sketch", "bands")
     return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(propose, "band long, block int, ask_block int, ask long, other long, more boolean")
@@ -387,7 +392,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     known = written(first.dropDuplicates(["doc_id", "print"]).select("doc_id", "n_shingles", "sketch", "bands").join(met, "doc_id", "left_semi"), "known")
 
     def labelled(labels: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components: (band, nth, doc_id, label, asks, blocks)."""
+        """Members of the buckets that hold several components: (band, nth, doc_id, n_shingles, label, asks, blocks)."""
         of = members.join(labels.select(F.col("id").alias("doc_id"), "label"), "doc_id", "left").select(
             "band", "nth", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label")
         )
@@ -397,7 +402,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         ).where("low < high")
         mixed = written(mixed.select("band", "low", "n", "blocks"), "mixed")
         return written(
-            join_weighted(of, mixed, "band", "n").select("band", "nth", "doc_id", "label", (F.col("label") > F.col("low")).alias("asks"), "blocks"),
+            join_weighted(of, mixed, "band", "n").select(
+                "band", "nth", "doc_id", "n_shingles", "label", (F.col("label") > F.col("low")).alias("asks"), "blocks"
+            ),
             "live",
         )
 
@@ -413,10 +420,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     links = links.unionByName(written(verified(fresh, texts, percent, size), "links"))
     labels = components(links)
     # who could not propose all partners and is still outside the first component of the bucket
-    cut_off = found.where("more").select(*TILE, F.col("ask").alias("doc_id")).distinct()
+    cut_off = found.where("more").select("band", "block", F.col("ask").alias("doc_id")).distinct()
     if cut_off.limit(1).count():
         now = labelled(labels)
-        outside = written(cut_off.join(now.where("asks").select("band", "doc_id"), ["band", "doc_id"]), "outside")
+        outside = written(cut_off.join(now.where("asks").select("band", "doc_id", "n_shingles"), ["band", "doc_id"]), "outside")
+        # fewer ask now than did propose, so they are placed anew; their whole sets bound a block too
+        places = outside.groupBy("band", "block").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+        blocks = F.ceil(F.greatest(F.max("n") / BLOCK, F.max("items") / BLOCK_SHINGLES)).cast("int")
+        places = written(places.groupBy("band").agg(F.sum("n").alias("n"), blocks.alias("blocks")), "places")
+        ask_block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("ask_block")
+        outside = join_weighted(outside, places, "band", "n").select("band", "block", ask_block, "doc_id")
         place = now.select("doc_id", "band", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
         wanted = place.join(outside.select("band", "block").distinct(), ["band", "block"]).select("doc_id").unionByName(outside.select("doc_id")).distinct()
         sets = written(whole_sets(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
