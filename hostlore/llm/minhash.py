@@ -38,7 +38,7 @@ PARTNERS = 4
 BLOCK = 1000
 BLOCK_SHINGLES = 1 << 20
 #: Partners of a document that are compared with it in one group; with more, it has several groups and a copy of its text in each.
-TOGETHER = 1 << 7
+TOGETHER = 1 << 12
 #: Columns of the incidence matrices that a tile multiplies at once.
 COLUMNS = 2048
 #: Pairs whose sketches agree less are dropped: four standard deviations under the threshold.
