@@ -99,6 +99,14 @@ def test_a_busy_window_asks_for_few_pairs(spark):
     assert correlate.nearest(anchors, items, ["host_id", "name"], 1000, 31, F.col("key")).count() <= 4 * 31
 
 
+def test_an_anchor_asks_for_no_number_that_is_not_there(spark):
+    asks = spark.createDataFrame([("h", "a", t, t // 10) for t in (1, 5, 9, 12)], "host_id string, name string, t long, slot long")
+    items = spark.createDataFrame([("h", "a", 5, 0), ("h", "a", 14, 1)], "host_id string, name string, item_t long, slot long")
+    got = sorted((r.t, r.slot, r.side, r.number) for r in correlate.lookups(asks, items, ["host_id", "name"], 31).collect())
+    one = lambda t, *found: [(t, slot, side, 1) for slot, side in found]
+    assert got == one(1, (0, "ahead"), (1, "ahead")) + one(5, (0, "back"), (1, "ahead")) + one(9, (0, "back"), (1, "ahead")) + one(12, (0, "back"), (1, "ahead"))
+
+
 def test_newest_events_equal_a_sort(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), f"c{n:03}", T0 + timedelta(minutes=rng.randint(0, 600))) for n in range(200)] + [("few", "c", T0)]
