@@ -41,6 +41,14 @@ def test_equals_sql(spark, name):
     assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in df.collect()) == want
 
 
+def test_cycles_count_all_events(spark, monkeypatch):
+    """As their SQL does, also where a snapshot has more than ``events_for_anchors`` lists."""
+    from hostlore.plans import queries
+
+    monkeypatch.setattr(queries, "ANCHOR_EVENTS", 1)
+    test_equals_sql(spark, "report_cycle")
+
+
 def test_service_states_stream(spark, tmp_path):
     """As the batch rules say: failed and partial collections, malformed names, and a gap between snapshots."""
     from datetime import datetime
