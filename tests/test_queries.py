@@ -77,6 +77,19 @@ def test_service_states_stream(spark, tmp_path):
     }
 
 
+@pytest.mark.parametrize("name", ["stream_service_lifecycle", "stream_process_lifecycle"])
+def test_lifecycle_streams_in_shards_equal_sql(spark, monkeypatch, name):
+    """A host's items dealt into several shards, none of which is held whole."""
+    from hostlore.plans import stream_queries
+    from hostlore.streaming import lifecycles
+
+    seen, dealt = [], lifecycles.dealt
+    monkeypatch.setattr(lifecycles, "dealt", lambda *a: seen.append(a[2]) or dealt(*a))
+    monkeypatch.setattr(stream_queries, "SHARD_ITEMS", 1)
+    test_equals_sql(spark, name)
+    assert seen and seen[0] > 2
+
+
 def test_fleet_cycles(spark, tmp_path):
     """Two arrivals: an incident opens; late evidence merges under its id and it is resolved. Stopped between, and gone on with."""
     from datetime import datetime, timedelta
