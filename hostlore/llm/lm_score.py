@@ -7,8 +7,8 @@ these conditional probabilities scores the document.
    other word is in one of ``ENDINGS`` classes by its last two bytes, and has within it the probability that a spelling
    model (byte trigrams, counted over all such words of the corpus) gives it.
 2. *Network.* The classes around a place are embedded by place, summed and squashed; from there a softmax over
-   ``CLUSTERS`` clusters and one within the cluster give the class. It is trained in numpy on every document, at each
-   ``EVERY``-th of its places: a task runs over its own texts from common beginnings, tasks are averaged by their numbers
+   ``CLUSTERS`` clusters and one within the cluster give the class. It is trained in numpy on every document, at
+   all of its places: a task runs over its own texts from common beginnings, tasks are averaged by their numbers
    of windows, and all of it happens ``ROUNDS`` times. The counts of words and the networks of tasks grow with the corpus.
 3. *Scores.* Another pass predicts every token and sums each document's conditional log-probabilities.
 
@@ -40,7 +40,6 @@ OWN = CLASSES - ENDINGS - 1
 LONGEST = 64
 HIDDEN = 16
 ROUNDS = 1
-EVERY = 4
 BATCH = 1 << 14
 RATE = 0.1
 #: Classes of rare words that a process keeps.
@@ -242,7 +241,7 @@ def trained(docs: DataFrame, classes: Classes, network: WindowNetwork) -> Window
         squares, seen = [np.full_like(x, 1e-6) for x in own.w], 0
         for _, texts in text_groups(batches, 0, 1 << 20):
             around, cls, _ = windows([split_words(t) for t in texts], own_classes)
-            mixed = np.random.default_rng(cls.size).permutation(np.arange(0, cls.size, EVERY))
+            mixed = np.random.default_rng(cls.size).permutation(cls.size)
             own.train(around[mixed], cls[mixed], squares)
             seen += mixed.size
         if seen:

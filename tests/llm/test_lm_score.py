@@ -109,3 +109,11 @@ def test_order_and_spelling_matter(spark):
     out = {r.doc_id: r.mean_logprob for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     for at in (60, 120):
         assert sum(out[i] > out[at + i] for i in range(60)) >= 57
+
+
+def test_every_place_trains(spark):
+    """Words that are never at a fourth place are learned too."""
+    docs = spark.createDataFrame([(" ".join(["aa bb cc dd"] * 60),)] * 40, "text string")
+    model = lm.build_model(docs)
+    each, _ = model.log_probabilities([b"aa bb cc dd " * 20])
+    assert min(each[8:-8].reshape(-1, 4).mean(axis=0)) > model.log_probabilities([b"dd bb aa cc " * 20])[0].mean()
