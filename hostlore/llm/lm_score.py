@@ -140,52 +140,56 @@ class WindowNetwork:
         return np.concatenate([x.ravel() for x in self.w])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        z = self.w[0][0][around[:, 0]]
+        z = self.w[0][0].take(around[:, 0], axis=0)
         for k in range(1, len(AROUND)):
-            z += self.w[0][k][around[:, k]]
+            z += self.w[0][k].take(around[:, k], axis=0)
         z += self.w[1]
         return np.tanh(z, out=z)
 
-    def by_cluster(self, cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        cluster = cls // CLUSTERS
-        order = np.argsort(cluster, kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        return ((k, order[a:b]) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b)
+    def by_cluster(self, cls: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
+        """The order that puts rows of a cluster together, and where in it each cluster is."""
+        cluster = (cls // CLUSTERS).astype(np.uint8)
+        ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+        return np.argsort(cluster, kind="stable"), ((k, slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if a < b)
 
     def log_probability(self, around: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Of each class in its window."""
-        h = self.hidden(around)
-        out = picked(h @ self.w[2] + self.w[3], cls // CLUSTERS)
-        for k, rows in self.by_cluster(cls):
-            out[rows] += picked(h[rows] @ self.w[4][k] + self.w[5][k], cls[rows] % CLUSTERS)
+        order, clusters = self.by_cluster(cls)
+        cluster, within = np.divmod(cls[order], CLUSTERS)
+        h = self.hidden(around.take(order, axis=0))
+        found = softmax(self.w[2].T @ h.T + self.w[3][:, None], cluster)
+        for k, rows in clusters:
+            found[rows] += softmax(self.w[4][k].T @ h[rows].T + self.w[5][k][:, None], within[rows])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, around: np.ndarray, cls: np.ndarray) -> tuple[float, list]:
         """The mean loss and its gradients; those of the embeddings as (rows that are met, gradients) by place."""
         n = cls.size
+        order, clusters = self.by_cluster(cls)
+        around, (cluster, within) = around[order], np.divmod(cls[order], CLUSTERS)
         h = self.hidden(around)
-        log_p = log_softmax(h @ self.w[2] + self.w[3])
-        loss = -log_p[np.arange(n), cls // CLUSTERS].sum(dtype=np.float64)
-        g = np.exp(log_p)
-        g[np.arange(n), cls // CLUSTERS] -= 1
-        back = g @ self.w[2].T
+        g = self.w[2].T @ h.T + self.w[3][:, None]
+        loss = -softmax(g, cluster).sum(dtype=np.float64)
+        g[cluster, np.arange(n)] -= 1
+        back = np.ascontiguousarray((self.w[2] @ g).T)
         inner, bias = np.zeros_like(self.w[4]), np.zeros_like(self.w[5])
-        for k, rows in self.by_cluster(cls):
+        for k, rows in clusters:
             own = h[rows]
-            inside = log_softmax(own @ self.w[4][k] + self.w[5][k])
-            at = np.arange(rows.size), cls[rows] % CLUSTERS
-            loss -= inside[at].sum(dtype=np.float64)
-            gi = np.exp(inside)
-            gi[at] -= 1
-            back[rows] += gi @ self.w[4][k].T
-            inner[k], bias[k] = own.T @ gi, gi.sum(axis=0)
+            gi = self.w[4][k].T @ own.T + self.w[5][k][:, None]
+            loss -= softmax(gi, within[rows]).sum(dtype=np.float64)
+            gi[within[rows], np.arange(own.shape[0])] -= 1
+            back[rows] += (self.w[4][k] @ gi).T
+            inner[k], bias[k] = (gi @ own).T, gi.sum(axis=1)
         back *= 1 - h * h
         places = []
         for k in range(len(AROUND)):
-            order = np.argsort(around[:, k], kind="stable")
-            met, first = np.unique(around[order, k], return_index=True)
-            places.append((met, np.add.reduceat(back[order], first, axis=0) / n))
-        return loss / n, [places, back.sum(axis=0) / n, h.T @ g / n, g.sum(axis=0) / n, inner / n, bias / n]
+            order = np.argsort(around[:, k].astype(np.int16), kind="stable")  # of 16 bits, so by radix
+            at = around[order, k]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            places.append((at[first], np.add.reduceat(back.take(order, axis=0), first, axis=0) / n))
+        return loss / n, [places, back.sum(axis=0) / n, (g @ h).T / n, g.sum(axis=1) / n, inner / n, bias / n]
 
     def train(self, around: np.ndarray, cls: np.ndarray, squares: list[np.ndarray]) -> float:
         """A step for each batch of windows, smaller where gradients were large before (``squares``)."""
@@ -203,18 +207,13 @@ class WindowNetwork:
         return total
 
 
-def picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the logarithms that ``log_softmax`` would give, one of each row."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(at.size), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Columns to shares, in place; gives the logarithm of one share of each column."""
+    z -= z.max(axis=0)
+    own = z[at, np.arange(at.size)]
+    total = np.exp(z, out=z).sum(axis=0)
+    z /= total
+    return own - np.log(total)
 
 
 def windows(lists: list[list[bytes]], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +222,7 @@ def windows(lists: list[list[bytes]], classes: Classes) -> tuple[np.ndarray, np.
     n = int(sizes.sum())
     cls = np.fromiter(map(classes.__getitem__, chain.from_iterable(lists)), np.int32, n)
     owner = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
-    around = np.zeros((n, len(AROUND)), np.int32)
+    around = np.zeros((n, len(AROUND)), np.int16)
     for k, step in enumerate(AROUND):
         a, b = (slice(-step, None), slice(None, step)) if step < 0 else (slice(None, -step), slice(step, None))
         around[a, k] = np.where(owner[a] == owner[b], cls[b], 0)
