@@ -356,3 +356,13 @@ def test_append_and_gate(spark):
     )
     got = [r.reason for r in stored.gate_batches(batches, frame(spark, [("h", "b")], schema)).collect()]
     assert sorted(map(str, got)) == ["None", "checkpoint_changed", "checkpoint_not_last_event", "empty_batch_moves_checkpoint"]
+
+
+def test_a_journal_record_is_taken_apart_once(spark):
+    """Each field is looked up once and redacted once; an expression used in several places would be computed in each of them."""
+    records = spark.range(10).select(
+        F.lit("h").alias("host_id"), F.lit(1).alias("page"), F.col("id").alias("pos"), F.concat(F.lit('{"MESSAGE":"token=a'), "id", F.lit('"}')).alias("payload")
+    )
+    plan = ingest.parse_journal(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 4 * 3
+    assert plan.count(", $.") <= len(ingest.JOURNAL_FIELDS)
