@@ -1,10 +1,12 @@
 """Whole cycles under awkward arrivals: late, repeated, out of order, empty, failed half way, and stopped."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from hostlore.operators import reconcile
+from hostlore.operators import lifecycle, reconcile
 from hostlore.sources import publish
 from hostlore.streaming import cycles, streams
 
@@ -207,3 +209,20 @@ def test_a_full_incident_says_so(spark):
     rows = spark.createDataFrame([(["b"], True), (["b"], False), (None, None)], "limitations array<string>, full boolean")
     got = [r[0] for r in rows.select(reconcile.with_limit_mark(F.col("limitations"), F.col("full"))).collect()]
     assert got == [["b", "evidence_storage_limit_reached"], ["b"], []]
+
+
+def test_services_of_a_host_are_compared_in_several_tasks(spark, tmp_path):
+    """Captures are few rows with long lists, which Spark takes to be small enough to broadcast when they are taken apart."""
+    result, service = (streams.PARTS[k] for k in ("results", "services"))
+    rows = spark.range(4).selectExpr(
+        "'h' AS host_id", "id AS snapshot_id", "timestamp_seconds(id) AS observed_at", "1D * id AS monotonic_s",
+        f"CAST(array(named_struct('a', 'services', 'b', 'success', 'c', timestamp_seconds(id))) AS {result}) AS results",
+        f"CAST(transform(sequence(1, 50), x -> named_struct('a', x || '.service', 'b', 'loaded', 'c', 'active', 'd', 'on')) AS {service}) AS services",
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    part = {k: rows.select("host_id", "snapshot_id", F.inline(k)) for k in ("results", "services")}
+    found = lifecycle.service_lifecycle(part["services"], rows.select("host_id", "snapshot_id", "observed_at", "monotonic_s"), part["results"], True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and re.search(r"hashpartitioning\(host_id#\d+, name#", plan)
+    assert found.count() == 200
