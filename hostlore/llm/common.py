@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a task's batches; what it held is let go when it has ended, and only then is memory given back."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def byte_list(column: pa.Array) -> list:
     """A string or binary Arrow column as bytes objects, None for null."""
     return column.cast(pa.binary()).to_pylist()
@@ -88,14 +101,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: int, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``size`` bytes of text, and their texts (empty for null)."""
+    """Slices of the batches with about ``size`` bytes of text, and their texts (empty for null). Only one slice is held as bytes objects."""
     for batch in batches:
-        texts = [t or b"" for t in byte_list(batch.column(column))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         lo = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= size or i == len(texts) - 1:
-                yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
+        for i, n in enumerate(sizes):
+            held += n
+            if held >= size or i == len(sizes) - 1:
+                part = batch.slice(lo, i + 1 - lo)
+                yield part, [t or b"" for t in byte_list(part.column(column))]
                 lo, held = i + 1, 0
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from hostlore.llm.common import free_name, release, table, text_groups
+from hostlore.llm.common import free_name, releasing, table, text_groups
 
 WINDOW = 13
 SAMPLE = 8
@@ -230,6 +230,7 @@ def searcher(shared, into: str, keep: int, first: bool, last: bool, shard_bytes:
             pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, size, strict=True)]),
         ]
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         get = phrases.vocab.get
@@ -251,7 +252,6 @@ def searcher(shared, into: str, keep: int, first: bool, last: bool, shard_bytes:
             struct = pa.StructArray.from_arrays(columns, names=names)
             passing = list(range(keep if last else keep + 1))
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in passing), struct], names=[*(part.schema.names[k] for k in passing), into])
-        release()
 
     return search
 

@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hostlore.llm.common import byte_list, free_name, mix64, release, table, written
+from hostlore.llm.common import free_name, mix64, releasing, table, text_groups, written
 
 VOCABULARY = "piece_bpe_32k.model"
 SECOND = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 300_000
+#: Text that is measured at once.
+GROUP_BYTES = 4 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -253,54 +255,38 @@ def measured(docs: DataFrame, keep: list[str], into: str, vocabularies: list[str
     kind = f"struct<{', '.join(f'{c}: long' for c in COUNTS)}, base_failed: boolean, script: string, size_class: int, " f"{', '.join(f'{m}: double' for m in fields)}>"
     schema = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(f"`{into}` {kind}").fields])
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller(vocabularies)
-        for batch in batches:
-            text = batch.column(len(keep))
-            texts, chars = [t or b"" for t in byte_list(text)], pc.fill_null(pc.utf8_length(text), 0).to_pylist()
-            out = []
-            for lo, hi in groups(texts):
-                for t, n_chars, ids in zip(texts[lo:hi], chars[lo:hi], speller.numbers([t.split() for t in texts[lo:hi]]), strict=True):
-                    word_chars = n_chars - len(t) + len(t.translate(None, BLANKS))
-                    repeats = repeated_words(ids)
-                    failed = ids.size < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * ids.size
-                    spelled = [s.spell(ids) for s in speller.spellings]
-                    size_class = min(max(int(spelled[0].size).bit_length() - 1, SIZE_CLASSES[0]), SIZE_CLASSES[1])
-                    found = [x for s, tokens in zip(speller.spellings, spelled, strict=True) for x in measures(tokens, s.vocabulary.is_byte, word_chars)]
-                    out.append(
-                        (
-                            ids.size,
-                            word_chars,
-                            len(t) - len(t.translate(None, SYMBOLS)),
-                            repeated_lines(t),
-                            repeats,
-                            failed,
-                            script_of(t),
-                            size_class,
-                            *found,
-                        )
+        for part, texts in text_groups(batches, len(keep), GROUP_BYTES):
+            chars, out = pc.fill_null(pc.utf8_length(part.column(len(keep))), 0).to_pylist(), []
+            for t, n_chars, ids in zip(texts, chars, speller.numbers([t.split() for t in texts]), strict=True):
+                word_chars = n_chars - len(t) + len(t.translate(None, BLANKS))
+                repeats = repeated_words(ids)
+                failed = ids.size < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * ids.size
+                spelled = [s.spell(ids) for s in speller.spellings]
+                size_class = min(max(int(spelled[0].size).bit_length() - 1, SIZE_CLASSES[0]), SIZE_CLASSES[1])
+                found = [x for s, tokens in zip(speller.spellings, spelled, strict=True) for x in measures(tokens, s.vocabulary.is_byte, word_chars)]
+                out.append(
+                    (
+                        ids.size,
+                        word_chars,
+                        len(t) - len(t.translate(None, SYMBOLS)),
+                        repeated_lines(t),
+                        repeats,
+                        failed,
+                        script_of(t),
+                        size_class,
+                        *found,
                     )
-            if out:
-                columns = [pa.array(c, pa.int32()) if i == 7 else pa.array(c) for i, c in enumerate(zip(*out, strict=True))]
-                struct = pa.StructArray.from_arrays(columns, names=[*COUNTS, "base_failed", "script", "size_class", *fields])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], struct], names=[*keep, into])
-        release()
+                )
+            columns = [pa.array(c, pa.int32()) if i == 7 else pa.array(c) for i, c in enumerate(zip(*out, strict=True))]
+            struct = pa.StructArray.from_arrays(columns, names=[*COUNTS, "base_failed", "script", "size_class", *fields])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], struct], names=[*keep, into])
 
     return docs.select(*keep, F.col("text").alias(free_name(docs, "text"))).mapInArrow(measure, schema)
 
 
-def groups(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about ``size`` bytes."""
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= size:
-            yield lo, i + 1
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def group_bands(rows: DataFrame, into: str, fields: list[str]) -> DataFrame:
     """(script, size_class, bands): for each group with documents enough, the bounds of each measure as structs.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from hostlore.llm.common import byte_list, free_name, join_weighted, release, table, utf8, written
+from hostlore.llm.common import free_name, join_weighted, releasing, table, text_groups, utf8, written
 from hostlore.llm.seen_twice import twice_seen
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,17 +57,17 @@ def suspect_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     expected = text_bytes(docs) // (2 * max(1, min_chars))
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, lambda text: key_hashes(list(line_keys(text, min_chars))), expected))
 
+    @releasing
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
-        for batch in batches:
+        for part, texts in text_groups(batches, 1):
             ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), strict=True):
+            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 if keys := list(line_keys(text, min_chars)):
                     hit = twice.holds(key_hashes(keys))
                     found += (own := [k for k, h in zip(keys, hit, strict=True) if h])
                     ids += [doc_id] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], names=["doc_id", "key"])
-        release()
 
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, key string")
 
@@ -91,14 +91,14 @@ def cut_lines(docs: DataFrame, into: str, keepers: dict[bytes, int], min_chars:
     shared = docs.sparkSession.sparkContext.broadcast(keepers)
     own, names, text = free_name(docs, "own_id"), [*docs.columns, into], docs.columns.index("text")
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = shared.value.get
-        for batch in batches:
+        for part, texts in text_groups(batches, text):
             kept, n_lines, n_dropped = [], [], []
-            for doc_id, body in zip(batch.column(batch.num_columns - 1).to_pylist(), byte_list(batch.column(text)), strict=True):
-                lines = (body or b"").split(b"\n")
-                left = lines
-                if doc_id is not None and len(body or b"") >= min_chars:
+            for doc_id, body in zip(part.column(part.num_columns - 1).to_pylist(), texts, strict=True):
+                left = lines = body.split(b"\n")
+                if doc_id is not None and len(body) >= min_chars:
                     left = [x for x in lines if len(x) < min_chars or keeper(x.strip(b" \t\n\x0b\x0c\r").lower(), doc_id) == doc_id]
                 kept.append(b"\n".join(left))
                 n_lines.append(len(lines))
@@ -107,7 +107,7 @@ def cut_lines(docs: DataFrame, into: str, keepers: dict[bytes, int], min_chars:
                 [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 names=["kept_text", "n_lines", "n_dropped"],
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], struct], names=names)
 
     return docs.withColumn(own, F.col("doc_id").cast("long")).mapInArrow(
         cut, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{into}` struct<{LINES}>").fields])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, join_weighted, mix64, table, written
+from hostlore.llm.common import byte_list, join_weighted, mix64, releasing, table, text_groups, written
 
 SHINGLE = 2
 PERCENT = 80
@@ -95,24 +95,23 @@ SKETCHED = "doc_id long, n_shingles long, print binary, sketch binary, bands arr
 def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Set size, fingerprint of the set, low bytes of the sketch and bucket keys of each row."""
 
+    @releasing
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                sets = [shingle_set(t, size) for t in byte_list(part.column(1))]
-                rows = sketches([s for s in sets if s.size])
-                full = [s.size > 0 for s in sets]
-                bands, low = iter(band_keys(rows)), iter((rows & np.uint64(255)).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([s.size for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets], pa.binary()),
-                        pa.array([next(low).tobytes() if f else None for f in full], pa.binary()),
-                        pa.array([next(bands) if f else None for f in full], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_shingles", "print", "sketch", "bands"],
-                )
+        for part, texts in text_groups(batches, 1, 1 << 20):
+            sets = [shingle_set(t, size) for t in texts]
+            rows = sketches([s for s in sets if s.size])
+            full = [s.size > 0 for s in sets]
+            bands, low = iter(band_keys(rows)), iter((rows & np.uint64(255)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([s.size for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if s.size else None for s in sets], pa.binary()),
+                    pa.array([next(low).tobytes() if f else None for f in full], pa.binary()),
+                    pa.array([next(bands) if f else None for f in full], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_shingles", "print", "sketch", "bands"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SKETCHED)
 
@@ -124,6 +123,7 @@ def agreeing(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(byte_list(batch.column(k))), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
@@ -192,6 +192,7 @@ def proposals(live: DataFrame, known: DataFrame, percent: int, partners: int) ->
             [*place, pa.array(ask, pa.int64()), pa.array(other, pa.int64()), pa.array(more, pa.bool_())], names=[*TILE, "ask", "other", "more"]
         )
 
+    @releasing
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(tile, by_tile(batches))
 
@@ -263,6 +264,7 @@ def tile_links(asking: DataFrame, live: DataFrame, sets: DataFrame, percent: int
     A tile has about two blocks of documents and gives at most one link less than it has components.
     """
 
+    @releasing
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_tile(batches):
             asks, ids, labels = (rows.column(k).to_numpy() for k in ("asks", "doc_id", "label"))
@@ -289,10 +291,11 @@ def tile_links(asking: DataFrame, live: DataFrame, sets: DataFrame, percent: int
 def whole_sets(texts: DataFrame, size: int) -> DataFrame:
     """(doc_id, items): the shingle hashes of each row."""
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, texts in text_groups(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(t, size).tobytes() for t in byte_list(batch.column(1))], pa.binary())],
+                [part.column(0), pa.array([shingle_set(t, size).tobytes() for t in texts], pa.binary())],
                 names=["doc_id", "items"],
             )
 
@@ -306,11 +309,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     of any number of pairs. Where a doc_id has several texts, one pair of them is enough.
     """
 
+    @releasing
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
-        for batch in batches:
+        for part, texts in text_groups(batches, 2):
             keep = []
-            for a, text in zip(batch.column("a").to_pylist(), byte_list(batch.column("text")), strict=True):
+            for a, text in zip(part.column("a").to_pylist(), texts, strict=True):
                 items = shingle_set(text, size)
                 if a is None:
                     own = items
@@ -319,7 +323,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
                     common = np.intersect1d(items, own, assume_unique=True).size
                     keep.append(100 * common >= percent * (items.size + own.size - common))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
 
     group = ["b", "version", "part"]
     parts = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import release, table
+from hostlore.llm.common import releasing, table, text_groups
 from hostlore.llm.transducer import compiled
 
 VOCABULARY = "word_bpe_49k.json"
@@ -106,6 +106,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     Repeated rows are packed each on their own; a null doc_id stays null; other columns are not read.
     """
 
+    @releasing
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(vocabulary or public_tokenizers.path(VOCABULARY))
         packer = Packer(capacity, TaskContext.get().partitionId())
@@ -114,16 +115,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
             columns, packer.rows = list(zip(*packer.rows, strict=True)), []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(FIELDS))
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, own in zip(ids, machine.ids(texts), strict=True):
+        for part, texts in text_groups(batches, 1):
+            for doc_id, own in zip(part.column(0).to_pylist(), machine.ids([t.decode() for t in texts]), strict=True):
                 packer.add(doc_id, np.append(own, np.uint32(end_id)))
             if packer.rows:
                 yield flush()
         packer.finish()
         if packer.rows:
             yield flush()
-        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, ", ".join(f"`{x}` long" for x in FIELDS))
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, mix64, release, text_groups, written
+from hostlore.llm.common import byte_list, mix64, releasing, text_groups, written
 
 GROUP_BYTES = 32 << 20
 SEGMENT_HASHES = 1 << 25
@@ -90,6 +90,7 @@ def summed(parts: list[np.ndarray]) -> np.ndarray:
 def send_hashes(hashes_of: Callable[[bytes], np.ndarray], segments: int, group_bytes: int):
     """Rows (segment, hashes, counts) of groups of texts. ``hashes_of`` gives the hashes of a text, each once."""
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for _, texts in text_groups(batches, 0):
@@ -102,7 +103,6 @@ def send_hashes(hashes_of: Callable[[bytes], np.ndarray], segments: int, group_b
                 held, size = [], 0
         if held:
             yield rows(held)
-        release()
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         each, count = np.unique(np.concatenate(held), return_counts=True)
@@ -124,6 +124,7 @@ def send_hashes(hashes_of: Callable[[bytes], np.ndarray], segments: int, group_b
 def look_twice(bits: int, often: int):
     """Rows (segment, n, twice, often) of rows sorted by segment."""
 
+    @releasing
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, found, many = None, np.zeros(0, np.uint8), [], []
         for batch in batches:
@@ -145,7 +146,6 @@ def look_twice(bits: int, often: int):
                     many = [summed(many)] if many else []
         if now is not None:
             yield ended(now, found, many)
-        release()
 
     def ended(segment: int, found: list[np.ndarray], many: list[np.ndarray]) -> pa.RecordBatch:
         twice, counts = np.unique(np.concatenate(found)), summed([np.zeros(0, OFTEN), *many])
@@ -179,6 +179,7 @@ def twice_seen(docs: DataFrame, hashes_of: Callable[[bytes], np.ndarray], expect
     most = looked.agg(F.max("n")).first()[0] or 0
     width = max(64, min(power(BITS_EACH * most), power(MAX_BITS // segments + 1) // 2))
 
+    @releasing
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for segment, twice, frequent in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), byte_list(batch.column(2)), strict=True):
