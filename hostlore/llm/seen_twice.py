@@ -54,7 +54,7 @@ def has_all(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    at = np.unique(at)
+    at = at.ravel()
     np.bitwise_or.at(bitmap, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
@@ -63,13 +63,23 @@ def power(n: float) -> int:
     return 1 << max(6, int(n - 1).bit_length() if n > 1 else 0)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    ranked = np.sort(hashes)
+    return ranked[np.append(True, ranked[1:] != ranked[:-1])] if ranked.size else ranked
+
+
 class TwiceSeen:
-    """The second filter, and the hashes that many documents have."""
+    """The second filter, and the hashes that many documents have, sorted."""
 
     def __init__(self, slices: np.ndarray, often: np.ndarray):
         self.segments, self.bits = len(slices), slices.shape[1] * 8
         self.bitmap, self.often = slices.ravel(), often
 
+    def among_often(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.often, hashes), max(0, self.often.size - 1))
+        return self.often[at] == hashes if self.often.size else np.zeros(hashes.size, bool)
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         if not hashes.size:
             return np.zeros(0, bool)
@@ -142,13 +152,13 @@ def look_twice(bits: int, often: int):
                     part["hash"], part["n"] = h[n >= LEAST], n[n >= LEAST]
                     many.append(part)
                 if len(found) > 64:
-                    found = [np.unique(np.concatenate(found))]
+                    found = [distinct(np.concatenate(found))]
                     many = [summed(many)] if many else []
         if now is not None:
             yield ended(now, found, many)
 
     def ended(segment: int, found: list[np.ndarray], many: list[np.ndarray]) -> pa.RecordBatch:
-        twice, counts = np.unique(np.concatenate(found)), summed([np.zeros(0, OFTEN), *many])
+        twice, counts = distinct(np.concatenate(found)), summed([np.zeros(0, OFTEN), *many])
         frequent = counts["hash"][counts["n"] >= often]
         return pa.RecordBatch.from_arrays(
             [

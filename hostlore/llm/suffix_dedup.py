@@ -9,7 +9,8 @@ have equal anchors, so strings that may repeat can be brought together without s
    sends one copy of the others to the bucket of the anchor. A passage in a third of all documents is one
    fragment a task, however many documents hold it. Fragments at its two edges differ, so those of a *hot* anchor (in
    ``HOT`` documents or more) are broken into their 50-byte strings, and each string goes to the bucket of its own hash.
-3. A bucket settles equal fragments and indexes the rest: the Burrows-Wheeler transform in runs, and where a run begins
+3. A bucket settles equal fragments, sets aside those of whose strings none, by hash, occurs twice, and indexes the rest:
+   the Burrows-Wheeler transform in runs, and where a run begins
    the position in the text, its neighbour (the suffix before it in order) and how far both match. Text and suffix order
    are then let go. Matching statistics are streamed along the text from these samples alone: one place on, the neighbour is
    one place on as well and the match one byte shorter. Neighbours that match over 50 bytes have the same string; the
@@ -28,13 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlore.llm.common import byte_list, mix64, release, table, text_groups
-from hostlore.llm.seen_twice import twice_seen
+from hostlore.llm.common import byte_list, mix64, releasing, table, text_groups
+from hostlore.llm.seen_twice import distinct, twice_seen
 
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text for each anchor, about.
 ANCHOR_BYTES = 17
+#: A string's hash is that of its first and last so many bytes, which overlap.
+HALF = 32
 #: Suffixes are sorted by so many bytes, which is more than LENGTH.
 DEPTH = 64
 #: Text of a bucket, and of a group of documents in the last step.
@@ -46,16 +49,21 @@ MOST_HOT = 1 << 20
 PIECES = 1 << 18
 
 
+def hashed(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each string of ``width`` bytes, a power of two. Its low bits are not mixed."""
+    h, now = data.astype(np.uint64) + np.uint64(1), 1
+    while now < width:
+        h = h[: h.size - now] * np.uint64(0x9E3779B97F4A7C15 + 2 * now) + (h[now:] ^ (h[now:] >> np.uint64(29)))
+        now *= 2
+    return h
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, last): the anchor of the strings that start at first..last, for all strings of a text."""
     n = data.size - LENGTH + 1
     if n <= 0:
         return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2)
-    h, width = data.astype(np.uint64) + np.uint64(1), 1
-    while width < ANCHOR:
-        h = h[: h.size - width] * np.uint64(0x9E3779B97F4A7C15 + 2 * width) + (h[width:] ^ (h[width:] >> np.uint64(29)))
-        width *= 2
-    h = mix64(h)
+    h = mix64(hashed(data, ANCHOR))
     low, span, reach = h, 1, LENGTH - ANCHOR + 1
     while span * 2 <= reach:
         low = np.minimum(low[: low.size - span], low[span:])
@@ -68,7 +76,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def own_anchors(text: bytes) -> np.ndarray:
     """The anchors of a text, each once."""
-    return np.unique(anchors(np.frombuffer(text, np.uint8))[0]) if len(text) >= LENGTH else np.empty(0, np.uint64)
+    return distinct(anchors(np.frombuffer(text, np.uint8))[0]) if len(text) >= LENGTH else np.empty(0, np.uint64)
 
 
 ROUTED = "bucket int, body binary, meta binary"
@@ -146,6 +154,7 @@ def pieces(bodies: list[bytes], meta: np.ndarray) -> Iterator[tuple[list[bytes],
 def send_fragments(shared, buckets: int):
     """Fragments with a shared anchor to their buckets, and spans settled at once to their groups."""
 
+    @releasing
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
         twice = shared.value
@@ -161,14 +170,13 @@ def send_fragments(shared, buckets: int):
                     meta = np.zeros(h.size, META)
                     meta["doc"], meta["row"], meta["at"], meta["size"] = doc, row, first, stop - first
                     meta["anchor"] = (h >> np.uint64(32)).astype(np.uint32)
-                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta, np.isin(h, twice.often)))
+                    held.append(([text[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], meta, twice.among_often(h)))
                     size += int(meta["size"].sum())
             if size > 8 * GROUP_BYTES:
                 yield from route(held)
                 held, size = [], 0
         if held:
             yield from route(held)
-        release()
 
     def route(held: list) -> Iterator[pa.RecordBatch]:
         bodies, meta, hot = [b for x, _, _ in held for b in x], np.concatenate([m for _, m, _ in held]), np.concatenate([x for _, _, x in held])
@@ -207,7 +215,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = key << np.uint64(8) | wide[k : k + n]
     width = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable" if width >= DEPTH else None)  # before, ties are alike or there are none
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -287,6 +295,19 @@ def covered_strings(bodies: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [covered[e - s : max(e - s, e - LENGTH + 1)] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
+def have_repeats(bodies: list[bytes]) -> np.ndarray:
+    """Which fragments have a 50-byte string whose hash occurs twice in all of them."""
+    data, sizes = np.frombuffer(b"".join(bodies), np.uint8), np.fromiter(map(len, bodies), np.int64, len(bodies))
+    half, total, n = hashed(data, HALF), data.size - LENGTH + 1, sizes - LENGTH + 1
+    place = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    h = mix64(half[:total] * np.uint64(0xD1342543DE82EF95) + mix64(half[LENGTH - HALF : LENGTH - HALF + total]))[place]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twin = np.zeros(h.size, bool)
+    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    return np.bincount(np.repeat(np.arange(sizes.size), n), twin, sizes.size) > 0
+
+
 def settle_bucket(groups: int):
     def settle_rows(table_: pa.Table) -> pa.Table:
         """The spans of a bucket's fragments, as rows for the groups of their documents; such rows pass."""
@@ -309,6 +330,8 @@ def settle_bucket(groups: int):
         firsts = np.array([v[0] for v in once.values()], np.int64)
         _, which, count = np.unique(meta["anchor"][firsts], return_inverse=True, return_counts=True) if firsts.size else (None, firsts, firsts)
         several = firsts[count[which] > 1] if firsts.size else firsts
+        if several.size:
+            several = several[have_repeats([bodies[i] for i in several])]
         if several.size:
             for i, mask in zip(several.tolist(), covered_strings([bodies[i] for i in several], meta["doc"][several]), strict=True):
                 if mask.any():

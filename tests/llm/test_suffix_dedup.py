@@ -148,3 +148,30 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_strings(df).collect()), key=str)
     assert out == brute(rows)
+
+
+def test_fragments_without_repeated_strings_are_not_indexed(monkeypatch):
+    """A bucket's fragments that share an anchor but no whole string are set aside before the index, without a loss."""
+    rng, anchor = random.Random(8), b"the anchor of it"
+    noise = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    shared = noise(20) + anchor + noise(20)
+    bodies = [noise(34) + anchor + noise(34) for _ in range(200)] + [noise(5) + shared + noise(7), shared + noise(3), noise(9) + shared]
+    meta = np.zeros(len(bodies), sd.META)
+    meta["doc"] = meta["row"] = np.arange(len(bodies)) + 1
+    meta["size"], meta["anchor"] = [len(b) for b in bodies], 4
+    indexed, index = [], sd.covered_strings
+    monkeypatch.setattr(sd, "covered_strings", lambda some, docs: indexed.append(len(some)) or index(some, docs))
+    table = sd.settle_bucket(1)(sd.pa.Table.from_batches([sd.as_batch([(0, sd.packed(b"".join(bodies)), sd.packed(meta))])]))
+    spans = np.concatenate([sd.unpacked(x, sd.SPAN) for x in table.column("meta").to_pylist()])
+    assert indexed == [3]
+    assert sorted(spans.tolist()) == [(202, 202, 0, 56), (203, 203, 9, 65)]
+    want = index(bodies, meta["doc"])
+    assert [m.any() for m in want] == [False] * 201 + [True] * 2
+
+
+def test_often_seen_hashes():
+    often = np.array([3, 5, 9], np.uint64)
+    asked = np.array([0, 3, 4, 5, 9, 10, 2**63], np.uint64)
+    for some in (often, often[:1], often[:0]):
+        assert seen_twice.TwiceSeen(np.zeros((1, 8), np.uint8), some).among_often(asked).tolist() == np.isin(asked, some).tolist()
+    assert seen_twice.distinct(np.array([7, 2, 7, 2, 9], np.uint64)).tolist() == [2, 7, 9] and not seen_twice.distinct(often[:0]).size
