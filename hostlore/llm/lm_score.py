@@ -42,8 +42,12 @@ HIDDEN = 16
 ROUNDS = 1
 BATCH = 1 << 14
 RATE = 0.1
-#: Classes of rare words that a process keeps.
+#: Classes and spellings of rare words that a process keeps.
 CACHE_WORDS = 200_000
+#: Columns of scores that are exponentiated at once.
+COLUMNS = 1 << 13
+#: Scores up to this size have exponentials, and sums of them, that 32-bit numbers hold.
+SAFE = 80
 #: Fractions of the networks when they are added up as whole numbers, so that their order doesn't matter.
 UNIT = 1 << 20
 
@@ -107,8 +111,18 @@ class Spelling:
         p1 = (c2.sum(axis=0) + 1) / (c2.sum() + KINDS)
         p2 = (c2 + 20 * p1) / (c2.sum(axis=1, keepdims=True) + 20)
         self.log_p = np.log((c3 + 20 * p2) / (c3.sum(axis=2, keepdims=True) + 20)).ravel()
+        self.known: dict[bytes, float] = {}
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
+        """Of each word; each distinct one is spelled once, and those of up to ``LONGEST`` bytes are remembered."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        found = dict(zip(fresh, self.spelled(fresh).tolist(), strict=True)) if fresh else {}
+        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
+        return np.fromiter((known if (known := self.known.get(w)) is not None else found[w] for w in words), np.float64, len(words))
+
+    def spelled(self, words: list[bytes]) -> np.ndarray:
         cell, owner = trigrams(words)
         return np.bincount(owner, self.log_p[cell] - WITHIN[cell % KINDS], len(words))
 
@@ -146,6 +160,10 @@ class WindowNetwork:
         z += self.w[1]
         return np.tanh(z, out=z)
 
+    def bound(self) -> float:
+        """No score is larger, as hidden values are between -1 and 1."""
+        return max(float((abs(w).sum(axis=-2) + abs(b)).max()) for w, b in (self.w[2:4], self.w[4:6]))
+
     def by_cluster(self, cls: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, slice]]]:
         """The order that puts rows of a cluster together, and where in it each cluster is."""
         cluster = (cls // CLUSTERS).astype(np.uint8)
@@ -157,9 +175,12 @@ class WindowNetwork:
         order, clusters = self.by_cluster(cls)
         cluster, within = np.divmod(cls[order], CLUSTERS)
         h = self.hidden(around.take(order, axis=0))
-        found = softmax(self.w[2].T @ h.T + self.w[3][:, None], cluster)
+        found, bound = np.empty(cls.size, h.dtype), self.bound()
+        for lo in range(0, cls.size, COLUMNS):
+            rows = slice(lo, lo + COLUMNS)
+            found[rows] = exponentials(scores(self.w[2], self.w[3], h[rows]), cluster[rows], bound)[0]
         for k, rows in clusters:
-            found[rows] += softmax(self.w[4][k].T @ h[rows].T + self.w[5][k][:, None], within[rows])
+            found[rows] += exponentials(scores(self.w[4][k], self.w[5][k], h[rows]), within[rows], bound)[0]
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -169,16 +190,16 @@ class WindowNetwork:
         n = cls.size
         order, clusters = self.by_cluster(cls)
         around, (cluster, within) = around[order], np.divmod(cls[order], CLUSTERS)
-        h = self.hidden(around)
-        g = self.w[2].T @ h.T + self.w[3][:, None]
-        loss = -softmax(g, cluster).sum(dtype=np.float64)
+        h, bound = self.hidden(around), self.bound()
+        g = scores(self.w[2], self.w[3], h)
+        loss = -softmax(g, cluster, bound).sum(dtype=np.float64)
         g[cluster, np.arange(n)] -= 1
         back = np.ascontiguousarray((self.w[2] @ g).T)
         inner, bias = np.zeros_like(self.w[4]), np.zeros_like(self.w[5])
         for k, rows in clusters:
             own = h[rows]
-            gi = self.w[4][k].T @ own.T + self.w[5][k][:, None]
-            loss -= softmax(gi, within[rows]).sum(dtype=np.float64)
+            gi = scores(self.w[4][k], self.w[5][k], own)
+            loss -= softmax(gi, within[rows], bound).sum(dtype=np.float64)
             gi[within[rows], np.arange(own.shape[0])] -= 1
             back[rows] += (self.w[4][k] @ gi).T
             inner[k], bias[k] = (gi @ own).T, gi.sum(axis=1)
@@ -207,13 +228,27 @@ class WindowNetwork:
         return total
 
 
-def softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Columns to shares, in place; gives the logarithm of one share of each column."""
-    z -= z.max(axis=0)
+def scores(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each class (a row) for each hidden vector."""
+    z = weights.T @ h.T
+    z += bias[:, None]
+    return z
+
+
+def exponentials(z: np.ndarray, at: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials in place; the logarithm of one share of each column, and the sum of each. ``bound``: no score is larger."""
+    if bound > SAFE:
+        z -= z.max(axis=0)
     own = z[at, np.arange(at.size)]
     total = np.exp(z, out=z).sum(axis=0)
-    z /= total
-    return own - np.log(total)
+    return own - np.log(total), total
+
+
+def softmax(z: np.ndarray, at: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """Columns to shares, in place; gives the logarithm of one share of each column."""
+    found, total = exponentials(z, at, bound)
+    z *= 1 / total
+    return found
 
 
 def windows(lists: list[list[bytes]], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

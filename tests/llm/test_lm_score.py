@@ -126,3 +126,30 @@ def test_a_training_step_takes_each_exponential_once(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda z, **kw: (taken.append(z.size), exp(z, **kw))[1])
     net.gradients(rng.integers(0, lm.CLASSES, (500, 4)), rng.integers(0, lm.CLASSES, 500))
     assert sum(taken) == 500 * 2 * lm.CLUSTERS
+
+
+def test_small_scores_need_no_maximum():
+    """Scores under SAFE are exponentiated as they are, larger ones less their maximum: the same shares both ways."""
+    rng = np.random.default_rng(5)
+    net = lm.WindowNetwork.beginning(rng.integers(0, 1000, lm.CLASSES))
+    around, cls = rng.integers(0, lm.CLASSES, (5000, len(lm.AROUND))).astype(np.int16), rng.integers(0, lm.CLASSES, 5000)
+    h = net.hidden(around)
+    assert max(abs(lm.scores(net.w[2], net.w[3], h)).max(), *(abs(lm.scores(w, b, h)).max() for w, b in zip(net.w[4], net.w[5], strict=True))) <= net.bound() < lm.SAFE
+    plain, found = net.log_probability(around, cls), {}
+    for bound in (net.bound(), np.inf):
+        z = lm.scores(net.w[2], net.w[3], h)
+        found[bound] = lm.softmax(z, cls // lm.CLUSTERS, bound), z
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(*found.values(), strict=True))
+    large = lm.WindowNetwork([w * 1000 for w in net.w])
+    assert large.bound() > lm.SAFE and np.isfinite(large.log_probability(around, cls)).all() and np.isfinite(plain).all()
+
+
+def test_a_word_is_spelled_once(monkeypatch):
+    model = lm.Spelling(np.random.default_rng(6).integers(0, 50, lm.KINDS**3))
+    words = [b"abc", b"xyz", b"abc", b"q" * 1000, b"abc", b"\xc3\xa9t", b"q" * 1000]
+    want, asked, spelled = model.spelled(words), [], model.spelled
+    monkeypatch.setattr(model, "spelled", lambda some: asked.append(some) or spelled(some))
+    assert (model.log_probability(words) == want).all() and (model.log_probability(words) == want).all()
+    assert asked == [[b"abc", b"xyz", b"q" * 1000, b"\xc3\xa9t"], [b"q" * 1000]]
+    monkeypatch.setattr(lm, "CACHE_WORDS", 2)
+    assert (model.log_probability(words) == want).all() and len(model.known) == 3
