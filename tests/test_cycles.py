@@ -226,3 +226,47 @@ def test_services_of_a_host_are_compared_in_several_tasks(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in plan and re.search(r"hashpartitioning\(host_id#\d+, name#", plan)
     assert found.count() == 200
+
+
+def test_a_cycle_broadcasts_lines_of_snapshots_alone(spark, tmp_path, monkeypatch):
+    """The driver holds what is broadcast, so nothing that grows with services, processes, events, incidents or evidence is."""
+    plans, store, log = [], cycles.Folder.store, cycles.Folder.log
+    told = lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(cycles.Folder, "store", lambda self, rows, *a: told(rows) or store(self, rows, *a))
+    monkeypatch.setattr(cycles.Folder, "log", lambda self, rows, *a: told(rows) or log(self, rows, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    fleet = Fleet(spark, tmp_path).batch(capture(1, "active"), capture(2, "failed", [event("c1", at(2, -1))]))
+    fleet.batch(capture(3, "active", [event("c1", at(2, -1)), event("c2", at(2, 1))]))
+    assert fleet.seen() == ([("resolved", at(2), at(3), at(3))], ["journal:c1", "journal:c2"])
+    told(fleet.fleet.incidents().join(fleet.fleet.evidence(), cycles.SUBJECT))
+    keys = {re.sub(r"#\d+L?", "", k) for p in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)}
+    lines = {"host_id", "host_id, snapshot_id", "host_id, next_id", "host_id, started_at", "host_id, observed_at"}
+    assert "host_id, snapshot_id" in keys and keys <= lines and not any("BroadcastNestedLoopJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert fleet.fleet.folder.spark.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_captures_are_joined_without_a_broadcast(spark):
+    from hostlore.plans import queries, stream_queries
+
+    plan = stream_queries.captures(queries.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+
+
+def test_the_ends_of_slots_find_every_anchor_that_has_an_event(spark):
+    import random
+
+    from hostlore.operators import correlate
+
+    rng, width = random.Random(4), 10
+    second = lambda n: T0 + timedelta(microseconds=n)
+    events = spark.createDataFrame([(rng.choice("hg"), rng.choice("ab"), second(rng.randrange(900))) for _ in range(60)], "host_id string, unit string, observed_at timestamp")
+    anchors = spark.createDataFrame([(h, n, 1704067200000000 + t) for h in "hg" for n in "ab" for t in range(900)], "host_id string, name string, t long")
+    items = events.select("host_id", F.col("unit").alias("name"), F.unix_micros("observed_at").alias("t"))
+    found = [
+        {tuple(r) for r in correlate.near(anchors, rows, ["host_id", "name"], width).select("host_id", "name", "t").collect()}
+        for rows in (items, cycles.ends(events, width))
+    ]
+    assert found[0] == found[1] and 0 < len(found[0]) < 3600
+    busy = spark.range(1000).selectExpr("'h' AS host_id", "'a' AS unit", "timestamp_micros(id % 25) AS observed_at")
+    assert cycles.ends(busy, width).count() == 6  # two for each of three slots
